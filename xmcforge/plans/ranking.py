@@ -1,8 +1,8 @@
 """Dense global ranks without a single-partition window.
 
 ``Window.orderBy`` without ``partitionBy`` moves every row into one task.  ``dist_rank``
-range-partitions on the order keys, numbers rows inside each partition, and adds the
-row count of all earlier partitions (a table with one row per partition, or per
+range-partitions on the order keys, numbers rows inside each partition, pins that layout
+with a reliable checkpoint, and adds the row count of all earlier partitions (a table with one row per partition, or per
 (partition, group) when ranks restart per group).
 """
 
@@ -29,10 +29,15 @@ def dist_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "
     spark = df.sparkSession
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keys = _as_cols(list(partition_by)) + _as_cols(order_by)
+    # Range bounds are sampled with a seed tied to the RDD id, so two evaluations of the
+    # same exchange can cut different ranges.  Counts and rows must come from one
+    # evaluation: the partitioned, sorted, tagged rows are written once to the reliable
+    # checkpoint folder (which also survives executor loss) and both branches read it.
     tagged = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .checkpoint(eager=True))
     gcols = ["_pid"] + list(partition_by)
     counts = tagged.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     # Offsets: rows of the same group in earlier partitions. The table has one row per
