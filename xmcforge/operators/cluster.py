@@ -23,6 +23,12 @@ from xmcforge.operators.sampling import md5_int
 from xmcforge.plans.ranking import dist_rank
 
 
+def root_node(id_col: str = "item_id"):
+    """Node 0 for every item, written so the optimizer cannot fold it to a literal: a
+    literal key would turn the item/centroid equi-join into a keyless nested-loop join."""
+    return F.coalesce(F.col(id_col).cast("long") * F.lit(0), F.lit(0)).cast("long").alias("node")
+
+
 def _seed_centroids(items: DataFrame, seed: int, level: int) -> DataFrame:
     key = md5_int("item_id", F.lit(seed), F.lit(level), "node")
     k = items.withColumn("_k", F.struct(key.alias("h"), F.col("item_id")))
@@ -61,8 +67,7 @@ def tree_depth(n_items: int, cluster_size: int) -> int:
 def balanced_clusters(items: DataFrame, depth: int, seed: int = 0, rounds: int = 1,
                       id_col: str = "item_id", vec_col: str = "embedding") -> DataFrame:
     """2^depth clusters of equal size (+-1); (item_id, cluster_id)."""
-    cur = items.select(F.col(id_col).alias("item_id"), F.lit(0).cast("long").alias("node"),
-                       V.l2_normalize(vec_col).alias("v"))
+    cur = items.select(F.col(id_col).alias("item_id"), root_node(id_col), V.l2_normalize(vec_col).alias("v"))
     for level in range(depth):
         split = balanced_split(cur, seed, level, rounds)
         cur = split.select("item_id", (F.col("node") * 2 + F.col("side")).alias("node"), "v")

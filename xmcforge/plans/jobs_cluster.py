@@ -37,7 +37,7 @@ LEVEL1_SQL = f"select item_id, node * 2 + side as node, v from ({_split_sql(BASE
 @job("balanced_split", oracle=f"select item_id, side from ({_split_sql(BASE_SQL, 0)})")
 def balanced_split(t):
     """One balanced halving of all items by seeded centroid score difference."""
-    items = fx.cluster_items(t).select("item_id", F.lit(0).cast("long").alias("node"),
+    items = fx.cluster_items(t).select("item_id", CL.root_node(),
                                        F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     from xmcforge.functions import vectors as V
     items = items.select("item_id", "node", V.l2_normalize("embedding").alias("v"))
