@@ -25,10 +25,13 @@ CAND_SCHEMA = T.StructType([
     T.StructField("q_id", T.LongType()),
     T.StructField("label_id", T.LongType()),
     T.StructField("score", T.DoubleType()),
+    T.StructField("excluded", T.BooleanType()),
 ])
 
-DEFAULT_BLOCK_BYTES = 64 << 20   # one dense block of vectors (double) per side
+DEFAULT_BLOCK_BYTES = 128 << 20  # one dense block of vectors (as double) per side
 TILE_BYTES = 32 << 20            # one query tile x label block score matrix
+MIN_BLOCK_ROWS = 256             # do not split blocks finer than this to gain parallelism
+_EXCLUDED_KEY = np.iinfo(np.int64).max
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -44,106 +47,139 @@ def _normalize_rows(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_topk(q_ids: np.ndarray, qmat: np.ndarray, kq: np.ndarray,
-               l_ids: np.ndarray, lmat: np.ndarray, digits: int = 6):
-    """Exact per-query top-``kq[i]`` of ``qmat @ lmat.T`` by (score desc, label id asc).
+def block_topk(q_ids: np.ndarray, qmat: np.ndarray, l_ids: np.ndarray, lmat: np.ndarray, k: int,
+               ex_q: np.ndarray | None = None, ex_l: np.ndarray | None = None, drop_excluded: bool = True,
+               digits: int = 6):
+    """Exact per-query top-``k`` of ``qmat @ lmat.T`` by (score desc, label id asc).
 
-    Returns three flat arrays (q_id, label_id, score) grouped by query in rank order.
-    """
+    ``(ex_q, ex_l)`` are excluded (query id, label id) pairs of this block: with
+    ``drop_excluded`` they can never be selected (exact "filter before"), otherwise they
+    compete normally and come back flagged ("filter after").
+    Returns flat arrays (q_id, label_id, score, excluded) grouped by query in rank order."""
     order = np.argsort(l_ids, kind="stable")
-    l_ids = l_ids[order]
-    lmat = lmat[order]
-    nl = len(l_ids)
-    out_q, out_l, out_s = [], [], []
-    if nl == 0 or len(q_ids) == 0:
-        return np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)
+    l_ids, lmat = l_ids[order], lmat[order]
+    nl, nq = len(l_ids), len(q_ids)
+    empty = (np.array([], np.int64), np.array([], np.int64), np.array([], np.float64), np.array([], bool))
+    if nl == 0 or nq == 0 or k <= 0:
+        return empty
+    ex_r = ex_c = np.array([], np.int64)
+    if ex_q is not None and len(ex_q):
+        r = pd.Index(q_ids).get_indexer(ex_q)
+        c = np.searchsorted(l_ids, ex_l)
+        c = np.where(c < nl, c, 0)
+        ok = (r >= 0) & (l_ids[c] == ex_l)
+        ex_r, ex_c = r[ok].astype(np.int64), c[ok].astype(np.int64)
     tile = max(1, TILE_BYTES // (8 * nl))
     pos = np.arange(nl, dtype=np.int64)
     scale = 10.0 ** digits
-    for s in range(0, len(q_ids), tile):
-        e = min(s + tile, len(q_ids))
+    kk = min(k, nl)
+    outs = []
+    for s in range(0, nq, tile):
+        e = min(s + tile, nq)
         scores = np.rint((qmat[s:e] @ lmat.T) * scale) / scale
-        kk = int(min(max(int(kq[s:e].max()), 0), nl))
-        if kk == 0:
-            continue
+        mask = np.zeros(scores.shape, dtype=bool)
+        sel = (ex_r >= s) & (ex_r < e)
+        mask[ex_r[sel] - s, ex_c[sel]] = True
         bound = float(np.abs(scores).max()) * scale if scores.size else 0.0
         if bound * nl < 4.0e18:
-            # exact integer key: smaller = better; unique per row, so partitioning is exact
+            # exact integer key: smaller = better and unique per row, so a partial sort is exact
             key = -np.rint(scores * scale).astype(np.int64) * nl + pos
-            if kk < nl:
-                idx = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-            else:
-                idx = np.broadcast_to(pos, key.shape).copy()
-            sub = np.take_along_axis(key, idx, axis=1)
-            idx = np.take_along_axis(idx, np.argsort(sub, axis=1), axis=1)
+            if drop_excluded:
+                key[mask] = _EXCLUDED_KEY
+            idx = np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < nl else np.broadcast_to(pos, key.shape).copy()
+            idx = np.take_along_axis(idx, np.argsort(np.take_along_axis(key, idx, axis=1), axis=1), axis=1)
         else:  # unbounded scores: full lexicographic sort
-            idx = np.lexsort((np.broadcast_to(pos, scores.shape), -scores), axis=1)[:, :kk]
-        keep = np.arange(kk)[None, :] < kq[s:e, None]
+            sc = np.where(mask, -np.inf, scores) if drop_excluded else scores
+            idx = np.lexsort((np.broadcast_to(pos, sc.shape), -sc), axis=1)[:, :kk]
         rows = np.broadcast_to(np.arange(e - s)[:, None], idx.shape)
-        out_q.append(q_ids[s:e][rows[keep]])
-        out_l.append(l_ids[idx[keep]])
-        out_s.append(scores[rows[keep], idx[keep]])
-    if not out_q:
-        return np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)
-    return np.concatenate(out_q), np.concatenate(out_l), np.concatenate(out_s)
+        flag = mask[rows, idx]
+        keep = ~flag if drop_excluded else np.ones_like(flag)
+        outs.append((q_ids[s:e][rows[keep]], l_ids[idx[keep]], scores[rows[keep], idx[keep]], flag[keep]))
+    if not outs:
+        return empty
+    return tuple(np.concatenate([o[i] for o in outs]) for i in range(4))
 
 
-def _scorer(normalize: bool, digits: int):
+def _scorer(k: int, normalize: bool, drop_excluded: bool, digits: int):
     def score(qdf: pd.DataFrame, ldf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or ldf.empty:
+        is_ex = qdf["is_ex"].to_numpy(bool)
+        qrows = qdf[~is_ex]
+        if qrows.empty or ldf.empty:
             return pd.DataFrame({"q_id": pd.Series([], dtype="int64"), "label_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        qm, lm = _stack(qdf["qv"]), _stack(ldf["lv"])
+                                 "score": pd.Series([], dtype="float64"), "excluded": pd.Series([], dtype="bool")})
+        xrows = qdf[is_ex]
+        qm, lm = _stack(qrows["qv"]), _stack(ldf["lv"])
         if normalize:
             qm, lm = _normalize_rows(qm), _normalize_rows(lm)
-        q, lab, s = block_topk(qdf["q_id"].to_numpy(np.int64), qm, qdf["kq"].to_numpy(np.int64),
-                               ldf["label_id"].to_numpy(np.int64), lm, digits)
-        return pd.DataFrame({"q_id": q, "label_id": lab, "score": s})
+        q, lab, s, x = block_topk(qrows["q_id"].to_numpy(np.int64), qm, ldf["label_id"].to_numpy(np.int64), lm, k,
+                                  xrows["q_id"].to_numpy(np.int64), xrows["x_label"].to_numpy(np.int64),
+                                  drop_excluded, digits)
+        return pd.DataFrame({"q_id": q, "label_id": lab, "score": s, "excluded": x})
     return score
 
 
-def plan_blocks(spark, n_q: int, n_l: int, dim: int, block_bytes: int = DEFAULT_BLOCK_BYTES) -> tuple[int, int]:
-    """(query blocks, label blocks): each block of vectors stays under ``block_bytes``;
-    at least ``defaultParallelism`` groups so small inputs still spread over all cores."""
-    rows_per_block = max(1, block_bytes // (8 * max(dim, 1)))
-    n_lb = max(1, math.ceil(n_l / rows_per_block))
-    n_qb = max(1, math.ceil(n_q / rows_per_block))
-    par = int(spark.sparkContext.defaultParallelism)
+def plan_blocks(par: int, n_q: int, n_l: int, dim: int, block_bytes: int = DEFAULT_BLOCK_BYTES,
+                min_rows: int = MIN_BLOCK_ROWS) -> tuple[int, int]:
+    """(query blocks, label blocks).
+
+    Every block of vectors stays under ``block_bytes``.  When that gives fewer groups than
+    ``par`` cores, the grid grows along the dimension whose extra replication is cheaper:
+    one more label block copies the queries once more, one more query block copies the
+    labels, so the smaller side is the one copied.  Blocks are never cut below ``min_rows``."""
+    rows = max(1, block_bytes // (8 * max(dim, 1)))
+    n_lb = max(1, math.ceil(n_l / rows))
+    n_qb = max(1, math.ceil(n_q / rows))
     if n_qb * n_lb < par:
-        n_qb = max(n_qb, min(max(n_q, 1), math.ceil(par / n_lb)))
+        if n_q <= n_l:
+            n_lb = max(n_lb, min(math.ceil(par / n_qb), max(1, math.ceil(n_l / min_rows))))
+        else:
+            n_qb = max(n_qb, min(math.ceil(par / n_lb), max(1, math.ceil(n_q / min_rows))))
     return n_qb, n_lb
 
 
 def candidates(queries: DataFrame, labels: DataFrame, *, q_col: str = "q_id", l_col: str = "label_id",
-               vec_col: str = "embedding", k: int = 10, extra: DataFrame | None = None,
-               normalize: bool = True, digits: int = 6, block_bytes: int = DEFAULT_BLOCK_BYTES,
-               blocks: tuple[int, int] | None = None) -> DataFrame:
-    """Per (query, label block): the best ``k + extra[q]`` labels. Unranked candidates."""
+               vec_col: str = "embedding", k: int = 10, exclude: DataFrame | None = None,
+               drop_excluded: bool = True, normalize: bool = True, digits: int = 6,
+               block_bytes: int = DEFAULT_BLOCK_BYTES, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """Per (query block, label block): each query's best ``k`` labels (unranked).
+
+    Excluded pairs travel with the query side to the one block that holds both ids (no
+    replication, no anti-join shuffle)."""
     spark = queries.sparkSession
     q = queries.select(F.col(q_col).cast("long").alias("q_id"), F.col(vec_col).alias("qv"))
     lab = labels.select(F.col(l_col).cast("long").alias("label_id"), F.col(vec_col).alias("lv"))
-    if extra is not None:
-        q = (q.join(extra.select(F.col("q_id").cast("long"), F.col("extra").cast("long")), "q_id", "left")
-              .withColumn("kq", F.lit(k) + F.coalesce(F.col("extra"), F.lit(0))).drop("extra"))
-    else:
-        q = q.withColumn("kq", F.lit(k).cast("long"))
     if blocks is None:
-        n_l, dim = lab.agg(F.count(F.lit(1)), F.max(F.size("lv"))).first()
-        n_q = q.count()
-        blocks = plan_blocks(spark, n_q, n_l or 0, dim or 1, block_bytes)
+        # one job for both sizes: (queries, labels, widest label vector)
+        sizes = (q.select(F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("d"))
+                  .unionByName(lab.select(F.lit(0).alias("a"), F.lit(1).alias("b"), F.size("lv").alias("d")))
+                  .agg(F.sum("a"), F.sum("b"), F.max("d")).first())
+        n_q, n_l, dim = int(sizes[0] or 0), int(sizes[1] or 0), int(sizes[2] or 1)
+        blocks = plan_blocks(int(spark.sparkContext.defaultParallelism), n_q, n_l, dim, block_bytes)
     n_qb, n_lb = blocks
-    qx = (q.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(n_qb)))
+    # query rows and excluded pairs share one side; ids stay non-null bigints (a null would
+    # turn the pandas column into float64 and lose ids above 2^53)
+    qx = (q.withColumn("x_label", F.lit(0).cast("long")).withColumn("is_ex", F.lit(False))
+           .withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(n_qb)))
            .withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(n_lb - 1)).cast("array<long>"))))
+    if exclude is not None:
+        ex = exclude.select(F.col("q_id").cast("long").alias("q_id"), F.lit(None).cast(qx.schema["qv"].dataType).alias("qv"),
+                            F.col("label_id").cast("long").alias("x_label"), F.lit(True).alias("is_ex"))
+        ex = (ex.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(n_qb)))
+                .withColumn("lb", F.pmod(F.xxhash64("x_label"), F.lit(n_lb))))
+        qx = qx.unionByName(ex)
     lx = (lab.withColumn("lb", F.pmod(F.xxhash64("label_id"), F.lit(n_lb)))
              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)).cast("array<long>"))))
     return (qx.groupBy("qb", "lb").cogroup(lx.groupBy("qb", "lb"))
-              .applyInPandas(_scorer(normalize, digits), CAND_SCHEMA))
+              .applyInPandas(_scorer(k, normalize, drop_excluded, digits), CAND_SCHEMA))
+
+
+def _window():
+    return Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("label_id").asc())
 
 
 def rank_within_query(cand: DataFrame, k: int, rank_col: str = "rank") -> DataFrame:
     """row_number by (score desc, label_id asc) per query, kept to ``k`` (WindowGroupLimit)."""
-    w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("label_id").asc())
-    return (cand.withColumn(rank_col, F.row_number().over(w).cast("long"))
+    return (cand.withColumn(rank_col, F.row_number().over(_window()).cast("long"))
                 .where(F.col(rank_col) <= F.lit(k)))
 
 
@@ -153,33 +189,27 @@ def ova_topk(queries: DataFrame, labels: DataFrame, k: int = 10, *, q_col: str =
              block_bytes: int = DEFAULT_BLOCK_BYTES, blocks: tuple[int, int] | None = None) -> DataFrame:
     """Top-``k`` labels per query: (q_id, label_id, score, rank).
 
-    ``exclude`` (q_id, label_id) pairs are removed either ``before`` ranking (each query
-    over-fetches exactly its own number of excluded pairs, so the result is exact with no
-    cap) or ``after`` it (reference parity: lists shrink and ranks are re-densified).
-    """
-    if exclude is None:
-        cand = candidates(queries, labels, q_col=q_col, l_col=l_col, vec_col=vec_col, k=k,
-                          normalize=normalize, digits=digits, block_bytes=block_bytes, blocks=blocks)
-        return rank_within_query(cand, k)
-    ex = exclude.select(F.col("q_id").cast("long"), F.col("label_id").cast("long")).distinct()
-    if exclude_mode == "before":
-        extra = ex.groupBy("q_id").agg(F.count(F.lit(1)).alias("extra"))
-        cand = candidates(queries, labels, q_col=q_col, l_col=l_col, vec_col=vec_col, k=k, extra=extra,
-                          normalize=normalize, digits=digits, block_bytes=block_bytes, blocks=blocks)
-        return rank_within_query(cand.join(ex, ["q_id", "label_id"], "left_anti"), k)
-    if exclude_mode == "after":
-        top = ova_topk(queries, labels, k, q_col=q_col, l_col=l_col, vec_col=vec_col, normalize=normalize,
-                       digits=digits, block_bytes=block_bytes, blocks=blocks)
-        kept = top.join(ex, ["q_id", "label_id"], "left_anti").drop("rank")
-        return rank_within_query(kept, k)
-    raise ValueError(f"exclude_mode must be 'before' or 'after', not {exclude_mode!r}")
+    ``exclude`` (q_id, label_id) pairs are removed either ``before`` ranking (they can never
+    be selected, so each list is the exact top-k of the remaining labels) or ``after`` it
+    (reference parity: the top-k is taken first, excluded entries are dropped, lists shrink
+    and ranks are re-densified with a second window over the same partitioning)."""
+    if exclude_mode not in ("before", "after"):
+        raise ValueError(f"exclude_mode must be 'before' or 'after', not {exclude_mode!r}")
+    drop = exclude is None or exclude_mode == "before"
+    cand = candidates(queries, labels, q_col=q_col, l_col=l_col, vec_col=vec_col, k=k, exclude=exclude,
+                      drop_excluded=drop, normalize=normalize, digits=digits, block_bytes=block_bytes,
+                      blocks=blocks)
+    top = rank_within_query(cand, k)
+    if drop:
+        return top.drop("excluded")
+    kept = top.where(~F.col("excluded")).drop("excluded", "rank")
+    return kept.withColumn("rank", F.row_number().over(_window()).cast("long"))
 
 
 def two_phase_topk(queries: DataFrame, labels: DataFrame, k: int = 10, n_label_blocks: int = 4,
                    **kw) -> DataFrame:
     """T01 with an explicit label-block count: partial top-k per block, then the merge."""
-    spark = queries.sparkSession
-    par = int(spark.sparkContext.defaultParallelism)
+    par = int(queries.sparkSession.sparkContext.defaultParallelism)
     n_qb = max(1, math.ceil(par / n_label_blocks))
     return ova_topk(queries, labels, k, blocks=(n_qb, n_label_blocks), **kw)
 
