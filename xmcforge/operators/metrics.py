@@ -104,7 +104,6 @@ def metrics_report(pred: DataFrame, truth: DataFrame, queries: DataFrame, ks: Se
         raise ValueError("no_hit must be 'zero' or 'reference'")
     spark = pred.sparkSession
     q = queries.select(F.col("q_id").cast("long")).distinct()
-    n_q = float(q.count())
 
     t = truth.select(F.col("q_id").cast("long"), F.col("label_id").cast("long")).distinct()
     tcount = t.groupBy("q_id").agg(F.count(F.lit(1)).alias("T"))
@@ -139,7 +138,13 @@ def metrics_report(pred: DataFrame, truth: DataFrame, queries: DataFrame, ks: Se
                  F.sum("wsum").alias("wsum"),
                  F.sum(F.col("wsum") * F.col("disc") / F.col("idcg")).alias("wdcg")))
     ks_df = spark.createDataFrame([(k,) for k in ks], "k long")  # the requested cut-offs
-    base = ks_df.join(per_k, "k", "left").fillna(0.0).withColumn("n_q", F.lit(n_q))
+    # the query count joins the (len(ks)-row) table as one extra row and is spread by a
+    # window over that tiny table, so it costs no separate job
+    nq_row = q.agg(F.count(F.lit(1)).cast("double").alias("n_q")).select(F.lit(None).cast("long").alias("k"), "n_q")
+    base = (ks_df.join(per_k, "k", "left").fillna(0.0).withColumn("n_q", F.lit(None).cast("double"))
+            .unionByName(nq_row, allowMissingColumns=True)
+            .withColumn("n_q", F.max("n_q").over(Window.partitionBy(F.lit(0))))
+            .where(F.col("k").isNotNull()))
     if no_hit == "reference":
         # queries with a hit anywhere in the top K = first-hit count at the largest k
         # (``base`` has one row per requested k, so this window is over len(ks) rows)

@@ -119,18 +119,20 @@ def _scorer(k: int, normalize: bool, drop_excluded: bool, digits: int):
 
 
 def plan_blocks(par: int, n_q: int, n_l: int, dim: int, block_bytes: int = DEFAULT_BLOCK_BYTES,
-                min_rows: int = MIN_BLOCK_ROWS) -> tuple[int, int]:
+                min_rows: int = MIN_BLOCK_ROWS, k: int = 10) -> tuple[int, int]:
     """(query blocks, label blocks).
 
     Every block of vectors stays under ``block_bytes``.  When that gives fewer groups than
-    ``par`` cores, the grid grows along the dimension whose extra replication is cheaper:
-    one more label block copies the queries once more, one more query block copies the
-    labels, so the smaller side is the one copied.  Blocks are never cut below ``min_rows``."""
+    ``par`` cores, the grid grows along the cheaper dimension: one more label block copies
+    every query vector once more and adds k candidate rows per query to the merge; one more
+    query block copies every label vector once more.  Blocks are never cut below ``min_rows``."""
     rows = max(1, block_bytes // (8 * max(dim, 1)))
     n_lb = max(1, math.ceil(n_l / rows))
     n_qb = max(1, math.ceil(n_q / rows))
     if n_qb * n_lb < par:
-        if n_q <= n_l:
+        per_label_block = n_q * (4 * dim + 24 * k)
+        per_query_block = n_l * 4 * dim
+        if per_label_block <= per_query_block:
             n_lb = max(n_lb, min(math.ceil(par / n_qb), max(1, math.ceil(n_l / min_rows))))
         else:
             n_qb = max(n_qb, min(math.ceil(par / n_lb), max(1, math.ceil(n_q / min_rows))))
@@ -154,7 +156,7 @@ def candidates(queries: DataFrame, labels: DataFrame, *, q_col: str = "q_id", l_
                   .unionByName(lab.select(F.lit(0).alias("a"), F.lit(1).alias("b"), F.size("lv").alias("d")))
                   .agg(F.sum("a"), F.sum("b"), F.max("d")).first())
         n_q, n_l, dim = int(sizes[0] or 0), int(sizes[1] or 0), int(sizes[2] or 1)
-        blocks = plan_blocks(int(spark.sparkContext.defaultParallelism), n_q, n_l, dim, block_bytes)
+        blocks = plan_blocks(int(spark.sparkContext.defaultParallelism), n_q, n_l, dim, block_bytes, k=k)
     n_qb, n_lb = blocks
     # query rows and excluded pairs share one side; ids stay non-null bigints (a null would
     # turn the pandas column into float64 and lose ids above 2^53)

@@ -91,3 +91,11 @@ def weighted_identity_union(labels: DataFrame, train_xy: DataFrame, lam: float)
                           (F.coalesce(F.col("value") if "value" in train_xy.columns else F.lit(1.0), F.lit(1.0))
                            * F.lit(lam)).alias("value"))
     return ident.unionByName(trn)
+
+
+def keep_topk_per_row(m: DataFrame, k: int, row: str, col: str, val: str = "value") -> DataFrame:
+    """Keep the ``k`` largest entries of every sparse row (ties by column), shorter
+    rows unchanged.  ``row_number() <= k`` is limited map-side (WindowGroupLimit)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(row).orderBy(F.col(val).desc(), F.col(col).asc())
+    return m.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

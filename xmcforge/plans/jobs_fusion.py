@@ -177,3 +177,43 @@ def failed_owner_count(t):
 def distinct_targets(t):
     """Distinct target ids of the label mapping."""
     return fx.label_class_map(t).select("new_id").distinct()
+
+
+@job("keep_topk_sparse", oracle="""
+select doc_id, p_brand, value from (
+  select doc_id, p_brand, value, row_number() over (partition by doc_id order by value desc, p_brand) as r from (
+    select x.doc_id, p.p_brand, sum(x.value * 1.0) as value from fx_xy x join part p on p.p_partkey = x.label_id
+    group by x.doc_id, p.p_brand)) where r <= 2""")
+def keep_topk_sparse(t):
+    """The two heaviest brands of every order in the order x brand matrix."""
+    brand = t("part").select(F.col("p_partkey").alias("label_id"), "p_brand", F.lit(1.0).alias("value"))
+    m = SP.sparse_matmul(fx.xy(t), brand, "doc_id", "label_id", "p_brand")
+    return SP.keep_topk_per_row(m, 2, "doc_id", "p_brand")
+
+
+SIM_K, SIM_THRESHOLD = 10, 0.98   # neighbour count and similarity mask threshold (fixed values)
+_SELF = "select label_id as q_id, label_id from fx_label"
+
+
+@job("similarity_buckets", oracle=f"""
+with fx_self as ({_SELF})
+select q_id, label_id, score as sim, cast(score >= {SIM_THRESHOLD} as double) as mask,
+       cast(1 + floor(100.0 * (1.0 - score)) as bigint) as bucket
+from ({O.topk_sql(SIM_K, exclude_view='fx_self', mode='before')})""")
+def similarity_buckets(t):
+    """Mask (sim >= 0.98) and bucket 1 + int(100 (1 - sim)) of each label's neighbours."""
+    from xmcforge.functions import vectors as V
+    top = R.ova_topk(fx.queries(t), fx.labels(t), SIM_K, exclude=fx.filter_pairs(t), exclude_mode="before")
+    return top.select("q_id", "label_id", F.col("score").alias("sim"),
+                      V.similarity_mask("score", SIM_THRESHOLD).alias("mask"),
+                      V.similarity_bucket("score").alias("bucket"))
+
+
+@job("similar_labels", oracle=f"""
+with fx_self as ({_SELF})
+select q_id as label_id, label_id as neighbor_id, score as sim, rank, cast(score >= {SIM_THRESHOLD} as double) as mask,
+       cast(1 + floor(100.0 * (1.0 - score)) as bigint) as bucket
+from ({O.topk_sql(SIM_K, exclude_view='fx_self', mode='before')})""")
+def similar_labels(t):
+    """Each label's 10 nearest other labels (self excluded by id) with mask and bucket."""
+    return R.similar_labels(fx.labels(t), fx.labels(t), topk=SIM_K, threshold=SIM_THRESHOLD)
