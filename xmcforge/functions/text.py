@@ -75,18 +75,45 @@ def token_positions(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id",
                         F.coalesce("token_id", F.lit(UNK_ID).cast("long")).alias("token_id")))
 
 
+def id_sequence(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """P03 in long form: (row_id, pos, token_id, n_ids) with BOS at 0, the whole text's tokens
+    at 1..n and EOS at n + 1; ``n_ids`` = n + 2.  No regrouping: a document's rows come from one
+    ``posexplode`` and its length from ``size`` of the same token array, so even a document
+    holding a large share of the corpus is never gathered into one value."""
+    toks = corpus.select(id_col, tokens(text_col).alias("_t"))
+    toks = toks.select(id_col, (F.size("_t") + 2).cast("long").alias("n_ids"), "_t")
+    body = (toks.select(id_col, "n_ids", F.posexplode("_t").alias("pos", "token"))
+                .join(_vocab_side(vocab), "token", "left")
+                .select(id_col, (F.col("pos") + 1).cast("long").alias("pos"),
+                        F.coalesce("token_id", F.lit(UNK_ID).cast("long")).alias("token_id"), "n_ids"))
+    bos = toks.select(id_col, F.lit(0).cast("long").alias("pos"), F.lit(BOS_ID).cast("long").alias("token_id"), "n_ids")
+    eos = toks.select(id_col, (F.col("n_ids") - 1).alias("pos"), F.lit(EOS_ID).cast("long").alias("token_id"), "n_ids")
+    return bos.unionByName(body).unionByName(eos)
+
+
 def tokenize(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id", text_col: str = "text",
              add_special: bool = True) -> DataFrame:
-    """(row_id, ids array<bigint>) with BOS/EOS around the whole text's token ids.
-
-    Texts without tokens keep their row (BOS, EOS only)."""
-    pos = token_positions(corpus, vocab, id_col, text_col)
-    seqs = pos.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("s"))
-    all_rows = corpus.select(id_col).join(seqs, id_col, "left")
-    ids = F.coalesce(F.col("s.token_id"), F.array().cast("array<bigint>"))
-    if add_special:
-        ids = F.concat(F.array(F.lit(BOS_ID).cast("long")), ids, F.array(F.lit(EOS_ID).cast("long")))
-    return all_rows.select(id_col, ids.alias("ids"))
+    """P03 as one array per text: (row_id, ids array<bigint>) with BOS/EOS around the whole
+    text's token ids.  Texts without tokens keep their row (BOS, EOS only).  Prefer
+    ``id_sequence`` (long form) for very long texts; this builds one array per document."""
+    seq = id_sequence(corpus, vocab, id_col, text_col)
+    if not add_special:
+        seq = seq.where((F.col("pos") > 0) & (F.col("pos") < F.col("n_ids") - 1))
+    seqs = seq.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("s"))
+    return seqs.select(id_col, F.col("s.token_id").alias("ids"))
+
+
+def pad_and_mask_long(seq: DataFrame, max_len: int, id_col: str = "row_id", pad_id: int = PAD_ID,
+                      side: str = "right") -> DataFrame:
+    """P04 from the long form: truncate to ``max_len`` keeping the closing EOS (as a tokenizer
+    with truncation does), pad, and mask.  Only the ids that survive truncation are grouped,
+    so every array holds at most ``max_len`` values."""
+    n = F.col("n_ids")
+    last = F.col("pos") == n - 1
+    kept = seq.where((F.col("pos") < F.lit(max_len - 1)) | last).withColumn(
+        "pos", F.when(last, F.least(n, F.lit(max_len)) - 1).otherwise(F.col("pos")))
+    arr = kept.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("s"))
+    return pad_and_mask(arr.select(id_col, F.col("s.token_id").alias("ids")), max_len, pad_id=pad_id, side=side)
 
 
 def pad_and_mask(seqs: DataFrame, max_len: int, ids_col: str = "ids", pad_id: int = PAD_ID,

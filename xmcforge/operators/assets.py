@@ -21,8 +21,17 @@ def left_join_assets(owners: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def urls_per_owner(urls: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """Ordered URL list per owner (order by the explicit ``ord`` column)."""
-    agg = urls.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct(ord_col, "url"))).alias("s"))
+    """Each owner's URLs in ``ord`` order as a long-form list (owner_id, pos, url).
+
+    Positions come from the per-owner distributed rank, so an owner with a huge share of
+    all URLs spans many tasks; ``as_lists`` builds arrays when owners are known to be small."""
+    r = dist_rank(urls.select("owner_id", ord_col, "url"), [ord_col], rank_col="_r", partition_by=["owner_id"])
+    return r.select("owner_id", (F.col("_r") - 1).alias("pos"), "url")
+
+
+def as_lists(long_urls: DataFrame) -> DataFrame:
+    """(owner_id, urls array<string>) from the long form."""
+    agg = long_urls.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("pos", "url"))).alias("s"))
     return agg.select("owner_id", F.col("s.url").alias("urls"))
 
 

@@ -35,14 +35,24 @@ def _seed_centroids(items: DataFrame, seed: int, level: int) -> DataFrame:
     return k.groupBy("node").agg(F.min_by("v", "_k").alias("c0"), F.max_by("v", "_k").alias("c1"))
 
 
-def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1) -> DataFrame:
+CENTROID_BROADCAST_BYTES = 64 << 20
+
+
+def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1, dim: int | None = None) -> DataFrame:
     """Split every node of ``items`` (item_id, node, v unit vector) in two halves.
 
-    Returns (item_id, node, v, side) with side 0 = left."""
+    Returns (item_id, node, v, side) with side 0 = left.  A level has at most 2^level nodes,
+    so the centroid table has a proven size (2^level x 2 x dim doubles): it is broadcast
+    under 64 MiB (level 0 is one node: a shuffle join on that key would put every item in
+    one task), otherwise joined by node (nodes are then many and equal in size)."""
     cents = _seed_centroids(items, seed, level)
+    if dim is None:
+        dim = int(items.select(F.max(F.size("v"))).first()[0] or 1)
+    small = (2 ** level) * 2 * dim * 8 <= CENTROID_BROADCAST_BYTES
     cur = None
     for r in range(max(rounds, 1)):
-        scored = (items.join(cents, "node")
+        side_table = F.broadcast(cents) if small else cents
+        scored = (items.join(side_table, "node")
                   .withColumn("delta", F.round(V.dot("v", "c0") - V.dot("v", "c1"), 9))
                   .drop("c0", "c1"))
         ranked = dist_rank(scored, [F.col("delta").desc(), F.col("item_id").asc()], rank_col="_r",
@@ -68,7 +78,8 @@ def balanced_clusters(items: DataFrame, depth: int, seed: int = 0, rounds: int =
                       id_col: str = "item_id", vec_col: str = "embedding") -> DataFrame:
     """2^depth clusters of equal size (+-1); (item_id, cluster_id)."""
     cur = items.select(F.col(id_col).alias("item_id"), root_node(id_col), V.l2_normalize(vec_col).alias("v"))
+    dim = int(items.select(F.max(F.size(vec_col))).first()[0] or 1)
     for level in range(depth):
-        split = balanced_split(cur, seed, level, rounds)
+        split = balanced_split(cur, seed, level, rounds, dim=dim)
         cur = split.select("item_id", (F.col("node") * 2 + F.col("side")).alias("node"), "v")
     return cur.select(F.col("item_id").alias(id_col), F.col("node").alias("cluster_id"))

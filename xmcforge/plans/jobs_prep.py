@@ -224,11 +224,9 @@ with s as ({TOKEN_IDS_SQL})
 select row_id, cast(p as bigint) as pos, ids[p + 1] as token_id from s, (select unnest(range(0, 100000)) as p) r
 where p < len(ids)""")
 def tokenize_ids(t):
-    """Every document's full token id sequence with BOS/EOS, exploded to (row_id, pos, token_id)."""
+    """Every document's full token id sequence with BOS/EOS, long form (row_id, pos, token_id)."""
     corpus = fx.doc_text(t)
-    seqs = TX.tokenize(corpus, TX.build_vocab(corpus))
-    return seqs.select("row_id", F.posexplode("ids").alias("pos", "token_id")).select(
-        "row_id", F.col("pos").cast("long"), "token_id")
+    return TX.id_sequence(corpus, TX.build_vocab(corpus)).select("row_id", "pos", "token_id")
 
 
 PAD_SQL = f"""
@@ -244,7 +242,7 @@ from c, (select unnest(range(0, {MAX_LEN})) as p) r"""
 def pad_and_mask(t):
     """Truncate to 32 (EOS kept), right pad, attention mask; long form."""
     corpus = fx.doc_text(t)
-    padded = TX.pad_and_mask(TX.tokenize(corpus, TX.build_vocab(corpus)), MAX_LEN)
+    padded = TX.pad_and_mask_long(TX.id_sequence(corpus, TX.build_vocab(corpus)), MAX_LEN)
     z = F.arrays_zip("input_ids", "attention_mask")
     return padded.select("row_id", F.posexplode(z).alias("pos", "z")).select(
         "row_id", F.col("pos").cast("long"), F.col("z.input_ids").alias("input_id"),
@@ -253,7 +251,7 @@ def pad_and_mask(t):
 
 def _label_sequences(t):
     corpus = TX.compose_text(fx.label_text(t), ["title"])
-    return TX.pad_and_mask(TX.tokenize(corpus, TX.build_vocab(corpus)), LABEL_MAX_LEN)
+    return TX.pad_and_mask_long(TX.id_sequence(corpus, TX.build_vocab(corpus)), LABEL_MAX_LEN)
 
 
 ASSEMBLE_SQL = f"""
@@ -337,10 +335,10 @@ def valid_url_filter(t):
     return AS.valid_url_filter(fx.urls(t))
 
 
-@job("urls_per_owner", oracle="select owner_id, string_agg(url, ' ' order by ord) as urls from fx_url group by owner_id")
+@job("urls_per_owner", oracle="select owner_id, row_number() over (partition by owner_id order by ord) - 1 as pos, url from fx_url")
 def urls_per_owner(t):
-    """Ordered URL list per owner (joined by spaces for comparison)."""
-    return AS.urls_per_owner(fx.urls(t)).select("owner_id", F.array_join("urls", " ").alias("urls"))
+    """Each owner's URLs as an ordered list in long form (owner_id, pos, url)."""
+    return AS.urls_per_owner(fx.urls(t))
 
 
 @job("asset_slot_number", oracle="""
