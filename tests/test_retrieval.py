@@ -73,7 +73,7 @@ def test_plan_is_blocked_and_limited(spark, data):
     df = R.ova_topk(_vecs(spark, range(len(q)), q, "q_id"), _vecs(spark, range(len(lab)), lab, "label_id"), 5,
                     blocks=(2, 2))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapCoGroupsInPandas" in plan
+    assert "FlatMapCoGroupsIn" in plan
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 

@@ -2,7 +2,7 @@
 
 Every query is scored against every label, but pairs never exist as rows: queries and
 labels are hashed into blocks, each side is replicated onto the (query block, label block)
-grid with ``explode(sequence)``, and ``cogroup().applyInPandas`` multiplies the two dense
+grid with ``explode(sequence)``, and ``cogroup().applyInArrow`` multiplies the two dense
 blocks and keeps only each query's best candidates.  A native ``row_number`` window
 (planned as ``WindowGroupLimit``) merges the per-block lists.  Block sizes are bounded by
 ``block_bytes``, so no task ever holds more than two blocks, whatever the table sizes.
@@ -34,12 +34,6 @@ MIN_BLOCK_ROWS = 256             # do not split blocks finer than this to gain p
 _EXCLUDED_KEY = np.iinfo(np.int64).max
 
 
-def _stack(col: pd.Series) -> np.ndarray:
-    if len(col) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
-
-
 def _normalize_rows(m: np.ndarray) -> np.ndarray:
     n = np.sqrt((m * m).sum(axis=1, keepdims=True))
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -100,21 +94,43 @@ def block_topk(q_ids: np.ndarray, qmat: np.ndarray, l_ids: np.ndarray, lmat: np.
     return tuple(np.concatenate([o[i] for o in outs]) for i in range(4))
 
 
+def _matrix(col) -> np.ndarray:
+    """A (rows x dim) float64 matrix from an Arrow list column without per-row Python objects."""
+    arr = col.combine_chunks() if hasattr(col, "combine_chunks") else col
+    n = len(arr)
+    if n == 0:
+        return np.zeros((0, 0))
+    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if flat.size % n:
+        raise ValueError("embeddings in one block must all have the same width")
+    return flat.reshape(n, flat.size // n)
+
+
+def _empty_candidates():
+    import pyarrow as pa
+    return pa.table({"q_id": pa.array([], pa.int64()), "label_id": pa.array([], pa.int64()),
+                     "score": pa.array([], pa.float64()), "excluded": pa.array([], pa.bool_())})
+
+
 def _scorer(k: int, normalize: bool, drop_excluded: bool, digits: int):
-    def score(qdf: pd.DataFrame, ldf: pd.DataFrame) -> pd.DataFrame:
-        is_ex = qdf["is_ex"].to_numpy(bool)
-        qrows = qdf[~is_ex]
-        if qrows.empty or ldf.empty:
-            return pd.DataFrame({"q_id": pd.Series([], dtype="int64"), "label_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64"), "excluded": pd.Series([], dtype="bool")})
-        xrows = qdf[is_ex]
-        qm, lm = _stack(qrows["qv"]), _stack(ldf["lv"])
+    """Arrow cogroup function: (query side, label side) tables -> candidate table."""
+    import pyarrow as pa
+
+    def score(qt, lt):
+        if qt.num_rows == 0 or lt.num_rows == 0:
+            return _empty_candidates()
+        is_ex = qt.column("is_ex").to_numpy(zero_copy_only=False).astype(bool)
+        qrows, xrows = qt.filter(pa.array(~is_ex)), qt.filter(pa.array(is_ex))
+        if qrows.num_rows == 0:
+            return _empty_candidates()
+        qm, lm = _matrix(qrows.column("qv")), _matrix(lt.column("lv"))
         if normalize:
             qm, lm = _normalize_rows(qm), _normalize_rows(lm)
-        q, lab, s, x = block_topk(qrows["q_id"].to_numpy(np.int64), qm, ldf["label_id"].to_numpy(np.int64), lm, k,
-                                  xrows["q_id"].to_numpy(np.int64), xrows["x_label"].to_numpy(np.int64),
-                                  drop_excluded, digits)
-        return pd.DataFrame({"q_id": q, "label_id": lab, "score": s, "excluded": x})
+        q, lab, sc, x = block_topk(qrows.column("q_id").to_numpy(), qm, lt.column("label_id").to_numpy(), lm, k,
+                                   xrows.column("q_id").to_numpy(), xrows.column("x_label").to_numpy(),
+                                   drop_excluded, digits)
+        return pa.table({"q_id": pa.array(q, pa.int64()), "label_id": pa.array(lab, pa.int64()),
+                         "score": pa.array(sc, pa.float64()), "excluded": pa.array(x, pa.bool_())})
     return score
 
 
@@ -172,7 +188,7 @@ def candidates(queries: DataFrame, labels: DataFrame, *, q_col: str = "q_id", l_
     lx = (lab.withColumn("lb", F.pmod(F.xxhash64("label_id"), F.lit(n_lb)))
              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)).cast("array<long>"))))
     return (qx.groupBy("qb", "lb").cogroup(lx.groupBy("qb", "lb"))
-              .applyInPandas(_scorer(k, normalize, drop_excluded, digits), CAND_SCHEMA))
+              .applyInArrow(_scorer(k, normalize, drop_excluded, digits), CAND_SCHEMA))
 
 
 def _window():
