@@ -26,7 +26,7 @@ with top as ({top_sql}),
 sm as (select q_id, kind_code, cand_id, exp((score - max(score) over (partition by q_id)) / {RAI_TAU}) as e from top),
 p as (select q_id, kind_code, cand_id, e / sum(e) over (partition by q_id) as p from sm),
 vm as ({_VM_SQL})
-select p.q_id, vm.label_id, round(sum(p.p * vm.value), 9) as score
+select p.q_id, vm.label_id, round(sum(p.p * vm.value), 8) as score
 from p join vm on vm.kind_code = p.kind_code and vm.row_id = p.cand_id group by p.q_id, vm.label_id"""
 
 
@@ -61,11 +61,11 @@ def value_matrix_union(t):
 @job("softmax_temperature", oracle=f"""
 with top as ({O.topk_sql(K)}),
 sm as (select q_id, label_id, exp((score - max(score) over (partition by q_id)) / {RAI_TAU}) as e from top)
-select q_id, label_id, round(e / sum(e) over (partition by q_id), 9) as p from sm""")
+select q_id, label_id, round(e / sum(e) over (partition by q_id), 8) as p from sm""")
 def softmax_temperature(t):
     """P10: softmax with temperature over each query's top-10 scores."""
     top = R.ova_topk(fx.queries(t), fx.labels(t), K)
-    return FU.softmax_temperature(top, RAI_TAU).select("q_id", "label_id", F.round("p", 9).alias("p"))
+    return FU.softmax_temperature(top, RAI_TAU).select("q_id", "label_id", F.round("p", 8).alias("p"))
 
 
 @job("rai_joint", oracle=_fuse_sql(_cand_top_sql(RAI_K, "both")))
@@ -73,7 +73,7 @@ def rai_joint(t):
     """Joint top-500 over labels and training queries, softmax (tau 0.05), fusion (lambda 0.1)."""
     out = FU.rai_joint(fx.queries(t), fx.labels(t), fx.train_queries(t), fx.train_xy(t),
                        k=RAI_K, tau=RAI_TAU, lam=RAI_LAMBDA)
-    return out.select("q_id", "label_id", F.round("score", 9).alias("score"))
+    return out.select("q_id", "label_id", F.round("score", 8).alias("score"))
 
 
 @job("rai_split", oracle=_fuse_sql(f"{_cand_top_sql(RAI_K, 'label')} union all {_cand_top_sql(RAI_QUERY_K, 'query')}"))
@@ -81,7 +81,7 @@ def rai_split(t):
     """Top-500 labels and top-50 training queries, shared softmax, fusion."""
     out = FU.rai_split(fx.queries(t), fx.labels(t), fx.train_queries(t), fx.train_xy(t),
                        k_labels=RAI_K, k_queries=RAI_QUERY_K, tau=RAI_TAU, lam=RAI_LAMBDA)
-    return out.select("q_id", "label_id", F.round("score", 9).alias("score"))
+    return out.select("q_id", "label_id", F.round("score", 8).alias("score"))
 
 
 @job("predictions_fixed_width", oracle=f"""

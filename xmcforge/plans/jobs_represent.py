@@ -158,7 +158,7 @@ def latest_embedding(t):
 
 
 EMA_SQL = f"""
-select key, round(sum({1 - EMA_W} * pow({EMA_W}, n - i) * value), 9) as ema, max(n) as n_obs from (
+select key, round(sum({1 - EMA_W} * pow({EMA_W}, n - i) * value), 6) as ema, max(n) as n_obs from (
   select key, value, row_number() over (partition by key order by step, id) as i, count(*) over (partition by key) as n
   from fx_obs) group by key"""
 
@@ -167,7 +167,7 @@ select key, round(sum({1 - EMA_W} * pow({EMA_W}, n - i) * value), 9) as ema, max
 def ema_centroid(t):
     """EMA (w = 0.95) of each key's values in (step, id) order, from zero."""
     e = RP.ema(fx.observations(t), EMA_W)
-    return e.select("key", F.round("ema", 9).alias("ema"), "n_obs")
+    return e.select("key", F.round("ema", 6).alias("ema"), "n_obs")
 
 
 def _proj_sql() -> str:

@@ -39,7 +39,7 @@ def stream_ema(t):
     """ST2: EMA (w = 0.95) per user with applyInPandasWithState on a time-ordered replay."""
     out, ck = _paths(t, "ema")
     res = ST.stream_ema(t.spark, _replay(t), out, ck, EMA_W)
-    return res.select("key", F.round("ema", 9).alias("ema"), "n_obs", "late")
+    return res.select("key", F.round("ema", 6).alias("ema"), "n_obs", "late")
 
 
 @job("stream_label_frequency", oracle=f"""

@@ -19,6 +19,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # pandas 2.x deprecation chatter from PySpark's own Arrow serializer in Python workers
+    "spark.executorEnv.PYTHONWARNINGS": "ignore::FutureWarning",
 }
 
 

@@ -37,15 +37,23 @@ def _micros(c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def stage_replay(obs: DataFrame, path: str, order_col: str = "step", n_chunks: int = 4) -> None:
-    """Write observations as ``n_chunks`` files in time order, one write after another so
-    file modification times follow the data (a replay fixture for the file source)."""
-    bounds = obs.select(F.min(_micros(order_col)).alias("lo"), F.max(_micros(order_col)).alias("hi")).first()
-    lo, hi = int(bounds["lo"]), int(bounds["hi"]) + 1
-    width = max(1, math.ceil((hi - lo) / n_chunks))
-    for i in range(n_chunks):
+REPLAY_ROWS_PER_FILE = 1_000_000
+
+
+def stage_replay(obs: DataFrame, path: str, order_col: str = "step", min_files: int = 4,
+                 rows_per_file: int = REPLAY_ROWS_PER_FILE) -> None:
+    """Write observations as time-ordered files, one write after another so file
+    modification times follow the data (a replay fixture for the file source, which hands
+    files to micro-batches oldest first).  Each file holds one time slice of at most about
+    ``rows_per_file`` rows, so the number of slices grows with the data."""
+    stats = obs.select(F.min(_micros(order_col)).alias("lo"), F.max(_micros(order_col)).alias("hi"),
+                       F.count(F.lit(1)).alias("n")).first()
+    lo, hi, n = int(stats["lo"]), int(stats["hi"]) + 1, int(stats["n"])
+    n_files = max(min_files, math.ceil(n / rows_per_file))
+    width = max(1, math.ceil((hi - lo) / n_files))
+    for i in range(n_files):
         part = obs.where((_micros(order_col) >= lo + i * width) & (_micros(order_col) < lo + (i + 1) * width))
-        part.repartition(1).write.mode("append").parquet(path)
+        part.coalesce(1).write.mode("append").parquet(path)
 
 
 def _log_sink(out_path: str):
@@ -92,7 +100,9 @@ def _ema_update(w: float):
             ema, n, last_step, last_id = state.get
         else:
             ema, n, last_step, last_id = 0.0, 0, None, None
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["step_us", "id"])
+        frames = [p for p in pdfs if len(p)]
+        rows = (pd.concat(frames, ignore_index=True) if frames else
+                pd.DataFrame({"step_us": [], "id": [], "value": []})).sort_values(["step_us", "id"])
         if last_step is not None:
             newer = (rows["step_us"] > last_step) | ((rows["step_us"] == last_step) & (rows["id"] > last_id))
         else:
