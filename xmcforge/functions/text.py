@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from xmcforge.plans.partitioning import spread_if_small
 from xmcforge.plans.ranking import dist_rank
 
 # Fixed special token ids (our own vocabulary layout).
@@ -52,7 +53,7 @@ def tokens(text: str | Column) -> Column:
 
 def build_vocab(corpus: DataFrame, text_col: str = "text", min_count: int = 1) -> DataFrame:
     """(token, count, token_id) ranked by (count desc, token); ids start after specials."""
-    counts = (corpus.select(F.explode(tokens(text_col)).alias("token"))
+    counts = (spread_if_small(corpus.select(text_col)).select(F.explode(tokens(text_col)).alias("token"))
                     .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
                     .where(F.col("count") >= min_count))
     ranked = dist_rank(counts, [F.col("count").desc(), F.col("token").asc()], rank_col="r")
@@ -78,17 +79,17 @@ def token_positions(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id",
 def id_sequence(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """P03 in long form: (row_id, pos, token_id, n_ids) with BOS at 0, the whole text's tokens
     at 1..n and EOS at n + 1; ``n_ids`` = n + 2.  No regrouping: a document's rows come from one
-    ``posexplode`` and its length from ``size`` of the same token array, so even a document
-    holding a large share of the corpus is never gathered into one value."""
-    toks = corpus.select(id_col, tokens(text_col).alias("_t"))
-    toks = toks.select(id_col, (F.size("_t") + 2).cast("long").alias("n_ids"), "_t")
-    body = (toks.select(id_col, "n_ids", F.posexplode("_t").alias("pos", "token"))
-                .join(_vocab_side(vocab), "token", "left")
-                .select(id_col, (F.col("pos") + 1).cast("long").alias("pos"),
-                        F.coalesce("token_id", F.lit(UNK_ID).cast("long")).alias("token_id"), "n_ids"))
-    bos = toks.select(id_col, F.lit(0).cast("long").alias("pos"), F.lit(BOS_ID).cast("long").alias("token_id"), "n_ids")
-    eos = toks.select(id_col, (F.col("n_ids") - 1).alias("pos"), F.lit(EOS_ID).cast("long").alias("token_id"), "n_ids")
-    return bos.unionByName(body).unionByName(eos)
+    ``posexplode`` (of its token array framed by two null slots for BOS/EOS) and its length from
+    ``size`` of the same array, so the text is tokenized once and even a document holding a
+    large share of the corpus is never gathered into one value."""
+    framed = F.concat(F.array(F.lit(None).cast("string")), tokens(text_col), F.array(F.lit(None).cast("string")))
+    rows = (spread_if_small(corpus.select(id_col, text_col)).select(id_col, framed.alias("_t"))
+                  .select(id_col, F.size("_t").cast("long").alias("n_ids"), F.posexplode("_t").alias("pos", "token")))
+    tid = (F.when(F.col("pos") == 0, F.lit(BOS_ID))
+             .when(F.col("pos") == F.col("n_ids") - 1, F.lit(EOS_ID))
+             .otherwise(F.coalesce("token_id", F.lit(UNK_ID))).cast("long"))
+    return (rows.join(_vocab_side(vocab), "token", "left")
+                .select(id_col, F.col("pos").cast("long").alias("pos"), tid.alias("token_id"), "n_ids"))
 
 
 def tokenize(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id", text_col: str = "text",
