@@ -65,3 +65,19 @@ def test_asset_table_resume(spark):
     assert t.owner_id.tolist() == [2, 3] and t.asset_id.tolist() == [10, 11]
     assert IO.decode_payload(IO.build_asset_table(blobs)).select("bytes").toPandas().bytes.map(bytes).tolist() == \
         [b"x", b"y", b"z", b"w"]
+
+
+def test_line_numbers_across_many_splits(spark, tmp_path):
+    lines = [("" if i % 17 == 0 else f"line {i} " + "x" * (i % 50)) for i in range(20000)]
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        got = IO.read_lines(spark, str(tmp_path), encoding="UTF-8")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        pdf = got.toPandas().sort_values("row_id")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert pdf.row_id.tolist() == list(range(40000))
+    assert pdf.text.tolist() == [t.strip() for t in lines] * 2

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,20 +27,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 # ------------------------------------------------------------------ raw text lines
 
+# Broadcast the per-split line counts below this many splits (a few dozen bytes each).
+SPLIT_TABLE_BROADCAST_ROWS = 2_000_000
+
+
 def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", strip: bool = True,
                line_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """One record per line, blank lines kept; ``row_id`` = 0-based line number.
 
     The text source hands raw bytes through, so ``decode(binary, encoding)`` applies the
-    charset (the reference reads Latin-1); ``strip`` matches Python's ``str.strip``."""
+    charset (the reference reads Latin-1); ``strip`` matches Python's ``str.strip``.
+
+    Line numbers need no shuffle of the text: every line belongs to exactly one input split
+    (file, split start), is read in file order inside it, and the scan's split layout is fixed
+    by the file listing, so ``monotonically_increasing_id`` minus the split's first id is the
+    position inside the split.  A light pass counts lines per split; their prefix sums in
+    (file, start) order (a table with one row per split) are joined back."""
     raw = spark.read.text(path)
     text = F.decode(F.col("value").cast("binary"), encoding)
     if strip:
         text = py_strip(text)
     keyed = raw.select(F.input_file_name().alias("_f"), F.input_file_block_start().alias("_b"),
                        F.monotonically_increasing_id().alias("_m"), text.alias(text_col))
-    ranked = dist_rank(keyed, ["_f", "_b", "_m"], rank_col="_r")
-    return ranked.select((F.col("_r") - 1).alias(line_col), text_col)
+    splits = keyed.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    if offsets.count() <= SPLIT_TABLE_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    return (keyed.join(offsets, ["_f", "_b"])
+                 .select((F.col("_off") + F.col("_m") - F.col("_m0")).cast("long").alias(line_col), text_col))
 
 
 def write_lines(df: DataFrame, path: str, order_col: str, text_col: str = "text", encoding: str = "UTF-8",
