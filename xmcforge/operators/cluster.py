@@ -7,7 +7,8 @@ rounds (the first uses the seeds, later ones the half means), and cuts each node
 median of delta = sim(x, c_left) - sim(x, c_right): the first floor(n/2) members by
 (delta desc, item id) go left.  Sizes therefore differ by at most one at every level.
 The rank inside a node is the distributed rank restarted per node (level 0 is one node
-holding everything), and it checkpoints, which also cuts the lineage of each round.
+holding everything); only (item, node, delta) are ranked, and the item table with its
+vectors is checkpointed once per level.
 """
 
 from __future__ import annotations
@@ -49,24 +50,25 @@ def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1, dim
     if dim is None:
         dim = int(items.select(F.max(F.size("v"))).first()[0] or 1)
     small = (2 ** level) * 2 * dim * 8 <= CENTROID_BROADCAST_BYTES
-    cur = None
+    sizes = items.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+    side = None
     for r in range(max(rounds, 1)):
         side_table = F.broadcast(cents) if small else cents
+        # only (item, node, delta) go through the rank (and its checkpoint); vectors stay put
         scored = (items.join(side_table, "node")
-                  .withColumn("delta", F.round(V.dot("v", "c0") - V.dot("v", "c1"), 9))
-                  .drop("c0", "c1"))
+                  .select("item_id", "node", F.round(V.dot("v", "c0") - V.dot("v", "c1"), 9).alias("delta")))
         ranked = dist_rank(scored, [F.col("delta").desc(), F.col("item_id").asc()], rank_col="_r",
                            partition_by=["node"])
-        sizes = items.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
-        cur = (ranked.join(sizes, "node")
-                     .withColumn("side", F.when(F.col("_r") <= F.floor(F.col("_n") / 2), 0).otherwise(1).cast("long"))
-                     .select("item_id", "node", "v", "side"))
+        side = (ranked.join(sizes, "node")
+                      .select("item_id", F.when(F.col("_r") <= F.floor(F.col("_n") / 2), 0).otherwise(1)
+                              .cast("long").alias("side")))
         if r + 1 < rounds:
-            halves = vector_mean(cur.withColumnRenamed("v", "embedding"), ["node", "side"], "embedding")
+            halves = vector_mean(items.join(side, "item_id").withColumnRenamed("v", "embedding"),
+                                 ["node", "side"], "embedding")
             cents = halves.groupBy("node").agg(
                 F.max(F.when(F.col("side") == 0, F.col("embedding"))).alias("c0"),
                 F.max(F.when(F.col("side") == 1, F.col("embedding"))).alias("c1"))
-    return cur
+    return items.join(side, "item_id").select("item_id", "node", "v", "side")
 
 
 def tree_depth(n_items: int, cluster_size: int) -> int:
@@ -81,5 +83,6 @@ def balanced_clusters(items: DataFrame, depth: int, seed: int = 0, rounds: int =
     dim = int(items.select(F.max(F.size(vec_col))).first()[0] or 1)
     for level in range(depth):
         split = balanced_split(cur, seed, level, rounds, dim=dim)
-        cur = split.select("item_id", (F.col("node") * 2 + F.col("side")).alias("node"), "v")
+        # one reliable checkpoint per level cuts the lineage of the vectors
+        cur = split.select("item_id", (F.col("node") * 2 + F.col("side")).alias("node"), "v").checkpoint(eager=True)
     return cur.select(F.col("item_id").alias(id_col), F.col("node").alias("cluster_id"))
