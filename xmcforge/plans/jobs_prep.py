@@ -193,15 +193,28 @@ def asset_table(t):
                         F.octet_length("bytes").cast("long").alias("n_bytes"))
 
 
-@job("metrics_history")
+def _history_sql() -> str:
+    from xmcforge.plans import jobs_core as C
+    from xmcforge.plans import oracle_text as O
+    parts = []
+    for epoch, mode in ((1, "after"), (2, "before")):
+        rep = O.metrics_sql(O.topk_sql(C.K, exclude_view="fx_filter", mode=mode), "fx_truth", "fx_query", C.KS,
+                            metrics=["P"])
+        cols = ", ".join(f'max(case when k = {k} then value end) as "P@{k}"' for k in C.KS)
+        parts.append(f"select {epoch}::bigint as epoch, {cols} from ({rep})")
+    return " union all ".join(parts)
+
+
+@job("metrics_history", oracle=_history_sql())
 def metrics_history(t):
-    """Two evaluation rounds appended to a history table, read back wide (P@k columns)."""
+    """Two evaluation rounds (filter after / before top-k) appended to a history table,
+    read back wide with one P@k column per cut-off."""
     from xmcforge.plans import jobs_core as C
     path = IO.scratch_path(t.spark, "metrics_history")
     for epoch, mode in ((1, "after"), (2, "before")):
         rep = C.M.metrics_report(C.predictions(t, C.K, mode), fx.truth(t), fx.queries(t), C.KS)
         IO.append_metrics(rep, path, epoch)
-    return IO.metrics_wide(t.spark, path, "P")
+    return IO.metrics_wide(t.spark, path, "P", C.KS)
 
 
 # ------------------------------------------------------------------ text

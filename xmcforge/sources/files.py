@@ -211,8 +211,10 @@ def append_metrics(report: DataFrame, path: str, epoch: int) -> None:
     report.select(F.lit(epoch).cast("long").alias("epoch"), "metric", "k", "value").write.mode("append").parquet(path)
 
 
-def metrics_wide(spark: SparkSession, path: str, metric: str = "P") -> DataFrame:
-    """Wide history (epoch, '<metric>@<k>' ...), like the reference CSV."""
+def metrics_wide(spark: SparkSession, path: str, metric: str = "P", ks=None) -> DataFrame:
+    """Wide history (epoch, '<metric>@<k>' ...), like the reference CSV.  Passing ``ks`` fixes
+    the pivot columns up front (no extra job to discover them)."""
     hist = spark.read.parquet(path).where(F.col("metric") == metric)
+    cols = [f"{metric}@{k}" for k in ks] if ks else None
     return (hist.withColumn("col", F.concat(F.lit(f"{metric}@"), F.col("k").cast("string")))
-                .groupBy("epoch").pivot("col").agg(F.first("value")))
+                .groupBy("epoch").pivot("col", cols).agg(F.first("value")))
