@@ -22,6 +22,7 @@ from xmcforge.functions import vectors as V
 from xmcforge.operators.represent import vector_mean
 from xmcforge.operators.sampling import md5_int
 from xmcforge.plans.ranking import dist_rank
+from xmcforge.session import reliable_checkpoint
 
 
 def root_node(id_col: str = "item_id"):
@@ -84,5 +85,5 @@ def balanced_clusters(items: DataFrame, depth: int, seed: int = 0, rounds: int =
     for level in range(depth):
         split = balanced_split(cur, seed, level, rounds, dim=dim)
         # one reliable checkpoint per level cuts the lineage of the vectors
-        cur = split.select("item_id", (F.col("node") * 2 + F.col("side")).alias("node"), "v").checkpoint(eager=True)
+        cur = reliable_checkpoint(split.select("item_id", (F.col("node") * 2 + F.col("side")).alias("node"), "v"))
     return cur.select(F.col("item_id").alias(id_col), F.col("node").alias("cluster_id"))

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from xmcforge.session import reliable_checkpoint
+
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -33,11 +35,10 @@ def dist_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "
     # same exchange can cut different ranges.  Counts and rows must come from one
     # evaluation: the partitioned, sorted, tagged rows are written once to the reliable
     # checkpoint folder (which also survives executor loss) and both branches read it.
-    tagged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    tagged = reliable_checkpoint(df.repartitionByRange(n, *keys)
+                                 .sortWithinPartitions(*keys)
+                                 .withColumn("_pid", F.spark_partition_id())
+                                 .withColumn("_mid", F.monotonically_increasing_id()))
     gcols = ["_pid"] + list(partition_by)
     counts = tagged.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     # Offsets: rows of the same group in earlier partitions. The table has one row per

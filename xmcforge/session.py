@@ -61,3 +61,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.sparkContext.defaultParallelism)
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` into the session's shared checkpoint folder (set from
+    ``spark.checkpoint.dir`` first when the context has none yet)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
