@@ -58,3 +58,10 @@ def test_image_slots_pad_and_owner_without_assets(spark):
     s = AS.image_slots(owners, assets, 3).toPandas().sort_values(["owner_id", "slot"])
     assert s[s.owner_id == 1].asset_id.tolist() == [10, 11, 12] and s[s.owner_id == 1]["mask"].tolist() == [1, 1, 1]
     assert s[s.owner_id == 2].asset_id.tolist() == [-1, -1, -1] and s[s.owner_id == 2]["mask"].tolist() == [0, 0, 0]
+
+
+def test_zero_weight_is_never_drawn(spark):
+    xy = spark.createDataFrame([(d, l) for d in range(200) for l in (0, 1)], "doc_id long, label_id long")
+    w = spark.createDataFrame([(0, 0.0), (1, 2.0)], "label_id long, weight double")
+    s = SA.sample_positive(xy, 3, w).toPandas()
+    assert len(s) == 200 and (s.label_id == 1).all()

@@ -57,7 +57,9 @@ def sample_positive(xy: DataFrame, seed: int, weights: DataFrame | None = None,
         x = x.join(weights.select("label_id", "weight"), "label_id", "left").fillna(1.0, ["weight"])
     else:
         x = x.withColumn("weight", F.lit(1.0))
-    key = -F.log(md5_uniform(row_col, "label_id", F.lit(seed))) / F.col("weight")
+    # a non-positive weight means "never drawn" (infinite key) rather than a division error
+    key = F.when(F.col("weight") > 0, -F.log(md5_uniform(row_col, "label_id", F.lit(seed))) / F.col("weight")) \
+           .otherwise(F.lit(float("inf")))
     return (x.withColumn("_k", key).groupBy(row_col)
              .agg(F.min_by("label_id", F.struct("_k", "label_id")).alias("label_id")))
 
