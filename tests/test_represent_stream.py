@@ -66,3 +66,11 @@ def test_stream_latest_equals_batch(spark, tmp_path):
     s = ST.stream_latest(spark, src, str(tmp_path / "out"), str(tmp_path / "ck")).toPandas()
     b = RP.latest_by_key(spark.createDataFrame(rows, sch)).toPandas()
     assert dict(zip(s.key, s.id)) == dict(zip(b.key, b.id)) == {1: 2, 2: 1, 3: 4}
+
+
+def test_compaction_keeps_latest_rows(spark, tmp_path):
+    log = str(tmp_path / "log")
+    spark.createDataFrame([(1, 10.0, 0), (2, 20.0, 0)], "key long, v double, batch_id long").write.parquet(log)
+    spark.createDataFrame([(1, 11.0, 1)], "key long, v double, batch_id long").write.mode("append").parquet(log)
+    snap = ST.compact_log(spark, log, str(tmp_path / "snap"), ["key"]).toPandas().sort_values("key")
+    assert snap.v.tolist() == [11.0, 20.0] and snap.batch_id.tolist() == [1, 0]

@@ -69,10 +69,19 @@ def _run(stream_df: DataFrame, out_path: str, ckpt: str, mode: str = "update") -
 
 
 def latest_state(spark: SparkSession, out_path: str, key_cols: Sequence[str]) -> DataFrame:
-    """The newest row per key of an update log."""
+    """The newest row per key of an update log (a partially aggregated ``max_by``)."""
     log = spark.read.parquet(out_path)
     vals = [c for c in log.columns if c not in (*key_cols, "batch_id")]
-    return log.groupBy(*key_cols).agg(*[F.max_by(c, "batch_id").alias(c) for c in vals])
+    return log.groupBy(*key_cols).agg(*[F.max_by(c, "batch_id").alias(c) for c in vals],
+                                      F.max("batch_id").alias("batch_id"))
+
+
+def compact_log(spark: SparkSession, out_path: str, snapshot_path: str, key_cols: Sequence[str]) -> DataFrame:
+    """Fold an update log into a snapshot holding one row per key (with the batch id it came
+    from).  A long-running stream keeps appending to a fresh log folder after a compaction,
+    and readers union the snapshot with the newer log before ``max_by``."""
+    latest_state(spark, out_path, key_cols).write.mode("overwrite").parquet(snapshot_path)
+    return spark.read.parquet(snapshot_path)
 
 
 def read_replay(spark: SparkSession, src: str, schema: T.StructType = OBS_SCHEMA, files_per_trigger: int = 1) -> DataFrame:
@@ -85,7 +94,7 @@ def stream_latest(spark: SparkSession, src: str, out_path: str, ckpt: str) -> Da
     o = F.struct("step", "id")
     agg = s.groupBy("key").agg(F.max_by("value", o).alias("value"), F.max(o)["id"].alias("id"))
     _run(agg, out_path, ckpt)
-    return latest_state(spark, out_path, ["key"])
+    return latest_state(spark, out_path, ["key"]).drop("batch_id")
 
 
 EMA_STATE = T.StructType([T.StructField("ema", T.DoubleType()), T.StructField("n", T.LongType()),
@@ -127,7 +136,7 @@ def stream_ema(spark: SparkSession, src: str, out_path: str, ckpt: str, w: float
     out = s.groupBy("key").applyInPandasWithState(_ema_update(w), EMA_OUT, EMA_STATE, "update",
                                                   GroupStateTimeout.NoTimeout)
     _run(out, out_path, ckpt)
-    res = latest_state(spark, out_path, ["key"])
+    res = latest_state(spark, out_path, ["key"]).drop("batch_id")
     # ``late`` is per batch in the log; the total is the sum over the key's batches
     late = spark.read.parquet(out_path).groupBy("key").agg(F.sum("late").cast("long").alias("late"))
     return res.drop("late").join(late, "key")
@@ -139,7 +148,7 @@ def stream_label_frequency(spark: SparkSession, src: str, out_path: str, ckpt: s
     s = read_replay(spark, src)
     counts = s.groupBy("label").agg(F.count(F.lit(1)).alias("freq"))
     _run(counts, out_path, ckpt)
-    cur = latest_state(spark, out_path, ["label"])
+    cur = latest_state(spark, out_path, ["label"]).drop("batch_id")
     n = float(cur.agg(F.sum("freq")).first()[0] or 0)   # one scalar: rows seen so far
     c = (math.log(n) - 1.0) * (B + 1.0) ** A if n > 0 else 0.0
     return cur.select("label", F.col("freq").cast("long"),
