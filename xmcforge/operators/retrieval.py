@@ -187,6 +187,11 @@ def candidates(queries: DataFrame, labels: DataFrame, *, q_col: str = "q_id", l_
         qx = qx.unionByName(ex)
     lx = (lab.withColumn("lb", F.pmod(F.xxhash64("label_id"), F.lit(n_lb)))
              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)).cast("array<long>"))))
+    # One partition per grid cell, fixed explicitly on both sides: the cogroup reuses this
+    # co-partitioning, and AQE does not merge a repartition with an explicit count, so the
+    # CPU-heavy block products keep one task per block pair instead of being coalesced.
+    n_cells = n_qb * n_lb
+    qx, lx = qx.repartition(n_cells, "qb", "lb"), lx.repartition(n_cells, "qb", "lb")
     return (qx.groupBy("qb", "lb").cogroup(lx.groupBy("qb", "lb"))
               .applyInArrow(_scorer(k, normalize, drop_excluded, digits), CAND_SCHEMA))
 
