@@ -50,10 +50,42 @@ def balanced_clusters(t):
     return CL.balanced_clusters(fx.cluster_items(t), depth=2, seed=SEED, rounds=1)
 
 
-@job("balanced_clusters_refined")
+REFINE_ROUNDS, TARGET_SIZE, MAX_ORACLE_DEPTH = 3, 32, 10
+
+
+def _refined_sql(rounds: int = REFINE_ROUNDS, max_depth: int = MAX_ORACLE_DEPTH) -> str:
+    """Every level up to ``max_depth`` as a chain of materialized CTEs; the level used is
+    ceil(log2(n / target size)) computed from the data, like the Spark job."""
+    ctes = [f"lv0 as materialized ({BASE_SQL})"]
+    for lv in range(max_depth):
+        src = f"lv{lv}"
+        ctes.append(f"""c{lv}_0 as materialized (
+  select node, arg_min(v, struct_pack(h := h, i := item_id)) as c0, arg_max(v, struct_pack(h := h, i := item_id)) as c1
+  from (select item_id, node, v, {_u52('item_id', SEED, lv, 'node')} as h from {src}) group by node)""")
+        for r in range(rounds):
+            ctes.append(f"""a{lv}_{r} as materialized (
+  select item_id, node, v, cast(case when rk <= n // 2 then 0 else 1 end as bigint) as side from (
+    select s.item_id, s.node, s.v, count(*) over (partition by s.node) as n,
+           row_number() over (partition by s.node order by
+             round(list_dot_product(s.v, c.c0) - list_dot_product(s.v, c.c1), 9) desc, s.item_id) as rk
+    from {src} s join c{lv}_{r} c on c.node = s.node))""")
+            if r + 1 < rounds:
+                ctes.append(f"""c{lv}_{r + 1} as materialized (
+  select node, max(case when side = 0 then m end) as c0, max(case when side = 1 then m end) as c1 from (
+    select node, side, list(s / w order by dim) as m from (
+      select node, side, dim, sum(x) as s, count(*) as w from (
+        select node, side, unnest(range(1, len(v) + 1)) as dim, unnest(v) as x from a{lv}_{r})
+      group by node, side, dim) group by node, side) group by node)""")
+        ctes.append(f"lv{lv + 1} as materialized (select item_id, node * 2 + side as node, v from a{lv}_{rounds - 1})")
+    levels = " union all ".join(f"select {d} as depth, item_id, node from lv{d}" for d in range(max_depth + 1))
+    depth = (f"(select greatest(0, cast(ceil(log2(count(*) / {float(TARGET_SIZE)})) as bigint)) from fx_cluster)")
+    return "with " + ",\n".join(ctes) + f"\nselect item_id, node as cluster_id from ({levels}) where depth = {depth}"
+
+
+@job("balanced_clusters_refined", oracle=_refined_sql())
 def balanced_clusters_refined(t):
-    """C04 with Lloyd refinement: depth from a target cluster size of 32, 3 rounds per
-    level (rows-only; sizes differ by at most one)."""
+    """C04 with Lloyd refinement: depth from a target cluster size of 32, 3 rounds per level
+    (seeded halves, then half means); sizes differ by at most one."""
     items = fx.cluster_items(t)
     n = items.count()
-    return CL.balanced_clusters(items, depth=CL.tree_depth(n, 32), seed=SEED, rounds=3)
+    return CL.balanced_clusters(items, depth=CL.tree_depth(n, TARGET_SIZE), seed=SEED, rounds=REFINE_ROUNDS)
