@@ -74,3 +74,15 @@ def test_compaction_keeps_latest_rows(spark, tmp_path):
     spark.createDataFrame([(1, 11.0, 1)], "key long, v double, batch_id long").write.mode("append").parquet(log)
     snap = ST.compact_log(spark, log, str(tmp_path / "snap"), ["key"]).toPandas().sort_values("key")
     assert snap.v.tolist() == [11.0, 20.0] and snap.batch_id.tolist() == [1, 0]
+
+
+def test_log_sink_is_idempotent(spark, tmp_path):
+    out = str(tmp_path / "log")
+    sink = ST._log_sink(out)
+    batch = spark.createDataFrame([(1, 1.0), (2, 2.0)], "key long, v double")
+    sink(batch, 0)
+    sink(batch, 0)                       # a retried micro-batch
+    sink(spark.createDataFrame([(1, 5.0)], "key long, v double"), 1)
+    log = spark.read.parquet(out)
+    assert log.count() == 3
+    assert dict(ST.latest_state(spark, out, ["key"]).select("key", "v").toPandas().values.tolist()) == {1: 5.0, 2: 2.0}

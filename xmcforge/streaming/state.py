@@ -7,8 +7,9 @@
   order-dependent).
 * ST3 running label frequency: streaming count per label; propensity is computed at read.
 
-Sinks are update-mode logs written by ``foreachBatch`` (append, tagged with the batch id);
-``latest_state`` reads the newest row per key.  Nothing is collected on the driver.
+Sinks are update-mode logs written by ``foreachBatch`` into one partition per batch id
+(dynamic partition overwrite, so a retried batch replaces itself); ``latest_state`` reads the
+newest row per key.  Nothing is collected on the driver.
 """
 
 from __future__ import annotations
@@ -57,8 +58,13 @@ def stage_replay(obs: DataFrame, path: str, order_col: str = "step", min_files:
 
 
 def _log_sink(out_path: str):
+    """Idempotent ``foreachBatch`` sink: each micro-batch owns the log partition of its id and
+    overwrites only that partition, so a batch re-run after a failure replaces itself instead
+    of appending duplicates (exactly-once log contents)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out_path)
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write
+              .mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy("batch_id").parquet(out_path))
     return write
 
 
