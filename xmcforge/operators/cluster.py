@@ -56,8 +56,8 @@ def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1, dim
     for r in range(max(rounds, 1)):
         side_table = F.broadcast(cents) if small else cents
         # only (item, node, delta) go through the rank (and its checkpoint); vectors stay put
-        scored = (items.join(side_table, "node")
-                  .select("item_id", "node", F.round(V.dot("v", "c0") - V.dot("v", "c1"), 9).alias("delta")))
+        diff = V.dot_difference(items.join(side_table, "node"), "v", "c0", "c1", "d", keep=["item_id", "node"])
+        scored = diff.select("item_id", "node", F.round("d", 9).alias("delta"))
         ranked = dist_rank(scored, [F.col("delta").desc(), F.col("item_id").asc()], rank_col="_r",
                            partition_by=["node"])
         side = (ranked.join(sizes, "node")
