@@ -65,3 +65,13 @@ def test_zero_weight_is_never_drawn(spark):
     w = spark.createDataFrame([(0, 0.0), (1, 2.0)], "label_id long, weight double")
     s = SA.sample_positive(xy, 3, w).toPandas()
     assert len(s) == 200 and (s.label_id == 1).all()
+
+
+def test_cluster_assignment_paths_agree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(300)]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    native = CL.balanced_clusters(items, depth=2, seed=3, rounds=2).toPandas().sort_values("item_id")
+    monkeypatch.setattr(CL, "ARROW_DOT_MIN_ELEMENTS", 0)
+    arrow = CL.balanced_clusters(items, depth=2, seed=3, rounds=2).toPandas().sort_values("item_id")
+    assert native.cluster_id.tolist() == arrow.cluster_id.tolist()

@@ -38,9 +38,11 @@ def _seed_centroids(items: DataFrame, seed: int, level: int) -> DataFrame:
 
 
 CENTROID_BROADCAST_BYTES = 64 << 20
+ARROW_DOT_MIN_ELEMENTS = 10_000_000   # items x dim above which the assignment runs vectorized
 
 
-def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1, dim: int | None = None) -> DataFrame:
+def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1, dim: int | None = None,
+                   n_items: int | None = None) -> DataFrame:
     """Split every node of ``items`` (item_id, node, v unit vector) in two halves.
 
     Returns (item_id, node, v, side) with side 0 = left.  A level has at most 2^level nodes,
@@ -48,16 +50,22 @@ def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1, dim
     under 64 MiB (level 0 is one node: a shuffle join on that key would put every item in
     one task), otherwise joined by node (nodes are then many and equal in size)."""
     cents = _seed_centroids(items, seed, level)
-    if dim is None:
-        dim = int(items.select(F.max(F.size("v"))).first()[0] or 1)
+    if dim is None or n_items is None:
+        row = items.select(F.max(F.size("v")), F.count(F.lit(1))).first()
+        dim, n_items = int(row[0] or 1), int(row[1])
     small = (2 ** level) * 2 * dim * 8 <= CENTROID_BROADCAST_BYTES
     sizes = items.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
     side = None
     for r in range(max(rounds, 1)):
         side_table = F.broadcast(cents) if small else cents
         # only (item, node, delta) go through the rank (and its checkpoint); vectors stay put
-        diff = V.dot_difference(items.join(side_table, "node"), "v", "c0", "c1", "d", keep=["item_id", "node"])
-        scored = diff.select("item_id", "node", F.round("d", 9).alias("delta"))
+        joined = items.join(side_table, "node")
+        if n_items is not None and n_items * dim < ARROW_DOT_MIN_ELEMENTS:
+            # small tables: the native fold avoids a Python worker round trip
+            scored = joined.select("item_id", "node", F.round(V.dot("v", "c0") - V.dot("v", "c1"), 9).alias("delta"))
+        else:  # same left-to-right sums, vectorized over Arrow batches
+            diff = V.dot_difference(joined, "v", "c0", "c1", "d", keep=["item_id", "node"])
+            scored = diff.select("item_id", "node", F.round("d", 9).alias("delta"))
         ranked = dist_rank(scored, [F.col("delta").desc(), F.col("item_id").asc()], rank_col="_r",
                            partition_by=["node"])
         side = (ranked.join(sizes, "node")
@@ -81,9 +89,10 @@ def balanced_clusters(items: DataFrame, depth: int, seed: int = 0, rounds: int =
                       id_col: str = "item_id", vec_col: str = "embedding") -> DataFrame:
     """2^depth clusters of equal size (+-1); (item_id, cluster_id)."""
     cur = items.select(F.col(id_col).alias("item_id"), root_node(id_col), V.l2_normalize(vec_col).alias("v"))
-    dim = int(items.select(F.max(F.size(vec_col))).first()[0] or 1)
+    row = items.select(F.max(F.size(vec_col)), F.count(F.lit(1))).first()
+    dim, n_items = int(row[0] or 1), int(row[1])
     for level in range(depth):
-        split = balanced_split(cur, seed, level, rounds, dim=dim)
+        split = balanced_split(cur, seed, level, rounds, dim=dim, n_items=n_items)
         # one reliable checkpoint per level cuts the lineage of the vectors
         cur = reliable_checkpoint(split.select("item_id", (F.col("node") * 2 + F.col("side")).alias("node"), "v"))
     return cur.select(F.col("item_id").alias(id_col), F.col("node").alias("cluster_id"))
