@@ -53,7 +53,7 @@ def tokens(text: str | Column) -> Column:
 
 def build_vocab(corpus: DataFrame, text_col: str = "text", min_count: int = 1) -> DataFrame:
     """(token, count, token_id) ranked by (count desc, token); ids start after specials."""
-    counts = (spread_if_small(corpus.select(text_col)).select(F.explode(tokens(text_col)).alias("token"))
+    counts = (spread_if_small(corpus.select(text_col), key=text_col).select(F.explode(tokens(text_col)).alias("token"))
                     .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
                     .where(F.col("count") >= min_count))
     ranked = dist_rank(counts, [F.col("count").desc(), F.col("token").asc()], rank_col="r")
@@ -83,7 +83,7 @@ def id_sequence(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id", tex
     ``size`` of the same array, so the text is tokenized once and even a document holding a
     large share of the corpus is never gathered into one value."""
     framed = F.concat(F.array(F.lit(None).cast("string")), tokens(text_col), F.array(F.lit(None).cast("string")))
-    rows = (spread_if_small(corpus.select(id_col, text_col)).select(id_col, framed.alias("_t"))
+    rows = (spread_if_small(corpus.select(id_col, text_col), key=id_col).select(id_col, framed.alias("_t"))
                   .select(id_col, F.size("_t").cast("long").alias("n_ids"), F.posexplode("_t").alias("pos", "token")))
     tid = (F.when(F.col("pos") == 0, F.lit(BOS_ID))
              .when(F.col("pos") == F.col("n_ids") - 1, F.lit(EOS_ID))

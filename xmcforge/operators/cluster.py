@@ -91,7 +91,7 @@ def balanced_clusters(items: DataFrame, depth: int, seed: int = 0, rounds: int =
     from xmcforge.plans.partitioning import spread_if_small
     # level 0 is read by several branches (seeds, sizes, scoring, join back): normalise once,
     # spread over the cores, and pin it like every later level
-    cur = reliable_checkpoint(spread_if_small(items.select(id_col, vec_col)).select(
+    cur = reliable_checkpoint(spread_if_small(items.select(id_col, vec_col), key=id_col).select(
         F.col(id_col).alias("item_id"), root_node(id_col), V.l2_normalize(vec_col).alias("v")))
     row = items.select(F.max(F.size(vec_col)), F.count(F.lit(1))).first()
     dim, n_items = int(row[0] or 1), int(row[1])

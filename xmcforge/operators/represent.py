@@ -212,7 +212,7 @@ def hashed_bag_native(df: DataFrame, dim: int = 64, id_col: str = "row_id", text
     from xmcforge.functions.text import tokens
     from xmcforge.operators.sampling import md5_int
     from xmcforge.plans.partitioning import spread_if_small
-    t = spread_if_small(df.select(id_col, text_col)).select(id_col, F.explode(tokens(text_col)).alias("tok"))
+    t = spread_if_small(df.select(id_col, text_col), key=id_col).select(id_col, F.explode(tokens(text_col)).alias("tok"))
     counts = (t.select(id_col, (md5_int("tok") % F.lit(dim)).alias("dim"))
                .groupBy(id_col, "dim").agg(F.count(F.lit(1)).cast("double").alias("c")))
     n = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))

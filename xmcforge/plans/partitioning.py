@@ -34,9 +34,10 @@ def input_bytes(df: DataFrame, threshold: int = SPREAD_BELOW_BYTES) -> int:
     return total
 
 
-def spread_if_small(df: DataFrame, threshold: int = SPREAD_BELOW_BYTES) -> DataFrame:
-    """Round-robin ``df`` over ``defaultParallelism`` partitions when its input is small."""
+def spread_if_small(df: DataFrame, key: str | None = None, threshold: int = SPREAD_BELOW_BYTES) -> DataFrame:
+    """Spread ``df`` over ``defaultParallelism`` partitions when its input is small: hashed on
+    ``key`` (deterministic, no pre-sort) or round-robin when no key is given."""
     par = int(df.sparkSession.sparkContext.defaultParallelism)
     if input_bytes(df, threshold) < threshold:
-        return df.repartition(par)
+        return df.repartition(par, key) if key else df.repartition(par)
     return df

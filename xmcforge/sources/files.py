@@ -95,7 +95,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CORPUS_SCH
     from xmcforge.plans.partitioning import spread_if_small
     raw = read_lines(spark, path, encoding="UTF-8", strip=False, line_col="row_id", text_col="_json")
     # a gzip file is one split: spread a small input before parsing so parsing uses every core
-    parsed = spread_if_small(raw).select("row_id", F.from_json("_json", schema).alias("j")).select("row_id", "j.*")
+    parsed = spread_if_small(raw, key="row_id").select("row_id", F.from_json("_json", schema).alias("j")).select("row_id", "j.*")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return parsed.repartition(n, "row_id")
 
