@@ -12,8 +12,9 @@ from xmcforge.plans import fixtures as fx
 from xmcforge.plans import oracle_text as O
 from xmcforge.plans.registry import job
 
-K = 10
-KS = (1, 3, 5, 10)
+K = 10                 # retrieval depth of the fixture jobs
+KS = (1, 3, 5, 10)     # reported cut-offs
+# Propensity constants A, B of the dataset default (the CLI default is 0.6, 2.6).
 A, B = 0.55, 1.5
 N_TRAIN_SQL = "select count(*) from fx_trnq"
 
@@ -88,7 +89,7 @@ def filter_after_topk(t):
 
 @job("filter_before_topk", oracle=PRED_BEFORE)
 def filter_before_topk(t):
-    """Remove filter pairs before ranking (exact per-query over-fetch)."""
+    """Remove filter pairs before ranking (masked inside their block; exact, no over-fetch)."""
     return predictions(t, K, "before")
 
 

@@ -45,12 +45,6 @@ def _corpus_records(t):
     return o.join(lists, "doc_id", "left")
 
 
-CORPUS_ORACLE = """
-with rec as (select o.o_orderkey as doc_id, cast(o.o_orderkey as varchar) as uid, o.o_orderpriority as title,
-                    o.o_orderstatus as content from orders o)
-"""
-
-
 def _write_corpus(t):
     path = IO.scratch_path(t.spark, "trn.json.gz")
     IO.write_jsonl(_corpus_records(t).select("doc_id", "uid", "title", "content", "target_ind"), path, "doc_id")

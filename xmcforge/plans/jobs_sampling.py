@@ -21,7 +21,7 @@ BATCH = 2048
 NEG_K = 10
 MARGIN_MIN, MARGIN_MAX, TAU = 0.1, 0.3, 0.1
 REG_WEIGHT, REG_MARGIN = 0.1, 0.1
-XY_A, XY_B = 0.55, 1.5
+XY_A, XY_B = 0.55, 1.5   # fixed values: dataset-default propensity constants
 
 
 def _u52(*parts: str) -> str:
@@ -153,10 +153,6 @@ def _neg_sql(k: int, l_view: str = "fx_ln") -> str:
     return O.topk_sql(k, l_view=l_view, exclude_view="ex", mode="before")
 
 
-def _known(t):
-    return fx.truth(t).unionByName(fx.filter_pairs(t))
-
-
 @job("hard_negatives", oracle=f"with ex as ({EXCLUDE_SQL}) select q_id, label_id as neg_id, score as sim_n, rank from ({_neg_sql(NEG_K)})")
 def hard_negatives(t):
     """T03 + P20: the 10 most similar labels that are neither positives nor the query itself."""

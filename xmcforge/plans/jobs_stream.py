@@ -10,7 +10,7 @@ from xmcforge.plans.registry import job
 from xmcforge.sources.files import scratch_path
 from xmcforge.streaming import state as ST
 
-A, B = 0.55, 1.5
+A, B = 0.55, 1.5   # fixed values: dataset-default propensity constants
 
 
 def _replay(t):
