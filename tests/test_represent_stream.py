@@ -86,3 +86,16 @@ def test_log_sink_is_idempotent(spark, tmp_path):
     log = spark.read.parquet(out)
     assert log.count() == 3
     assert dict(ST.latest_state(spark, out, ["key"]).select("key", "v").toPandas().values.tolist()) == {1: 5.0, 2: 2.0}
+
+
+def test_pca_components_match_numpy_up_to_sign(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(400, 6)) @ np.diag([5.0, 3.0, 2.0, 1.0, 0.5, 0.1])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(base)],
+                               "label_id long, embedding array<double>")
+    comps = RP.pca_fit(df, 3)                              # (3 x dim)
+    cov = np.cov(base, rowvar=False)
+    w, v = np.linalg.eigh(cov)
+    ref = v[:, np.argsort(w)[::-1][:3]].T
+    for c, r in zip(comps, ref):
+        assert np.allclose(np.abs(c @ r), 1.0, atol=1e-6)
