@@ -25,3 +25,24 @@ def test_oracle_small(spark, key):
     con = C.duck(SF_SMALL)
     r = C.compare(spark, con, key, E.queries()[key], E.oracle_sql()[key], SF_SMALL)
     assert r["status"] == "OK", r
+
+
+def test_jobs_run_from_another_working_directory(tmp_path):
+    """Worker-side functions ship by value: no installed package or repo cwd is needed."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "drv.py"
+    script.write_text(
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('__spark_entry__', {os.path.join(repo, '__spark_entry__.py')!r})\n"
+        "E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.sql.shuffle.partitions', '4').getOrCreate()\n"
+        f"print('ROWS', E.queries()['ova_topk'](s, {SF_SMALL!r}).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env, capture_output=True,
+                         text=True, timeout=300)
+    assert "ROWS 5000" in out.stdout, out.stderr[-2000:]
