@@ -111,6 +111,8 @@ EMA_OUT = T.StructType([T.StructField("key", T.LongType()), T.StructField("ema",
 
 def _ema_update(w: float):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        import warnings  # PySpark's own Arrow serializer triggers a pandas deprecation notice
+        warnings.filterwarnings("ignore", category=FutureWarning, module="pyspark.*")
         if state.exists:
             ema, n, last_step, last_id = state.get
         else:
