@@ -68,9 +68,21 @@ def _log_sink(out_path: str):
     return write
 
 
-def _run(stream_df: DataFrame, out_path: str, ckpt: str, mode: str = "update") -> None:
-    q = (stream_df.writeStream.outputMode(mode).foreachBatch(_log_sink(out_path))
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+def _run(stream_df: DataFrame, out_path: str, ckpt: str, mode: str = "update",
+         state_partitions: int | None = None) -> None:
+    """Drain the stream (availableNow) into the log.  The number of state partitions is fixed
+    when a stream first starts (it is recorded in the checkpoint); ``state_partitions``
+    (default: the cluster's cores) is applied just for that start and the session value is
+    restored right after."""
+    spark = stream_df.sparkSession
+    n = state_partitions or int(spark.sparkContext.defaultParallelism)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        q = (stream_df.writeStream.outputMode(mode).foreachBatch(_log_sink(out_path))
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
 
 
