@@ -10,8 +10,8 @@ def test_compose_and_strip(spark):
     df = spark.createDataFrame([(0, " a ", "b "), (1, "t", None)], "row_id long, title string, content string")
     out = dict(TX.compose_text(df, ["title", "content"]).select("row_id", "text").toPandas().values.tolist())
     assert out == {0: "a  b", 1: "t None"}
-    assert TX.fields_for("LF-AmazonTitles-131K") == ["title"]
-    assert TX.fields_for("LF-Amazon-131K") == ["title", "content"]
+    assert TX.fields_for("ShortTitles-1K") == ["title"]
+    assert TX.fields_for("full-docs-1K") == ["title", "content"]
 
 
 def test_vocab_tokenize_pad(spark):

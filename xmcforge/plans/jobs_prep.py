@@ -217,7 +217,7 @@ select row_id, trim(coalesce(title, 'None') || ' ' || coalesce(content, 'None'),
 from fx_label_text""")
 def compose_text(t):
     """Title and content joined by a space and stripped."""
-    return TX.compose_text(fx.label_text(t), TX.fields_for("LF-Amazon-131K")).select("row_id", "text")
+    return TX.compose_text(fx.label_text(t), TX.fields_for("orders-corpus")).select("row_id", "text")
 
 
 @job("build_vocab", oracle=VOCAB_SQL)
@@ -315,7 +315,7 @@ def ingest_corpus(t):
     """C14: JSON corpus -> composed text + line ids -> raw text and X_Y files -> read back."""
     spark = t.spark
     corpus = IO.read_jsonl(spark, _write_corpus(t))
-    texts = TX.compose_text(corpus, TX.fields_for("LF-Amazon-131K"))
+    texts = TX.compose_text(corpus, TX.fields_for("orders-corpus"))
     raw_path, xy_path = IO.scratch_path(spark, "trn.raw.txt"), IO.scratch_path(spark, "trn_X_Y.txt")
     IO.write_lines(texts, raw_path, "row_id", "text")
     xy = texts.select(F.col("row_id").alias("doc_id"), F.explode("target_ind").alias("label_id"),
