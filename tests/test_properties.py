@@ -44,3 +44,27 @@ def test_global_orders_keep_many_partitions(spark):
     assert perm.rdd.getNumPartitions() > 1
     plan = perm._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan.split("BroadcastExchange")[0] or "rangepartitioning" not in plan
+
+
+def test_metrics_with_no_predictions(spark):
+    from xmcforge.operators import metrics as M
+    pred = spark.createDataFrame([], "q_id long, label_id long, score double, rank long")
+    truth = spark.createDataFrame([(0, 1), (1, 2)], "q_id long, label_id long")
+    qs = spark.createDataFrame([(0,), (1,), (2,)], "q_id long")
+    zero = {(r.metric, r.k): r.value for r in M.metrics_report(pred, truth, qs, [1, 5]).collect()}
+    assert set(v for v in zero.values()) == {0.0} and len(zero) == 12
+    ref = {(r.metric, r.k): r.value for r in M.metrics_report(pred, truth, qs, [1, 5], no_hit="reference").collect()}
+    assert ref[("MRR", 1)] == 100.0 and ref[("MRR", 5)] == 100.0
+
+
+def test_unnormalised_huge_scores_use_exact_fallback(spark):
+    rng = np.random.default_rng(12)
+    q = rng.normal(size=(9, 4)) * 1e7
+    lab = rng.normal(size=(15, 4)) * 1e7
+    qdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "q_id long, embedding array<double>")
+    ldf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(lab)], "label_id long, embedding array<double>")
+    got = R.ova_topk(qdf, ldf, 4, normalize=False, blocks=(2, 3)).toPandas()
+    s = np.round(q @ lab.T, 6)
+    for i in range(len(q)):
+        want = sorted(range(len(lab)), key=lambda j: (-s[i, j], j))[:4]
+        assert got[got.q_id == i].sort_values("rank").label_id.tolist() == want
