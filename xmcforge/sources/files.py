@@ -192,14 +192,17 @@ def split_row_counts(df: DataFrame) -> DataFrame:
 def build_asset_table(blobs: DataFrame, done_owners: DataFrame | None = None, start_id: int = 0) -> DataFrame:
     """(asset_id, owner_id, ord, payload base64) with a running asset index.
 
-    ``blobs`` = (owner_id, ord, bytes).  Resume: owners already present in ``done_owners``
+    ``blobs`` = (owner_id, ord, bytes) with unique (owner_id, ord).  Resume: owners already present in ``done_owners``
     are skipped (anti join) and numbering continues at ``start_id``."""
     todo = blobs
     if done_owners is not None:
         todo = todo.join(done_owners.select("owner_id").distinct(), "owner_id", "left_anti")
-    ranked = dist_rank(todo, ["owner_id", "ord"], rank_col="_r")
-    return ranked.select((F.col("_r") - 1 + F.lit(start_id)).alias("asset_id"), "owner_id", "ord",
-                         F.regexp_replace(F.base64("bytes"), r"[\r\n]", "").alias("payload"))
+    # rank the (owner, ord) keys only; the payload joins back once instead of riding through
+    # the range shuffle and the rank's checkpoint
+    ids = dist_rank(todo.select("owner_id", "ord"), ["owner_id", "ord"], rank_col="_r")
+    return todo.join(ids, ["owner_id", "ord"]).select(
+        (F.col("_r") - 1 + F.lit(start_id)).alias("asset_id"), "owner_id", "ord",
+        F.regexp_replace(F.base64("bytes"), r"[\r\n]", "").alias("payload"))
 
 
 def decode_payload(assets: DataFrame) -> DataFrame:
