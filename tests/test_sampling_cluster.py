@@ -75,3 +75,12 @@ def test_cluster_assignment_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(CL, "ARROW_DOT_MIN_ELEMENTS", 0)
     arrow = CL.balanced_clusters(items, depth=2, seed=3, rounds=2).toPandas().sort_values("item_id")
     assert native.cluster_id.tolist() == arrow.cluster_id.tolist()
+
+
+def test_orders_keep_wide_columns_aligned(spark):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") * 10).alias("payload"))
+    p = SA.seeded_permutation(df, "doc_id", 4).toPandas()
+    assert (p.payload == p.doc_id * 10).all() and sorted(p.pos) == list(range(300))
+    assets = spark.createDataFrame([(i, i // 3, [float(i)]) for i in range(30)], "asset_id long, owner_id long, embedding array<double>")
+    s = AS.asset_slot_number(assets).toPandas()
+    assert (s.slot == s.asset_id % 3).all() and (s.embedding.map(lambda v: v[0]) == s.asset_id).all()

@@ -40,8 +40,12 @@ def asset_slot_number(assets: DataFrame, order_col: str = "asset_id") -> DataFra
 
     A distributed rank restarted per owner: an owner with millions of assets spans several
     range partitions instead of one task."""
-    r = dist_rank(assets, [order_col], rank_col="_r", partition_by=["owner_id"])
-    return r.withColumn("slot", F.col("_r") - 1).drop("_r")
+    keys = ["owner_id", order_col]
+    r = dist_rank(assets.select(*keys), [order_col], rank_col="_r", partition_by=["owner_id"])
+    r = r.withColumn("slot", F.col("_r") - 1).drop("_r")
+    extra = [c for c in assets.columns if c not in keys]
+    # wide columns (vectors, payloads) join back on the unique asset id instead of riding the rank
+    return assets.join(r.drop("owner_id"), order_col) if extra else r
 
 
 def first_slots(assets: DataFrame, num_slots: int, order_col: str = "asset_id") -> DataFrame:

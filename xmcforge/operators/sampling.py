@@ -25,18 +25,26 @@ def md5_uniform(*parts: str | Column) -> Column:
 
 
 def seeded_permutation(df: DataFrame, id_col: str, seed: int, pos_col: str = "pos") -> DataFrame:
-    """A permutation of ``id_col`` ordered by md5(id, seed); 0-based positions."""
-    keyed = df.withColumn("_u", md5_int(id_col, F.lit(seed)))
-    return dist_rank(keyed, ["_u", id_col], rank_col="_r").select(
-        *df.columns, (F.col("_r") - 1).alias(pos_col))
+    """A permutation of the unique ``id_col`` ordered by md5(id, seed); 0-based positions.
+    Only (md5, id) go through the rank; other columns join back on the id."""
+    keyed = df.select(id_col, md5_int(id_col, F.lit(seed)).alias("_u"))
+    ranked = dist_rank(keyed, ["_u", id_col], rank_col="_r").select(id_col, (F.col("_r") - 1).alias(pos_col))
+    if df.columns == [id_col]:
+        return ranked
+    return df.join(ranked, id_col)
 
 
 def cluster_batch_order(items: DataFrame, cluster_col: str, id_col: str, seed: int,
                         pos_col: str = "pos") -> DataFrame:
-    """Clusters in md5(cluster, seed) order, members together (by id), concatenated."""
-    keyed = items.withColumn("_u", md5_int(cluster_col, F.lit(seed)))
-    return dist_rank(keyed, ["_u", cluster_col, id_col], rank_col="_r").select(
-        *items.columns, (F.col("_r") - 1).alias(pos_col))
+    """Clusters in md5(cluster, seed) order, members together (by unique id), concatenated.
+    Only the keys go through the rank; other columns join back on the id."""
+    keyed = items.select(id_col, cluster_col, md5_int(cluster_col, F.lit(seed)).alias("_u"))
+    ranked = dist_rank(keyed, ["_u", cluster_col, id_col], rank_col="_r").select(
+        id_col, cluster_col, (F.col("_r") - 1).alias(pos_col))
+    extra = [c for c in items.columns if c not in (id_col, cluster_col)]
+    if not extra:
+        return ranked
+    return items.join(ranked.drop(cluster_col), id_col)
 
 
 def assign_batches(ordered: DataFrame, batch_size: int, pos_col: str = "pos") -> DataFrame:
