@@ -24,27 +24,40 @@ def md5_uniform(*parts: str | Column) -> Column:
     return (md5_int(*parts).cast("double") + F.lit(0.5)) / F.lit(TWO_POW_52)
 
 
+_FIXED_WIDTH = ("bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp",
+                "timestamp_ntz")
+
+
+def _narrow(df: DataFrame) -> bool:
+    """True when every column is fixed-width: cheap to carry through a rank's checkpoint."""
+    return all(f.dataType.simpleString() in _FIXED_WIDTH for f in df.schema.fields)
+
+
 def seeded_permutation(df: DataFrame, id_col: str, seed: int, pos_col: str = "pos") -> DataFrame:
     """A permutation of the unique ``id_col`` ordered by md5(id, seed); 0-based positions.
-    Only (md5, id) go through the rank; other columns join back on the id."""
-    keyed = df.select(id_col, md5_int(id_col, F.lit(seed)).alias("_u"))
-    ranked = dist_rank(keyed, ["_u", id_col], rank_col="_r").select(id_col, (F.col("_r") - 1).alias(pos_col))
-    if df.columns == [id_col]:
-        return ranked
+
+    Fixed-width columns ride along through the rank (one evaluation of ``df``); wide columns
+    (strings, arrays, payloads) are joined back on the id instead."""
+    u = md5_int(id_col, F.lit(seed)).alias("_u")
+    if _narrow(df):
+        return dist_rank(df.select("*", u), ["_u", id_col], rank_col="_r").select(
+            *df.columns, (F.col("_r") - 1).alias(pos_col))
+    ranked = dist_rank(df.select(id_col, u), ["_u", id_col], rank_col="_r").select(
+        id_col, (F.col("_r") - 1).alias(pos_col))
     return df.join(ranked, id_col)
 
 
 def cluster_batch_order(items: DataFrame, cluster_col: str, id_col: str, seed: int,
                         pos_col: str = "pos") -> DataFrame:
     """Clusters in md5(cluster, seed) order, members together (by unique id), concatenated.
-    Only the keys go through the rank; other columns join back on the id."""
-    keyed = items.select(id_col, cluster_col, md5_int(cluster_col, F.lit(seed)).alias("_u"))
-    ranked = dist_rank(keyed, ["_u", cluster_col, id_col], rank_col="_r").select(
-        id_col, cluster_col, (F.col("_r") - 1).alias(pos_col))
-    extra = [c for c in items.columns if c not in (id_col, cluster_col)]
-    if not extra:
-        return ranked
-    return items.join(ranked.drop(cluster_col), id_col)
+    Fixed-width columns ride through the rank; wide ones join back on the id."""
+    u = md5_int(cluster_col, F.lit(seed)).alias("_u")
+    if _narrow(items):
+        return dist_rank(items.select("*", u), ["_u", cluster_col, id_col], rank_col="_r").select(
+            *items.columns, (F.col("_r") - 1).alias(pos_col))
+    ranked = dist_rank(items.select(id_col, cluster_col, u), ["_u", cluster_col, id_col], rank_col="_r").select(
+        id_col, (F.col("_r") - 1).alias(pos_col))
+    return items.join(ranked, id_col)
 
 
 def assign_batches(ordered: DataFrame, batch_size: int, pos_col: str = "pos") -> DataFrame:
@@ -89,12 +102,11 @@ def training_batches(xy: DataFrame, batch_size: int, seed: int, weights: DataFra
 
     Documents without labels cannot be sampled (the reference cannot train on them) and are
     left out.  Output (doc_id, pos, batch_id, slot, label_id)."""
-    docs = xy.select("doc_id").distinct()
+    # one row per document already: the sampled positive carries straight through the order
+    pos = sample_positive(xy, seed, weights)
     if clusters is not None:
-        ordered = cluster_batch_order(docs.join(clusters, "doc_id"), "cluster_id", "doc_id", seed)
+        ordered = cluster_batch_order(pos.join(clusters, "doc_id"), "cluster_id", "doc_id", seed)
         ordered = ordered.drop("cluster_id")
     else:
-        ordered = seeded_permutation(docs, "doc_id", seed)
-    plan = assign_batches(ordered, batch_size)
-    pos = sample_positive(xy, seed, weights)
-    return plan.join(pos, "doc_id").select("doc_id", "pos", "batch_id", "slot", "label_id")
+        ordered = seeded_permutation(pos, "doc_id", seed)
+    return assign_batches(ordered, batch_size).select("doc_id", "pos", "batch_id", "slot", "label_id")
