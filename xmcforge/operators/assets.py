@@ -21,12 +21,15 @@ def left_join_assets(owners: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def urls_per_owner(urls: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """Each owner's URLs in ``ord`` order as a long-form list (owner_id, pos, url).
+    """Each owner's URLs in ``ord`` order (unique per owner) as a long-form list
+    (owner_id, pos, url).
 
     Positions come from the per-owner distributed rank, so an owner with a huge share of
     all URLs spans many tasks; ``as_lists`` builds arrays when owners are known to be small."""
-    r = dist_rank(urls.select("owner_id", ord_col, "url"), [ord_col], rank_col="_r", partition_by=["owner_id"])
-    return r.select("owner_id", (F.col("_r") - 1).alias("pos"), "url")
+    # rank the (owner, ord) keys only; the URL strings join back on those unique keys
+    r = dist_rank(urls.select("owner_id", ord_col), [ord_col], rank_col="_r", partition_by=["owner_id"])
+    return (urls.select("owner_id", ord_col, "url").join(r, ["owner_id", ord_col])
+                .select("owner_id", (F.col("_r") - 1).alias("pos"), "url"))
 
 
 def as_lists(long_urls: DataFrame) -> DataFrame:
