@@ -26,4 +26,4 @@ def load_all() -> None:
         importlib.import_module(f"xmcforge.llm.{module}")
 
 
-MODULES = ["token_counts", "quality", "mixing", "sharding", "packing", "warc", "toxicity", "substrings", "jaccard"]
+MODULES = ["token_counts", "quality", "mixing", "sharding", "packing", "warc", "toxicity", "substrings", "jaccard", "neighbours"]
