@@ -9,45 +9,41 @@ from xmcforge.operators import metrics as M
 KS = [1, 2, 3, 5]
 
 
-def reference_metrics(pred, truth, queries, ks, weights=None, no_hit="zero"):
-    """Dense NumPy transcription of the published definitions."""
-    K = max(ks)
-    qs = sorted(queries)
-    T = {q: set(truth.get(q, ())) for q in qs}
-    flags = np.zeros((len(qs), K))
-    labs = np.full((len(qs), K), -1)
-    for r, q in enumerate(qs):
-        for i, l in enumerate(pred.get(q, [])[:K]):
-            labs[r, i] = l
-            flags[r, i] = 1.0 if l in T[q] else 0.0
-    rank = np.arange(1, K + 1)
-    c = flags.cumsum(1)
-    disc = 1 / np.log2(rank + 1)
+def by_definition(pred, truth, queries, ks, weights=None, no_hit="zero"):
+    """Every metric straight from its definition: a loop over queries for each cut-off."""
+    gain = lambda i: 1.0 / math.log2(i + 1)
     out = {}
-    out["P"] = (c / rank).mean(0)
-    out["R"] = (c / np.maximum([len(T[q]) for q in qs], 1)[:, None]).mean(0)
-    out["Hit"] = (c > 0).mean(0)
-    dcg = (flags * disc).cumsum(1)
-    nT = np.array([len(T[q]) for q in qs])
-    idcg = np.array([[sum(disc[: min(n, k)]) for k in rank] for n in nT])
-    out["nDCG"] = np.where(idcg > 0, dcg / np.where(idcg > 0, idcg, 1), 0).mean(0)
-    den = c.copy(); den[den == 0] = 1
-    out["MAP"] = ((flags * (c / rank)).cumsum(1) / den).mean(0)
-    first = np.argmax(flags != 0, axis=1)
-    num = np.zeros_like(flags); num[np.arange(len(qs)), first] = 1
-    if no_hit == "zero":
-        num[flags.sum(1) == 0] = 0
-    out["MRR"] = (num / rank).cumsum(1).mean(0)
-    if weights is not None:
-        w = np.array([[weights.get(l, 0.0) if l >= 0 else 0.0 for l in row] for row in labs]) * flags
-        ideal = np.zeros((len(qs), K))
-        for r, q in enumerate(qs):
-            ws = sorted((weights.get(l, 0.0) for l in T[q]), reverse=True)[:K]
-            ideal[r, : len(ws)] = ws
-        out["PSP"] = (w.cumsum(1) / rank).mean(0) / (ideal.cumsum(1) / rank).mean(0)
-        safe = np.where(idcg > 0, idcg, 1)
-        out["PSnDCG"] = ((w * disc).cumsum(1) / safe).mean(0) / ((ideal * disc).cumsum(1) / safe).mean(0)
-    return {m: {k: 100 * v[k - 1] for k in ks} for m, v in out.items()}
+    for k in ks:
+        sums = dict.fromkeys(["P", "R", "Hit", "nDCG", "MAP", "MRR", "w", "iw", "dw", "idw"], 0.0)
+        for q in queries:
+            true = set(truth.get(q, ()))
+            listed = list(pred.get(q, []))
+            hits = [i for i, label in enumerate(listed[:k], start=1) if label in true]
+            sums["P"] += len(hits) / k
+            sums["R"] += len(hits) / max(len(true), 1)
+            sums["Hit"] += bool(hits)
+            best = sum(gain(i) for i in range(1, min(len(true), k) + 1))
+            if best:
+                sums["nDCG"] += sum(map(gain, hits)) / best
+            if hits:
+                sums["MAP"] += sum((n + 1) / i for n, i in enumerate(hits)) / len(hits)
+                sums["MRR"] += 1 / hits[0]
+            elif no_hit == "reference" and not any(x in true for x in listed[:max(ks)]):
+                sums["MRR"] += 1.0
+            if weights is not None:
+                ideal = sorted((weights.get(x, 0.0) for x in true), reverse=True)[:k]
+                mine = {i: weights.get(listed[i - 1], 0.0) for i in hits}
+                sums["w"] += sum(mine.values())
+                sums["iw"] += sum(ideal)
+                if best:
+                    sums["dw"] += sum(w * gain(i) for i, w in mine.items()) / best
+                    sums["idw"] += sum(w * gain(i) for i, w in enumerate(ideal, start=1)) / best
+        for name in ("P", "R", "Hit", "nDCG", "MAP", "MRR"):
+            out.setdefault(name, {})[k] = 100 * sums[name] / len(queries)
+        if weights is not None:
+            out.setdefault("PSP", {})[k] = 100 * sums["w"] / sums["iw"]
+            out.setdefault("PSnDCG", {})[k] = 100 * sums["dw"] / sums["idw"]
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -73,10 +69,10 @@ def fixture(spark):
 
 
 @pytest.mark.parametrize("no_hit", ["zero", "reference"])
-def test_report_matches_numpy(spark, fixture, no_hit):
+def test_report_matches_the_definitions(spark, fixture, no_hit):
     f = fixture
     rep = M.metrics_report(f["pdf"], f["tdf"], f["qdf"], KS, weights=f["wdf"], no_hit=no_hit).toPandas()
-    want = reference_metrics(f["pred"], f["truth"], f["queries"], KS, f["weights"], no_hit)
+    want = by_definition(f["pred"], f["truth"], f["queries"], KS, f["weights"], no_hit)
     for _, r in rep.iterrows():
         assert math.isclose(r.value, want[r.metric][r.k], abs_tol=1e-5), (r.metric, r.k, r.value, want[r.metric][r.k])
     assert set(rep.metric) == set(want)
@@ -106,3 +102,13 @@ def test_inverse_propensity_formula(spark):
     C = (math.log(4) - 1) * (2.5 ** 0.55)
     for lab, n in ((0, 0), (1, 3), (2, 1)):
         assert math.isclose(w[lab], 1 + C * (n + 1.5) ** -0.55, rel_tol=1e-12)
+
+
+def test_rows_of_other_queries_do_not_count(spark, fixture):
+    f = fixture
+    some = spark.createDataFrame([(0,), (1,)], "q_id long")
+    rep = M.metrics_report(f["pdf"], f["tdf"], some, KS, weights=f["wdf"]).toPandas()
+    want = by_definition(f["pred"], f["truth"], [0, 1], KS, f["weights"])
+    assert (rep.value <= 100 + 1e-6).all()
+    for _, r in rep.iterrows():
+        assert math.isclose(r.value, want[r.metric][r.k], abs_tol=1e-5), (r.metric, r.k)

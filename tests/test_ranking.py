@@ -30,3 +30,9 @@ def test_dist_rank_plan_has_no_single_partition_window_over_rows(spark):
     df = spark.range(1000).withColumn("v", F.col("id") % 13)
     plan = dist_rank(df, ["v", "id"])._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan.lower() or "Scan ExistingRDD" in plan
+
+
+def test_null_groups_are_ranked(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, "a", 1.0), (3, None, 1.0)], "id long, g string, v double")
+    got = {r.id: r["rank"] for r in dist_rank(df, ["v", "id"], partition_by=["g"], num_partitions=3).collect()}
+    assert got == {1: 2, 2: 1, 3: 1}

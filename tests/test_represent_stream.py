@@ -99,3 +99,16 @@ def test_pca_components_match_numpy_up_to_sign(spark):
     ref = v[:, np.argsort(w)[::-1][:3]].T
     for c, r in zip(comps, ref):
         assert np.allclose(np.abs(c @ r), 1.0, atol=1e-6)
+
+
+def test_l2_normalize_is_linear_in_the_width(spark):
+    """The norm is folded once per row, not once per element."""
+    from pyspark.sql import functions as F
+    from xmcforge.functions.vectors import l2_normalize
+    wide = spark.range(20).select(F.transform(F.sequence(F.lit(1), F.lit(1152)), lambda i: (i + F.col("id")).cast("double")).alias("v"))
+    out = wide.select("v", l2_normalize("v").alias("n")).collect()
+    for r in out:
+        v = np.array(r.v)
+        assert np.allclose(r.n, v / np.sqrt((v * v).sum()), rtol=1e-12)
+    zero = spark.createDataFrame([([0.0, 0.0],), (None,), ([],)], "v array<double>").select(l2_normalize("v").alias("n")).collect()
+    assert [r.n for r in zero] == [[0.0, 0.0], None, []]

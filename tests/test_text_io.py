@@ -81,3 +81,11 @@ def test_line_numbers_across_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert pdf.row_id.tolist() == list(range(40000))
     assert pdf.text.tolist() == [t.strip() for t in lines] * 2
+
+
+def test_part_files_are_read_by_number(spark, tmp_path):
+    from xmcforge.sources.files import read_lines
+    (tmp_path / "part-99999-a.txt").write_text("first\nsecond\n")
+    (tmp_path / "part-100000-a.txt").write_text("third\n")
+    got = sorted((r.row_id, r.text) for r in read_lines(spark, str(tmp_path)).collect())
+    assert got == [(0, "first"), (1, "second"), (2, "third")]

@@ -21,8 +21,10 @@ def norm(v: str | Column) -> Column:
 def l2_normalize(v: str | Column) -> Column:
     """``x / ||x||``; a zero vector stays zero."""
     v = _c(v)
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    # the norm is bound once per row as an outer lambda's variable; inside the element's
+    # lambda it would be folded again for every element
+    return F.transform(F.array(norm(v)), lambda n: F.transform(
+        v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))[0]
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -31,19 +33,10 @@ def dot(a: str | Column, b: str | Column) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def scale(v: str | Column, s: str | Column | float) -> Column:
-    s = s if isinstance(s, Column) else F.lit(s) if isinstance(s, (int, float)) else F.col(s)
-    return F.transform(_c(v), lambda x: x.cast("double") * s)
-
-
 def add(a: str | Column, b: str | Column) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") + y.cast("double"))
 
 
-def round_vec(v: str | Column, digits: int = 6) -> Column:
-    return F.transform(_c(v), lambda x: F.round(x.cast("double"), digits))
-
-
 def similarity_mask(sim: str | Column, threshold: float = 0.98) -> Column:
     """1.0 where ``sim >= threshold`` else 0.0."""
     return (_c(sim) >= F.lit(threshold)).cast("double")
@@ -54,11 +47,6 @@ def similarity_bucket(sim: str | Column) -> Column:
     return (F.lit(1) + (F.lit(100.0) * (F.lit(1.0) - _c(sim))).cast("long")).cast("long")
 
 
-def log2_discount(rank: str | Column) -> Column:
-    """``1 / log2(rank + 1)``."""
-    return F.lit(1.0) / F.log2(_c(rank).cast("double") + F.lit(1.0))
-
-
 def _flat(col, n: int):
     import numpy as np
     if n == 0:

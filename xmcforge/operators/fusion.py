@@ -1,7 +1,7 @@
 """Retrieval-augmented score fusion.
 
-Candidates are labels and training queries.  A candidate id is ``kind * 2^40 + id`` inside
-the retrieval (labels first, like the stacked matrix of the reference) and is split back
+Candidates are labels and training queries.  A candidate id is ``kind * 2^62 + id`` inside
+(ids below 2^62) the retrieval (labels first, like the stacked matrix of the reference) and is split back
 into (kind, id) right after it.  The fused score of a label is
     sum_{label hits} p * (1 - lam) + sum_{query hits t} p * lam * X_Y[t, label]
 with p the softmax (temperature tau) over the query's candidates.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from xmcforge.operators.retrieval import ova_topk
 from xmcforge.operators.sparse import sparse_matmul, weighted_identity_union
 
-KIND_OFFSET = 1 << 40
+KIND_OFFSET = 1 << 62
 KIND_LABEL, KIND_QUERY = 0, 1
 
 

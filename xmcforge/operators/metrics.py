@@ -105,7 +105,8 @@ def metrics_report(pred: DataFrame, truth: DataFrame, queries: DataFrame, ks: Se
     spark = pred.sparkSession
     q = queries.select(F.col("q_id").cast("long")).distinct()
 
-    t = truth.select(F.col("q_id").cast("long"), F.col("label_id").cast("long")).distinct()
+    # only the asked queries count, whatever else predictions and truth hold
+    t = truth.select(F.col("q_id").cast("long"), F.col("label_id").cast("long")).distinct().join(q, "q_id", "left_semi")
     tcount = t.groupBy("q_id").agg(F.count(F.lit(1)).alias("T"))
     hits = (ranked(pred, K).join(t, ["q_id", "label_id"], "left_semi")
             .join(tcount, "q_id", "left").fillna(0, ["T"]))
@@ -181,7 +182,3 @@ def metrics_report(pred: DataFrame, truth: DataFrame, queries: DataFrame, ks: Se
 
 def metric_at_k(report: DataFrame, metric: str) -> DataFrame:
     return report.where(F.col("metric") == metric).select("k", F.col("value"))
-
-
-def ideal_dcg(n: int) -> float:
-    return sum(1.0 / math.log2(i + 1) for i in range(1, n + 1))

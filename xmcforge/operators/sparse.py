@@ -64,6 +64,8 @@ def matrix_stats(xy: DataFrame, rows: DataFrame | None = None) -> DataFrame:
                    F.countDistinct("doc_id").cast("long").alias("nonempty_rows"),
                    F.countDistinct("label_id").cast("long").alias("used_labels"),
                    (F.max("label_id") + 1).cast("long").alias("n_labels"))
+    if rows is not None:  # the shape's row count holds empty rows, too
+        stats = stats.crossJoin(rows.agg(F.count(F.lit(1)).cast("long").alias("n_rows")))  # two one-row tables
     return stats
 
 

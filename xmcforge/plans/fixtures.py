@@ -4,9 +4,10 @@ The reference reads XMC corpora that are not shipped; these views map their shap
 driver's parquet tables.  Every view uses its whole source table: roles are assigned by
 mapping columns, never by dropping rows.
 
-* retrieval world: every ``embeddings`` row is a query, a label and a training query;
-  truth = other rows of the same class inside the same 50-id shard (a bounded equi-join);
-  filter pairs = the self pairs (the usual reciprocal-pair filter).
+* retrieval world: every ``embeddings`` row is a query, a label and a training query, each role
+  with its own id range, so a swapped role or direction changes results; truth is directed: a
+  query's labels are the later rows of its class inside its 50-id shard (a bounded equi-join, and
+  the last row of each has none); filter pairs = the query's own row and the next 0 to 2 rows.
 * sparse world: documents = ``orders``, labels = ``part``, X_Y = distinct (order, part)
   from ``lineitem``; orders without items are empty rows.
 * text world: ``documents`` bodies and ``part`` names/types.
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 # Fixed fixture parameters (shared with the DuckDB oracle text below).
 TRUTH_SHARD = 50
+LABEL_BASE = 1_000_000_000   # label_id = vec_id + LABEL_BASE
+TRAIN_BASE = 2_000_000_000   # trn_id = vec_id + TRAIN_BASE
+FILTER_EXTRA = 3             # query q has 1 + q % FILTER_EXTRA filter pairs
 ASSETS_PER_OWNER_BLOCK = 4
 URLS_PER_OWNER_BLOCK = 5
 SEQ_LEN = 8
@@ -47,11 +51,11 @@ def queries(t: Tables) -> DataFrame:
 
 
 def labels(t: Tables) -> DataFrame:
-    return t("embeddings").select(F.col("vec_id").alias("label_id"), "embedding")
+    return t("embeddings").select((F.col("vec_id") + LABEL_BASE).alias("label_id"), "embedding")
 
 
 def train_queries(t: Tables) -> DataFrame:
-    return t("embeddings").select(F.col("vec_id").alias("trn_id"), "embedding")
+    return t("embeddings").select((F.col("vec_id") + TRAIN_BASE).alias("trn_id"), "embedding")
 
 
 def _shard_side(t: Tables, id_name: str) -> DataFrame:
@@ -61,28 +65,30 @@ def _shard_side(t: Tables, id_name: str) -> DataFrame:
 
 
 def truth(t: Tables) -> DataFrame:
-    """(q_id, label_id): same class, same shard, not itself."""
+    """(q_id, label_id): same class, same shard, a later row."""
     q = _shard_side(t, "q_id")
-    lab = _shard_side(t, "label_id")
+    lab = _shard_side(t, "l_id")
     return (q.join(lab, ["label", "shard"])
-             .where(F.col("q_id") != F.col("label_id"))
-             .select("q_id", "label_id"))
+             .where(F.col("q_id") < F.col("l_id"))
+             .select("q_id", (F.col("l_id") + LABEL_BASE).alias("label_id")))
 
 
 def train_xy(t: Tables) -> DataFrame:
-    return truth(t).select(F.col("q_id").alias("trn_id"), "label_id")
+    return truth(t).select((F.col("q_id") + TRAIN_BASE).alias("trn_id"), "label_id")
 
 
 def filter_pairs(t: Tables) -> DataFrame:
-    return t("embeddings").select(F.col("vec_id").alias("q_id"), F.col("vec_id").alias("label_id"))
+    q = F.col("vec_id")
+    return t("embeddings").select(q.alias("q_id"), F.explode(
+        F.transform(F.sequence(F.lit(0), (q % FILTER_EXTRA).cast("int")), lambda i: q + i + LABEL_BASE)).alias("label_id"))
 
 
 def label_class_map(t: Tables) -> DataFrame:
-    return t("embeddings").select(F.col("vec_id").alias("label_id"), F.col("label").cast("long").alias("new_id"))
+    return t("embeddings").select((F.col("vec_id") + LABEL_BASE).alias("label_id"), F.col("label").cast("long").alias("new_id"))
 
 
 def cluster_items(t: Tables) -> DataFrame:
-    return t("embeddings").select(F.col("vec_id").alias("item_id"),
+    return t("embeddings").select((F.col("vec_id") + LABEL_BASE).alias("item_id"),
                                   F.col("label").cast("long").alias("cluster_id"), "embedding")
 
 
@@ -159,15 +165,16 @@ def observations(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- DuckDB text of the same views
 ORACLE_VIEWS: dict[str, str] = {
     "fx_query": "select vec_id as q_id, embedding::double[] as embedding from embeddings",
-    "fx_label": "select vec_id as label_id, embedding::double[] as embedding from embeddings",
-    "fx_trnq": "select vec_id as trn_id, embedding::double[] as embedding from embeddings",
-    "fx_truth": (f"select q.vec_id as q_id, l.vec_id as label_id from embeddings q join embeddings l "
+    "fx_label": f"select vec_id + {LABEL_BASE} as label_id, embedding::double[] as embedding from embeddings",
+    "fx_trnq": f"select vec_id + {TRAIN_BASE} as trn_id, embedding::double[] as embedding from embeddings",
+    "fx_truth": (f"select q.vec_id as q_id, l.vec_id + {LABEL_BASE} as label_id from embeddings q join embeddings l "
                  f"on q.label = l.label and q.vec_id // {TRUTH_SHARD} = l.vec_id // {TRUTH_SHARD} "
-                 f"where q.vec_id <> l.vec_id"),
-    "fx_trn_xy": "select q_id as trn_id, label_id from fx_truth",
-    "fx_filter": "select vec_id as q_id, vec_id as label_id from embeddings",
-    "fx_map": "select vec_id as label_id, cast(label as bigint) as new_id from embeddings",
-    "fx_cluster": "select vec_id as item_id, cast(label as bigint) as cluster_id, embedding::double[] as embedding from embeddings",
+                 f"where q.vec_id < l.vec_id"),
+    "fx_trn_xy": f"select q_id + {TRAIN_BASE} as trn_id, label_id from fx_truth",
+    "fx_filter": (f"select vec_id as q_id, vec_id + i + {LABEL_BASE} as label_id "
+                  f"from (select vec_id, unnest(range(0, 1 + vec_id % {FILTER_EXTRA})) as i from embeddings)"),
+    "fx_map": f"select vec_id + {LABEL_BASE} as label_id, cast(label as bigint) as new_id from embeddings",
+    "fx_cluster": f"select vec_id + {LABEL_BASE} as item_id, cast(label as bigint) as cluster_id, embedding::double[] as embedding from embeddings",
     "fx_xy": "select distinct l_orderkey as doc_id, l_partkey as label_id, 1.0::double as value from lineitem",
     "fx_shape": "select (select count(*) from orders) as n_rows, (select count(*) from part) as n_labels",
     "fx_docs": "select o_orderkey as doc_id from orders",

@@ -196,12 +196,11 @@ _SELF = "select label_id as q_id, label_id from fx_label"
 
 
 @job("similarity_buckets", oracle=f"""
-with fx_self as ({_SELF})
 select q_id, label_id, score as sim, cast(score >= {SIM_THRESHOLD} as double) as mask,
        cast(1 + floor(100.0 * (1.0 - score)) as bigint) as bucket
-from ({O.topk_sql(SIM_K, exclude_view='fx_self', mode='before')})""")
+from ({O.topk_sql(SIM_K, exclude_view='fx_filter', mode='before')})""")
 def similarity_buckets(t):
-    """Mask (sim >= 0.98) and bucket 1 + int(100 (1 - sim)) of each label's neighbours."""
+    """Mask (sim >= 0.98) and bucket 1 + int(100 (1 - sim)) of each query's unfiltered neighbours."""
     from xmcforge.functions import vectors as V
     top = R.ova_topk(fx.queries(t), fx.labels(t), SIM_K, exclude=fx.filter_pairs(t), exclude_mode="before")
     return top.select("q_id", "label_id", F.col("score").alias("sim"),
@@ -210,10 +209,10 @@ def similarity_buckets(t):
 
 
 @job("similar_labels", oracle=f"""
-with fx_self as ({_SELF})
+with fx_self as ({_SELF}), lq as (select label_id as q_id, embedding from fx_ln)
 select q_id as label_id, label_id as neighbor_id, score as sim, rank, cast(score >= {SIM_THRESHOLD} as double) as mask,
        cast(1 + floor(100.0 * (1.0 - score)) as bigint) as bucket
-from ({O.topk_sql(SIM_K, exclude_view='fx_self', mode='before')})""")
+from ({O.topk_sql(SIM_K, q_view='lq', exclude_view='fx_self', mode='before')})""")
 def similar_labels(t):
     """Each label's 10 nearest other labels (self excluded by id) with mask and bucket."""
     return R.similar_labels(fx.labels(t), fx.labels(t), topk=SIM_K, threshold=SIM_THRESHOLD)

@@ -159,14 +159,15 @@ def hard_negatives(t):
     return AU.hard_negatives(fx.queries(t), fx.labels(t), fx.truth(t), NEG_K, fx.filter_pairs(t))
 
 
-def _triplet_sql(q_view: str, l_view: str, pos_view: str, softmax: bool, with_entries: bool = False) -> str:
+def _triplet_sql(q_view: str, l_view: str, pos_view: str, softmax: bool, with_entries: bool = False,
+                 filter_view: str = "fx_filter") -> str:
     sm = (f""",
 e3 as (select *, (case when loss = 0 then -50.0 else sim_n end) / {TAU} as s from e2),
 e4 as (select *, exp(s - max(s) over (partition by q_id)) as ex from e3),
 e5 as (select q_id, rank, loss * ex / sum(ex) over (partition by q_id) as loss from e4)""" if softmax
           else ",\ne5 as (select q_id, rank, loss from e2)")
     return f"""
-with ex as (select q_id, label_id from {pos_view} union select q_id, label_id from fx_filter),
+with ex as (select q_id, label_id from {pos_view} union select q_id, label_id from {filter_view}),
 pos as ({_sample_sql(pos_view, 'q_id', None)}),
 sp as (select p.doc_id as q_id, round(list_dot_product(q.embedding, l.embedding), 6) as sim_p
        from pos p join {q_view} q on q.q_id = p.doc_id join {l_view} l on l.label_id = p.label_id),
@@ -185,9 +186,10 @@ def _round_cols(df, cols, digits=9):
     return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def _triplet(t, anchors, cands, positives, softmax=True):
+def _triplet(t, anchors, cands, positives, softmax=True, exclude=None):
     e = AU.triplet_entries(anchors, cands, positives, k=NEG_K, margin_min=MARGIN_MIN, margin_max=MARGIN_MAX,
-                           apply_softmax=softmax, tau=TAU, seed=SEED, extra_exclude=fx.filter_pairs(t))
+                           apply_softmax=softmax, tau=TAU, seed=SEED,
+                           extra_exclude=fx.filter_pairs(t) if exclude is None else exclude)
     return e
 
 
@@ -220,6 +222,11 @@ def masked_loss(t):
     return e.select("q_id", "rank", F.round("loss", 9).alias("loss"))
 
 
+def _swapped(pairs):
+    """(q_id, label_id) pairs in the label-to-document direction."""
+    return pairs.select(F.col("label_id").alias("q_id"), F.col("q_id").alias("label_id"))
+
+
 # ---- fused view for C09/C10: prototype of each label (raw, label centroid, class centroid)
 def fused_labels(t):
     """P18 with three sources per label: raw vector, centroid of its training queries,
@@ -248,8 +255,7 @@ _LABEL_CENT = _mean_sql("select t.label_id, q.embedding from fx_trn_xy t join fx
 _CLASS_CENT = _mean_sql("select cluster_id, embedding from fx_cluster", "cluster_id")
 _SOURCES = f"""select label_id, embedding from fx_label
   union all select label_id, embedding from ({_LABEL_CENT})
-  union all select l.label_id, c.embedding from fx_label l join embeddings e on e.vec_id = l.label_id
-            join ({_CLASS_CENT}) c on c.cluster_id = e.label"""
+  union all select i.item_id as label_id, c.embedding from fx_cluster i join ({_CLASS_CENT}) c on c.cluster_id = i.cluster_id"""
 FUSED_VIEW_SQL = f"""
 select label_id, list_transform(m, lambda x: case when n > 0 then x / sqrt(n) else 0.0 end) as embedding from (
   select label_id, embedding as m, list_sum(list_transform(embedding, lambda y: y * y)) as n
@@ -282,9 +288,10 @@ fln as (select label_id, embedding from fl),
 lq as (select label_id as q_id, embedding from fx_ln),
 qc as (select q_id as label_id, embedding from fx_qn),
 tt as (select label_id as q_id, q_id as label_id from fx_truth),
+ft as (select label_id as q_id, q_id as label_id from fx_filter),
 u as ({_triplet_sql('fx_qn', 'fx_ln', 'fx_truth', True)}),
 uv as ({_triplet_sql('fx_qn', 'fln', 'fx_truth', True)}),
-i as ({_triplet_sql('lq', 'qc', 'tt', True)}),
+i as ({_triplet_sql('lq', 'qc', 'tt', True, filter_view='ft')}),
 ex as (select q_id, label_id from fx_truth union select q_id, label_id from fx_filter),
 pos as ({_sample_sql('fx_truth', 'q_id', None)}),
 lp as (select greatest(0.0, round(list_dot_product(q.embedding, l.embedding), 6) - round(list_dot_product(q.embedding, f.embedding), 6) + {REG_MARGIN}) as l
@@ -304,7 +311,7 @@ def combined_loss_audit(t):
     u = AU.reductions(_triplet(t, q, lab, truth)).select(F.col("custom").alias("u"))
     uv = AU.reductions(_triplet(t, q, fl, truth)).select(F.col("custom").alias("uv"))
     i = AU.reductions(_triplet(t, lab.withColumnRenamed("label_id", "q_id"), q.withColumnRenamed("q_id", "label_id"),
-                               truth.select(F.col("label_id").alias("q_id"), F.col("q_id").alias("label_id"))))
+                               _swapped(truth), exclude=_swapped(fx.filter_pairs(t))))
     i = i.select(F.col("custom").alias("i"))
     r = AU.margin_regularity(q, lab, fl, truth, k=NEG_K, margin=REG_MARGIN, seed=SEED,
                              extra_exclude=fx.filter_pairs(t)).select(F.col("loss").alias("r"))

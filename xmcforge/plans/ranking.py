@@ -20,6 +20,19 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+# Estimated input bytes per range partition; beyond the session's shuffle partitions the count grows.
+PARTITION_BYTES = 256 << 20
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (0 where the plan has none)."""
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:
+        return 0
+    return size if size < 1 << 55 else 0  # the default of plans without statistics
+
+
 def dist_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "rank",
               partition_by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """Add ``rank_col`` = 1-based ``row_number`` over ``order_by`` (within ``partition_by``).
@@ -29,7 +42,8 @@ def dist_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "
     partitions and its offset in each is the count of the same group in earlier ones.
     """
     spark = df.sparkSession
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              int(_estimated_bytes(df) // PARTITION_BYTES), 1)
     keys = _as_cols(list(partition_by)) + _as_cols(order_by)
     # Range bounds are sampled with a seed tied to the RDD id, so two evaluations of the
     # same exchange can cut different ranges.  Counts and rows must come from one
@@ -47,8 +61,13 @@ def dist_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "
     w = Window.partitionBy(*partition_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     if not partition_by:
-        offsets = F.broadcast(offsets)  # one row per range partition: bounded by n
-    out = (tagged.join(offsets.drop("_n"), gcols)
+        offsets = F.broadcast(offsets)  # one row per range partition
+    # null-safe: rows of the null group are a group like any other
+    offsets = offsets.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(gcols)], "_m0", "_off")
+    same = F.lit(True)
+    for i, c in enumerate(gcols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    out = (tagged.join(offsets, same)
                  .withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
-                 .drop("_pid", "_mid", "_m0", "_off"))
+                 .drop("_pid", "_mid", "_m0", "_off", *[f"_o{i}" for i in range(len(gcols))]))
     return out

@@ -50,7 +50,9 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", str
     keyed = raw.select(F.input_file_name().alias("_f"), F.input_file_block_start().alias("_b"),
                        F.monotonically_increasing_id().alias("_m"), text.alias(text_col))
     splits = keyed.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    # part files by their number (part-100000 follows part-99999), others by name
+    number = F.nullif(F.regexp_extract("_f", r"part-(\d{1,18})", 1), F.lit("")).cast("long")
+    w = Window.orderBy(number.asc_nulls_first(), "_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     if offsets.count() <= SPLIT_TABLE_BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
