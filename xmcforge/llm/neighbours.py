@@ -18,7 +18,7 @@ from xmcforge.llm.registry import query
 SHARD_ROWS = 4096
 QUERY_ROWS = 2048
 LEAF_ROWS = 64
-FACTOR = 4.0
+FACTOR = 2.0
 # Numbers held by one distance step.
 STEP_NUMBERS = 1 << 20
 
