@@ -73,7 +73,7 @@ def test_plan_is_blocked_and_limited(spark, data):
     df = R.ova_topk(_vecs(spark, range(len(q)), q, "q_id"), _vecs(spark, range(len(lab)), lab, "label_id"), 5,
                     blocks=(2, 2))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapCoGroupsIn" in plan
+    assert "MapInArrow" in plan and "FlatMapCoGroupsIn" not in plan
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
@@ -86,3 +86,40 @@ def test_similar_labels_excludes_self(spark, data):
     # label 3 has two exact duplicates in direction -> similarity 1 -> mask 1, bucket 1
     row = out[(out.label_id == 3) & (out["rank"] == 1)].iloc[0]
     assert row.neighbor_id in (10, 20) and row["mask"] == 1.0 and row.bucket == 1
+
+
+def test_nulls_and_repeated_queries(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (None, [1.0, 1.0])], "q_id long, embedding array<double>")
+    lab = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, None), (13, [1.0, 1.0])], "label_id long, embedding array<double>")
+    ex = spark.createDataFrame([(1, 10), (2, 11), (1, None)], "q_id long, label_id long")
+    got = sorted((r.q_id, r["rank"], r.label_id) for r in R.ova_topk(q, lab, 3, exclude=ex).collect())
+    assert got == [(1, 1, 13), (1, 2, 11)]
+
+
+def test_vectors_of_different_width_are_an_error(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "q_id long, embedding array<double>")
+    lab = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "label_id long, embedding array<double>")
+    with pytest.raises(Exception, match="same width"):
+        R.ova_topk(q, lab, 3).collect()
+
+
+def test_caller_supplied_score(spark, data):
+    q, lab = data
+    qd, ld = _vecs(spark, range(len(q)), q, "q_id"), _vecs(spark, range(len(lab)), lab, "label_id")
+    near = lambda a, b: -np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2)
+    got = R.ova_topk(qd, ld, 4, normalize=False, score=near, blocks=(2, 3)).toPandas()
+    s = np.round(near(q.astype(float), lab.astype(float)), 6)
+    for i in range(len(q)):
+        assert got[got.q_id == i].sort_values("rank").label_id.tolist() == sorted(range(len(lab)), key=lambda j: (-s[i, j], j))[:4]
+
+
+def test_every_cell_has_a_task_and_batches_merge(spark, data):
+    q, lab = data
+    many = np.concatenate([lab] * 30)
+    c = R.candidates(_vecs(spark, range(len(q)), q, "q_id"), _vecs(spark, range(len(many)), many, "label_id"), k=7, blocks=(4, 2))
+    parts = c.select("q_id", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().collect()
+    assert len(parts) == 8
+    got = R.rank_within_query(c, 7).toPandas()
+    want = _brute(q, many, 7)
+    for i in range(len(q)):
+        assert got[got.q_id == i].sort_values("rank").label_id.tolist() == want[i]

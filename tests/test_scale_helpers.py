@@ -9,14 +9,18 @@ from xmcforge.operators.retrieval import block_topk, plan_blocks
 def test_plan_blocks_bounds_memory_and_copies_cheaper_side():
     # big labels, few queries: grow label blocks (copy the small query side)
     n_qb, n_lb = plan_blocks(par=64, n_q=1_000, n_l=2_000_000, dim=768, block_bytes=128 << 20, k=10)
-    rows = (128 << 20) // (8 * 768)
-    assert n_lb >= 2_000_000 / rows and n_qb == 1
+    assert n_lb == 64 and n_qb == 1
     # many queries, few labels, large k: grow query blocks (copy the small label side)
     n_qb, n_lb = plan_blocks(par=64, n_q=2_000_000, n_l=1_000, dim=64, block_bytes=128 << 20, k=500)
     assert n_lb == 1 and n_qb >= 64
     # tiny inputs never split below the minimum block size
     n_qb, n_lb = plan_blocks(par=1000, n_q=300, n_l=300, dim=8, k=10)
     assert n_qb * n_lb <= 2
+    # labels are streamed: the grid grows with the queries' bytes only, not with both sides
+    n_qb, n_lb = plan_blocks(par=1000, n_q=10**9, n_l=10**9, dim=64, k=10)
+    assert n_lb == 1 and n_qb == -(-10**9 // ((128 << 20) // (8 * 64)))
+    # excluded pairs count in a block's bytes
+    assert plan_blocks(par=1, n_q=10**6, n_l=10, dim=64, excluded_per_query=1000)[0] > 30 * plan_blocks(1, 10**6, 10, 64)[0]
 
 
 def test_block_topk_excluded_never_selected_and_flagged_after():

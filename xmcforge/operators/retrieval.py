@@ -1,11 +1,11 @@
 """Exact one-vs-all retrieval.
 
-Every query is scored against every label, but pairs never exist as rows: queries and
-labels are hashed into blocks, each side is replicated onto the (query block, label block)
-grid with ``explode(sequence)``, and ``cogroup().applyInArrow`` multiplies the two dense
-blocks and keeps only each query's best candidates.  A native ``row_number`` window
-(planned as ``WindowGroupLimit``) merges the per-block lists.  Block sizes are bounded by
-``block_bytes``, so no task ever holds more than two blocks, whatever the table sizes.
+Every query is scored against every label, but pairs never exist as rows.  Queries are hashed into
+blocks whose vectors and excluded pairs fit in ``block_bytes``; labels may be hashed into blocks,
+too, to give more tasks.  Queries, excluded pairs and labels of each (query block, label block)
+cell are dealt to the cell's own task number and sorted, so a task holds one query block and
+streams label batches past it, keeping each query's best candidates.  A native ``row_number``
+window (planned as ``WindowGroupLimit``) merges the lists of the cells.
 
 Scores are cosine/dot in double, rounded to 6 decimals *before* ranking; ties break on
 the smaller label id.
@@ -16,7 +16,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +30,7 @@ CAND_SCHEMA = T.StructType([
 DEFAULT_BLOCK_BYTES = 128 << 20  # one dense block of vectors (as double) per side
 TILE_BYTES = 32 << 20            # one query tile x label block score matrix
 MIN_BLOCK_ROWS = 256             # do not split blocks finer than this to gain parallelism
+MAX_TASKS = 20_000               # more cells than this share tasks, one after the other
 _EXCLUDED_KEY = np.iinfo(np.int64).max
 
 
@@ -43,13 +43,15 @@ def _normalize_rows(m: np.ndarray) -> np.ndarray:
 
 def block_topk(q_ids: np.ndarray, qmat: np.ndarray, l_ids: np.ndarray, lmat: np.ndarray, k: int,
                ex_q: np.ndarray | None = None, ex_l: np.ndarray | None = None, drop_excluded: bool = True,
-               digits: int = 6):
+               digits: int = 6, score=None):
     """Exact per-query top-``k`` of ``qmat @ lmat.T`` by (score desc, label id asc).
 
     ``(ex_q, ex_l)`` are excluded (query id, label id) pairs of this block: with
     ``drop_excluded`` they can never be selected (exact "filter before"), otherwise they
     compete normally and come back flagged ("filter after").
-    Returns flat arrays (q_id, label_id, score, excluded) grouped by query in rank order."""
+    ``score(qmat, lmat)`` may replace the dot product by another (queries x labels) matrix.
+    Query ids are distinct.  Returns flat arrays (q_id, label_id, score, excluded) grouped by
+    query in rank order."""
     order = np.argsort(l_ids, kind="stable")
     l_ids, lmat = l_ids[order], lmat[order]
     nl, nq = len(l_ids), len(q_ids)
@@ -58,10 +60,11 @@ def block_topk(q_ids: np.ndarray, qmat: np.ndarray, l_ids: np.ndarray, lmat: np.
         return empty
     ex_r = ex_c = np.array([], np.int64)
     if ex_q is not None and len(ex_q):
-        r = pd.Index(q_ids).get_indexer(ex_q)
+        by_id = np.argsort(q_ids, kind="stable")
+        r = by_id[np.minimum(np.searchsorted(q_ids, ex_q, sorter=by_id), nq - 1)]
         c = np.searchsorted(l_ids, ex_l)
         c = np.where(c < nl, c, 0)
-        ok = (r >= 0) & (l_ids[c] == ex_l)
+        ok = (q_ids[r] == ex_q) & (l_ids[c] == ex_l)
         ex_r, ex_c = r[ok].astype(np.int64), c[ok].astype(np.int64)
     tile = max(1, TILE_BYTES // (8 * nl))
     pos = np.arange(nl, dtype=np.int64)
@@ -70,7 +73,8 @@ def block_topk(q_ids: np.ndarray, qmat: np.ndarray, l_ids: np.ndarray, lmat: np.
     outs = []
     for s in range(0, nq, tile):
         e = min(s + tile, nq)
-        scores = np.rint((qmat[s:e] @ lmat.T) * scale) / scale
+        raw = qmat[s:e] @ lmat.T if score is None else np.asarray(score(qmat[s:e], lmat), np.float64)
+        scores = np.rint(raw * scale) / scale
         mask = np.zeros(scores.shape, dtype=bool)
         sel = (ex_r >= s) & (ex_r < e)
         mask[ex_r[sel] - s, ex_c[sel]] = True
@@ -100,100 +104,151 @@ def _matrix(col) -> np.ndarray:
     n = len(arr)
     if n == 0:
         return np.zeros((0, 0))
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if flat.size % n:
+    if arr.null_count:
+        raise ValueError("a null vector among the embeddings")
+    ends = np.asarray(arr.offsets)
+    if (np.diff(ends) != ends[1] - ends[0]).any():
         raise ValueError("embeddings in one block must all have the same width")
-    return flat.reshape(n, flat.size // n)
-
-
-def _empty_candidates():
-    import pyarrow as pa
-    return pa.table({"q_id": pa.array([], pa.int64()), "label_id": pa.array([], pa.int64()),
-                     "score": pa.array([], pa.float64()), "excluded": pa.array([], pa.bool_())})
-
-
-def _scorer(k: int, normalize: bool, drop_excluded: bool, digits: int):
-    """Arrow cogroup function: (query side, label side) tables -> candidate table."""
-    import pyarrow as pa
-
-    def score(qt, lt):
-        if qt.num_rows == 0 or lt.num_rows == 0:
-            return _empty_candidates()
-        is_ex = qt.column("is_ex").to_numpy(zero_copy_only=False).astype(bool)
-        qrows, xrows = qt.filter(pa.array(~is_ex)), qt.filter(pa.array(is_ex))
-        if qrows.num_rows == 0:
-            return _empty_candidates()
-        qm, lm = _matrix(qrows.column("qv")), _matrix(lt.column("lv"))
-        if normalize:
-            qm, lm = _normalize_rows(qm), _normalize_rows(lm)
-        q, lab, sc, x = block_topk(qrows.column("q_id").to_numpy(), qm, lt.column("label_id").to_numpy(), lm, k,
-                                   xrows.column("q_id").to_numpy(), xrows.column("x_label").to_numpy(),
-                                   drop_excluded, digits)
-        return pa.table({"q_id": pa.array(q, pa.int64()), "label_id": pa.array(lab, pa.int64()),
-                         "score": pa.array(sc, pa.float64()), "excluded": pa.array(x, pa.bool_())})
-    return score
+    return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1)
+
+
+class _Cell:
+    """One query block and the best candidates that the labels streamed so far give it."""
+
+    def __init__(self, k: int, normalize: bool, drop_excluded: bool, digits: int, score):
+        self.k, self.normalize, self.drop, self.digits, self.score = k, normalize, drop_excluded, digits, score
+        self.parts = {0: ([], []), 1: ([], [])}   # side -> ids, and vectors or excluded labels
+        self.queries, self.found, self.held = None, [], 0
+
+    def add(self, side: int, batch) -> None:
+        if side < 2:
+            ids, other = self.parts[side]
+            ids.append(np.asarray(batch.column("id")))
+            other.append(_matrix(batch.column("vec")) if side == 0 else np.asarray(batch.column("other")))
+            return
+        if not self.parts[0][0]:
+            return
+        if self.queries is None:
+            ids, first = np.unique(np.concatenate(self.parts[0][0]), return_index=True)
+            mat = np.concatenate(self.parts[0][1])[first]  # a repeated query is asked once
+            none = np.zeros(0, np.int64)
+            excluded = [np.concatenate(x) if x else none for x in self.parts[1]]
+            self.queries = ids, _normalize_rows(mat) if self.normalize else mat, *excluded
+        q, qm, ex_q, ex_l = self.queries
+        lm = _matrix(batch.column("vec"))
+        out = block_topk(q, qm, np.asarray(batch.column("id")), _normalize_rows(lm) if self.normalize else lm, self.k,
+                         ex_q, ex_l, self.drop, self.digits, self.score)
+        self.found.append(out)
+        self.held += len(out[0])
+        if self.held > 4 * self.k * len(q) + 100_000:
+            self.cut()
+
+    def cut(self) -> None:
+        """Keep each query's best ``k`` of what was found."""
+        q, lab, score, flag = (np.concatenate([f[i] for f in self.found]) for i in range(4))
+        order = np.lexsort((lab, -score, q))
+        q = q[order]
+        start = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+        place = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0)) if len(q) else q
+        order = order[place < self.k]
+        self.found = [(q[place < self.k], lab[order], score[order], flag[order])]
+        self.held = len(order)
+
+    def batches(self, step: int = 100_000):
+        import pyarrow as pa
+        if self.held:
+            self.cut()
+            for at in range(0, self.held, step):
+                q, lab, score, flag = (x[at:at + step] for x in self.found[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q, pa.int64()), pa.array(lab, pa.int64()), pa.array(score, pa.float64()), pa.array(flag, pa.bool_())],
+                    names=["q_id", "label_id", "score", "excluded"])
+
+
+def _streamer(*settings):
+    """Arrow function over rows sorted by (cell, side): query rows, excluded pairs, then labels."""
+    def run(batches):
+        number, cell = None, None
+        for batch in batches:
+            cells, sides = np.asarray(batch.column("cell")), np.asarray(batch.column("side"))
+            if not len(cells):
+                continue
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (sides[1:] != sides[:-1])) + 1
+            for at, end in zip(np.r_[0, cuts], np.r_[cuts, len(cells)]):
+                if cells[at] != number:
+                    if cell is not None:
+                        yield from cell.batches()
+                    number, cell = cells[at], _Cell(*settings)
+                cell.add(int(sides[at]), batch.slice(int(at), int(end - at)))
+        if cell is not None:
+            yield from cell.batches()
+    return run
 
 
 def plan_blocks(par: int, n_q: int, n_l: int, dim: int, block_bytes: int = DEFAULT_BLOCK_BYTES,
-                min_rows: int = MIN_BLOCK_ROWS, k: int = 10) -> tuple[int, int]:
+                min_rows: int = MIN_BLOCK_ROWS, k: int = 10, excluded_per_query: float = 0.0) -> tuple[int, int]:
     """(query blocks, label blocks).
 
-    Every block of vectors stays under ``block_bytes``.  When that gives fewer groups than
-    ``par`` cores, the grid grows along the cheaper dimension: one more label block copies
-    every query vector once more and adds k candidate rows per query to the merge; one more
-    query block copies every label vector once more.  Blocks are never cut below ``min_rows``."""
-    rows = max(1, block_bytes // (8 * max(dim, 1)))
-    n_lb = max(1, math.ceil(n_l / rows))
-    n_qb = max(1, math.ceil(n_q / rows))
-    if n_qb * n_lb < par:
-        per_label_block = n_q * (4 * dim + 24 * k)
-        per_query_block = n_l * 4 * dim
-        if per_label_block <= per_query_block:
-            n_lb = max(n_lb, min(math.ceil(par / n_qb), max(1, math.ceil(n_l / min_rows))))
+    A query block's vectors and excluded pairs stay under ``block_bytes``; labels are streamed and
+    need no bound.  When that gives fewer cells than ``par`` cores, the grid grows along the cheaper
+    side: one more label block copies every query vector once more and adds k candidate rows per
+    query to the merge; one more query block copies every label vector once more.  Blocks are never
+    cut below ``min_rows`` for that."""
+    rows = max(1, int(block_bytes // (8 * max(dim, 1) + 16 * excluded_per_query)))
+    n_qb, n_lb = max(1, math.ceil(n_q / rows)), 1
+    if n_qb < par:
+        if n_q * (4 * dim + 24 * k) <= n_l * 4 * dim:
+            n_lb = max(1, min(math.ceil(par / n_qb), math.ceil(n_l / min_rows)))
         else:
-            n_qb = max(n_qb, min(math.ceil(par / n_lb), max(1, math.ceil(n_q / min_rows))))
+            n_qb = max(n_qb, min(par, math.ceil(n_q / min_rows)))
     return n_qb, n_lb
 
 
 def candidates(queries: DataFrame, labels: DataFrame, *, q_col: str = "q_id", l_col: str = "label_id",
                vec_col: str = "embedding", k: int = 10, exclude: DataFrame | None = None,
                drop_excluded: bool = True, normalize: bool = True, digits: int = 6,
-               block_bytes: int = DEFAULT_BLOCK_BYTES, blocks: tuple[int, int] | None = None) -> DataFrame:
-    """Per (query block, label block): each query's best ``k`` labels (unranked).
+               block_bytes: int = DEFAULT_BLOCK_BYTES, blocks: tuple[int, int] | None = None, score=None) -> DataFrame:
+    """Per (query block, label block) cell: each query's best ``k`` labels (unranked).
 
-    Excluded pairs travel with the query side to the one block that holds both ids (no
-    replication, no anti-join shuffle)."""
+    Excluded pairs travel to the one cell that holds both ids (no replication, no anti-join
+    shuffle).  ``blocks`` asks for at least that many blocks; query blocks still respect
+    ``block_bytes``.  Rows without an id or a vector have no neighbours and are none."""
     spark = queries.sparkSession
-    q = queries.select(F.col(q_col).cast("long").alias("q_id"), F.col(vec_col).alias("qv"))
-    lab = labels.select(F.col(l_col).cast("long").alias("label_id"), F.col(vec_col).alias("lv"))
-    if blocks is None:
-        # one job for both sizes: (queries, labels, widest label vector)
-        sizes = (q.select(F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("d"))
-                  .unionByName(lab.select(F.lit(0).alias("a"), F.lit(1).alias("b"), F.size("lv").alias("d")))
-                  .agg(F.sum("a"), F.sum("b"), F.max("d")).first())
-        n_q, n_l, dim = int(sizes[0] or 0), int(sizes[1] or 0), int(sizes[2] or 1)
-        blocks = plan_blocks(int(spark.sparkContext.defaultParallelism), n_q, n_l, dim, block_bytes, k=k)
-    n_qb, n_lb = blocks
-    # query rows and excluded pairs share one side; ids stay non-null bigints (a null would
-    # turn the pandas column into float64 and lose ids above 2^53)
-    qx = (q.withColumn("x_label", F.lit(0).cast("long")).withColumn("is_ex", F.lit(False))
-           .withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(n_qb)))
-           .withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(n_lb - 1)).cast("array<long>"))))
+
+    def side(df, number, id_col, vec):
+        ids = F.col(id_col).cast("long")
+        return df.select(F.lit(number).alias("side"), ids.alias("id"), F.lit(0).cast("long").alias("other"), vec.alias("vec"))
+
+    vec = F.col(vec_col).cast("array<double>")
+    q = side(queries, 0, q_col, vec).where("id is not null and vec is not null")
+    lab = side(labels, 2, l_col, vec).where("id is not null and vec is not null")
+    ex = None
     if exclude is not None:
-        ex = exclude.select(F.col("q_id").cast("long").alias("q_id"), F.lit(None).cast(qx.schema["qv"].dataType).alias("qv"),
-                            F.col("label_id").cast("long").alias("x_label"), F.lit(True).alias("is_ex"))
-        ex = (ex.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(n_qb)))
-                .withColumn("lb", F.pmod(F.xxhash64("x_label"), F.lit(n_lb))))
-        qx = qx.unionByName(ex)
-    lx = (lab.withColumn("lb", F.pmod(F.xxhash64("label_id"), F.lit(n_lb)))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)).cast("array<long>"))))
-    # One partition per grid cell, fixed explicitly on both sides: the cogroup reuses this
-    # co-partitioning, and AQE does not merge a repartition with an explicit count, so the
-    # CPU-heavy block products keep one task per block pair instead of being coalesced.
-    n_cells = n_qb * n_lb
-    qx, lx = qx.repartition(n_cells, "qb", "lb"), lx.repartition(n_cells, "qb", "lb")
-    return (qx.groupBy("qb", "lb").cogroup(lx.groupBy("qb", "lb"))
-              .applyInArrow(_scorer(k, normalize, drop_excluded, digits), CAND_SCHEMA))
+        ex = exclude.select(F.lit(1).alias("side"), F.col("q_id").cast("long").alias("id"),
+                            F.col("label_id").cast("long").alias("other"), F.lit(None).cast("array<double>").alias("vec"))
+        ex = ex.where("id is not null and other is not null")
+    # one job for all sizes: (queries, excluded pairs, labels, widest vector)
+    sized = q.select("side", F.size("vec").alias("d")).unionByName(lab.select("side", F.size("vec").alias("d")))
+    if ex is not None:
+        sized = sized.unionByName(ex.select("side", F.lit(0).alias("d")))
+    n_q, n_x, n_l, dim = (int(x or 0) for x in sized.agg(*[F.sum((F.col("side") == i).cast("long")) for i in range(3)],
+                                                          F.max("d")).first())
+    par = int(spark.sparkContext.defaultParallelism)
+    n_qb, n_lb = plan_blocks(par if blocks is None else 1, n_q, n_l, dim, block_bytes, k=k,
+                             excluded_per_query=n_x / max(n_q, 1))
+    if blocks is not None:
+        n_qb, n_lb = max(n_qb, blocks[0]), blocks[1]
+    qb, lb = (lambda c: F.pmod(F.xxhash64(c), F.lit(n_qb))), (lambda c: F.pmod(F.xxhash64(c), F.lit(n_lb)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    rows = (q.withColumn("qb", qb("id")).withColumn("lb", every(n_lb))
+            .unionByName(lab.withColumn("lb", lb("id")).withColumn("qb", every(n_qb))))
+    if ex is not None:
+        rows = rows.unionByName(ex.withColumn("qb", qb("id")).withColumn("lb", lb("other")))
+    # the cell's number is its task's number: every task has its share of cells
+    tasks = min(n_qb * n_lb, MAX_TASKS)
+    rows = rows.select((F.col("qb") * n_lb + F.col("lb")).alias("cell"), "side", "id", "other", "vec")
+    return (rows.repartitionById(tasks, (F.col("cell") % tasks).cast("int")).sortWithinPartitions("cell", "side")
+            .mapInArrow(_streamer(k, normalize, drop_excluded, digits, score), CAND_SCHEMA))
 
 
 def _window():
@@ -209,9 +264,12 @@ def rank_within_query(cand: DataFrame, k: int, rank_col: str = "rank") -> DataFr
 def ova_topk(queries: DataFrame, labels: DataFrame, k: int = 10, *, q_col: str = "q_id",
              l_col: str = "label_id", vec_col: str = "embedding", normalize: bool = True,
              exclude: DataFrame | None = None, exclude_mode: str = "before", digits: int = 6,
-             block_bytes: int = DEFAULT_BLOCK_BYTES, blocks: tuple[int, int] | None = None) -> DataFrame:
+             block_bytes: int = DEFAULT_BLOCK_BYTES, blocks: tuple[int, int] | None = None, score=None) -> DataFrame:
     """Top-``k`` labels per query: (q_id, label_id, score, rank).
 
+    ``score(query_matrix, label_matrix)`` replaces the dot product (F02); it runs in the workers
+    on NumPy blocks and returns a (queries x labels) matrix, higher is better.
+
     ``exclude`` (q_id, label_id) pairs are removed either ``before`` ranking (they can never
     be selected, so each list is the exact top-k of the remaining labels) or ``after`` it
     (reference parity: the top-k is taken first, excluded entries are dropped, lists shrink
@@ -221,7 +279,7 @@ def ova_topk(queries: DataFrame, labels: DataFrame, k: int = 10, *, q_col: str =
     drop = exclude is None or exclude_mode == "before"
     cand = candidates(queries, labels, q_col=q_col, l_col=l_col, vec_col=vec_col, k=k, exclude=exclude,
                       drop_excluded=drop, normalize=normalize, digits=digits, block_bytes=block_bytes,
-                      blocks=blocks)
+                      blocks=blocks, score=score)
     top = rank_within_query(cand, k)
     if drop:
         return top.drop("excluded")
