@@ -81,3 +81,11 @@ def sums_by(values, offsets):
     import numpy as np
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def worker_memory(name: str) -> dict:
+    """A dictionary that outlives a task in a reused Python worker (callers bound its size)."""
+    import sys
+    import types
+    home = sys.modules.setdefault("_xmcforge_worker", types.ModuleType("_xmcforge_worker"))
+    return home.__dict__.setdefault(name, {})

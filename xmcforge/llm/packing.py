@@ -9,23 +9,65 @@ whole corpus; only narrow rows (no ids, no text) are shuffled.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xmcforge.llm.common import SLICE_BYTES, slices, table, written
+from xmcforge.llm.common import SLICE_BYTES, slices, table, worker_memory, written
 from xmcforge.llm.registry import query
 
 GROUP_ROWS = 4000
-# A text is encoded in runs of white space followed by other characters.  Ends of such runs are
-# boundaries of the tokenizer's own pre-tokens, and no special string holds white space.
+# White space of the tokenizer's pre-tokens.  A text is cut before white space that follows another
+# character: its pre-tokens end there, and no special string holds white space.
 SPACE = "\t-\r \x85\xa0  -     　"
-CACHE_RUNS = 500_000
+CACHE_UNITS = 1_500_000  # encoded units remembered per Python worker
 CALL_CHARS = 1 << 20
 
 
+def text_units(text):
+    """(distinct units, unit numbers of all texts in order, offsets per row) of an Arrow string array.
+
+    Where every space of a text stands between two other characters, units are cut before spaces
+    (vectorised); other texts are cut before each run of white space."""
+    import re
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    text = pc.fill_null(text, "")
+    odd = np.asarray(pc.match_substring_regex(text, f"^ | $|[{SPACE}] | [{SPACE}]"))
+    lists = pc.split_pattern(pc.if_else(pa.array(odd), "", text), " ")
+    offsets = np.asarray(lists.offsets, dtype=np.int64)
+    offsets = offsets - offsets[0]
+    coded = lists.flatten().dictionary_encode()
+    code = 2 * np.asarray(coded.indices, dtype=np.int64) + 1  # odd: the unit starts with the space
+    code[offsets[:-1]] -= 1
+    names = coded.dictionary.to_pylist()
+    used = np.zeros(2 * len(names), bool)
+    used[code] = True
+    used = np.flatnonzero(used)
+    place = np.empty(2 * len(names), np.int64)
+    place[used] = np.arange(len(used))
+    units = [" " + names[c >> 1] if c & 1 else names[c >> 1] for c in used.tolist()]
+    code = place[code]
+    if odd.any():
+        runs = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+        number = {u: i for i, u in enumerate(units)}
+        parts, sizes = [], np.diff(offsets)
+        for i in range(len(odd)):
+            if odd[i]:
+                cut = [number.setdefault(u, len(number)) for u in runs.findall(text[i].as_py())]
+                parts.append(np.array(cut, np.int64))
+                sizes[i] = len(cut)
+            else:
+                parts.append(code[offsets[i]:offsets[i + 1]])
+        code, units = np.concatenate(parts), list(number)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return units, code, offsets
+
+
 def token_pieces(df: DataFrame, model_path: str, length: int, text_col: str = "text", id_col: str = "doc_id",
                  end_id: int = 1, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): each text's ids, then ``end_id``, cut every
@@ -40,47 +82,44 @@ def token_pieces(df: DataFrame, model_path: str, length: int, text_col: str = "t
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
         import zlib
         import numpy as np
         import pyarrow as pa
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(model_path)
-        runs = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-        known: dict[str, bytes] = {}
-
-        def encode(call: list[str]) -> None:
-            for r, e in zip(call, tok.encode_batch_fast(call, add_special_tokens=False)):
-                known[r] = np.array(e.ids, "<u4").tobytes()
-
-        def learn(missing) -> None:
-            call: list[str] = []
-            chars = 0
-            for r in missing:
-                call.append(r)
-                chars += len(r)
-                if chars >= CALL_CHARS:
-                    encode(call)
-                    call, chars = [], 0
-            if call:
-                encode(call)
-
-        end = np.array([end_id], "<u4").tobytes()
+        known = worker_memory(f"ids {model_path}")
+
+        def learn(missing: list[str]) -> None:
+            while missing:
+                chars = np.cumsum([len(u) for u in missing[:1 << 16]])
+                n = max(1, int(np.searchsorted(chars, CALL_CHARS)))
+                for u, e in zip(missing[:n], tok.encode_batch_fast(missing[:n], add_special_tokens=False)):
+                    known[u] = array("I", e.ids).tobytes()
+                missing = missing[n:]
+
+        end = array("I", [end_id]).tobytes()
         step = 4 * length
         for batch in batches:
             for part in slices(batch, "_text", slice_bytes):
-                texts = [runs.findall(t or "") for t in part.column("_text").to_pylist()]
-                need = set().union(*texts)
-                if len(known) > CACHE_RUNS:
+                units, code, ends = text_units(part.column("_text"))
+                if len(known) + len(units) > CACHE_UNITS:
                     known.clear()
-                learn(need.difference(known))
+                learn([u for u in units if u not in known])
+                each = [known[u] for u in units]
+                size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+                blob = np.frombuffer(b"".join(each), "<u4")
+                first = np.cumsum(size) - size
+                taken = size[code]  # ids of each unit of the texts, in order
+                at = np.cumsum(taken) - taken
+                ids = blob[np.repeat(first[code] - at, taken) + np.arange(int(taken.sum()))]
+                bounds = np.concatenate([[0], np.cumsum(taken)])[ends].tolist()
                 rows, cols = [], ([], [], [], [])
-                for i, pieces in enumerate(texts):
-                    ids = b"".join(map(known.__getitem__, pieces)) + end
-                    for at in range(0, len(ids), step):
-                        cut = ids[at:at + step]
+                for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    text_ids = ids[a:b].tobytes() + end
+                    for s in range(0, len(text_ids), step):
+                        cut = text_ids[s:s + step]
                         rows.append(i)
-                        for c, v in zip(cols, (at // 4, len(cut) // 4, zlib.crc32(cut), len(ids) // 4)):
+                        for c, v in zip(cols, (s // 4, len(cut) // 4, zlib.crc32(cut), len(text_ids) // 4)):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())),
                                                   *(pa.array(c, pa.int64()) for c in cols)], names=schema.names)
@@ -108,30 +147,34 @@ def fill_sequences(demand, limits):
         sequence[rows], place[rows] = n + np.arange(len(rows)), 0
         n += len(rows)
         count[c] = 0
-    live = np.flatnonzero(count)
-    share = classes[live] / limits  # demands and what is left count as shares of the limits
-    while len(live):
-        if (count[live] == 0).sum() * 4 > len(live):
-            keep = count[live] > 0
-            live, share = live[keep], share[keep]
-            if not len(live):
-                break
-        left, at, got = limits.copy(), 0, False
-        while True:
-            fits = (count[live] > 0) & (classes[live] <= left).all(axis=1)
-            if not fits.any():
-                break
-            best = int(np.argmax(np.where(fits, share @ (left / limits), -1.0)))
-            c = live[best]
-            row = by_class[first[c]]
-            first[c] += 1
-            count[c] -= 1
-            sequence[row], place[row] = n, at
-            at, got = at + 1, True
-            left -= classes[c]
-        if not got:
-            break
-        n += 1
+    # in an empty sequence the dot product ranks the classes once and for all
+    ranked = np.argsort(-(classes @ (1.0 / limits)), kind="stable")
+    live = np.flatnonzero(count)  # ascending in the first dimension, as the classes are
+    heads = classes[live, 0]
+    for opener in ranked:
+        while count[opener]:
+            left, at, c = limits.copy(), 0, opener
+            fits = live
+            while True:
+                row = by_class[first[c]]
+                first[c] += 1
+                count[c] -= 1
+                sequence[row], place[row] = n, at
+                at += 1
+                left -= classes[c]
+                fits = fits[:np.searchsorted(heads if at == 1 else classes[fits, 0], left[0], side="right")]
+                ok = count[fits] > 0
+                for d in range(1, len(limits)):
+                    ok &= classes[fits, d] <= left[d]
+                fits = fits[ok]  # what does not fit now will not fit later
+                if not len(fits):
+                    break
+                # demands and what is left count as shares of the limits
+                c = fits[np.argmax(classes[fits] @ (left / limits / limits))]
+            n += 1
+            if (count[live] == 0).sum() * 8 >= len(live):
+                live = live[count[live] > 0]
+                heads = classes[live, 0]
     return sequence, place
 
 
