@@ -67,24 +67,26 @@ def _vocab_side(vocab: DataFrame) -> DataFrame:
     return F.broadcast(v) if n <= VOCAB_BROADCAST_ROWS else v
 
 
-def token_positions(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id",
-                    text_col: str = "text") -> DataFrame:
-    """(row_id, pos, token_id) for every token of every text; unknown -> UNK_ID."""
-    toks = corpus.select(id_col, F.posexplode(tokens(text_col)).alias("pos", "token"))
-    return (toks.join(_vocab_side(vocab), "token", "left")
-                .select(id_col, F.col("pos").cast("long").alias("pos"),
-                        F.coalesce("token_id", F.lit(UNK_ID).cast("long")).alias("token_id")))
-
-
-def id_sequence(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+def id_sequence(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id", text_col: str = "text",
+                max_len: int | None = None) -> DataFrame:
     """P03 in long form: (row_id, pos, token_id, n_ids) with BOS at 0, the whole text's tokens
     at 1..n and EOS at n + 1; ``n_ids`` = n + 2.  No regrouping: a document's rows come from one
     ``posexplode`` (of its token array framed by two null slots for BOS/EOS) and its length from
     ``size`` of the same array, so the text is tokenized once and even a document holding a
-    large share of the corpus is never gathered into one value."""
-    framed = F.concat(F.array(F.lit(None).cast("string")), tokens(text_col), F.array(F.lit(None).cast("string")))
+    large share of the corpus is never gathered into one value.
+
+    ``max_len`` cuts the sequence before its tokens become rows: BOS, the first ``max_len`` - 2
+    tokens, EOS (truncation that keeps the closing EOS); ``n_ids`` counts what is left."""
+    toks = tokens(text_col)
+    if max_len is not None:
+        toks = F.slice(toks, 1, max(0, max_len - 2))
+    framed = F.concat(F.array(F.lit(None).cast("string")), toks, F.array(F.lit(None).cast("string")))
+    # the framed array is never empty; the outer form keeps the optimizer from adding a filter
+    # that would tokenize the text again below the generator
     rows = (spread_if_small(corpus.select(id_col, text_col), key=id_col).select(id_col, framed.alias("_t"))
-                  .select(id_col, F.size("_t").cast("long").alias("n_ids"), F.posexplode("_t").alias("pos", "token")))
+                  .select(id_col, F.size("_t").cast("long").alias("n_ids"), F.posexplode_outer("_t").alias("pos", "token")))
+    # BOS and EOS meet no vocabulary entry; their join keys spread by row instead of being one null
+    rows = rows.withColumn("token", F.coalesce("token", F.concat(F.lit("\u0000"), F.col(id_col).cast("string"))))
     tid = (F.when(F.col("pos") == 0, F.lit(BOS_ID))
              .when(F.col("pos") == F.col("n_ids") - 1, F.lit(EOS_ID))
              .otherwise(F.coalesce("token_id", F.lit(UNK_ID))).cast("long"))

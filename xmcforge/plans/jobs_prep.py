@@ -227,8 +227,7 @@ def build_vocab(t):
 
 @job("tokenize_ids", oracle=f"""
 with s as ({TOKEN_IDS_SQL})
-select row_id, cast(p as bigint) as pos, ids[p + 1] as token_id from s, (select unnest(range(0, 100000)) as p) r
-where p < len(ids)""")
+select row_id, cast(unnest(range(0, len(ids))) as bigint) as pos, unnest(ids) as token_id from s""")
 def tokenize_ids(t):
     """Every document's full token id sequence with BOS/EOS, long form (row_id, pos, token_id)."""
     corpus = fx.doc_text(t)
@@ -248,7 +247,7 @@ from c, (select unnest(range(0, {MAX_LEN})) as p) r"""
 def pad_and_mask(t):
     """Truncate to 32 (EOS kept), right pad, attention mask; long form."""
     corpus = fx.doc_text(t)
-    padded = TX.pad_and_mask_long(TX.id_sequence(corpus, TX.build_vocab(corpus)), MAX_LEN)
+    padded = TX.pad_and_mask_long(TX.id_sequence(corpus, TX.build_vocab(corpus), max_len=MAX_LEN), MAX_LEN)
     z = F.arrays_zip("input_ids", "attention_mask")
     return padded.select("row_id", F.posexplode(z).alias("pos", "z")).select(
         "row_id", F.col("pos").cast("long"), F.col("z.input_ids").alias("input_id"),
@@ -257,7 +256,7 @@ def pad_and_mask(t):
 
 def _label_sequences(t):
     corpus = TX.compose_text(fx.label_text(t), ["title"])
-    return TX.pad_and_mask_long(TX.id_sequence(corpus, TX.build_vocab(corpus)), LABEL_MAX_LEN)
+    return TX.pad_and_mask_long(TX.id_sequence(corpus, TX.build_vocab(corpus), max_len=LABEL_MAX_LEN), LABEL_MAX_LEN)
 
 
 ASSEMBLE_SQL = f"""

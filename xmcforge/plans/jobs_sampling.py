@@ -136,7 +136,7 @@ from cl, (select unnest(range(0, {LABEL_MAX_LEN})) as p) r where p < clip"""
 def clip_batch_lengths(t):
     """Label token ids padded to 32, batched, and cut to the longest mask in the batch."""
     corpus = TX.compose_text(fx.label_text(t), ["title"])
-    padded = TX.pad_and_mask_long(TX.id_sequence(corpus, TX.build_vocab(corpus)), LABEL_MAX_LEN)
+    padded = TX.pad_and_mask_long(TX.id_sequence(corpus, TX.build_vocab(corpus), max_len=LABEL_MAX_LEN), LABEL_MAX_LEN)
     batches = SA.assign_batches(SA.seeded_permutation(corpus.select("row_id"), "row_id", SEED), BATCH)
     clipped = TX.clip_batch_lengths(padded.join(batches.select("row_id", "batch_id"), "row_id"), LABEL_MAX_LEN)
     z = F.arrays_zip("input_ids", "attention_mask")
