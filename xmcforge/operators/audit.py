@@ -1,9 +1,10 @@
 """Loss audits over similarity tables.
 
-The reference computes these losses on a batch similarity matrix during fitting.  Here they
-are data-quality audits over whole tables: hard negatives come from the exact blocked
-retrieval (positives excluded before ranking, so a short list is never padded with
-positives), positives are md5-sampled, and every reduction is a Spark aggregate.
+The reference computes these losses on a batch similarity matrix during fitting:
+``in_batch_triplets`` does so over the batches of a training plan (n x batch similarities, one
+cell per batch).  The other audits mine negatives from a whole label table with the exact
+retrieval.  Positives are excluded before ranking, so a short list is never padded with them,
+positives are md5-sampled, and every reduction is a Spark aggregate.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xmcforge.functions import vectors as V
-from xmcforge.operators.retrieval import ova_topk
-from xmcforge.operators.sampling import sample_positive
+from xmcforge.operators.retrieval import cell_topk, ova_topk, rank_within_query
+from xmcforge.operators.sampling import in_batch_relevance, sample_positive
 
 NEG_SENTINEL = -50.0
 
@@ -44,20 +45,54 @@ def hard_negatives(anchors: DataFrame, cands: DataFrame, positives: DataFrame, k
 
 def triplet_entries(anchors: DataFrame, cands: DataFrame, positives: DataFrame, k: int = 10,
                     margin_min: float = 0.1, margin_max: float = 0.3, apply_softmax: bool = False,
-                    tau: float = 0.1, seed: int = 0, fixed_pos: bool = False,
+                    tau: float = 0.1, seed: int = 0, fixed_pos: DataFrame | None = None,
                     extra_exclude: DataFrame | None = None) -> DataFrame:
     """C08 per (anchor, negative): loss = max(0, s_n - s_p + m), m = clamp(|s_p - s_n|, min, max)
     (or the constant when min == max); with ``apply_softmax`` the loss is weighted by the
     softmax over the anchor's negatives at temperature ``tau``, zero-loss negatives at -50.
 
-    Anchors without any positive are skipped (no positive can be drawn)."""
-    if fixed_pos:
-        pos = positives.select("q_id").distinct().withColumn("pos_id", F.col("q_id"))
+    ``fixed_pos`` (q_id, pos_id) gives each anchor's positive, as a training plan sampled it;
+    without it one is drawn.  Anchors without any positive are skipped."""
+    if fixed_pos is not None:
+        pos = fixed_pos.select("q_id", "pos_id")
     else:
         pos = sample_positive(positives.select(F.col("q_id").alias("doc_id"), "label_id"), seed).select(
             F.col("doc_id").alias("q_id"), F.col("label_id").alias("pos_id"))
     pos = pair_similarity(pos, anchors, cands, "q_id", "pos_id", "sim_p")
     negs = hard_negatives(anchors, cands, positives, k, extra_exclude)
+    return _triplet_loss(negs, pos, margin_min, margin_max, apply_softmax, tau)
+
+
+def in_batch_triplets(plan: DataFrame, doc_vecs: DataFrame, label_vecs: DataFrame, xy: DataFrame, k: int = 10,
+                      margin_min: float = 0.1, margin_max: float = 0.3, apply_softmax: bool = False,
+                      tau: float = 0.1, seed: int = 0, own_positive: bool = True) -> DataFrame:
+    """C08 over the batches of ``plan`` (doc_id, batch_id, slot, label_id): anchors are a batch's
+    documents, candidates its sampled labels, negatives the ``k`` most similar of these that are
+    no label of the anchor in ``xy`` (doc_id, label_id).
+
+    The positive is the anchor's own sampled label (the diagonal of the batch matrix), or with
+    ``own_positive`` off one of its labels among the batch's, drawn by hash."""
+    docs = plan.select("batch_id", F.col("doc_id").alias("q_id")).join(
+        doc_vecs.select(F.col("doc_id").alias("q_id"), "embedding"), "q_id")
+    labels = plan.select("batch_id", "label_id").distinct().join(label_vecs.select("label_id", "embedding"), "label_id")
+    cells = in_batch_relevance(plan, xy)
+    slots = plan.select("batch_id", "slot", "doc_id", "label_id")
+    relevant = (cells.join(slots.select("batch_id", F.col("slot").alias("row_slot"), F.col("doc_id").alias("q_id")), ["batch_id", "row_slot"])
+                .join(slots.select("batch_id", F.col("slot").alias("col_slot"), "label_id"), ["batch_id", "col_slot"])
+                .select("batch_id", "q_id", "label_id").distinct())
+    if own_positive:
+        pos = plan.select(F.col("doc_id").alias("q_id"), F.col("label_id").alias("pos_id"))
+    else:
+        pos = sample_positive(relevant.select(F.col("q_id").alias("doc_id"), "label_id"), seed).select(
+            F.col("doc_id").alias("q_id"), F.col("label_id").alias("pos_id"))
+    pos = pair_similarity(pos, doc_vecs.withColumnRenamed("doc_id", "q_id"), label_vecs, "q_id", "pos_id", "sim_p")
+    found = cell_topk(docs, labels, relevant, "batch_id", k)
+    negs = rank_within_query(found, k).select("q_id", F.col("label_id").alias("neg_id"), F.col("score").alias("sim_n"), "rank")
+    return _triplet_loss(negs, pos, margin_min, margin_max, apply_softmax, tau)
+
+
+def _triplet_loss(negs: DataFrame, pos: DataFrame, margin_min: float, margin_max: float, apply_softmax: bool,
+                  tau: float) -> DataFrame:
     e = negs.join(pos, "q_id")
     if margin_min == margin_max:
         margin = F.lit(float(margin_min))

@@ -122,6 +122,19 @@ def head_tail_split(freq: DataFrame, clusters: DataFrame, n_head: int) -> DataFr
     return head.unionByName(tail).select("label_id", F.col("new_id").cast("long"))
 
 
+def update_clusters(freq: DataFrame, labels: DataFrame, n_head: int, depth: int, seed: int = 0,
+                    rounds: int = 1) -> DataFrame:
+    """W07 with C04: (label_id, new_id) where the ``n_head`` most frequent labels keep an id of
+    their own and only the other ones are clustered (2^depth balanced clusters), numbered after."""
+    from xmcforge.operators.cluster import balanced_clusters
+    ranked = dist_rank(freq.select("label_id", "freq"), [F.col("freq").desc(), F.col("label_id").desc()], rank_col="_r")
+    tail = labels.select("label_id", "embedding").join(ranked.where(F.col("_r") > n_head).select("label_id"), "label_id")
+    clusters = balanced_clusters(tail.withColumnRenamed("label_id", "item_id"), depth=depth, seed=seed, rounds=rounds)
+    head = ranked.where(F.col("_r") <= n_head).select("label_id", (F.lit(n_head) - F.col("_r")).cast("long").alias("new_id"))
+    return head.unionByName(clusters.select(F.col("item_id").alias("label_id"),
+                                            (F.lit(n_head) + F.col("cluster_id")).cast("long").alias("new_id")))
+
+
 def latest_by_key(obs: DataFrame, key: str = "key", order: Sequence[str] = ("step", "id"),
                   value_cols: Sequence[str] = ("value",)) -> DataFrame:
     """C11: the last observation per key in (step, id) order (``max_by``, order-free, so it is

@@ -251,6 +251,24 @@ def candidates(queries: DataFrame, labels: DataFrame, *, q_col: str = "q_id", l_
             .mapInArrow(_streamer(k, normalize, drop_excluded, digits, score), CAND_SCHEMA))
 
 
+def cell_topk(queries: DataFrame, labels: DataFrame, exclude: DataFrame, cell_col: str, k: int,
+              normalize: bool = True, digits: int = 6) -> DataFrame:
+    """Each query's best ``k`` labels of its own cell (unranked): ``queries`` (cell, q_id, embedding),
+    ``labels`` (cell, label_id, embedding), ``exclude`` (cell, q_id, label_id).
+
+    A cell is a bounded group such as a training batch; its queries are held in one task."""
+    vec = F.col("embedding").cast("array<double>")
+    zero, none = F.lit(0).cast("long").alias("other"), F.lit(None).cast("array<double>").alias("vec")
+    cell = F.col(cell_col).cast("long").alias("cell")
+    rows = (queries.select(cell, F.lit(0).alias("side"), F.col("q_id").cast("long").alias("id"), zero, vec.alias("vec"))
+            .unionByName(labels.select(cell, F.lit(2).alias("side"), F.col("label_id").cast("long").alias("id"), zero, vec.alias("vec")))
+            .where("vec is not null")
+            .unionByName(exclude.select(cell, F.lit(1).alias("side"), F.col("q_id").cast("long").alias("id"),
+                                        F.col("label_id").cast("long").alias("other"), none)))
+    return (rows.repartition("cell").sortWithinPartitions("cell", "side")
+            .mapInArrow(_streamer(k, normalize, True, digits, None), CAND_SCHEMA))
+
+
 def _window():
     return Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("label_id").asc())
 

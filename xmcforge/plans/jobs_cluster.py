@@ -50,6 +50,28 @@ def balanced_clusters(t):
     return CL.balanced_clusters(fx.cluster_items(t), depth=2, seed=SEED, rounds=1)
 
 
+N_HEAD = 100
+
+
+@job("update_clusters", oracle=f"""
+with f as (select l.label_id, coalesce(x.freq, 0.0) as freq from fx_label l
+           left join (select label_id, count(*) as freq from fx_trn_xy group by label_id) x on x.label_id = l.label_id),
+r as (select label_id, row_number() over (order by freq desc, label_id desc) as rk from f),
+tail as (select item_id, embedding from fx_cluster where item_id in (select label_id from r where rk > {N_HEAD})),
+base as ({BASE_SQL.replace("fx_cluster", "tail")}),
+one as (select item_id, node * 2 + side as node, v from ({_split_sql("select * from base", 0)})),
+two as (select item_id, node * 2 + side as cluster_id from ({_split_sql("select * from one", 1)}))
+select label_id, cast({N_HEAD} - rk as bigint) as new_id from r where rk <= {N_HEAD}
+union all select item_id, {N_HEAD} + cluster_id from two""")
+def update_clusters(t):
+    """W07 + C04: split labels by frequency, cluster the tail only, number head and clusters."""
+    from xmcforge.operators import represent as RP
+    from xmcforge.operators import sparse as SP
+    freq = SP.label_frequency(fx.train_xy(t).select(F.col("trn_id").alias("doc_id"), "label_id", F.lit(1.0).alias("value")),
+                              fx.labels(t).select("label_id"))
+    return RP.update_clusters(freq, fx.labels(t), N_HEAD, depth=2, seed=SEED, rounds=1)
+
+
 REFINE_ROUNDS, TARGET_SIZE, MAX_ORACLE_DEPTH = 3, 32, 10
 
 

@@ -227,6 +227,71 @@ def _swapped(pairs):
     return pairs.select(F.col("label_id").alias("q_id"), F.col("q_id").alias("label_id"))
 
 
+AUDIT_BATCH = 64
+AUDIT_PLAN_SQL = f"""
+with perm as (select doc_id, row_number() over (order by {_u52('doc_id', SEED)}, doc_id) - 1 as pos
+              from (select distinct q_id as doc_id from fx_truth)),
+s as ({_sample_sql("fx_truth", "q_id", None)})
+select p.doc_id, cast(floor(p.pos / {AUDIT_BATCH}) as bigint) as batch_id, s.label_id from perm p join s on s.doc_id = p.doc_id"""
+
+
+def _in_batch_sql(own: bool) -> str:
+    pos = ("select doc_id as q_id, label_id as pos_id from plan" if own else
+           f"select doc_id as q_id, label_id as pos_id from ({_sample_sql('inb', 'q_id', None)})")
+    return f"""
+with plan as ({AUDIT_PLAN_SQL}),
+bl as (select distinct batch_id, label_id from plan),
+inb as (select p.doc_id as q_id, b.label_id from plan p join bl b on b.batch_id = p.batch_id
+        join fx_truth t on t.q_id = p.doc_id and t.label_id = b.label_id),
+pos as ({pos}),
+sp as (select p.q_id, p.pos_id, round(list_dot_product(q.embedding, l.embedding), 6) as sim_p
+       from pos p join fx_qn q on q.q_id = p.q_id join fx_ln l on l.label_id = p.pos_id),
+n as (select p.doc_id as q_id, b.label_id as neg_id, round(list_dot_product(q.embedding, l.embedding), 6) as sim_n
+      from plan p join bl b on b.batch_id = p.batch_id join fx_qn q on q.q_id = p.doc_id join fx_ln l on l.label_id = b.label_id
+      where not exists (select 1 from fx_truth t where t.q_id = p.doc_id and t.label_id = b.label_id)),
+r as (select *, row_number() over (partition by q_id order by sim_n desc, neg_id) as rank from n),
+e as (select r.q_id, r.rank, sp.pos_id, r.neg_id, sp.sim_p, r.sim_n,
+             least(greatest(abs(sp.sim_p - r.sim_n), {MARGIN_MIN}), {MARGIN_MAX}) as margin
+      from r join sp on sp.q_id = r.q_id where r.rank <= {NEG_K})
+select q_id, rank, pos_id, neg_id, round(greatest(0.0, sim_n - sim_p + margin), 9) as loss from e"""
+
+
+def _in_batch(t, own):
+    xy = fx.truth(t).select(F.col("q_id").alias("doc_id"), "label_id")
+    plan = SA.training_batches(xy, AUDIT_BATCH, SEED)
+    docs = fx.queries(t).withColumnRenamed("q_id", "doc_id")
+    e = AU.in_batch_triplets(plan, docs, fx.labels(t), xy, k=NEG_K, margin_min=MARGIN_MIN, margin_max=MARGIN_MAX,
+                             seed=SEED, own_positive=own)
+    return e.select("q_id", "rank", "pos_id", "neg_id", F.round("loss", 9).alias("loss"))
+
+
+@job("in_batch_triplets", oracle=_in_batch_sql(False))
+def in_batch_triplets(t):
+    """C08 on the batches of a plan: hard negatives among the batch's sampled labels, a positive
+    drawn among the document's labels in the batch."""
+    return _in_batch(t, False)
+
+
+@job("in_batch_triplets_fixed", oracle=_in_batch_sql(True))
+def in_batch_triplets_fixed(t):
+    """C08 with the fixed positive: the document's own sampled label (the batch matrix's diagonal)."""
+    return _in_batch(t, True)
+
+
+N_ORDER_CLUSTERS = 97
+
+
+@job("training_batches_clustered", oracle=f"""
+with s as ({_sample_sql("fx_xy", "doc_id", XY_WEIGHTS_SQL)}),
+c as (select s.doc_id, s.label_id, o.o_custkey % {N_ORDER_CLUSTERS} as cluster_id from s join orders o on o.o_orderkey = s.doc_id),
+p as (select doc_id, label_id, row_number() over (order by {_u52('cluster_id', SEED)}, cluster_id, doc_id) - 1 as pos from c)
+select doc_id, pos, cast(floor(pos / {BATCH}) as bigint) as batch_id, cast(pos % {BATCH} as bigint) as slot, label_id from p""")
+def training_batches_clustered(t):
+    """C07 in cluster order: clusters in seeded random order, members together, then batches."""
+    clusters = t("orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % N_ORDER_CLUSTERS).alias("cluster_id"))
+    return SA.training_batches(fx.xy(t), BATCH, SEED, xy_weights(t), clusters=clusters)
+
+
 # ---- fused view for C09/C10: prototype of each label (raw, label centroid, class centroid)
 def fused_labels(t):
     """P18 with three sources per label: raw vector, centroid of its training queries,
