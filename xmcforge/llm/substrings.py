@@ -82,17 +82,18 @@ def span_rows(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "_id long, _text_key long, h1 long, h2 long, start int, end int, again boolean")
 
 
-def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """``df`` with repeated spans cut out of ``text_col`` and their original offsets in ``removed``.
+def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS,
+                 ranges_col: str = "removed") -> DataFrame:
+    """``df`` with repeated spans cut out of ``text_col`` and their original offsets in ``ranges_col``.
 
     Documents rank by id, nulls last.  Rows that share an id rank equal: a span first seen under
-    that id stays in each of them.  A text's own repeats go, too.  ``removed`` lists merged
+    that id stays in each of them.  A text's own repeats go, too.  ``ranges_col`` lists merged
     [start, end) ranges in code points; it is empty for untouched texts.  Null and empty texts stay
     as they are; a text with nothing left becomes empty.  Other columns pass through; one called
-    ``removed`` is replaced."""
+    like ``ranges_col`` is replaced."""
     last = F.lit((1 << 63) - 1)
     rank = F.coalesce(df[f"`{id_col}`"].cast("long"), last)
-    kept = df.drop("removed")
+    kept = df.drop(ranges_col)
     docs = df.select(rank.alias("_id"), F.xxhash64(df[f"`{text_col}`"]).alias("_text_key"), df[f"`{text_col}`"].alias("_text"))
     rows = span_rows(docs, min_words)
     # narrow and summed map-side: a line that a third of all texts holds is one row per task
@@ -105,7 +106,7 @@ def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
               .join(gone, ["_id", "_text_key"], "left").select(*[F.col(f"`{c}`") for c in kept.columns], "_gone"))
     names = kept.columns
     at = names.index(next(c for c in names if c.lower() == text_col.lower()))
-    schema = T.StructType(list(kept.schema.fields) + [T.StructField("removed", T.ArrayType(SPAN))])
+    schema = T.StructType(list(kept.schema.fields) + [T.StructField(ranges_col, T.ArrayType(SPAN))])
 
     def cut(batches):
         import pyarrow as pa
@@ -128,7 +129,7 @@ def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 cols[at] = pa.array(texts, cols[at].type)
                 yield pa.RecordBatch.from_arrays(
                     [*cols, pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    names=[*names, "removed"])
+                    names=[*names, ranges_col])
 
     return joined.mapInArrow(cut, schema)
 
