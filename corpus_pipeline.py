@@ -43,7 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one holds; a text with nothing left goes."""
-    cut = substrings.drop_repeats(docs).where((F.size("removed") == 0) | (F.length(F.trim("text")) > 0)).drop("removed")
+    cut = substrings.drop_repeats(docs, ranges_col="_cut")
+    cut = cut.where((F.size("_cut") == 0) | (F.length(F.trim("text")) > 0)).drop("_cut")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return cut.select(*docs.columns)
