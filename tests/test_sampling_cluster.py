@@ -67,14 +67,15 @@ def test_zero_weight_is_never_drawn(spark):
     assert len(s) == 200 and (s.label_id == 1).all()
 
 
-def test_cluster_assignment_paths_agree(spark, monkeypatch):
+def test_dot_difference_equals_the_native_fold(spark):
+    from pyspark.sql import functions as F
+    from xmcforge.functions import vectors as V
     rng = np.random.default_rng(9)
-    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(300)]
-    items = spark.createDataFrame(rows, "item_id long, embedding array<double>")
-    native = CL.balanced_clusters(items, depth=2, seed=3, rounds=2).toPandas().sort_values("item_id")
-    monkeypatch.setattr(CL, "ARROW_DOT_MIN_ELEMENTS", 0)
-    arrow = CL.balanced_clusters(items, depth=2, seed=3, rounds=2).toPandas().sort_values("item_id")
-    assert native.cluster_id.tolist() == arrow.cluster_id.tolist()
+    rows = [(i, *([float(x) for x in rng.normal(size=16)] for _ in range(3))) for i in range(300)]
+    df = spark.createDataFrame(rows, "item_id long, v array<double>, a array<double>, b array<double>")
+    arrow = {r.item_id: r.d for r in V.dot_difference(df, "v", "a", "b", "d", keep=["item_id"]).collect()}
+    native = {r.item_id: r.d for r in df.select("item_id", (V.dot("v", "a") - V.dot("v", "b")).alias("d")).collect()}
+    assert arrow == native
 
 
 def test_orders_keep_wide_columns_aligned(spark):

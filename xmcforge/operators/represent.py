@@ -163,13 +163,30 @@ def ema(obs: DataFrame, w: float = 0.95, key: str = "key", order: Sequence[str]
 
 def linear_project(df: DataFrame, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None,
                    vec_col: str = "embedding", out: str = "projected") -> DataFrame:
-    """V -> W v (+ b) with a small supplied matrix (out_dim x in_dim) as a literal
-    (its size is fixed by the caller, not by the data)."""
-    wlit = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in weights])
-    proj = F.transform(wlit, lambda row: V.dot(row, F.col(vec_col)))
-    if bias is not None:
-        proj = V.add(proj, F.array(*[F.lit(float(b)) for b in bias]))
-    return df.withColumn(out, proj)
+    """V -> W v (+ b), one matrix product per Arrow batch.  The matrix (out_dim x in_dim,
+    sized by the caller, not by the data) travels with the function, not as plan literals.
+    Null vectors project to null; other columns pass through."""
+    import pyarrow as pa
+    w = np.asarray(weights, np.float64)
+    b = np.zeros(len(w)) if bias is None else np.asarray(bias, np.float64)
+    kept = df.drop(out)
+    schema = T.StructType(list(kept.schema.fields) + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    names = kept.columns
+
+    def run(batches):
+        for rb in batches:
+            vec = rb.column(names.index(vec_col))
+            real = vec.drop_null()
+            x = real.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            if len(x) != len(real) * w.shape[1]:
+                raise ValueError(f"vectors must have {w.shape[1]} components")
+            y = x.reshape(len(real), w.shape[1]) @ w.T + b
+            sizes = np.where(np.asarray(vec.is_null()), 0, len(w))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            proj = pa.ListArray.from_arrays(ends, pa.array(y.reshape(-1)), mask=vec.is_null())
+            yield pa.RecordBatch.from_arrays([*rb.columns, proj], names=[*names, out])
+
+    return kept.mapInArrow(run, schema)
 
 
 def pca_fit(df: DataFrame, k: int, vec_col: str = "embedding") -> np.ndarray:
@@ -192,11 +209,13 @@ def hashed_bag_encoder(dim: int = 64) -> EncoderFn:
     tok = re.compile(r"[^\W_]+", re.UNICODE)
 
     def enc(texts: pd.Series) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float64)
-        for i, t in enumerate(texts.fillna("").to_numpy()):
-            for w in tok.findall(str(t).lower()):
-                h = int(hashlib.md5(w.encode("utf-8")).hexdigest()[:13], 16)
-                out[i, h % dim] += 1.0
+        # one flat token list per batch; each distinct token is hashed once
+        lists = [tok.findall(str(t).lower()) for t in texts.fillna("").to_numpy()]
+        rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        codes, words = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
+        bucket = np.array([int(hashlib.md5(w.encode("utf-8")).hexdigest()[:13], 16) % dim for w in words], dtype=np.int64)
+        flat = rows * dim + bucket[codes] if len(codes) else np.zeros(0, np.int64)
+        out = np.bincount(flat, minlength=len(lists) * dim).astype(np.float64).reshape(len(lists), dim)
         n = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.where(n > 0, out / np.where(n > 0, n, 1.0), 0.0)
     return enc

@@ -133,10 +133,10 @@ def reduce_max_dense(t):
 
 @job("matrix_stats", oracle="""
 select count(*) as nnz, count(distinct doc_id) as nonempty_rows, count(distinct label_id) as used_labels,
-       max(label_id) + 1 as n_labels from fx_xy""")
+       max(label_id) + 1 as n_labels, (select count(*) from orders) as n_rows from fx_xy""")
 def matrix_stats(t):
-    """Nnz, non-empty rows, used labels, label count (max id + 1)."""
-    return SP.matrix_stats(fx.xy(t))
+    """Nnz, non-empty rows, used labels, label count (max id + 1) and the shape's row count."""
+    return SP.matrix_stats(fx.xy(t), fx.docs(t))
 
 
 @job("dense_mapping", oracle="""

@@ -259,6 +259,7 @@ def _label_sequences(t):
     return TX.pad_and_mask_long(TX.id_sequence(corpus, TX.build_vocab(corpus), max_len=LABEL_MAX_LEN), LABEL_MAX_LEN)
 
 
+SUFFIX_ID = 7   # any id for the suffix segment
 ASSEMBLE_SQL = f"""
 with v as (select token, row_number() over (order by count desc, token) - 1 + {TX.FIRST_TOKEN_ID} as token_id
            from (select token, count(*) as count from (select unnest({_tok('title')}) as token from fx_label_text) group by token)),
@@ -273,24 +274,53 @@ slots as (select owner_id, asset_id, row_number() over (partition by owner_id or
 img as (select o.owner_id as row_id, s.p, coalesce(a.asset_id, -1) as id, case when a.asset_id is null then 0 else 1 end as m
         from fx_owner o join (select unnest(range(0, {NUM_IMGS})) as p) s on true
         left join slots a on a.owner_id = o.owner_id and a.slot = s.p),
-parts as (select row_id, 0 as g, 0 as p, {TX.BOS_ID} as id, 1 as m, 'img_prefix' as segment from fx_label_text
-          union all select row_id, 1, p, id, m, 'img' from img
-          union all select row_id, 2, 0, {TX.EOS_ID}, 1, 'txt_prefix' from fx_label_text
-          union all select row_id, 3, p, id, m, 'text' from txt)
-select row_id, cast(row_number() over (partition by row_id order by g, p) - 1 as bigint) as pos, cast(id as bigint) as seq_id,
-       cast(m as bigint) as seq_mask, segment from parts"""
+parts as (select row_id, 0 as p, {TX.BOS_ID} as id, 1 as m, 'img_prefix' as segment from fx_label_text
+          union all select row_id, p, id, m, 'img' from img
+          union all select row_id, 0, {TX.EOS_ID}, 1, 'txt_prefix' from fx_label_text
+          union all select row_id, p, id, m, 'text' from txt
+          union all select row_id, p, {SUFFIX_ID}, 1, 'suffix' from fx_label_text, (select unnest(range(0, 2)) as p) r)"""
 
 
-@job("assemble_sequence", oracle=ASSEMBLE_SQL)
+def _assemble_sql(*layout: str) -> str:
+    order = " ".join(f"when '{s}' then {i}" for i, s in enumerate(layout))
+    kept = ", ".join(f"'{s}'" for s in layout)
+    return ASSEMBLE_SQL + f"""
+select row_id, cast(row_number() over (partition by row_id order by case segment {order} end, p) - 1 as bigint) as pos,
+       cast(id as bigint) as seq_id, cast(m as bigint) as seq_mask, segment from parts where segment in ({kept})"""
+
+
+@job("assemble_sequence", oracle=_assemble_sql("img_prefix", "img", "txt_prefix", "text"))
 def assemble_sequence(t):
     """image_text layout = [BOS] + 3 image slots + [EOS] + 8 text ids, masks in parallel."""
+    return _assemble(t, "image_text", img_prefix=[TX.BOS_ID], txt_prefix=[TX.EOS_ID])
+
+
+@job("assemble_text_image", oracle=_assemble_sql("txt_prefix", "text", "img_prefix", "img", "suffix"))
+def assemble_text_image(t):
+    """text_image layout with a suffix of two ids."""
+    return _assemble(t, "text_image", img_prefix=[TX.BOS_ID], txt_prefix=[TX.EOS_ID], suffix=[SUFFIX_ID] * 2)
+
+
+@job("assemble_text", oracle=_assemble_sql("txt_prefix", "text", "suffix"))
+def assemble_text(t):
+    """Text layout, no image segment."""
+    return _assemble(t, "text", txt_prefix=[TX.EOS_ID], suffix=[SUFFIX_ID] * 2)
+
+
+@job("assemble_encoder", oracle=_assemble_sql("img", "text"))
+def assemble_encoder(t):
+    """Encoder layout, image slots then text, no prefixes."""
+    return _assemble(t, "encoder")
+
+
+def _assemble(t, order, **prefixes):
     text = _label_sequences(t)
     slots = AS.image_slots(fx.owners(t), fx.assets(t), NUM_IMGS)
     img = slots.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("slot", "asset_id", "mask"))).alias("a"))
     img = img.select(F.col("owner_id").alias("row_id"), F.col("a.asset_id").alias("img_ids"), F.col("a.mask").alias("img_mask"))
     both = text.join(img, "row_id")
-    seq = TX.assemble_sequence(both, "image_text", text_ids="input_ids", text_mask="attention_mask",
-                               img_ids="img_ids", img_mask="img_mask", img_prefix=[TX.BOS_ID], txt_prefix=[TX.EOS_ID])
+    seq = TX.assemble_sequence(both, order, text_ids="input_ids", text_mask="attention_mask",
+                               img_ids="img_ids", img_mask="img_mask", **prefixes)
     z = F.arrays_zip("seq_ids", "seq_mask", "seq_segment")
     return seq.select("row_id", F.posexplode(z).alias("pos", "z")).select(
         "row_id", F.col("pos").cast("long"), F.col("z.seq_ids").alias("seq_id"), F.col("z.seq_mask").alias("seq_mask"),
@@ -364,6 +394,25 @@ def image_slots(t):
     return AS.image_slots(fx.owners(t), fx.assets(t), NUM_IMGS)
 
 
+@job("image_slot_vectors", oracle=f"""
+with s as (select owner_id, embedding, row_number() over (partition by owner_id order by asset_id) - 1 as slot from fx_asset),
+w as (select max(len(embedding)) as dim from fx_asset),
+g as (select o.owner_id, g.slot, d.dim from (select distinct owner_id from fx_owner) o
+      join (select unnest(range(0, {NUM_IMGS})) as slot) g on true join (select unnest(range(1, 1 + (select dim from w))) as dim) d on true)
+select g.owner_id, cast(g.slot as bigint) as slot, cast(g.dim as bigint) as dim,
+       round(coalesce(s.embedding[g.dim], 0.0), 6) as value, cast(case when s.owner_id is null then 0 else 1 end as bigint) as mask
+from g left join s on s.owner_id = g.owner_id and s.slot = g.slot""")
+def image_slot_vectors(t):
+    """The slots' vectors (zero where a slot is empty) and masks as arrays per owner, one row
+    per component."""
+    dim = t("embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    slots = AS.slots_as_arrays(AS.image_slots(fx.owners(t), fx.assets(t), NUM_IMGS, vec_col="embedding"), int(dim))
+    each = slots.select("owner_id", "mask", F.posexplode("slots").alias("slot", "v"))
+    return each.select("owner_id", F.col("slot").cast("long").alias("slot"), F.element_at("mask", F.col("slot") + 1).alias("mask"),
+                       F.posexplode("v").alias("p", "x")).select(
+        "owner_id", "slot", (F.col("p") + 1).cast("long").alias("dim"), F.round("x", 6).alias("value"), "mask")
+
+
 @job("ingest_assets", oracle=f"""
 with v as (select u.owner_id, u.ord, u.url from (select distinct owner_id from fx_owner) o
            join fx_url u on u.owner_id = o.owner_id where regexp_matches(u.url, '^https?://')),

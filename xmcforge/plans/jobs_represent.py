@@ -208,10 +208,10 @@ def encode_table(t):
     return e.select("row_id", "dim", F.round("value", 9).alias("value"))
 
 
-@job("encode_table_udf", oracle=ENC_SQL + "\nselect row_id, dim from c")
+@job("encode_table_udf", oracle=ENC_SQL + "\nselect c.row_id, c.dim, round(cast(cast(c.c / n.n as float) as double), 5) as value from c join n on n.row_id = c.row_id")
 def encode_table_udf(t):
-    """the same encoder as a pluggable Python batch function through mapInPandas;
-    compared on its non-zero buckets."""
+    """the same encoder as a pluggable Python batch function through mapInPandas (float32
+    vectors, compared to 5 digits)."""
     e = RP.encode_table(fx.doc_text(t), RP.hashed_bag_encoder(DIM), dim=DIM)
     return (e.select("row_id", F.posexplode("embedding").alias("dim", "x"))
-             .where(F.col("x") != 0).select("row_id", F.col("dim").cast("long")))
+             .where(F.col("x") != 0).select("row_id", F.col("dim").cast("long"), F.round(F.col("x").cast("double"), 5).alias("value")))
