@@ -164,9 +164,37 @@ def cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     return kept.mapInArrow(run, schema)
 
 
-@query("op5_quality_cascade")
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+c AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest(range(0, 3)) AS k) WHERE n > 1 GROUP BY r),
+m AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
+         CAST(coalesce(c.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper
+  FROM w LEFT JOIN c ON c.r = w.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * n_lines OR 2 * n_upper > n_words
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+FROM b
+"""
+
+
+@query("op5_quality_cascade", OP5_SQL)
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measurements and the cascade's verdict of every whole document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     report = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return cascade(docs, report=report, base=BASE).drop("text")
+    # which rule comes first depends on measured costs, so only the verdict is reported
+    return cascade(docs, report=report, base=BASE).drop("text", "rejected_by")
