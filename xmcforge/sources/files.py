@@ -2,8 +2,8 @@
 (S01-S11, S13-S15).
 
 Line identity: the reference identifies a record by its line number.  Spark scans files in
-parallel splits, so the line number is rebuilt from (file name, split start, position in
-the split) with a distributed rank — no single-task pass over the file.
+parallel splits, so the line number is rebuilt from the position in the split and the line
+counts of the splits before it, in (part number, file name, split start) order.
 """
 
 from __future__ import annotations
@@ -27,10 +27,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 # ------------------------------------------------------------------ raw text lines
 
-# Broadcast the per-split line counts below this many splits (a few dozen bytes each).
-SPLIT_TABLE_BROADCAST_ROWS = 2_000_000
-
-
 def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", strip: bool = True,
                line_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """One record per line, blank lines kept; ``row_id`` = 0-based line number.
@@ -42,7 +38,8 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", str
     (file, split start), is read in file order inside it, and the scan's split layout is fixed
     by the file listing, so ``monotonically_increasing_id`` minus the split's first id is the
     position inside the split.  A light pass counts lines per split; their prefix sums in
-    (file, start) order (a table with one row per split) are joined back."""
+    (file, start) order (a table with one row per split) are joined back; the optimizer
+    picks that join by the table's size at run time."""
     raw = spark.read.text(path)
     text = F.decode(F.col("value").cast("binary"), encoding)
     if strip:
@@ -54,8 +51,6 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", str
     number = F.nullif(F.regexp_extract("_f", r"part-(\d{1,18})", 1), F.lit("")).cast("long")
     w = Window.orderBy(number.asc_nulls_first(), "_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    if offsets.count() <= SPLIT_TABLE_BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     return (keyed.join(offsets, ["_f", "_b"])
                  .select((F.col("_off") + F.col("_m") - F.col("_m0")).cast("long").alias(line_col), text_col))
 
@@ -89,17 +84,13 @@ CORPUS_SCHEMA = T.StructType([
 ])
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CORPUS_SCHEMA,
-               partitions: int | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CORPUS_SCHEMA) -> DataFrame:
     """JSON lines (gz allowed) with an explicit schema and the line number as row_id.
 
-    A .gz file is one task; the rows are spread with a repartition after the read."""
+    A .gz file is one task: a small input is spread before parsing, larger ones keep their splits."""
     from xmcforge.plans.partitioning import spread_if_small
     raw = read_lines(spark, path, encoding="UTF-8", strip=False, line_col="row_id", text_col="_json")
-    # a gzip file is one split: spread a small input before parsing so parsing uses every core
-    parsed = spread_if_small(raw, key="row_id").select("row_id", F.from_json("_json", schema).alias("j")).select("row_id", "j.*")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return parsed.repartition(n, "row_id")
+    return spread_if_small(raw, key="row_id").select("row_id", F.from_json("_json", schema).alias("j")).select("row_id", "j.*")
 
 
 def write_jsonl(df: DataFrame, path: str, order_col: str, compression: str = "gzip") -> None:
