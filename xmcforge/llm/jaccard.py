@@ -59,8 +59,9 @@ class Bands:
         return self.differ(band) + 1 + self.spare(band)
 
     def bits(self, band: int) -> int:
-        """Bitmap width, a power of two of at least twice the band's smallest size."""
-        return max(64, 1 << (2 * self.edges[band] - 1).bit_length())
+        """Bitmap width, a power of two of at least eight times the band's smallest size: few
+        n-grams share a bit, so the bound is close to the true overlap."""
+        return max(64, 1 << (8 * self.edges[band] - 1).bit_length())
 
 
 def mixed(h):
@@ -240,12 +241,20 @@ def tile_pairs(members: DataFrame, marks: DataFrame, percent: int, block: int =
         bits = np.concatenate([fold(np.frombuffer(r[3], "<u8")[None, :], width) for r in run])
         node, label, size, own = (np.array([r[k] for r in run], np.int64) for k in (0, 1, 2, 4))
         crossed = own.min() != own.max()
+        if len(run) <= 64:  # all at once
+            i, j = np.nonzero((label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
+                              & ((own[:, None] != own[None, :]) | (not crossed)))
+            ok = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+            i, j = i[ok], j[ok]
+            ok = may_link(bits[i], size[i], bits[j], size[j], percent)
+            yield from zip(node[i[ok]].tolist(), node[j[ok]].tolist())
+            return
         for i in range(len(run)):
             other = np.flatnonzero((label != label[i]) & (node > node[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
             other = other[own[other] != own[i]] if crossed else other
             if len(other):
                 ok = other[may_link(bits[i][None, :], size[i], bits[other], size[other], percent)]
-                yield from ((node[i], j) for j in node[ok])
+                yield from ((int(node[i]), j) for j in node[ok].tolist())
 
     def run(batches):
         import pyarrow as pa
@@ -284,7 +293,8 @@ def near_duplicates(docs: DataFrame, n: int, percent: int, text_col: str = "text
     nodes = real.groupBy("s1", "s2", "size").agg(F.min("id").alias("node"), F.min_by(F.struct("bits", "tiles"), "id").alias("x"))
     nodes = written(nodes.select("s1", "s2", "node", "size", "x.bits", "x.tiles"), "nodes")
     marks, texts = nodes.select("node", "size", "bits"), None
-    tiles = nodes.select("node", F.explode("tiles").alias("tile"))
+    # dealt by tile once: the count and the join below both read this exchange
+    tiles = nodes.select("node", F.explode("tiles").alias("tile")).repartition("tile")
     shared = (tiles.groupBy("tile").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
               .where("pivot < _last").drop("_last"))
     members = written(tiles.join(shared, "tile").select("tile", "node", "pivot"), "members")
@@ -297,8 +307,12 @@ def near_duplicates(docs: DataFrame, n: int, percent: int, text_col: str = "text
     labels = components(links)
     # then all pairs of a tile that are not connected yet
     named = members.join(labels, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("label"))
-    mixed_tiles = named.groupBy("tile").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("tile")
-    rest = tile_pairs(named.join(mixed_tiles, "tile"), marks, percent)
+    mixed_tiles = named.groupBy("tile").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("node").alias("a"),
+                                            F.max("node").alias("b"), F.count(F.lit(1)).alias("_n")).where("_a < _b")
+    mixed_tiles = written(mixed_tiles.select("tile", "a", "b", "_n"), "mixed")
+    # two members are a pair by themselves
+    rest = bounded_pairs(mixed_tiles.where("_n = 2").select("a", "b").distinct(), marks, percent)
+    rest = rest.union(tile_pairs(named.join(mixed_tiles.where("_n > 2").select("tile"), "tile"), marks, percent)).distinct()
     links = links.union(exact_links(written(rest, "pairs"), texts, n, percent))
     copies = real.join(nodes.select("s1", "s2", "size", "node"), ["s1", "s2", "size"])
     same = written(copies.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), "copies")
@@ -307,7 +321,25 @@ def near_duplicates(docs: DataFrame, n: int, percent: int, text_col: str = "text
             .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("label", "id").alias("component_id")))
 
 
-@query("op7_ngram_join")
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+                        GROUP BY x.doc_id, y.doc_id) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * p.c >= 85 * (na.n + nb.n - p.c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, t.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) t ON t.a = d.doc_id
+"""
+
+
+@query("op7_ngram_join", OP7_SQL)
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by 4-word shingles at a Jaccard similarity of at least 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), 4, 85)
