@@ -112,3 +112,9 @@ def test_l2_normalize_is_linear_in_the_width(spark):
         assert np.allclose(r.n, v / np.sqrt((v * v).sum()), rtol=1e-12)
     zero = spark.createDataFrame([([0.0, 0.0],), (None,), ([],)], "v array<double>").select(l2_normalize("v").alias("n")).collect()
     assert [r.n for r in zero] == [[0.0, 0.0], None, []]
+
+
+def test_ema_keeps_null_keys(spark):
+    obs = spark.createDataFrame([(None, 1, 1, 2.0), (None, 2, 2, 4.0), (7, 1, 3, 1.0)], "key long, step long, id long, value double")
+    got = {r.key: (round(r.ema, 9), r.n_obs) for r in RP.ema(obs, 0.5).collect()}
+    assert got == {None: (0.5 * 0.5 * 2.0 + 0.5 * 4.0, 2), 7: (0.5, 1)}

@@ -1,7 +1,8 @@
 """Substring duplicates by hashing lines and sentences.
 
 A text is cut into units at line breaks, after sentence marks and before capital letters, so that a
-passage spliced into a line still yields the same units.  A unit shorter than ``min_words`` is
+passage spliced into a line still yields the same units; longer units are cut before words that a
+hash picks, wherever these stand.  A unit shorter than ``min_words`` is
 hashed together with the units after it until the span is long enough.  Span digests are grouped
 over all texts; the occurrence in the lowest-ranked document stays and the other ones are cut out,
 with their offsets in the original text kept.
@@ -10,6 +11,7 @@ with their offsets in the original text kept.
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from xmcforge.llm.common import slices, table, with_fields
 from xmcforge.llm.registry import query
 
 MIN_WORDS = 8
+LONG_UNIT, PICK = 24, 12  # units of more words are cut before about one word in PICK
+WORD = re.compile(r"\S+")
 UNIT_END = re.compile(r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -28,17 +32,24 @@ def spans(text: str, min_words: int) -> list[tuple[str, int, int]]:
 
     Units at the end of a text that do not reach ``min_words`` words begin no span."""
     starts, norms, counts = [], [], []
+
+    def unit(a: int, b: int) -> None:
+        words = text[a:b].lower().split()
+        if len(words) > LONG_UNIT:
+            at = [m.start() + a for m in WORD.finditer(text[a:b])]
+            cuts = [0, *(i for i, w in enumerate(words) if i and crc32(w.encode()) % PICK == 0), len(words)]
+        else:
+            at, cuts = [a], [0, len(words)] if words else [0]
+        for i, j in zip(cuts, cuts[1:]):
+            starts.append(at[i])
+            norms.append(" ".join(words[i:j]))
+            counts.append(j - i)
+
     at = 0
     for m in UNIT_END.finditer(text):
-        if (words := text[at:m.start()].lower().split()):
-            starts.append(at)
-            norms.append(" ".join(words))
-            counts.append(len(words))
+        unit(at, m.start())
         at = m.end()
-    if (words := text[at:].lower().split()):
-        starts.append(at)
-        norms.append(" ".join(words))
-        counts.append(len(words))
+    unit(at, len(text))
     starts.append(len(text))
     out = []
     for i, n in enumerate(counts):
@@ -96,6 +107,8 @@ def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     kept = df.drop(ranges_col)
     docs = df.select(rank.alias("_id"), F.xxhash64(df[f"`{text_col}`"]).alias("_text_key"), df[f"`{text_col}`"].alias("_text"))
     rows = span_rows(docs, min_words)
+    # a text's own repeats go in any case: they are dealt by place, not to their digest's task
+    rows = rows.withColumn("h1", F.when(F.col("again"), F.xxhash64("_id", "start")).otherwise(F.col("h1")))
     # narrow and summed map-side: a line that a third of all texts holds is one row per task
     first = (rows.where(~F.col("again")).groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
              .where("_first < _last").drop("_last"))

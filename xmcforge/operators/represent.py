@@ -150,17 +150,31 @@ def ema(obs: DataFrame, w: float = 0.95, key: str = "key", order: Sequence[str]
     c_n = w^n c_0 + sum_i (1 - w) w^(n - i) x_i.  Ranks per key come from the distributed
     rank, so a key with most of the rows still spreads over many tasks.  ``init`` (key, c0)
     defaults to 0."""
-    r = dist_rank(obs.select(key, *order, value_col), list(order), rank_col="i", partition_by=[key])
-    n = r.groupBy(key).agg(F.max("i").alias("n"))
-    terms = r.join(n, key).select(
-        key, "n", (F.lit(1.0 - w) * F.pow(F.lit(w), F.col("n") - F.col("i")) * F.col(value_col)).alias("t"))
-    out = terms.groupBy(key).agg(F.sum("t").alias("s"), F.max("n").alias("n"))
+    terms = _ema_weights(obs.select(key, *order, value_col), w, key, order)
+    out = terms.groupBy(key).agg(F.sum(F.col("_weight") * F.col(value_col)).alias("s"), F.max("n").alias("n"))
     if init is not None:
-        out = out.join(init.select(key, "c0"), key, "left").fillna(0.0, ["c0"])
+        start = init.select(F.col(key).alias("_k"), "c0")
+        out = out.join(start, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k").fillna(0.0, ["c0"])
         out = out.withColumn("s", F.col("s") + F.pow(F.lit(w), F.col("n")) * F.col("c0"))
     return out.select(key, F.col("s").alias("ema"), F.col("n").cast("long").alias("n_obs"))
 
 
+def _ema_weights(obs: DataFrame, w: float, key: str, order: Sequence[str]) -> DataFrame:
+    """``obs`` with each row's weight (1 - w) w^(n - i) in its key's mean (a null key is a key)."""
+    r = dist_rank(obs, list(order), rank_col="i", partition_by=[key])
+    n = r.groupBy(F.col(key).alias("_k")).agg(F.max("i").alias("n"))
+    return (r.join(n, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+             .withColumn("_weight", F.lit(1.0 - w) * F.pow(F.lit(w), F.col("n") - F.col("i"))))
+
+
+def ema_vectors(obs: DataFrame, w: float = 0.95, key: str = "key", order: Sequence[str] = ("step", "id"),
+                vec_col: str = "embedding") -> DataFrame:
+    """C12 on vectors: (key, embedding) with the running mean of each key's vectors in ``order``,
+    from the zero vector."""
+    sums = vector_sums(_ema_weights(obs.select(key, *order, vec_col), w, key, order), [key], vec_col, weight="_weight")
+    return collect_vec(sums.select(key, "dim", F.col("s").alias("x")), [key])
+
+
 def linear_project(df: DataFrame, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None,
                    vec_col: str = "embedding", out: str = "projected") -> DataFrame:
     """V -> W v (+ b), one matrix product per Arrow batch.  The matrix (out_dim x in_dim,

@@ -170,6 +170,36 @@ def ema_centroid(t):
     return e.select("key", F.round("ema", 6).alias("ema"), "n_obs")
 
 
+VEC_KEYS = 40   # embeddings stand in for vector observations of this many keys
+VEC_OBS = f"select vec_id % {VEC_KEYS} as key, vec_id // {VEC_KEYS} as step, vec_id as id, embedding::double[] as embedding from embeddings"
+
+
+def _vector_observations(t):
+    return t("embeddings").select((F.col("vec_id") % VEC_KEYS).alias("key"), F.expr(f"vec_id div {VEC_KEYS}").alias("step"),
+                                  F.col("vec_id").alias("id"), "embedding")
+
+
+@job("latest_embedding_vectors", oracle=f"""
+with o as ({VEC_OBS}), l as (select key, id, embedding, row_number() over (partition by key order by step desc, id desc) as rn from o),
+e as (select key, id, unnest(range(1, len(embedding) + 1)) as dim, unnest(embedding) as x from l where rn = 1)
+select key, id, cast(dim as bigint) as dim, round(x, 6) as value from e""")
+def latest_embedding_vectors(t):
+    """C11 on vectors: the latest embedding per key in (step, id) order."""
+    last = RP.latest_by_key(_vector_observations(t), value_cols=("embedding",))
+    return last.select("key", "id", F.posexplode("embedding").alias("p", "x")).select(
+        "key", "id", (F.col("p") + 1).cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("value"))
+
+
+@job("ema_centroid_vectors", oracle=f"""
+with o as ({VEC_OBS}),
+r as (select key, embedding, row_number() over (partition by key order by step, id) as i, count(*) over (partition by key) as n from o),
+e as (select key, {1 - EMA_W} * pow({EMA_W}, n - i) as w, unnest(range(1, len(embedding) + 1)) as dim, unnest(embedding) as x from r)
+select key, cast(dim as bigint) as dim, round(sum(w * x), 6) as value from e group by key, dim""")
+def ema_centroid_vectors(t):
+    """C12 on vectors: the running mean (w = 0.95) of each key's embeddings."""
+    return _long(RP.ema_vectors(_vector_observations(t), EMA_W), "key")
+
+
 def _proj_sql() -> str:
     rows = ", ".join("[" + ", ".join(repr(x) for x in row) + "]::double[]" for row in proj_matrix())
     return f"""select l.label_id, cast(i as bigint) as out_dim,
