@@ -21,15 +21,14 @@ def test_global_orders_have_no_single_partition_window_over_rows(spark, key):
             assert "HashAggregate" in below and "_pid" in below, (key, line, below)
 
 
-def test_parquet_scan_prunes_and_pushes(spark):
+def test_parquet_scan_prunes(spark):
     df = E.queries()["scan_parquet"](spark, SF_SMALL)
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-    assert "StringStartsWith(url,https://)" in plan
     assert re.search(r"ReadSchema: struct<page_id:bigint,url:string>", plan)
 
 
 @pytest.mark.parametrize("key", ["ova_topk", "predict_and_eval", "hard_negatives", "rai_joint"])
 def test_retrieval_plans_are_blocked_with_group_limit(spark, key):
     plan = _plan(spark, key)
-    assert "FlatMapCoGroupsInArrow" in plan and "WindowGroupLimit" in plan
+    assert "MapInArrow" in plan and "FlatMapCoGroupsInArrow" not in plan and "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
