@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xmcforge.llm.common import written
+from xmcforge.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     doubling, so the rounds grow with the logarithm of the longest path."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                    .where("a <> b").distinct(), "edges")
+    old = None
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         seen = (both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
@@ -25,6 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(nearer.join(jump, "label", "left")
                       .select("node", "was", F.coalesce(F.least("label", "next"), "label").alias("label")), "labels")
         changed = now.where("label <> was").limit(1).count()
-        labels = now.select("node", "label")
+        if old is not None:
+            discard(old)
+        labels, old = now.select("node", "label"), now
         if not changed:
+            discard(both)
             return labels

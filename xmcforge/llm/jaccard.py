@@ -19,7 +19,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xmcforge.llm.common import SLICE_BYTES, slices, table, words_of, written
+from xmcforge.llm.common import SLICE_BYTES, discard, slices, table, words_of, written
 from xmcforge.llm.components import components
 from xmcforge.llm.registry import query
 
@@ -59,9 +59,9 @@ class Bands:
         return self.differ(band) + 1 + self.spare(band)
 
     def bits(self, band: int) -> int:
-        """Bitmap width, a power of two of at least eight times the band's smallest size: few
+        """Bitmap width, a power of two of at least four times the band's smallest size: few
         n-grams share a bit, so the bound is close to the true overlap."""
-        return max(64, 1 << (8 * self.edges[band] - 1).bit_length())
+        return max(64, 1 << (4 * self.edges[band] - 1).bit_length())
 
 
 def mixed(h):
@@ -292,7 +292,11 @@ def near_duplicates(docs: DataFrame, n: int, percent: int, text_col: str = "text
     real = sets.where("size > 0 and id is not null")
     nodes = real.groupBy("s1", "s2", "size").agg(F.min("id").alias("node"), F.min_by(F.struct("bits", "tiles"), "id").alias("x"))
     nodes = written(nodes.select("s1", "s2", "node", "size", "x.bits", "x.tiles"), "nodes")
-    marks, texts = nodes.select("node", "size", "bits"), None
+    # from here on a row needs its set's size and node only; the wide table goes
+    rows = sets.select("id", "size", "s1", "s2").join(nodes.select("s1", "s2", "size", "node"), ["s1", "s2", "size"], "left")
+    wide, sets = sets, written(rows.select("id", "size", "node"), "rows")
+    discard(wide)
+    marks = nodes.select("node", "size", "bits")
     # dealt by tile once: the count and the join below both read this exchange
     tiles = nodes.select("node", F.explode("tiles").alias("tile")).repartition("tile")
     shared = (tiles.groupBy("tile").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
@@ -303,20 +307,25 @@ def near_duplicates(docs: DataFrame, n: int, percent: int, text_col: str = "text
     texts = written(texts.distinct(), "texts")
     # first each node against the smallest member that the bitmaps leave possible
     star = bounded_pairs(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), marks, percent)
-    links = written(exact_links(star.groupBy("a").agg(F.min("b").alias("b")), texts, n, percent), "links")
-    labels = components(links)
+    star_links = written(exact_links(star.groupBy("a").agg(F.min("b").alias("b")), texts, n, percent), "links")
+    labels = components(star_links)
     # then all pairs of a tile that are not connected yet
     named = members.join(labels, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("label"))
     mixed_tiles = named.groupBy("tile").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("node").alias("a"),
-                                            F.max("node").alias("b"), F.count(F.lit(1)).alias("_n")).where("_a < _b")
+                                            F.max("node").alias("b"), F.count(F.lit(1)).alias("_n"),
+                                            F.bit_xor(F.xxhash64("node")).alias("_x"),
+                                            F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y")).where("_a < _b")
+    # tiles with the same members need one comparison: one tile stays for each set of members
+    mixed_tiles = mixed_tiles.groupBy("a", "b", "_n", "_x", "_y").agg(F.min("tile").alias("tile"))
     mixed_tiles = written(mixed_tiles.select("tile", "a", "b", "_n"), "mixed")
     # two members are a pair by themselves
     rest = bounded_pairs(mixed_tiles.where("_n = 2").select("a", "b").distinct(), marks, percent)
     rest = rest.union(tile_pairs(named.join(mixed_tiles.where("_n > 2").select("tile"), "tile"), marks, percent)).distinct()
-    links = links.union(exact_links(written(rest, "pairs"), texts, n, percent))
-    copies = real.join(nodes.select("s1", "s2", "size", "node"), ["s1", "s2", "size"])
-    same = written(copies.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), "copies")
+    pairs = written(rest, "pairs")
+    links = star_links.union(exact_links(pairs, texts, n, percent))
+    same = written(sets.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), "copies")
     labels = components(links.union(same))
+    discard(nodes, members, texts, star_links, mixed_tiles, pairs, same)
     return (sets.join(labels.withColumnRenamed("node", "id"), "id", "left")
             .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("label", "id").alias("component_id")))
 

@@ -23,7 +23,7 @@ GROUP_ROWS = 4000
 # White space of the tokenizer's pre-tokens.  A text is cut before white space that follows another
 # character: its pre-tokens end there, and no special string holds white space.
 SPACE = "\t-\r \x85\xa0  -     　"
-CACHE_UNITS = 1_500_000  # encoded units remembered per Python worker
+CACHE_UNITS = 800_000  # encoded units remembered per Python worker
 CALL_CHARS = 1 << 20
 
 
