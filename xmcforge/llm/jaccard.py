@@ -296,12 +296,13 @@ def near_duplicates(docs: DataFrame, n: int, percent: int, text_col: str = "text
     rows = sets.select("id", "size", "s1", "s2").join(nodes.select("s1", "s2", "size", "node"), ["s1", "s2", "size"], "left")
     wide, sets = sets, written(rows.select("id", "size", "node"), "rows")
     discard(wide)
-    marks = nodes.select("node", "size", "bits")
     # dealt by tile once: the count and the join below both read this exchange
     tiles = nodes.select("node", F.explode("tiles").alias("tile")).repartition("tile")
     shared = (tiles.groupBy("tile").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
               .where("pivot < _last").drop("_last"))
     members = written(tiles.join(shared, "tile").select("tile", "node", "pivot"), "members")
+    marks = written(nodes.select("node", "size", "bits"), "marks")
+    discard(nodes)
     # the rows that can have a link at all
     texts = docs.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text")
     texts = written(texts.distinct(), "texts")
@@ -319,13 +320,12 @@ def near_duplicates(docs: DataFrame, n: int, percent: int, text_col: str = "text
     mixed_tiles = mixed_tiles.groupBy("a", "b", "_n", "_x", "_y").agg(F.min("tile").alias("tile"))
     mixed_tiles = written(mixed_tiles.select("tile", "a", "b", "_n"), "mixed")
     # two members are a pair by themselves
-    rest = bounded_pairs(mixed_tiles.where("_n = 2").select("a", "b").distinct(), marks, percent)
-    rest = rest.union(tile_pairs(named.join(mixed_tiles.where("_n > 2").select("tile"), "tile"), marks, percent)).distinct()
-    pairs = written(rest, "pairs")
-    links = star_links.union(exact_links(pairs, texts, n, percent))
+    twos = written(bounded_pairs(mixed_tiles.where("_n = 2").select("a", "b").distinct(), marks, percent), "pairs")
+    more = written(tile_pairs(named.join(mixed_tiles.where("_n > 2").select("tile"), "tile"), marks, percent), "pairs")
+    links = star_links.union(exact_links(twos.union(more).distinct(), texts, n, percent))
     same = written(sets.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), "copies")
     labels = components(links.union(same))
-    discard(nodes, members, texts, star_links, mixed_tiles, pairs, same)
+    discard(marks, members, texts, star_links, mixed_tiles, twos, more, same)
     return (sets.join(labels.withColumnRenamed("node", "id"), "id", "left")
             .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("label", "id").alias("component_id")))
 
