@@ -58,3 +58,37 @@ def test_hot_line_and_edges(spark):
     assert drop_repeats(no_docs(spark)).count() == 0
     df = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, removed string")
     assert drop_repeats(df).first().removed == []
+
+
+def spliced(seed, tidy):
+    """Share cut of each of 200 passages of 55 words, without line breaks, inside other texts."""
+    import random
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8))) + (rnd.choice([".", ""]) if tidy and rnd.random() < 0.12 else "")
+    shares = []
+    for _ in range(200):
+        source, host = [word() for _ in range(150)], [word() for _ in range(80)]
+        a, at = rnd.randrange(95), rnd.randrange(80)
+        passage = " ".join(source[a:a + 55])
+        head = " ".join(host[:at]) + " "
+        text = head + passage + " " + " ".join(host[at:])
+        known = {w for w, _, _ in spans(" ".join(source), 8)}
+        gone = [False] * len(text)
+        for w, b, e in spans(text, 8):
+            if w in known:
+                gone[b:e] = [True] * (e - b)
+        shares.append(sum(gone[len(head):len(head) + len(passage)]) / len(passage))
+    return shares
+
+
+def test_passages_spliced_mid_sentence_are_cut():
+    for tidy in (True, False):
+        shares = spliced(5, tidy)
+        assert min(shares) > 0.3 and sum(shares) > 0.7 * len(shares)
+
+
+def test_every_window_holds_a_pick():
+    from xmcforge.llm.substrings import WINDOW, picked
+    words = [f"w{i * i % 71}" for i in range(500)]
+    at = [0, *picked(words), len(words)]
+    assert max(b - a for a, b in zip(at, at[1:])) <= WINDOW + 1

@@ -1,96 +1,119 @@
 """Substring duplicates by hashing lines and sentences.
 
-A text is cut into units at line breaks, after sentence marks and before capital letters, so that a
-passage spliced into a line still yields the same units; longer units are cut before words that a
-hash picks, wherever these stand.  A unit shorter than ``min_words`` is
-hashed together with the units after it until the span is long enough.  Span digests are grouped
-over all texts; the occurrence in the lowest-ranked document stays and the other ones are cut out,
-with their offsets in the original text kept.
+A text is cut twice.  Units begin at line breaks, after sentence marks and at capital letters, so
+that whole lines and sentences are found to their ends.  Picked words, the smallest hash of each
+window of ``WINDOW`` words, lie at most ``WINDOW`` words apart and depend on the words around them
+only, so that a passage spliced in anywhere is found from its first pick to its last one.  In both
+cuts a piece shorter than ``min_words`` is hashed together with the pieces after it until the span
+is long enough.  Span digests are grouped over all texts; the occurrence in the lowest-ranked
+document stays and the other ones are cut out, with their offsets in the original text kept.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate, count
+from operator import add
 from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xmcforge.llm.common import slices, table, with_fields
+from xmcforge.llm.common import discard, slices, table, worker_memory, written
 from xmcforge.llm.registry import query
 
 MIN_WORDS = 8
-LONG_UNIT, PICK = 24, 12  # units of more words are cut before about one word in PICK
+WINDOW = 12  # every so many words in a row hold a picked one
 WORD = re.compile(r"\S+")
-UNIT_END = re.compile(r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
+LINE = re.compile(r"\n\s*")
+ENDS = frozenset(".!?")
+CAPITALS = frozenset(re.findall("[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]", "".join(map(chr, range(0x500)))))
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
+class Hashes(dict):
+    """crc32 of each word asked for."""
+
+    def __missing__(self, word):
+        self[word] = h = crc32(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def picked(words: list[str]) -> list[int]:
+    """Places of the words with the smallest hash, taken with the next word's, of any ``WINDOW``
+    words in a row (the first one of equal hashes)."""
+    import numpy as np
+    if len(words) <= WINDOW:
+        return []
+    memory = worker_memory("substrings")
+    known = memory.get("hashes")
+    if known is None or len(known) > 1_000_000:
+        known = memory["hashes"] = Hashes()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    pair = (pair ^ (pair >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    least = np.lib.stride_tricks.sliding_window_view(pair, WINDOW).argmin(axis=1)
+    return np.unique(least + np.arange(len(least))).tolist()
+
+
 def spans(text: str, min_words: int) -> list[tuple[str, int, int]]:
-    """(normalised words, start, end) of each span; ``end`` is where the next unit starts.
-
-    Units at the end of a text that do not reach ``min_words`` words begin no span."""
-    starts, norms, counts = [], [], []
-
-    def unit(a: int, b: int) -> None:
-        words = text[a:b].lower().split()
-        if len(words) > LONG_UNIT:
-            at = [m.start() + a for m in WORD.finditer(text[a:b])]
-            cuts = [0, *(i for i, w in enumerate(words) if i and crc32(w.encode()) % PICK == 0), len(words)]
-        else:
-            at, cuts = [a], [0, len(words)] if words else [0]
-        for i, j in zip(cuts, cuts[1:]):
-            starts.append(at[i])
-            norms.append(" ".join(words[i:j]))
-            counts.append(j - i)
-
-    at = 0
-    for m in UNIT_END.finditer(text):
-        unit(at, m.start())
-        at = m.end()
-    unit(at, len(text))
+    """(normalised words, start, end) of each span; ``end`` is where the next word starts.
+
+    Pieces at the end of a text that do not reach ``min_words`` words begin no span."""
+    words = text.lower().split()
+    if len(words) < min_words:
+        return []
+    raw = text.split()
+    ends = list(accumulate(map(len, raw)))
+    if ends[-1] + len(raw) - 1 == len(text):  # single spaces only
+        starts = [0, *map(add, ends[:-1], count(1))]
+    else:
+        starts = [m.start() for m in WORD.finditer(text)]
+    units = [i for i, (before, w) in enumerate(zip(raw, raw[1:]), 1) if before[-1] in ENDS or w[0] in CAPITALS]
+    units += [bisect_left(starts, m.end()) for m in LINE.finditer(text)]
+    starts[0] = 0
     starts.append(len(text))
-    out = []
-    for i, n in enumerate(counts):
-        j = i + 1
-        while n < min_words and j < len(counts):
-            n += counts[j]
-            j += 1
-        if n >= min_words:
-            out.append((norms[i] if j == i + 1 else " ".join(norms[i:j]), starts[i], starts[j]))
-    return out
+    found = set()
+    for inner in (units, picked(words)):
+        edges = sorted({0, *inner, len(words)})
+        j = 0
+        for i in edges:
+            while j < len(edges) and edges[j] - i < min_words:
+                j += 1
+            if j == len(edges):
+                break
+            found.add((i, edges[j]))
+    return [(" ".join(words[i:j]), starts[i], starts[j]) for i, j in sorted(found)]
 
 
 def span_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(_id, _text_key, h1, h2, start, end, again) of ``docs`` (_id, _text_key, _text); ``again``
-    marks a span that an earlier span of the same text equals."""
+    """(_id, _text_key, h1, h2, at) of ``docs`` (_id, _text_key, _text); ``at`` is start * 2^32 + end,
+    with all bits turned (negative) for a span that an earlier span of the same text equals."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
         for batch in batches:
             for part in slices(batch, "_text"):
-                rows, digests, begin, end, again = [], [], [], [], []
+                rows, digests, places = [], [], []
                 for i, t in enumerate(part.column("_text").to_pylist()):
                     seen = set()
                     for words, a, b in spans(t, min_words) if t else ():
                         d = xxhash.xxh3_128_digest(words)
                         rows.append(i)
                         digests.append(d)
-                        begin.append(a)
-                        end.append(b)
-                        again.append(d in seen)
+                        places.append(~(a << 32 | b) if d in seen else a << 32 | b)
                         seen.add(d)
                 at = pa.array(rows, pa.int64())
                 h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id").take(at), part.column("_text_key").take(at),
                      pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])),
-                     pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(again, pa.bool_())],
-                    names=["_id", "_text_key", "h1", "h2", "start", "end", "again"])
+                     pa.array(places, pa.int64())], names=["_id", "_text_key", "h1", "h2", "at"])
 
-    return docs.mapInArrow(run, "_id long, _text_key long, h1 long, h2 long, start int, end int, again boolean")
+    return docs.mapInArrow(run, "_id long, _text_key long, h1 long, h2 long, at long")
 
 
 def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS,
@@ -108,12 +131,16 @@ def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     docs = df.select(rank.alias("_id"), F.xxhash64(df[f"`{text_col}`"]).alias("_text_key"), df[f"`{text_col}`"].alias("_text"))
     rows = span_rows(docs, min_words)
     # a text's own repeats go in any case: they are dealt by place, not to their digest's task
-    rows = rows.withColumn("h1", F.when(F.col("again"), F.xxhash64("_id", "start")).otherwise(F.col("h1")))
+    again = F.col("at") < 0
+    rows = rows.withColumn("h1", F.when(again, F.xxhash64("_id", "at")).otherwise(F.col("h1")))
     # narrow and summed map-side: a line that a third of all texts holds is one row per task
-    first = (rows.where(~F.col("again")).groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
+    first = (rows.where(~again).groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
              .where("_first < _last").drop("_last"))
-    gone = (rows.join(first, ["h1", "h2"], "left").where(F.col("again") | (F.col("_first") < F.col("_id")))
-            .groupBy("_id", "_text_key").agg(F.collect_list(F.struct("start", "end")).alias("_gone")))
+    first = written(first, "first")  # its shuffle files go before the spans are shuffled
+    gone = (rows.join(first, ["h1", "h2"], "left").where(again | (F.col("_first") < F.col("_id")))
+            .groupBy("_id", "_text_key").agg(F.collect_list(F.when(again, F.bitwise_not("at")).otherwise(F.col("at"))).alias("_gone")))
+    gone = written(gone, "repeats")  # the spans' shuffle files go before the texts are shuffled
+    discard(first)
     joined = (kept.withColumn("_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), last))
               .withColumn("_text_key", F.xxhash64(F.col(f"`{text_col}`")))
               .join(gone, ["_id", "_text_key"], "left").select(*[F.col(f"`{c}`") for c in kept.columns], "_gone"))
@@ -129,7 +156,7 @@ def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 removed = []
                 for i, gone in enumerate(part.column("_gone").to_pylist()):
                     ranges: list[list[int]] = []
-                    for a, b in sorted((g["start"], g["end"]) for g in gone or ()):
+                    for a, b in sorted((g >> 32, g & 0xFFFFFFFF) for g in gone or ()):
                         if ranges and a <= ranges[-1][1]:
                             ranges[-1][1] = max(b, ranges[-1][1])
                         else:
