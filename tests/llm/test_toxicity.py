@@ -60,3 +60,15 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     lies = labels.withColumn("toxic", X.F.when(X.held_out(), 1 - X.F.col("toxic")).otherwise(X.F.col("toxic")))
     a, b = (X.fit(X.fit_sample(docs, x.where(~X.held_out()))) for x in (labels, lies))
     assert a == b and "idiot" in a.lexicon or "idio*" in a.lexicon
+
+
+def test_words_behind_glued_marks_and_other_spaces_are_scored(spark):
+    model = X.Model({"idiot": 4.0, "lowe*": 5.0}, 1.0, -3.0)
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = ["Shut up...idiot", "So?idiot go", "a;lower", "fine!no.Idiot", "plain words", "", "an idiotic.text", "x.y", None]
+    texts += [f"you{c}idiot" for c in spaces] + [f"so{c}lowering,{c}words" for c in spaces]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in X.score(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - model.probability(model.matched(t or "", X.grammar(), {}))) < 1e-12, t
+    assert got[0] > 0.5 and got[9] > 0.5

@@ -39,6 +39,8 @@ THREATS = "kill hurt destroy attack töten umbringen verletzen tuer frapper mata
 # j k negated, p q reported, I H aimed (insult and threat each).
 WEIGHTS = {"i": 1.0, "h": 1.0, "I": 1.25, "H": 1.4, "j": 0.4, "k": 0.3, "p": 0.5, "q": 0.4}
 CLAUSE_END = re.compile(r"[.!?;\n]+")
+# What ends a word in a clause: the clause's end and white space as str.split() has it.
+WORD_END = "[.!?;" + "".join(rf"\x{{{c:x}}}" for c in range(0x110000) if chr(c).isspace()) + "]+"
 
 
 @dataclass
@@ -231,11 +233,12 @@ def totals(df: DataFrame, model: Model, text_col: str = "text", out: str = "_tot
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         machine = grammar()
         symbols: dict = {}
         for batch in batches:
             for part in slices(batch, text_col):
-                flat, offsets = words_of(part.column(text_col))
+                flat, offsets = words_of(pc.replace_substring_regex(part.column(text_col), WORD_END, " "))
                 coded = flat.dictionary_encode()
                 if len(symbols) > 1_000_000:
                     symbols.clear()
