@@ -12,6 +12,3 @@ def spark():
     s = local_session(4, shuffle_partitions=8)
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"

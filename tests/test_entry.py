@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from sample_tables import SF_SMALL
 
 
 def test_entry_runs(spark):
@@ -46,3 +46,26 @@ def test_jobs_run_from_another_working_directory(tmp_path):
     out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env, capture_output=True,
                          text=True, timeout=300)
     assert "ROWS 5000" in out.stdout, out.stderr[-2000:]
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """Neither ``xmcforge/llm`` nor (in the second run) ``corpus_pipeline.py`` is needed."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(os.path.join(repo, "xmcforge"), copy / "xmcforge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(repo, "__spark_entry__.py"), copy)
+    pipeline = os.path.join(repo, "corpus_pipeline.py")
+    ask = "import __spark_entry__ as E; q, o = E.queries(), E.oracle_sql(); print(len(q), set(o) <= set(q), 'pipeline' in q, any(k.startswith('op1_') for k in q))"
+    for with_pipeline in (True, False):
+        if with_pipeline and os.path.exists(pipeline):
+            shutil.copy(pipeline, copy)
+        elif (copy / "corpus_pipeline.py").exists():
+            (copy / "corpus_pipeline.py").unlink()
+        out = subprocess.run([sys.executable, "-c", ask], cwd=copy, capture_output=True, text=True, timeout=120)
+        assert out.returncode == 0, out.stderr[-2000:]
+        count, *rest = out.stdout.split()
+        assert int(count) >= 100 and rest == ["True", "False", "False"]

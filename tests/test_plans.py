@@ -3,7 +3,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from sample_tables import SF_SMALL
 
 
 def _plan(spark, key):
