@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from helpers import classes, edge_docs, edge_rows, no_docs
 from hypothesis import given, settings
@@ -7,7 +8,8 @@ from hypothesis import strategies as st
 import numpy as np
 import pyarrow as pa
 from xmcforge.llm.components import components
-from xmcforge.llm.jaccard import Bands, least_common, may_link, near_duplicates, ngram_sets, signatures, tile_pairs
+from xmcforge.llm.jaccard import Bands, near_duplicates
+from xmcforge.llm.linking import cell_pairs, class_rounds, forests, least_common, may_link, ngram_sets, signatures, tile_cells
 
 
 def corpus(seed=1):
@@ -66,7 +68,7 @@ def test_a_large_group_of_near_copies(spark):
 
 def test_similar_sets_share_a_tile(spark):
     docs = corpus(2)
-    rows = signatures(spark.createDataFrame(docs, "id long, text string"), 4, 85).collect()
+    rows = signatures(spark.createDataFrame(docs, "id long, text string"), 4, Bands(85)).collect()
     tiles = {r.id: set(r.tiles) for r in rows}
     h, o = ngram_sets(pa.array([t for _, t in docs]), 4)
     sets = {i: set(h[o[k]:o[k + 1]].tolist()) for k, (i, _) in enumerate(docs)}
@@ -102,12 +104,85 @@ def test_bands_cover_neighbours():
                 assert set(b.joined(s)) & set(b.joined(max(1, other)))
 
 
-def test_blocks_of_a_tile_compare_every_pair(spark):
-    docs = [(i, " ".join(f"w{k}" for k in range(40)) + f" x{i}") for i in range(30)]
-    sets = signatures(spark.createDataFrame(docs, "id long, text string"), 4, 85).withColumnRenamed("id", "node")
-    members = sets.selectExpr("1L as tile", "node", "node as label")
-    pairs = {(r.a, r.b) for r in tile_pairs(members, sets.select("node", "size", "bits"), 85, block=4).collect()}
-    assert pairs == {(i, j) for i in range(30) for j in range(i + 1, 30)}
+def one_tile(spark, texts):
+    """(docs, members, marks): all texts in one tile."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = signatures(docs, 4, Bands(85)).withColumnRenamed("id", "node")
+    members = sets.selectExpr("1L as tile", "node", "0L as pivot", f"{len(texts)}L as n")
+    return docs, members, sets.select("node", "size", "bits")
+
+
+NO_LABELS = "node long, label long"
+
+
+def test_cells_hold_every_pair_of_different_classes_once(spark):
+    docs, members, marks = one_tile(spark, [f"w{i}" for i in range(30)])
+    labels = spark.createDataFrame([(i, 3) for i in range(3, 14)], NO_LABELS)  # eleven of one class
+    of = {i: 3 if 3 <= i < 14 else i for i in range(30)}
+    cells, seen = {}, Counter()
+    for r in tile_cells(members, labels, block=4).collect():
+        cells.setdefault((r.mi, r.aj), []).append(r)
+        assert r.minor == (of[r.node] != 3)
+    for rows in cells.values():
+        for x in rows:
+            for y in rows:
+                if x.flag & 1 and y.flag & 2 and of[x.node] != of[y.node] and (not y.minor or x.node < y.node):
+                    seen[min(x.node, y.node), max(x.node, y.node)] += 1
+    assert seen == {(i, j): 1 for i in range(30) for j in range(i + 1, 30) if of[i] != of[j]}
+
+
+def test_cells_emit_forests_not_pairs(spark):
+    """Rows of a round: fewer than the members of its cells, however many pairs are possible."""
+    docs, members, marks = one_tile(spark, [" ".join(f"w{k}" for k in range(40)) + f" x{i}" for i in range(60)])
+    labels = spark.createDataFrame([], NO_LABELS)
+    cells = tile_cells(members, labels, block=16).cache()
+    pairs = cell_pairs(cells, labels, marks, None, 85, 1).collect()
+    assert {(r.a, r.b) for r in pairs} and len(pairs) < cells.count() < 60 * 60 / 2
+    whole = cell_pairs(tile_cells(members, labels), labels, marks, None, 85, 1).collect()
+    assert len(whole) == 59  # a tree over one cell
+    assert {r.label for r in class_rounds(members, marks, labels, docs, 4, 85, block=16).collect()} == {0}
+
+
+def test_refuted_pairs_are_not_asked_again_and_hide_no_other():
+    bits = np.packbits(np.ones(64, bool)).tobytes()  # rules nothing out
+    rows = [[i, i, 10, bits, 3, True] for i in range(6)]
+    every, gone = {(i, j) for i in range(6) for j in range(i + 1, 6)}, set()
+    while True:
+        pairs = forests(rows, gone, 85, 1)
+        assert len(pairs) <= 5 and not gone & set(pairs)
+        if not pairs:
+            break
+        gone |= set(pairs)
+    assert gone == every
+    assert set(forests(rows, set(), 85, 100)) == every
+
+
+def test_rounds_go_on_past_refuted_pairs(spark):
+    """Bitmaps that rule nothing out: only exact decisions part the classes, and no link is lost."""
+    docs = [(i, t) for i, (_, t) in enumerate(corpus(5))]
+    _, members, marks = one_tile(spark, [t for _, t in docs])
+    blind = marks.selectExpr("node", "size", f"X'{'ff' * 8}' as bits")
+    labels = class_rounds(members, blind, spark.createDataFrame([], NO_LABELS), spark.createDataFrame(docs, "id long, text string"), 4, 85)
+    got = {r.node: r.label for r in labels.collect()}
+    assert {i: got.get(i, i) for i, _ in docs} == {i: c for i, (_, c) in classes(docs, 4, 85).items()}
+
+
+def test_no_band_names_empty_parts_often():
+    """Sets with so many empty parts that they name them stay rare, at the low end of each band, too."""
+    rng = np.random.default_rng(1)
+    for percent in (80, 85):
+        bands = Bands(percent)
+        for band in range(60):
+            size = bands.smallest(band)
+            if bands.edges[band] > 40000:
+                break
+            if bands.of(size) not in (band, band - 1) or band not in bands.joined(size):
+                continue
+            named = 0
+            for _ in range(200):
+                empty = bands.parts(band) - len(np.unique(rng.integers(0, bands.parts(band), size)))
+                named += empty > bands.spare(band)
+            assert named <= 10, (percent, band, size, named)
 
 
 def test_components(spark):

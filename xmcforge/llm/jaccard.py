@@ -4,11 +4,7 @@ Sets are compared only inside tiles.  A tile holds sets of one size band that al
 part of their n-grams: the n-grams are dealt by hash into more parts than two similar sets of that
 band can differ in, so similar sets agree on at least one part and share a tile.  In a tile, hashed
 bitmap signatures bound the overlap from above by bit counts; pairs that pass are decided exactly on
-sorted hash arrays.
-
-Equal sets are one node from the start.  Links inside a large group of near copies are found
-through its tiles' smallest members first; what these connect is not compared pair by pair again,
-since a class is asked for, not all its pairs.
+sorted hash arrays (``linking``).
 """
 
 from __future__ import annotations
@@ -17,14 +13,11 @@ import math
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from xmcforge.llm.common import SLICE_BYTES, discard, slices, table, words_of, written
-from xmcforge.llm.components import components
+from xmcforge.llm.common import table
+from xmcforge.llm.linking import linked_classes, mixed
 from xmcforge.llm.registry import query
 
-# Members of a tile compared in one step; larger tiles are cut into blocks of about this many.
-BLOCK = 1024
 MAX_SIZE = 1 << 40
 
 
@@ -39,6 +32,7 @@ class Bands:
         self.edges = [1]
         while self.edges[-1] < MAX_SIZE:
             self.edges.append(math.floor(self.edges[-1] * 10000 / percent ** 2) + 1)
+        self.spares: dict[int, int] = {}
 
     def of(self, size: int) -> int:
         return bisect_right(self.edges, size) - 1
@@ -47,237 +41,62 @@ class Bands:
         band = self.of(size)
         return [band] + [band + 1] * (100 * size >= self.percent * self.edges[band + 1])
 
+    def smallest(self, band: int) -> int:
+        """The smallest set that belongs to the band's tiles."""
+        return max(1, -(-self.percent * self.edges[band] // 100))
+
     def differ(self, band: int) -> int:
         """The most n-grams in which two similar sets of the band's tiles can differ."""
         return (100 - self.percent) * 2 * (self.edges[band + 1] - 1) // (100 + self.percent)
 
     def spare(self, band: int) -> int:
-        """Parts beyond the necessary ones: empty parts that a set may have."""
-        return 3 + self.differ(band) // 25
+        """Parts beyond the necessary ones: empty parts that a set may have.
+
+        Sets that agree on empty parts only have more than this many of them and must name them;
+        such a name is shared by unrelated sets.  So this is what the band's smallest set (which
+        leaves most parts empty) rarely exceeds: the mean of its empty parts and two standard
+        deviations, with these spare parts counted in.  Below about 70 % no number suffices; then
+        as many as the band's sets can differ in."""
+        if band not in self.spares:
+            need, size = self.differ(band) + 1, self.smallest(band)
+            spare, step = 3, max(1, need // 64)
+            while spare < need:
+                parts = need + spare
+                empty = math.exp(-size / parts)
+                mean = parts * empty
+                if spare >= mean + 2 * math.sqrt(max(0.0, mean * (1 - (1 + size / parts) * empty))):
+                    break
+                spare += step
+            self.spares[band] = spare
+        return self.spares[band]
 
     def parts(self, band: int) -> int:
         return self.differ(band) + 1 + self.spare(band)
 
-    def bits(self, band: int) -> int:
-        """Bitmap width, a power of two of at least four times the band's smallest size: few
-        n-grams share a bit, so the bound is close to the true overlap."""
-        return max(64, 1 << (4 * self.edges[band] - 1).bit_length())
-
-
-def mixed(h):
-    """A bijective scramble of 64-bit numbers (array of uint64)."""
-    import numpy as np
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def ngram_sets(text, n: int):
-    """Sorted distinct n-gram hashes of an Arrow string array: (hashes, offsets per row).
-
-    Words are split at ASCII white space after lower-casing A-Z; a text of fewer than ``n`` words
-    is one n-gram; a null or wordless text has none."""
-    import numpy as np
-    import pyarrow.compute as pc
-    import xxhash
-    flat, offsets = words_of(pc.ascii_lower(pc.fill_null(text, "")))
-    coded = flat.dictionary_encode()
-    each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    words = each[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.uint64)
-    rows = len(offsets) - 1
-    counts = np.diff(offsets)
-    owner = np.repeat(np.arange(rows), counts)
-    place = np.arange(len(words)) - offsets[owner] if len(words) else np.zeros(0, np.int64)
-    h = np.zeros(len(words), np.uint64)
-    for k in range(n):  # word k of the n-gram, absent beyond the end of a short text
-        inside = place + k < counts[owner]
-        shifted = np.zeros(len(words), np.uint64)
-        shifted[:max(0, len(words) - k)] = words[k:]
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, shifted + np.uint64(1), np.uint64(0)))
-    begins = (place + n <= counts[owner]) | ((place == 0) & (counts[owner] < n))
-    h, owner = h[begins], owner[begins]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    return h, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int64)
-
-
-def _sums(values, offsets):
-    import numpy as np
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    def width(self, size: int) -> int:
+        """Bitmap width, a power of two of at least four times the smallest size of the set's band:
+        few n-grams share a bit, so the bound is close to the true overlap."""
+        return max(64, 1 << (4 * self.edges[self.of(size)] - 1).bit_length())
 
-
-def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, size, s1, s2, bits, tiles) of ``docs`` (id, text): set size, set digest, bitmap and the
-    keys of the set's tiles."""
-    bands = Bands(percent)
-
-    def run(batches):
+    def tiles(self, h, offsets):
+        """(flat keys, offsets per row): one key for each part of each set's n-grams ``h``."""
         import numpy as np
-        import pyarrow as pa
-        def salted(h, salt):
-            return mixed(h ^ np.uint64(0x632BE59BD9B4E019 * salt % (1 << 64)))
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                h, offsets = ngram_sets(part.column("text"), n)
-                sizes = np.diff(offsets)
-                s1, s2, tagged, dealt = (salted(h, i) for i in (1, 2, 3, 4))
-                s1, s2 = _sums(s1, offsets), _sums(s2, offsets)
-                bitmaps, tiles = [], []
-                for i, size in enumerate(sizes.tolist()):
-                    if not size:
-                        bitmaps.append(b"")
-                        tiles.append(np.zeros(0, np.int64))
-                        continue
-                    at = slice(offsets[i], offsets[i + 1])
-                    keys = []
-                    for band in bands.joined(size):
-                        m = bands.parts(band)
-                        where = (dealt[at] % np.uint64(m)).astype(np.int64)
-                        total = np.zeros(m, np.uint64)
-                        np.add.at(total, where, tagged[at])
-                        full = np.bincount(where, minlength=m) > 0
-                        if m - full.sum() > bands.spare(band):
-                            full[:] = True  # so many empty parts that they may be all two sets agree on
-                        names = np.flatnonzero(full).astype(np.uint64)
-                        keys.append(mixed(total[full] + mixed(names + np.uint64((band + 1) << 40))).view(np.int64))
-                    width = bands.bits(bands.of(size))
-                    bit = np.zeros(width, bool)
-                    bit[(h[at] & np.uint64(width - 1)).astype(np.int64)] = True
-                    bitmaps.append(np.packbits(bit, bitorder="little").tobytes())
-                    tiles.append(np.concatenate(keys))
-                ends = np.concatenate([[0], np.cumsum([len(t) for t in tiles])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                     pa.array(bitmaps, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tiles) if tiles else np.zeros(0, np.int64)))],
-                    names=["id", "size", "s1", "s2", "bits", "tiles"])
-
-    return docs.mapInArrow(run, "id long, size long, s1 long, s2 long, bits binary, tiles array<long>")
-
-
-def least_common(a, b, percent: int):
-    """The smallest overlap with which sets of ``a`` and ``b`` n-grams are similar."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def fold(bits, width: int):
-    """A bitmap (rows of uint64 words) folded to ``width`` words."""
-    while bits.shape[1] > width:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
-    return bits
-
-
-def may_link(bits_a, size_a, bits_b, size_b, percent: int):
-    """Which rows (broadcast) pass the upper bound: n-grams whose bit the other set lacks are not shared."""
-    import numpy as np
-    width = min(bits_a.shape[-1], bits_b.shape[-1])
-    a, b = fold(bits_a, width), fold(bits_b, width)
-    only_a = np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64)
-    only_b = np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64)
-    return np.minimum(size_a - only_a, size_b - only_b) >= least_common(size_a, size_b, percent)
-
-
-def bounded_pairs(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) that the bitmaps of ``marks`` (node, size, bits) do not rule out."""
-    def side(x):
-        return marks.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        for batch in batches:
-            keep = []
-            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "bitsa", "bitsb"))):
-                x, y = np.frombuffer(x, "<u8")[None, :], np.frombuffer(y, "<u8")[None, :]
-                keep.append(100 * min(na, nb) >= percent * max(na, nb) and bool(may_link(x, na, y, nb, percent)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
-
-
-def exact_links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets are similar, by intersection of sorted hash arrays of their
-    whole ``texts`` (node, text)."""
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        for batch in batches:
-            for part in slices(batch, "ta"):
-                for part in slices(part, "tb"):
-                    (ha, oa), (hb, ob) = ngram_sets(part.column("ta"), n), ngram_sets(part.column("tb"), n)
-                    keep = []
-                    for i in range(part.num_rows):
-                        x, y = ha[oa[i]:oa[i + 1]], hb[ob[i]:ob[i + 1]]
-                        common = len(np.intersect1d(x, y, assume_unique=True))
-                        keep.append(0 < common and 100 * common >= percent * (len(x) + len(y) - common))
-                    yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
-
-
-def tile_pairs(members: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of ``members`` (tile, node, label) with different labels that pass the bitmap
-    bound.  A large tile is cut into blocks, and each pair of blocks is a group of its own."""
-    counts = members.groupBy("tile").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("_blocks").cast("long")).cast("int")
-    cells = (members.join(counts, "tile").withColumn("_blocks", blocks).withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-             .select("tile", "node", "label", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
-    rows = cells.join(marks.select("node", "size", "bits"), "node").select("tile", "low", "high", "node", "label", "own", "size", "bits")
-
-    def compare(run):
-        import numpy as np
-        width = min(len(r[3]) for r in run) // 8
-        bits = np.concatenate([fold(np.frombuffer(r[3], "<u8")[None, :], width) for r in run])
-        node, label, size, own = (np.array([r[k] for r in run], np.int64) for k in (0, 1, 2, 4))
-        crossed = own.min() != own.max()
-        if len(run) <= 64:  # all at once
-            i, j = np.nonzero((label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
-                              & ((own[:, None] != own[None, :]) | (not crossed)))
-            ok = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-            i, j = i[ok], j[ok]
-            ok = may_link(bits[i], size[i], bits[j], size[j], percent)
-            yield from zip(node[i[ok]].tolist(), node[j[ok]].tolist())
-            return
-        for i in range(len(run)):
-            other = np.flatnonzero((label != label[i]) & (node > node[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
-            other = other[own[other] != own[i]] if crossed else other
-            if len(other):
-                ok = other[may_link(bits[i][None, :], size[i], bits[other], size[other], percent)]
-                yield from ((int(node[i]), j) for j in node[ok].tolist())
-
-    def run(batches):
-        import pyarrow as pa
-        key, held = None, []
-
-        def flush():
-            found = set(compare(held)) if len(held) > 1 else ()
-            a, b = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("tile", "low", "high", "node", "label", "size", "bits", "own")]
-            for t, lo, hi, *member in zip(*cols):
-                if (t, lo, hi) != key:
-                    if held:
-                        yield flush()
-                    key, held = (t, lo, hi), []
-                held.append(member)
-        if held:
-            yield flush()
-
-    return (rows.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
-            .mapInArrow(run, "a long, b long").distinct())
+        tagged, dealt = (mixed(h ^ np.uint64(0x632BE59BD9B4E019 * salt % (1 << 64))) for salt in (3, 4))
+        keys, ends = [], [0]
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            ends.append(ends[-1])
+            for band in self.joined(b - a) if b > a else ():
+                m = self.parts(band)
+                where = (dealt[a:b] % np.uint64(m)).astype(np.int64)
+                total = np.zeros(m, np.uint64)
+                np.add.at(total, where, tagged[a:b])
+                full = np.bincount(where, minlength=m) > 0
+                if m - full.sum() > self.spare(band):
+                    full[:] = True  # so many empty parts that they may be all two sets agree on
+                names = np.flatnonzero(full).astype(np.uint64)
+                keys.append(mixed(total[full] + mixed(names + np.uint64((band + 1) << 40))).view(np.int64))
+                ends[-1] += len(keys[-1])
+        return np.concatenate(keys) if keys else np.zeros(0, np.int64), np.array(ends, np.int64)
 
 
 def near_duplicates(docs: DataFrame, n: int, percent: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -287,47 +106,7 @@ def near_duplicates(docs: DataFrame, n: int, percent: int, text_col: str = "text
     Null and wordless texts have the empty set and stand alone.  Rows with a null id are not linked
     (component null).  Rows that repeat an id are one node with several sets.  Only ``id_col`` and
     ``text_col`` are read; an empty table gives none.  Every link decides exactly; none is capped."""
-    docs = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
-    sets = written(signatures(docs, n, percent), "sets")
-    real = sets.where("size > 0 and id is not null")
-    nodes = real.groupBy("s1", "s2", "size").agg(F.min("id").alias("node"), F.min_by(F.struct("bits", "tiles"), "id").alias("x"))
-    nodes = written(nodes.select("s1", "s2", "node", "size", "x.bits", "x.tiles"), "nodes")
-    # from here on a row needs its set's size and node only; the wide table goes
-    rows = sets.select("id", "size", "s1", "s2").join(nodes.select("s1", "s2", "size", "node"), ["s1", "s2", "size"], "left")
-    wide, sets = sets, written(rows.select("id", "size", "node"), "rows")
-    discard(wide)
-    # dealt by tile once: the count and the join below both read this exchange
-    tiles = nodes.select("node", F.explode("tiles").alias("tile")).repartition("tile")
-    shared = (tiles.groupBy("tile").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
-              .where("pivot < _last").drop("_last"))
-    members = written(tiles.join(shared, "tile").select("tile", "node", "pivot"), "members")
-    marks = written(nodes.select("node", "size", "bits"), "marks")
-    discard(nodes)
-    # the rows that can have a link at all
-    texts = docs.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text")
-    texts = written(texts.distinct(), "texts")
-    # first each node against the smallest member that the bitmaps leave possible
-    star = bounded_pairs(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), marks, percent)
-    star_links = written(exact_links(star.groupBy("a").agg(F.min("b").alias("b")), texts, n, percent), "links")
-    labels = components(star_links)
-    # then all pairs of a tile that are not connected yet
-    named = members.join(labels, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("label"))
-    mixed_tiles = named.groupBy("tile").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("node").alias("a"),
-                                            F.max("node").alias("b"), F.count(F.lit(1)).alias("_n"),
-                                            F.bit_xor(F.xxhash64("node")).alias("_x"),
-                                            F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y")).where("_a < _b")
-    # tiles with the same members need one comparison: one tile stays for each set of members
-    mixed_tiles = mixed_tiles.groupBy("a", "b", "_n", "_x", "_y").agg(F.min("tile").alias("tile"))
-    mixed_tiles = written(mixed_tiles.select("tile", "a", "b", "_n"), "mixed")
-    # two members are a pair by themselves
-    twos = written(bounded_pairs(mixed_tiles.where("_n = 2").select("a", "b").distinct(), marks, percent), "pairs")
-    more = written(tile_pairs(named.join(mixed_tiles.where("_n > 2").select("tile"), "tile"), marks, percent), "pairs")
-    links = star_links.union(exact_links(twos.union(more).distinct(), texts, n, percent))
-    same = written(sets.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), "copies")
-    labels = components(links.union(same))
-    discard(marks, members, texts, star_links, mixed_tiles, twos, more, same)
-    return (sets.join(labels.withColumnRenamed("node", "id"), "id", "left")
-            .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("label", "id").alias("component_id")))
+    return linked_classes(docs, n, percent, Bands(percent), text_col, id_col)
 
 
 OP7_SQL = r"""

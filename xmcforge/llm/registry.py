@@ -26,4 +26,5 @@ def load_all() -> None:
         importlib.import_module(f"xmcforge.llm.{module}")
 
 
-MODULES = ["token_counts", "quality", "mixing", "sharding", "packing", "warc", "toxicity", "substrings", "jaccard", "neighbours"]
+MODULES = ["token_counts", "quality", "mixing", "sharding", "packing", "warc", "toxicity", "substrings", "jaccard", "neighbours",
+           "minhash"]
