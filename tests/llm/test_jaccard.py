@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 from helpers import classes, edge_docs, edge_rows, no_docs
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from xmcforge.llm.components import components
 from xmcforge.llm.jaccard import Bands, near_duplicates
-from xmcforge.llm.linking import cell_pairs, class_rounds, forests, least_common, may_link, ngram_sets, signatures, tile_cells
+from xmcforge.llm.linking import cell_pairs, exact_common, forest, least_common, may_link, ngram_sets, settled, signatures, tile_cells
 
 
 def corpus(seed=1):
@@ -115,14 +116,16 @@ def one_tile(spark, texts):
 NO_LABELS = "node long, label long"
 
 
-def test_cells_hold_every_pair_of_different_classes_once(spark):
-    docs, members, marks = one_tile(spark, [f"w{i}" for i in range(30)])
+@pytest.mark.parametrize("grams", [1 << 22, 9])
+def test_cells_hold_every_pair_of_different_classes_once(spark, grams):
+    docs, members, marks = one_tile(spark, [f"w{i} a{i} b{i} c{i}" for i in range(30)])
     labels = spark.createDataFrame([(i, 3) for i in range(3, 14)], NO_LABELS)  # eleven of one class
     of = {i: 3 if 3 <= i < 14 else i for i in range(30)}
     cells, seen = {}, Counter()
-    for r in tile_cells(members, labels, block=4).collect():
-        cells.setdefault((r.mi, r.aj), []).append(r)
+    for r in tile_cells(members, labels, marks, 8, grams).collect():
+        cells.setdefault((r.mi, r.aj, r.sub), []).append(r)
         assert r.minor == (of[r.node] != 3)
+    assert (max(sub for _, _, sub in cells) > 0) == (grams == 9)
     for rows in cells.values():
         for x in rows:
             for y in rows:
@@ -132,39 +135,40 @@ def test_cells_hold_every_pair_of_different_classes_once(spark):
 
 
 def test_cells_emit_forests_not_pairs(spark):
-    """Rows of a round: fewer than the members of its cells, however many pairs are possible."""
+    """Fewer rows than the cells have members, however many pairs are possible."""
     docs, members, marks = one_tile(spark, [" ".join(f"w{k}" for k in range(40)) + f" x{i}" for i in range(60)])
-    labels = spark.createDataFrame([], NO_LABELS)
-    cells = tile_cells(members, labels, block=16).cache()
-    pairs = cell_pairs(cells, labels, marks, None, 85, 1).collect()
+    labels, data = spark.createDataFrame([], NO_LABELS), marks.withColumnRenamed("bits", "data")
+    cells = tile_cells(members, labels, marks, block=16).cache()
+    pairs = cell_pairs(cells, labels, data, 85, False).collect()
     assert {(r.a, r.b) for r in pairs} and len(pairs) < cells.count() < 60 * 60 / 2
-    whole = cell_pairs(tile_cells(members, labels), labels, marks, None, 85, 1).collect()
+    whole = cell_pairs(tile_cells(members, labels, marks), labels, data, 85, False).collect()
     assert len(whole) == 59  # a tree over one cell
-    assert {r.label for r in class_rounds(members, marks, labels, docs, 4, 85, block=16).collect()} == {0}
+    assert {r.label for r in settled(members, marks, labels, docs, 4, 85, block=16).collect()} == {0}
 
 
-def test_refuted_pairs_are_not_asked_again_and_hide_no_other():
-    bits = np.packbits(np.ones(64, bool)).tobytes()  # rules nothing out
-    rows = [[i, i, 10, bits, 3, True] for i in range(6)]
-    every, gone = {(i, j) for i in range(6) for j in range(i + 1, 6)}, set()
-    while True:
-        pairs = forests(rows, gone, 85, 1)
-        assert len(pairs) <= 5 and not gone & set(pairs)
-        if not pairs:
-            break
-        gone |= set(pairs)
-    assert gone == every
-    assert set(forests(rows, set(), 85, 100)) == every
-
-
-def test_rounds_go_on_past_refuted_pairs(spark):
-    """Bitmaps that rule nothing out: only exact decisions part the classes, and no link is lost."""
+def test_bitmaps_that_rule_nothing_out_lose_no_link(spark):
     docs = [(i, t) for i, (_, t) in enumerate(corpus(5))]
     _, members, marks = one_tile(spark, [t for _, t in docs])
     blind = marks.selectExpr("node", "size", f"X'{'ff' * 8}' as bits")
-    labels = class_rounds(members, blind, spark.createDataFrame([], NO_LABELS), spark.createDataFrame(docs, "id long, text string"), 4, 85)
-    got = {r.node: r.label for r in labels.collect()}
-    assert {i: got.get(i, i) for i, _ in docs} == {i: c for i, (_, c) in classes(docs, 4, 85).items()}
+    want = {i: c for i, (_, c) in classes(docs, 4, 85).items()}
+    for block, grams in ((1024, 1 << 22), (40, 900)):
+        labels = settled(members, blind, spark.createDataFrame([], NO_LABELS), spark.createDataFrame(docs, "id long, text string"), 4, 85, block, grams)
+        got = {r.node: r.label for r in labels.collect()}
+        assert {i: got.get(i, i) for i, _ in docs} == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 9000), min_size=1, max_size=40), min_size=2, max_size=12))
+def test_overlaps_in_bulk(sets):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    p, q = (np.array(v) for v in zip(*[(i, j) for i in range(len(sets)) for j in range(len(sets)) if i < j]))
+    assert exact_common(arrays, p, q).tolist() == [len(sets[i] & sets[j]) for i, j in zip(p, q)]
+
+
+def test_a_forest_takes_the_most_similar_pairs():
+    sets = [set(range(100)), set(range(3, 100)), set(range(8, 100)), set(range(500, 600))]
+    rows = [[i, i, len(s), np.array(sorted(s), "<u8").tobytes(), 3, True] for i, s in enumerate(sets)]
+    assert sorted(forest(rows, 85, True)) == [(0, 1), (1, 2)]
 
 
 def test_no_band_names_empty_parts_often():

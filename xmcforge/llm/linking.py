@@ -6,12 +6,12 @@ a tile.  What happens inside the tiles is the same for every tiling:
 1. Equal sets are one node from the start.
 2. Each node meets the smallest member of its tiles; hashed bitmaps bound the overlap from above and
    the most promising pair is decided exactly on sorted hash arrays.
-3. Tiles that still hold several classes are compared in cells, in rounds.  A cell looks at every
-   pair of its members of different classes by bitmap, but emits only a spanning forest of what the
-   bitmaps leave possible, most similar pairs first.  These pairs are decided exactly, links merge
-   classes, refuted pairs go back to their cell, and a cell takes part until it emits nothing: then
-   every pair of different classes in it is ruled out or refuted.  So no link between classes is
-   lost, and a group of any size emits about as many rows as it has members.
+3. Tiles that still hold several classes are compared in cells of bounded size, twice.  First by
+   bitmap: a cell looks at every pair of its members of different classes, but emits only a spanning
+   forest of what the bitmaps leave possible, most similar pairs first, and these are decided.
+   Then cells that had such a pair and still hold several classes get the hash arrays themselves and
+   decide every pair that the bitmaps leave possible; they emit a spanning forest of the links.
+   So no link between classes is lost, and a group of any size emits about as many rows as members.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from xmcforge.llm.components import components
 
 # Members of a tile on each side of a cell; larger tiles are cut into blocks of about this many.
 BLOCK = 1024
+# n-grams of all members of a cell; cells of longer sets are cut further.
+CELL_GRAMS = 1 << 22
 # Bytes of bitmaps that one vectorised comparison holds at once.
 COMPARE_BYTES = 8 << 20
-CELL = ["tile", "mi", "aj"]
-CELL_ROW = "tile long, mi int, aj int, node long, label long, size long, bits binary, flag int, minor boolean"
+CELL = ["tile", "mi", "aj", "sub"]
 
 
 def mixed(h):
@@ -209,14 +210,15 @@ def decided(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     return out
 
 
-def tile_cells(members: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(tile, mi, aj, node, flag, minor): the cells in which the tiles of ``members`` (tile, node, n)
-    that hold several ``labels`` (node, label) are compared.
+def tile_cells(members: DataFrame, labels: DataFrame, marks: DataFrame, block: int = BLOCK, grams: int = CELL_GRAMS) -> DataFrame:
+    """(tile, mi, aj, sub, node, flag, minor): the cells in which the tiles of ``members`` (tile, node,
+    n) that hold several ``labels`` (node, label) are compared.
 
     In a tile the members of its largest class are the major ones; two of them never need a
     comparison.  Every pair of a minor member x and a member y is in the cell of x's block among the
-    minor members (flag 1) and y's block among all (flag 2).  Tiles with the same members are
-    compared once."""
+    minor members (flag 1) and y's block among all (flag 2).  Cells of more than ``grams`` n-grams
+    (by the sizes of ``marks``) are cut into s * s parts ``sub`` in the same way.  Tiles with the same
+    members are compared once."""
     named = members.join(labels, "node", "left").select("tile", "node", "n", F.coalesce("label", "node").alias("label"))
     by_label = named.groupBy("tile", "label").agg(
         F.count(F.lit(1)).alias("_c"), F.min("node").alias("_a"), F.max("node").alias("_b"), F.max("n").alias("n"),
@@ -239,24 +241,74 @@ def tile_cells(members: DataFrame, labels: DataFrame, block: int = BLOCK) -> Dat
     as_any = F.transform(F.sequence(F.lit(0), F.col("_minor") - 1), lambda i: F.struct(
         i.alias("mi"), F.col("_own").alias("aj"), F.lit(2).alias("flag")))
     cells = F.when(F.col("minor"), F.concat(as_minor, F.filter(as_any, lambda c: c["mi"] != F.col("_mine")))).otherwise(as_any)
-    return dealt.select("tile", "node", "minor", F.explode(cells).alias("c")).select("tile", "c.mi", "c.aj", "node", "c.flag", "minor")
-
-
-def forests(members, refuted, percent: int, depth: int):
-    """Pairs (a < b) of one cell's ``members`` (node, label, size, bits, flag, minor) to decide: up
-    to ``depth`` edge-disjoint spanning forests over the labels of the pairs that the bitmaps leave
-    possible and that are not ``refuted``, the most similar pairs first."""
+    cells = written(dealt.select("tile", "node", "minor", F.explode(cells).alias("c")).select("tile", "c.mi", "c.aj", "node", "c.flag", "minor"), "cells")
+    sizes = marks.groupBy("node").agg(F.sum("size").alias("_size"))
+    heavy = (cells.join(sizes, "node").groupBy("tile", "mi", "aj").agg(F.sum("_size").alias("_sum")).where(F.col("_sum") > grams)
+             .select("tile", "mi", "aj", F.ceil(F.col("_sum") / F.lit(grams)).cast("int").alias("_cut")))
+    cells = cells.join(heavy, ["tile", "mi", "aj"], "left").withColumn("_cut", F.coalesce("_cut", F.lit(1)))
+    part = F.pmod(F.xxhash64("node", F.lit(9)), F.col("_cut").cast("long")).cast("int")
+    subs = F.transform(F.sequence(F.lit(0), F.col("_cut") - 1), lambda k: F.struct(  # x's part times _cut plus y's part
+        (part * F.col("_cut") + k).alias("as_x"), (k * F.col("_cut") + part).alias("as_y")))
+    subs = F.flatten(F.transform(subs, lambda s: F.when(s["as_x"] == s["as_y"], F.array(
+        F.struct(s["as_x"].alias("sub"), F.col("flag").alias("flag")))).otherwise(F.array(
+            F.struct(s["as_x"].alias("sub"), F.col("flag").bitwiseAND(F.lit(1)).alias("flag")),
+            F.struct(s["as_y"].alias("sub"), F.col("flag").bitwiseAND(F.lit(2)).alias("flag"))))))
+    return cells.select("tile", "mi", "aj", "node", "minor", F.explode(subs).alias("c")).select(
+        "tile", "mi", "aj", "c.sub", "node", "c.flag", "minor").where("flag > 0")
+
+
+def exact_common(arrays, p, q):
+    """The overlaps of the sorted hash ``arrays`` p[k] and q[k]: the hashes that several arrays hold
+    are numbered, and each array's numbers are bits, a stretch of them at a time."""
+    import numpy as np
+    owner = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
+    _, place, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    several = counts[place] > 1
+    owner, place = owner[several], number[place[several]]
+    common, stretch = np.zeros(len(p), np.int64), 1 << 12
+    order = np.argsort(place // stretch, kind="stable")
+    owner, place = owner[order], place[order]
+    edges = np.searchsorted(place // stretch, np.arange(0, (int(number[-1]) if len(number) else -1) // stretch + 2))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if a == b:
+            continue
+        here = place[a:b] % stretch
+        width = -(-(int(here.max()) + 1) // 64) * 64
+        bits = np.zeros((len(arrays), width), bool)
+        bits[owner[a:b], here] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        step = max(1, COMPARE_BYTES // (width // 8))
+        for at in range(0, len(p), step):
+            common[at:at + step] += np.bitwise_count(bits[p[at:at + step]] & bits[q[at:at + step]]).sum(axis=1, dtype=np.int64)
+    return common
+
+
+def forest(members, percent: int, exact: bool):
+    """Pairs (a < b) of one cell's ``members`` (node, label, size, data, flag, minor): a spanning
+    forest over the labels, the most similar pairs first.  ``data`` are bitmaps, and pairs count that
+    these leave possible; or, with ``exact``, sorted hash arrays, and pairs count that are similar."""
     import numpy as np
     node, label, size, flag = (np.array([m[k] for m in members], np.int64) for k in (0, 1, 2, 4))
     minor = np.array([m[5] for m in members], bool)
     if len(node) < 2 or label.min() == label.max():
         return []
-    words = min(len(m[3]) for m in members) // 8
-    bits = np.concatenate([fold(np.frombuffer(m[3], "<u8")[None, :], words) for m in members])
+    if exact:
+        arrays = [np.frombuffer(m[3], "<u8") for m in members]
+        width = max(64, 1 << (4 * int(size.min()) - 1).bit_length())
+        bits = np.zeros((len(arrays), width // 8), np.uint8)
+        for row, array in zip(bits, arrays):
+            bit = np.zeros(width, bool)
+            bit[(array & np.uint64(width - 1)).astype(np.int64)] = True
+            row[:] = np.packbits(bit, bitorder="little")
+        bits = bits.view("<u8")
+    else:
+        words = min(len(m[3]) for m in members) // 8
+        bits = np.concatenate([fold(np.frombuffer(m[3], "<u8")[None, :], words) for m in members])
     xs, ys = np.flatnonzero(flag & 1), np.flatnonzero(flag & 2)
     found = []
     rows = max(1, COMPARE_BYTES // (8 * max(1, len(ys))))
-    step = max(1, COMPARE_BYTES // (8 * words))
+    step = max(1, COMPARE_BYTES // (8 * bits.shape[1]))
     for start in range(0, len(xs), rows):
         x = xs[start:start + rows, None]
         ok = ((label[x] != label[ys]) & (~minor[ys] | (node[x] < node[ys]))
@@ -267,83 +319,66 @@ def forests(members, refuted, percent: int, depth: int):
             p, q = i[at:at + step], j[at:at + step]
             common = most_common(bits[p], size[p], bits[q], size[q])
             keep = common >= least_common(size[p], size[q], percent)
-            p, q, common = p[keep], q[keep], common[keep]
-            found.append((p, q, common / (size[p] + size[q] - common)))
+            found.append((p[keep], q[keep], common[keep]))
     if not found:
         return []
-    i, j, likely = (np.concatenate([f[k] for f in found]) for k in range(3))
-    swap = node[i] > node[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    if refuted:
-        names, place = np.unique(node, return_inverse=True)  # a member can stand here twice
-        known = {int(v): k for k, v in enumerate(names)}
-        gone = [known[a] * len(names) + known[b] for a, b in refuted if a in known and b in known]
-        left = ~np.isin(place[i] * len(names) + place[j], gone)
-        i, j, likely = i[left], j[left], likely[left]
-    order = np.lexsort((node[j], node[i], -likely))
-    i, j = i[order], j[order]
+    i, j, common = (np.concatenate([f[k] for f in found]) for k in range(3))
+    if exact and len(i):
+        common = exact_common(arrays, i, j)
+        keep = common >= least_common(size[i], size[j], percent)
+        i, j, common = i[keep], j[keep], common[keep]
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    order = np.lexsort((b, a, -common / (size[i] + size[j] - common)))
+    a, b, i, j = a[order], b[order], i[order], j[order]
     _, named = np.unique(label, return_inverse=True)
     classes = int(named.max()) + 1
     low, high = np.minimum(named[i], named[j]), np.maximum(named[i], named[j])
-    out = []
-    for _ in range(depth):
-        if not len(i):
-            break
-        root = list(range(classes))
-
-        def top(v):
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        first = np.sort(np.unique(low * classes + high, return_index=True)[1])
-        used = np.zeros(len(i), bool)
-        for k, a, b in zip(first.tolist(), low[first].tolist(), high[first].tolist()):
-            a, b = top(a), top(b)
-            if a != b:
-                root[b] = a
-                used[k] = True
-        out.extend(zip(node[i[used]].tolist(), node[j[used]].tolist()))
-        i, j, low, high = i[~used], j[~used], low[~used], high[~used]
-    return sorted(set(out))
-
-
-def cell_pairs(cells: DataFrame, labels: DataFrame, marks: DataFrame, refuted: DataFrame | None, percent: int, depth: int) -> DataFrame:
-    """(tile, mi, aj, a, b): the pairs that the ``cells`` ask to decide (see ``forests``)."""
-    rows = (cells.join(labels, "node", "left").join(marks, "node")
-            .select(*CELL, "node", F.coalesce("label", "node").alias("label"), "size", "bits", "flag", "minor"))
-    if refuted is not None:  # rows without a bitmap: the pair (node, label)
-        rows = rows.unionByName(refuted.select(
-            *CELL, F.col("a").alias("node"), F.col("b").alias("label"), F.lit(None).cast("long").alias("size"),
-            F.lit(None).cast("binary").alias("bits"), F.lit(0).alias("flag"), F.lit(None).cast("boolean").alias("minor")))
+    root, out = list(range(classes)), []
+
+    def top(v):
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    first = np.sort(np.unique(low * classes + high, return_index=True)[1])  # the best pair of each two classes
+    for k, x, y in zip(first.tolist(), low[first].tolist(), high[first].tolist()):
+        x, y = top(x), top(y)
+        if x != y:
+            root[y] = x
+            out.append((int(a[k]), int(b[k])))
+    return out
+
+
+def cell_pairs(cells: DataFrame, labels: DataFrame, data: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """(tile, mi, aj, sub, a, b): the forests of the ``cells`` (see ``forest``), with the ``data``
+    (node, size, data) of their members."""
+    rows = (cells.join(labels, "node", "left").join(data, "node")
+            .select(*CELL, "node", F.coalesce("label", "node").alias("label"), "size", "data", "flag", "minor"))
 
     def run(batches):
         import pyarrow as pa
-        key, held, gone = None, [], set()
+        key, held = None, []
 
         def flush():
-            pairs = forests(held, gone, percent, depth)
+            pairs = forest(held, percent, exact)
             cols = [[k] * len(pairs) for k in key] + [[p[s] for p in pairs] for s in (0, 1)]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[*CELL, "a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in (*CELL, "node", "label", "size", "bits", "flag", "minor")]
-            for t, mi, aj, *member in zip(*cols):
-                if (t, mi, aj) != key:
+            cols = [batch.column(c).to_pylist() for c in (*CELL, "node", "label", "size", "data", "flag", "minor")]
+            for t, mi, aj, sub, *member in zip(*cols):
+                if (t, mi, aj, sub) != key:
                     if held:
                         yield flush()
-                    key, held, gone = (t, mi, aj), [], set()
-                if member[4]:
-                    held.append(member)
-                else:
-                    gone.add((member[0], member[1]))
+                    key, held = (t, mi, aj, sub), []
+                held.append(member)
         if held:
             yield flush()
 
     return (rows.repartition(*CELL).sortWithinPartitions(*CELL)
-            .mapInArrow(run, "tile long, mi int, aj int, a long, b long"))
+            .mapInArrow(run, "tile long, mi int, aj int, sub int, a long, b long"))
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -362,29 +397,24 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def class_rounds(members: DataFrame, marks: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """``labels`` (node, label) once no tile of ``members`` holds an undecided pair of two classes."""
-    cells = written(tile_cells(members, labels, block), "cells")
-    active, refuted, depth, kept = cells, None, 1, [cells]
-    while True:
-        pairs = written(cell_pairs(active, labels, marks, refuted, percent, depth), "pairs")
-        kept.append(pairs)
-        if not pairs.limit(1).count():
-            break
-        asked = written(pairs.select("a", "b").distinct(), "asked")
-        verdicts = decided(asked, docs, n, percent)
-        kept += [asked, verdicts]
-        if verdicts.where("ok").limit(1).count():
-            labels = merged(labels, verdicts.where("ok").select("a", "b"))
-        wrong = pairs.join(verdicts.where("not ok").select("a", "b"), ["a", "b"]).select(*CELL, "a", "b")
-        again = pairs.select(*CELL).distinct()
-        refuted = wrong if refuted is None else refuted.join(again, CELL, "left_semi").unionByName(wrong)
-        refuted = written(refuted, "refuted")
-        active = written(active.join(again, CELL, "left_semi"), "cells")
-        kept += [refuted, active]
-        # a cell whose best pairs were refuted asks for more of them, so the rounds stay few
-        depth *= 2
-    discard(*kept)
+def settled(members: DataFrame, marks: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int,
+            block: int = BLOCK, grams: int = CELL_GRAMS) -> DataFrame:
+    """``labels`` (node, label) once no tile of ``members`` holds a link between two classes."""
+    cells = written(tile_cells(members, labels, marks, block, grams), "cells")
+    pairs = written(cell_pairs(cells, labels, marks.withColumnRenamed("bits", "data"), percent, False), "pairs")
+    asked = written(pairs.select("a", "b").distinct(), "asked")
+    verdicts = decided(asked, docs, n, percent)
+    labels = merged(labels, verdicts.where("ok").select("a", "b"))
+    # cells that had a possible pair and still hold several classes decide by the arrays themselves
+    named = cells.join(pairs.select(*CELL).distinct(), CELL, "left_semi").join(labels, "node", "left")
+    named = named.select(*CELL, "node", "flag", "minor", F.coalesce("label", "node").alias("label"))
+    open_cells = named.groupBy(*CELL).agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select(*CELL)
+    rest = written(named.drop("label").join(open_cells, CELL, "left_semi"), "cells")
+    arrays = written(gram_arrays(docs.join(rest.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), n), "grams")
+    arrays_data = arrays.select("node", F.expr("length(grams) div 8").alias("size"), F.col("grams").alias("data"))
+    links = written(cell_pairs(rest, labels, arrays_data, percent, True).select("a", "b").distinct(), "links")
+    labels = merged(labels, links)
+    discard(cells, pairs, asked, verdicts, rest, arrays, links)
     return labels
 
 
@@ -416,7 +446,7 @@ def linked_classes(docs: DataFrame, n: int, percent: int, tiling, text_col: str
     verdicts = decided(star, docs, n, percent)
     labels = components(verdicts.where("ok"))
     # then what the tiles still hold of different classes
-    labels = class_rounds(members, marks, labels, docs, n, percent)
+    labels = settled(members, marks, labels, docs, n, percent)
     # an id with several sets links their nodes
     several = rows.where("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi")
     several = written(rows.join(several.select("id"), "id", "left_semi").where("node is not null").select(F.col("id").alias("a"), F.col("node").alias("b")), "several")
