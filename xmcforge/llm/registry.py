@@ -27,4 +27,4 @@ def load_all() -> None:
 
 
 MODULES = ["token_counts", "quality", "mixing", "sharding", "packing", "warc", "toxicity", "substrings", "jaccard", "neighbours",
-           "minhash", "importance"]
+           "minhash", "importance", "alignment"]
