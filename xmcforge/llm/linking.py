@@ -9,8 +9,9 @@ a tile.  What happens inside the tiles is the same for every tiling:
 3. Tiles that still hold several classes are compared in cells of bounded size, twice.  First by
    bitmap: a cell looks at every pair of its members of different classes, but emits only a spanning
    forest of what the bitmaps leave possible, most similar pairs first, and these are decided.
-   Then cells that had such a pair and still hold several classes get the hash arrays themselves and
-   decide every pair that the bitmaps leave possible; they emit a spanning forest of the links.
+   Classes that refuted pairs connect form clusters; a node is in one cluster, however many tiles it
+   has.  Then the cells of a cluster get the hash arrays themselves and decide every pair that the
+   bitmaps leave possible; they emit a spanning forest of the links.
    So no link between classes is lost, and a group of any size emits about as many rows as members.
 """
 
@@ -405,16 +406,21 @@ def settled(members: DataFrame, marks: DataFrame, labels: DataFrame, docs: DataF
     asked = written(pairs.select("a", "b").distinct(), "asked")
     verdicts = decided(asked, docs, n, percent)
     labels = merged(labels, verdicts.where("ok").select("a", "b"))
-    # cells that had a possible pair and still hold several classes decide by the arrays themselves
-    named = cells.join(pairs.select(*CELL).distinct(), CELL, "left_semi").join(labels, "node", "left")
-    named = named.select(*CELL, "node", "flag", "minor", F.coalesce("label", "node").alias("label"))
-    open_cells = named.groupBy(*CELL).agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select(*CELL)
-    rest = written(named.drop("label").join(open_cells, CELL, "left_semi"), "cells")
+    # classes that a refuted pair connects are a cluster: two classes with a link are in the same one,
+    # as the forest of the cell that saw the link connects them
+    edges = written(verdicts.where("not ok").join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+                    .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+                    .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct(), "edges")
+    clusters = components(edges).select(F.col("node").alias("label"), F.col("label").alias("tile"))
+    inside = labels.join(clusters, "label").select("tile", "node")
+    inside = written(inside.unionByName(clusters.join(labels.select("label").distinct(), "label", "left_anti").select("tile", F.col("label").alias("node"))), "inside")
+    sized = inside.join(inside.groupBy("tile").agg(F.count(F.lit(1)).alias("n")), "tile")
+    rest = written(tile_cells(sized, labels, marks, block, grams), "cells")
     arrays = written(gram_arrays(docs.join(rest.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), n), "grams")
     arrays_data = arrays.select("node", F.expr("length(grams) div 8").alias("size"), F.col("grams").alias("data"))
     links = written(cell_pairs(rest, labels, arrays_data, percent, True).select("a", "b").distinct(), "links")
     labels = merged(labels, links)
-    discard(cells, pairs, asked, verdicts, rest, arrays, links)
+    discard(cells, pairs, asked, verdicts, edges, inside, rest, arrays, links)
     return labels
 
 
