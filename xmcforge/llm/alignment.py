@@ -16,6 +16,8 @@ per document: the counts a chunk needs are joined back to the chunk, and its doc
 
 from __future__ import annotations
 
+from array import array
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,14 +65,24 @@ class Encoders:
         self.len_a, self.len_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
 
     def encode(self, units: list[str]):
-        """(ids A, ids B, bytes equal) of each unit; a unit starts with a space."""
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = self.b.encode([u[1:] for u in units], num_threads=1)
-        for u, x, y in zip(units, a, b):
-            raw = u.encode()
-            if not y and u == " ":  # B sees an empty text here, but a space within a longer one
-                y = [self.space]
-            yield x, y, b"".join([self.bytes_a[i] for i in x]) == raw == b"".join([self.bytes_b[i] for i in y])
+        """(ids A, ids B, bytes equal) of each unit, ids as int32 bytes; a unit starts with a space."""
+        import numpy as np
+        ids = [[array("I", e.ids).tobytes() for e in self.a.encode_batch_fast(units, add_special_tokens=False)],
+               [array("I", x).tobytes() for x in self.b.encode([u[1:] for u in units], num_threads=1)]]
+        space = array("I", [self.space]).tobytes()
+        ids[1] = [x or space for x in ids[1]]  # B sees an empty text in a lone space, but a space within a longer one
+        raw = [u.encode() for u in units]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        same = True
+        for part, spelled, lens in zip(ids, (self.bytes_a, self.bytes_b), (self.len_a, self.len_b)):
+            flat = np.frombuffer(b"".join(part), "<u4")
+            upto = np.concatenate([[0], np.cumsum(lens[flat])])
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) // 4)
+            same = same and bool((upto[ends] == np.cumsum(sizes)).all()) and b"".join([spelled[i] for i in flat.tolist()]) == b"".join(raw)
+        if same:
+            return zip(*ids, [True] * len(units))
+        text = lambda x, spelled: b"".join([spelled[i] for i in array("I", x)])
+        return zip(*ids, [text(x, self.bytes_a) == r == text(y, self.bytes_b) for x, y, r in zip(*ids, raw)])
 
     @property
     def space(self) -> int:
@@ -156,6 +168,15 @@ def group_links(ids_a, ids_b, a0, a1, b0, b1):
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def decimal_words(n: int):
+    """The decimal digits of the numbers below ``n`` (7 digits at most), first digit in the lowest byte."""
+    import numpy as np
+    known = worker_memory("decimal words")
+    if len(known.get("words", ())) < n:
+        known["words"] = np.array([int.from_bytes(str(i).encode(), "little") for i in range(n)], np.uint64)
+    return known["words"]
+
+
 def spelled(ids_a, ids_b, a0, a1, b0, b1):
     """The groups as ``a1,a2|b1;a3|b2,b3;`` in one byte string, and the place after each group."""
     import numpy as np
@@ -167,14 +188,13 @@ def spelled(ids_a, ids_b, a0, a1, b0, b1):
     ids[np.arange(len(ids_a)) + b0[ga]] = ids_a  # after the B tokens of earlier groups
     ids[np.arange(len(ids_b)) + a1[gb]] = ids_b  # after the A tokens up to this group
     mark[a1 + b0 - 1], mark[a1 + b1 - 1] = ord("|"), ord(";")
-    digits = 1 + (ids > 9).astype(np.int64) + (ids > 99) + (ids > 999) + (ids > 9999) + (ids > 99999)
-    ends = np.cumsum(digits + 1)
-    text = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    text[ends - 1] = mark
-    for d in range(6):
-        some = digits > d if d else slice(None)
-        text[ends[some] - 2 - d] = ids[some] % 10 + 48
-        ids = ids // 10
+    # the decimal digits of an id are bytes of one 64-bit word, its mark comes after them, and bytes
+    # that are still 0 are left out
+    digits = 1 + (ids > 9).astype(np.uint64) + (ids > 99) + (ids > 999) + (ids > 9999) + (ids > 99999)
+    words = decimal_words(int(ids.max()) + 1 if len(ids) else 1)[ids] | mark.astype(np.uint64) << digits * np.uint64(8)
+    text = words.astype("<u8").view(np.uint8)
+    text = text[text != 0]
+    ends = np.cumsum(digits.astype(np.int64) + 1)
     after = a1 + b1 - 1
     return text.tobytes(), ends[after] if len(after) else after
 
@@ -205,7 +225,7 @@ def aligned(df: DataFrame, path_a: str, path_b: str, text_col: str = "text", id_
                 chars = np.cumsum([len(u) for u in missing[:1 << 14]])
                 n = max(1, int(np.searchsorted(chars, CALL_CHARS)))
                 for u, (a, b, equal) in zip(missing[:n], enc.encode(missing[:n])):
-                    known[u] = (np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes())
+                    known[u] = (a, b)
                     if not equal:
                         wrong.add(u)
                 missing = missing[n:]
