@@ -9,6 +9,10 @@ median of delta = sim(x, c_left) - sim(x, c_right): the first floor(n/2) members
 The rank inside a node is the distributed rank restarted per node (level 0 is one node
 holding everything); only (item, node, delta) are ranked, and the item table with its
 vectors is checkpointed once per level.
+
+Only nodes larger than a task's share (``SUBTREE_BYTES``) are split that way.  Below, the items
+are shuffled to their node once and each task grows its node's whole subtree with the same
+rules in NumPy, so a depth of 16 costs a few jobs and one shuffle, not 16 global sorts.
 """
 
 from __future__ import annotations
@@ -75,23 +79,76 @@ def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1, dim
     return items.join(side, "item_id").select("item_id", "node", "v", "side")
 
 
+SUBTREE_BYTES = 256 << 20  # vectors (as double) of a node that one task splits to the end
+
+
+def seeded_halves(ids, x, rows, seed: int, level: int, node: int, rounds: int):
+    """(left rows, right rows) of one node by the rules of ``balanced_split``."""
+    import hashlib
+    import numpy as np
+    if len(rows) < 2:
+        return rows[:0], rows
+    drawn = sorted((int(hashlib.md5(f"{i}:{seed}:{level}:{node}".encode()).hexdigest()[:13], 16), i, r)
+                   for i, r in zip(ids[rows].tolist(), rows.tolist()))
+    c0, c1 = x[drawn[0][2]], x[drawn[-1][2]]
+    for r in range(max(rounds, 1)):
+        if r:
+            c0, c1 = x[left].mean(axis=0), x[right].mean(axis=0)
+        v = x[rows]
+        delta = np.round(np.cumsum(v * c0, axis=1)[:, -1] - np.cumsum(v * c1, axis=1)[:, -1], 9)
+        order = rows[np.lexsort((ids[rows], -delta))]
+        left, right = order[:len(rows) // 2], order[len(rows) // 2:]
+    return left, right
+
+
+def grow_subtrees(items: DataFrame, level: int, depth: int, seed: int, rounds: int = 1, halves=seeded_halves) -> DataFrame:
+    """(item_id, node) at ``depth`` of ``items`` (item_id, node at ``level``, v): each node's subtree
+    in one task.  ``halves(ids, x, rows, seed, level, node, rounds)`` cuts a node in two (F03)."""
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+        ids = np.asarray(table.column("item_id"))
+        vec = table.column("v").combine_chunks()
+        x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(ids), -1)
+        out = np.empty(len(ids), np.int64)
+        todo = [(level, int(key[0].as_py()), np.argsort(ids, kind="stable"))]
+        while todo:
+            lv, node, rows = todo.pop()
+            if lv == depth:
+                out[rows] = node
+                continue
+            left, right = halves(ids, x, rows, seed, lv, node, rounds)
+            todo += [(lv + 1, 2 * node, left), (lv + 1, 2 * node + 1, right)]
+        return pa.Table.from_arrays([pa.array(ids), pa.array(out)], names=["item_id", "node"])
+
+    return (items.select(F.col("item_id").cast("long").alias("item_id"), "node", "v").groupBy("node")
+            .applyInArrow(run, "item_id long, node long"))
+
+
 def tree_depth(n_items: int, cluster_size: int) -> int:
     """Depth giving clusters of about ``cluster_size`` items: ceil(log2(n / size))."""
     return max(0, int(math.ceil(math.log2(max(n_items, 1) / max(cluster_size, 1)))))
 
 
-def balanced_clusters(items: DataFrame, depth: int, seed: int = 0, rounds: int = 1,
-                      id_col: str = "item_id", vec_col: str = "embedding") -> DataFrame:
-    """2^depth clusters of equal size (+-1); (item_id, cluster_id)."""
+def balanced_clusters(items: DataFrame, depth: int, seed: int = 0, rounds: int = 1, id_col: str = "item_id",
+                      vec_col: str = "embedding", subtree_bytes: int = SUBTREE_BYTES, halves=seeded_halves) -> DataFrame:
+    """2^depth clusters of equal size (+-1); (item_id, cluster_id).
+
+    Levels are split globally until a node's vectors fit ``subtree_bytes``, then in the node's task.
+    ``halves`` replaces the rule there (F03); with a rule of your own, choose ``subtree_bytes`` such
+    that no level is split globally."""
     from xmcforge.plans.partitioning import spread_if_small
-    # level 0 is read by several branches (seeds, sizes, scoring, join back): normalise once,
-    # spread over the cores, and pin it like every later level
-    cur = reliable_checkpoint(spread_if_small(items.select(id_col, vec_col), key=id_col).select(
-        F.col(id_col).alias("item_id"), root_node(id_col), V.l2_normalize(vec_col).alias("v")))
     row = items.select(F.max(F.size(vec_col)), F.count(F.lit(1))).first()
     dim, n_items = int(row[0] or 1), int(row[1])
-    for level in range(depth):
+    cur = spread_if_small(items.select(id_col, vec_col), key=id_col).select(
+        F.col(id_col).alias("item_id"), root_node(id_col), V.l2_normalize(vec_col).alias("v"))
+    level = 0
+    while level < depth and (n_items >> level) * (8 * dim + 64) > subtree_bytes:
+        if level == 0:  # read by several branches (seeds, sizes, scoring, join back): pinned like every later level
+            cur = reliable_checkpoint(cur)
         split = balanced_split(cur, seed, level, rounds, dim=dim, n_items=n_items)
         # one reliable checkpoint per level cuts the lineage of the vectors
         cur = reliable_checkpoint(split.select("item_id", (F.col("node") * 2 + F.col("side")).alias("node"), "v"))
-    return cur.select(F.col("item_id").alias(id_col), F.col("node").alias("cluster_id"))
+        level += 1
+    done = grow_subtrees(cur, level, depth, seed, rounds, halves) if level < depth else cur
+    return done.select(F.col("item_id").alias(id_col), F.col("node").alias("cluster_id"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xmcforge.operators.retrieval import rank_within_query
+from xmcforge.session import reliable_checkpoint
 
 METRIC_ORDER = ["P", "R", "Hit", "nDCG", "MAP", "MRR", "PSP", "PSnDCG"]
 
@@ -107,13 +108,15 @@ def metrics_report(pred: DataFrame, truth: DataFrame, queries: DataFrame, ks: Se
 
     # only the asked queries count, whatever else predictions and truth hold
     t = truth.select(F.col("q_id").cast("long"), F.col("label_id").cast("long")).distinct().join(q, "q_id", "left_semi")
-    tcount = t.groupBy("q_id").agg(F.count(F.lit(1)).alias("T"))
-    hits = (ranked(pred, K).join(t, ["q_id", "label_id"], "left_semi")
-            .join(tcount, "q_id", "left").fillna(0, ["T"]))
     if weights is not None:
-        hits = hits.join(weights.select("label_id", "weight"), "label_id", "left").fillna(0.0, ["weight"])
+        # hits and ideal lists both read the weighted truth: it is made once
+        t = reliable_checkpoint(t.join(weights.select("label_id", "weight"), "label_id", "left").fillna(0.0, ["weight"])
+                                .select("q_id", "label_id", "weight"))
     else:
-        hits = hits.withColumn("weight", F.lit(0.0))
+        t = t.withColumn("weight", F.lit(0.0))
+    # hits need their query's count: one sum over the truth next to one join with it
+    tcount = t.groupBy("q_id").agg(F.count(F.lit(1)).alias("T"))
+    hits = ranked(pred, K).join(t, ["q_id", "label_id"]).join(tcount, "q_id")
     w = Window.partitionBy("q_id").orderBy("rank")
     hits = (hits.withColumn("j", F.row_number().over(w))
                 .withColumn("prec_j", F.col("j") / F.col("rank"))
@@ -162,7 +165,9 @@ def metrics_report(pred: DataFrame, truth: DataFrame, queries: DataFrame, ks: Se
         "MRR": mrr,
     }
     if weights is not None:
-        ideal = ideal_propensity_topk(t, weights, K).join(tcount, "q_id", "left")
+        best = Window.partitionBy("q_id").orderBy(F.col("weight").desc(), F.col("label_id").asc())
+        ideal = (t.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= K)
+                 .join(tcount, "q_id"))
         ideal_by_rank = (ideal.withColumn("Tc", F.least(F.col("T"), F.lit(K)))
                          .groupBy("rank", "Tc").agg(F.sum("weight").alias("iw")))
         ideal_k = (ideal_by_rank.withColumn("k", _ks_col(ks)).where(F.col("rank") <= F.col("k"))

@@ -1,8 +1,8 @@
 """Vector representations.
 
-Vector means are computed as (key, dim) sums: ``posexplode`` then a partially aggregated
-``groupBy`` and an ordered re-collect of at most ``dim`` values per key, so a key with a
-third of all rows is reduced map-side instead of landing in one task.
+Vector means are dense partial sums: each task adds its rows' vectors per key in NumPy, so a key
+with a third of all rows leaves a task as one row, and a second pass over rows sorted by key adds
+the partial sums.  A row is one vector throughout, never one component.
 """
 
 from __future__ import annotations
@@ -19,40 +19,124 @@ from xmcforge.functions import vectors as V
 from xmcforge.plans.ranking import dist_rank
 
 
-def explode_vec(df: DataFrame, vec_col: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*keep, F.posexplode(vec_col).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+SUM_BYTES = 64 << 20  # partial sums that a task holds before it hands them on
 
 
-def collect_vec(long_df: DataFrame, keys: Sequence[str], value_col: str = "x", out: str = "embedding") -> DataFrame:
-    agg = long_df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", value_col))).alias("_s"))
-    return agg.select(*keys, F.col(f"_s.{value_col}").alias(out))
+def _dense(col, np, pc):
+    """(rows x width) float64 matrix of an Arrow list column without nulls; null components are 0."""
+    arr = col.combine_chunks() if hasattr(col, "combine_chunks") else col
+    ends = np.asarray(arr.offsets)
+    if len(arr) and (np.diff(ends) != ends[1] - ends[0]).any():
+        raise ValueError("vectors of one table must all have the same width")
+    flat = arr.flatten()
+    if flat.null_count:
+        flat = pc.fill_null(flat, 0)
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(arr), -1)
+
+
+def _adder(keys: Sequence[str], schema: T.StructType, complete: bool):
+    """Arrow function that adds the rows (keys, s, w) of equal keys; with ``complete`` the rows come
+    sorted by key, and all keys but the last of a batch are finished."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        slots, types = {}, None
+        sums, weights = np.zeros((0, 0)), np.zeros(0)
+
+        def out(names):
+            rows = np.array([slots[k] for k in names], np.int64)
+            body = sums[rows]
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int64) * body.shape[1])
+            vec = pa.ListArray.from_arrays(ends.cast(pa.int32()), pa.array(body.reshape(-1)))
+            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in names], t) for i, t in enumerate(types)),
+                                               vec, pa.array(weights[rows])], names=schema.names)
+
+        def flush(names):
+            step = max(1, SUM_BYTES // (8 * max(1, sums.shape[1])) // 4)
+            for at in range(0, len(names), step):
+                yield out(names[at:at + step])
+
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            vec = _dense(rb.column("s"), np, pc)
+            w = pc.fill_null(rb.column("w"), 0.0).to_numpy(zero_copy_only=False)
+            code = np.zeros(rb.num_rows, np.int64)
+            for k in keys:
+                coded = rb.column(k).dictionary_encode(null_encoding="encode")
+                code = np.unique(code * len(coded.dictionary) + np.asarray(coded.indices), return_inverse=True)[1].reshape(-1)
+            _, first, code = np.unique(code, return_index=True, return_inverse=True)
+            code = code.reshape(-1)
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(first)))
+            part, part_w = np.add.reduceat(vec[order], starts, axis=0), np.add.reduceat(w[order], starts)
+            types = [rb.column(k).type for k in keys]
+            names = list(zip(*(rb.column(k).take(pa.array(first)).to_pylist() for k in keys)))
+            new = [n for n in names if n not in slots]
+            if slots and vec.shape[1] != sums.shape[1]:
+                raise ValueError("vectors of one table must all have the same width")
+            if new:
+                at = len(slots)
+                slots.update((n, at + i) for i, n in enumerate(new))
+                if at + len(new) > len(sums):
+                    room = max(2 * len(sums), at + len(new), 64)
+                    grown, grown_w = np.zeros((room, vec.shape[1])), np.zeros(room)
+                    if at:
+                        grown[:at], grown_w[:at] = sums[:at], weights[:at]
+                    sums, weights = grown, grown_w
+                sums[at:at + len(new)], weights[at:at + len(new)] = 0.0, 0.0
+            rows = np.array([slots[n] for n in names], np.int64)  # each key once
+            sums[rows] += part
+            weights[rows] += part_w
+            if complete:
+                last = tuple(rb.column(k)[rb.num_rows - 1].as_py() for k in keys)
+                done = [n for n in slots if n != last]
+                if len(done) * sums.shape[1] * 8 > SUM_BYTES // 4:
+                    yield from flush(done)
+                    keep, keep_w = sums[slots[last]].copy(), weights[slots[last]]
+                    slots, sums, weights = {last: 0}, np.zeros((64, len(keep))), np.zeros(64)
+                    sums[0], weights[0] = keep, keep_w
+            elif len(slots) * sums.shape[1] * 8 > SUM_BYTES:
+                yield from flush(list(slots))
+                slots, sums, weights = {}, np.zeros((0, 0)), np.zeros(0)
+        if slots:
+            yield from flush(list(slots))
+    return run
 
 
 def vector_sums(df: DataFrame, keys: Sequence[str], vec_col: str = "embedding", weight: str | None = None) -> DataFrame:
-    """(keys, dim, s = sum(w * x), w = sum(w)) long table."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    e = df.select(*keys, w.alias("_w"), F.posexplode(vec_col).alias("dim", "x"))
-    return e.groupBy(*keys, "dim").agg(F.sum(F.col("x").cast("double") * F.col("_w")).alias("s"),
-                                       F.sum("_w").alias("w"))
+    """(keys, s = sum(w * x) as array<double>, w = sum(w)) of each key.
+
+    Rows that are shuffled: one per key and task (a task whose keys' sums exceed ``SUM_BYTES`` hands
+    them on and starts again).  Null vectors do not count, null weights and components are 0, null
+    keys are a key; vectors must have one width."""
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    vec = F.col(vec_col)
+    rows = df.where(vec.isNotNull()).select(*keys, (F.transform(vec, lambda x: x.cast("double") * w) if weight else vec).alias("s"), w.alias("w"))
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("w", T.DoubleType())])
+    parts = rows.mapInArrow(_adder(keys, schema, False), schema)
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_adder(keys, schema, True), schema)
 
 
 def vector_mean(df: DataFrame, keys: Sequence[str], vec_col: str = "embedding", weight: str | None = None,
-                eps: float | None = None, as_long: bool = False) -> DataFrame:
+                eps: float | None = None) -> DataFrame:
     """Mean vector per key: sum(w x) / sum(w) (denominator clamped at ``eps`` when given)."""
-    s = vector_sums(df, keys, vec_col, weight)
     den = F.greatest(F.col("w"), F.lit(eps)) if eps is not None else F.col("w")
-    long_df = s.select(*keys, "dim", (F.col("s") / den).alias("x"))
-    return long_df if as_long else collect_vec(long_df, keys)
+    return vector_sums(df, keys, vec_col, weight).select(*keys, F.transform("s", lambda x: x / den).alias("embedding"))
 
 
 def label_centroids(xy: DataFrame, doc_vecs: DataFrame, labels: DataFrame | None = None, dim: int | None = None,
                     doc_col: str = "doc_id") -> DataFrame:
-    """Label centroid = mean embedding of its documents; labels without documents get
-    the zero vector (needs ``labels`` and ``dim``).  (label_id, embedding array<double>)"""
+    """Label centroid = mean embedding of its documents; with ``labels``, labels without
+    documents get the zero vector of ``dim`` components (default: the width of the document vectors).
+    (label_id, embedding array<double>)"""
     joined = xy.select(doc_col, "label_id").join(doc_vecs.select(doc_col, "embedding"), doc_col)
     cent = vector_mean(joined, ["label_id"])
     if labels is None:
         return cent
+    if dim is None:
+        some = doc_vecs.where("embedding is not null").select(F.size("embedding").alias("d")).head()
+        dim = some.d if some else 0
     zero = F.array_repeat(F.lit(0.0), int(dim))
     return (labels.select("label_id").distinct().join(cent, "label_id", "left")
                   .select("label_id", F.coalesce("embedding", zero).alias("embedding")))
@@ -169,10 +253,16 @@ def _ema_weights(obs: DataFrame, w: float, key: str, order: Sequence[str]) -> Da
 
 def ema_vectors(obs: DataFrame, w: float = 0.95, key: str = "key", order: Sequence[str] = ("step", "id"),
                 vec_col: str = "embedding") -> DataFrame:
-    """C12 on vectors: (key, embedding) with the running mean of each key's vectors in ``order``,
-    from the zero vector."""
-    sums = vector_sums(_ema_weights(obs.select(key, *order, vec_col), w, key, order), [key], vec_col, weight="_weight")
-    return collect_vec(sums.select(key, "dim", F.col("s").alias("x")), [key])
+    """C12 on vectors: (key, embedding) with the running mean of each key's vectors in ``order``
+    (unique within a key), from the zero vector.  Only keys and order columns go through the rank."""
+    weights = _ema_weights(obs.select(key, *order), w, key, order)
+    names = [key, *order]
+    weights = weights.select(*[F.col(c).alias(f"_j{i}") for i, c in enumerate(names)], "_weight")
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"_j{i}"))
+    weighted = obs.select(*names, vec_col).join(weights, same).select(key, vec_col, "_weight")
+    return vector_sums(weighted, [key], vec_col, weight="_weight").select(key, F.col("s").alias("embedding"))
 
 
 def linear_project(df: DataFrame, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None,
@@ -203,13 +293,46 @@ def linear_project(df: DataFrame, weights: Sequence[Sequence[float]], bias: Sequ
     return kept.mapInArrow(run, schema)
 
 
-def pca_fit(df: DataFrame, k: int, vec_col: str = "embedding") -> np.ndarray:
-    """PCA components (k x dim) with MLlib; the reference applies them without centring."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-    vec = df.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vec)
-    return model.pc.toArray().T
+def gram_matrix(df: DataFrame, vec_col: str = "embedding") -> tuple[np.ndarray, np.ndarray, int]:
+    """(sum of x x^T, sum of x, rows) over all vectors: each task adds one product per Arrow batch, and
+    one row per component carries the sums to their merge, so the driver sees dim + 1 rows."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        total, n = None, 0
+        for rb in batches:
+            vec = rb.column("s").drop_null()
+            if not len(vec):
+                continue
+            m = _dense(vec, np, pc)
+            # the sum of x is one more row of the product: a component that is always 1
+            m = np.concatenate([m, np.ones((len(m), 1))], axis=1)
+            total = m.T @ m if total is None else total + m.T @ m
+            n += len(m)
+        if total is not None:
+            ends = pa.array((np.arange(len(total) + 1) * len(total)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.ListArray.from_arrays(ends, pa.array(total.reshape(-1)))], names=["i", "s"])
+
+    parts = df.select(F.col(vec_col).alias("s")).mapInArrow(run, "i long, s array<double>")
+    rows = {r.i: r.s for r in vector_sums(parts, ["i"], "s").collect()}
+    if not rows:
+        return np.zeros((0, 0)), np.zeros(0), 0
+    full = np.array([rows[i] for i in range(len(rows))])
+    return full[:-1, :-1], full[-1, :-1], int(round(full[-1, -1]))
+
+
+def pca_fit(df: DataFrame, k: int, vec_col: str = "embedding", center: bool = True) -> np.ndarray:
+    """The ``k`` principal components (k x dim) by falling variance, of the covariance matrix or, with
+    ``center=False``, of the plain second moments.  A component's largest entry (the first of equal
+    ones) is positive.  The reference applies components without centring."""
+    gram, total, n = gram_matrix(df, vec_col)
+    if not n:
+        return np.zeros((0, 0))
+    cov = gram / n - np.outer(total, total) / n ** 2 if center else gram / n
+    values, vectors = np.linalg.eigh(cov)
+    comps = vectors[:, np.argsort(-values, kind="stable")[:k]].T
+    lead = np.abs(comps).round(9).argmax(axis=1)
+    return comps * np.sign(comps[np.arange(len(comps)), lead])[:, None]
 
 
 # --------------------------------------------------------------------- encoder hook

@@ -185,6 +185,12 @@ def _streamer(*settings):
     return run
 
 
+def _vector_type(*fields: T.StructField) -> str:
+    """What vectors travel as: float where all sides are float (tasks compute in double anyway)."""
+    float_ = all(isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.FloatType) for f in fields)
+    return "array<float>" if float_ else "array<double>"
+
+
 def plan_blocks(par: int, n_q: int, n_l: int, dim: int, block_bytes: int = DEFAULT_BLOCK_BYTES,
                 min_rows: int = MIN_BLOCK_ROWS, k: int = 10, excluded_per_query: float = 0.0) -> tuple[int, int]:
     """(query blocks, label blocks).
@@ -215,17 +221,18 @@ def candidates(queries: DataFrame, labels: DataFrame, *, q_col: str = "q_id", l_
     ``block_bytes``.  Rows without an id or a vector have no neighbours and are none."""
     spark = queries.sparkSession
 
-    def side(df, number, id_col, vec):
-        ids = F.col(id_col).cast("long")
-        return df.select(F.lit(number).alias("side"), ids.alias("id"), F.lit(0).cast("long").alias("other"), vec.alias("vec"))
+    width = _vector_type(queries.schema[vec_col], labels.schema[vec_col])
+
+    def side(df, number, id_col):
+        some = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
+        return some.select(F.lit(number).alias("side"), F.col(id_col).cast("long").alias("id"),
+                           F.lit(0).cast("long").alias("other"), F.col(vec_col).cast(width).alias("vec"))
 
-    vec = F.col(vec_col).cast("array<double>")
-    q = side(queries, 0, q_col, vec).where("id is not null and vec is not null")
-    lab = side(labels, 2, l_col, vec).where("id is not null and vec is not null")
+    q, lab = side(queries, 0, q_col), side(labels, 2, l_col)
     ex = None
     if exclude is not None:
         ex = exclude.select(F.lit(1).alias("side"), F.col("q_id").cast("long").alias("id"),
-                            F.col("label_id").cast("long").alias("other"), F.lit(None).cast("array<double>").alias("vec"))
+                            F.col("label_id").cast("long").alias("other"), F.lit(None).cast(width).alias("vec"))
         ex = ex.where("id is not null and other is not null")
     # one job for all sizes: (queries, excluded pairs, labels, widest vector)
     sized = q.select("side", F.size("vec").alias("d")).unionByName(lab.select("side", F.size("vec").alias("d")))
@@ -257,8 +264,9 @@ def cell_topk(queries: DataFrame, labels: DataFrame, exclude: DataFrame, cell_co
     ``labels`` (cell, label_id, embedding), ``exclude`` (cell, q_id, label_id).
 
     A cell is a bounded group such as a training batch; its queries are held in one task."""
-    vec = F.col("embedding").cast("array<double>")
-    zero, none = F.lit(0).cast("long").alias("other"), F.lit(None).cast("array<double>").alias("vec")
+    width = _vector_type(queries.schema["embedding"], labels.schema["embedding"])
+    vec = F.col("embedding").cast(width)
+    zero, none = F.lit(0).cast("long").alias("other"), F.lit(None).cast(width).alias("vec")
     cell = F.col(cell_col).cast("long").alias("cell")
     rows = (queries.select(cell, F.lit(0).alias("side"), F.col("q_id").cast("long").alias("id"), zero, vec.alias("vec"))
             .unionByName(labels.select(cell, F.lit(2).alias("side"), F.col("label_id").cast("long").alias("id"), zero, vec.alias("vec")))

@@ -42,8 +42,8 @@ def _report_sql(metrics=None, no_hit="zero", weights=False, k=K, ks=KS):
 
 # ------------------------------------------------------------------ vectors
 @job("l2_normalize", oracle="""
-select label_id, cast(d as bigint) as dim, round(embedding[d], 9) as value
-from fx_ln, (select unnest(range(1, 65)) as d) r where d <= len(embedding)""")
+select label_id, cast(dim as bigint) as dim, round(x, 9) as value
+from (select label_id, unnest(range(1, len(embedding) + 1)) as dim, unnest(embedding) as x from fx_ln)""")
 def l2_normalize(t):
     """Unit rows, exploded to (label_id, dim, value)."""
     n = fx.labels(t).select("label_id", V.l2_normalize("embedding").alias("v"))

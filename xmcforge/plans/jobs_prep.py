@@ -150,8 +150,8 @@ def _write_splits(t):
 
 
 @job("embedding_roundtrip", oracle="""
-select 'tst' as split, vec_id as id, cast(d as bigint) as dim, round(embedding[d]::double, 6) as value
-from embeddings, (select unnest(range(1, 65)) as d) r where d <= len(embedding)""")
+select 'tst' as split, id, cast(dim as bigint) as dim, round(x::double, 6) as value
+from (select vec_id as id, unnest(range(1, len(embedding) + 1)) as dim, unnest(embedding) as x from embeddings)""")
 def embedding_roundtrip(t):
     """Embeddings saved per split as parquet and the test split loaded back."""
     df = IO.read_embeddings(t.spark, _write_splits(t), only=["tst"])

@@ -30,11 +30,11 @@ def _long(df, key, vec="embedding", digits=6):
 
 
 def _long_sql(src: str, key: str, digits: int = 6) -> str:
-    return f"""select {key}, cast(d as bigint) as dim, round(embedding[d]::double, {digits}) as value
-from ({src}) s, (select unnest(range(1, {DIM + 1})) as d) r where d <= len(embedding)"""
+    return f"""select {key}, cast(dim as bigint) as dim, round(x::double, {digits}) as value
+from (select {key}, unnest(range(1, len(embedding) + 1)) as dim, unnest(embedding) as x from ({src}) s)"""
 
 
-LABEL_CENT_SQL = f"""select l.label_id, coalesce(c.embedding, list_transform(range({DIM}), lambda i: 0.0)) as embedding
+LABEL_CENT_SQL = f"""select l.label_id, coalesce(c.embedding, list_transform(range((select max(len(embedding)) from fx_trnq)), lambda i: 0.0)) as embedding
 from fx_label l left join ({_mean_sql("select t.label_id, q.embedding from fx_trn_xy t join fx_trnq q on q.trn_id = t.trn_id", "label_id")}) c
 on c.label_id = l.label_id"""
 
@@ -42,7 +42,7 @@ on c.label_id = l.label_id"""
 def _label_centroids(t):
     return RP.label_centroids(fx.train_xy(t).select(F.col("trn_id").alias("doc_id"), "label_id"),
                               fx.train_queries(t).select(F.col("trn_id").alias("doc_id"), "embedding"),
-                              labels=fx.labels(t), dim=DIM)
+                              labels=fx.labels(t))
 
 
 @job("label_centroids", oracle=_long_sql(LABEL_CENT_SQL, "label_id"))
@@ -100,8 +100,8 @@ def multimodal_mean_pool(t):
 with c as ({_mean_sql("select t.label_id, q.embedding from fx_trn_xy t join fx_trnq q on q.trn_id = t.trn_id", "label_id")}),
 f as (select l.label_id, coalesce(c.embedding, l.embedding) as embedding, c.label_id is not null as enriched
       from fx_label l left join c on c.label_id = l.label_id)
-select f.label_id, f.enriched, cast(d as bigint) as dim, round(f.embedding[d]::double, 6) as value
-from f, (select unnest(range(1, {DIM + 1})) as d) r""")
+select label_id, enriched, cast(dim as bigint) as dim, round(x::double, 6) as value
+from (select label_id, enriched, unnest(range(1, len(embedding) + 1)) as dim, unnest(embedding) as x from f)""")
 def embedding_fallback(t):
     """Enriched vector (training-query centroid) when the label has one, else the raw one."""
     enr = RP.label_centroids(fx.train_xy(t).select(F.col("trn_id").alias("doc_id"), "label_id"),
@@ -120,8 +120,9 @@ def prototype_fusion(t):
 
 @job("label_cluster_lookup", oracle=f"""
 with c as ({_mean_sql("select cluster_id, embedding from fx_cluster", "cluster_id")})
-select m.label_id, m.new_id as cluster_id, cast(d as bigint) as dim, round(c.embedding[d]::double, 6) as value
-from fx_map m join c on c.cluster_id = m.new_id, (select unnest(range(1, {DIM + 1})) as d) r""")
+select label_id, cluster_id, cast(dim as bigint) as dim, round(x::double, 6) as value
+from (select m.label_id, m.new_id as cluster_id, unnest(range(1, len(c.embedding) + 1)) as dim, unnest(c.embedding) as x
+      from fx_map m join c on c.cluster_id = m.new_id)""")
 def label_cluster_lookup(t):
     """Gather each label's cluster centroid by key."""
     cent = RP.cluster_centroids(fx.cluster_items(t))
@@ -215,10 +216,23 @@ def linear_project(t):
         "label_id", (F.col("p") + 1).cast("long").alias("out_dim"), F.round("x", 6).alias("value"))
 
 
+@job("pca_covariance", oracle="""
+with x as (select label_id, unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as v from fx_label),
+n as (select count(*) as n from fx_label), m as (select i, sum(v) as s from x group by i)
+select cast(a.i as bigint) as i, cast(b.i as bigint) as j, round(sum(a.v * b.v) / any_value(n.n) - any_value(ma.s) * any_value(mb.s) / any_value(n.n) / any_value(n.n), 8) as value
+from x a join x b on a.label_id = b.label_id, n, m ma, m mb where ma.i = a.i and mb.i = b.i group by a.i, b.i""")
+def pca_covariance(t):
+    """P09 fit, the data pass: the covariance matrix that the components come from."""
+    gram, total, n = RP.gram_matrix(fx.labels(t))
+    cov = gram / n - total[:, None] * total[None, :] / n ** 2
+    rows = [(i + 1, j + 1, float(v)) for i, row in enumerate(cov) for j, v in enumerate(row)]  # dim x dim numbers
+    return t.spark.createDataFrame(rows, "i long, j long, value double").select("i", "j", F.round("value", 8).alias("value"))
+
+
 @job("pca_fit")
 def pca_fit(t):
-    """P09 fit: 4 principal components of the label vectors (MLlib PCA), applied without
-    centring like the reference; rows-only (component signs are not unique)."""
+    """P09 fit: 4 principal components of the label vectors from their covariance, applied without
+    centring like the reference; rows-only (SQL has no eigenvectors; ``pca_covariance`` is checked)."""
     comps = RP.pca_fit(fx.labels(t), 4)
     p = RP.linear_project(fx.labels(t), comps.tolist())
     return p.select("label_id", F.posexplode("projected").alias("p", "x")).select(

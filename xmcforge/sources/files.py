@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from xmcforge.functions.text import py_strip
-from xmcforge.plans.ranking import dist_rank
-from xmcforge.session import ensure_checkpoint_dir
+from xmcforge.plans.ranking import PARTITION_BYTES, _estimated_bytes, dist_rank
+from xmcforge.session import default_parallelism, ensure_checkpoint_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,14 +55,31 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", str
                  .select((F.col("_off") + F.col("_m") - F.col("_m0")).cast("long").alias(line_col), text_col))
 
 
+def first_line(spark: SparkSession, path: str) -> DataFrame:
+    """The one-row (text) first line of ``path`` in the order of ``read_lines``: files are listed, and
+    only the first one that has a line is opened."""
+    import re
+
+    def place(f: str):
+        number = re.search(r"part-(\d{1,18})", f)
+        return (number is not None, int(number[1]) if number else 0, f)
+
+    for f in sorted(spark.read.text(path).inputFiles(), key=place):
+        line = spark.read.text(f).limit(1).select(py_strip(F.col("value")).alias("text"))
+        if line.head() is not None:
+            return line
+    return spark.createDataFrame([], "text string")
+
+
 def write_lines(df: DataFrame, path: str, order_col: str, text_col: str = "text", encoding: str = "UTF-8",
                 num_files: int | None = None, compression: str | None = None) -> None:
     """One line per record in ``order_col`` order; newlines inside a record become spaces
     (they would shift every later line); empty records stay as blank lines.
 
-    Range-partitioned, so part files are in key order.  The text writer emits a string's
-    bytes verbatim, so another charset is written by encoding to binary first."""
-    n = num_files or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    Range-partitioned, so part files are in key order; their number follows the estimated size, but
+    is not below the cores.  The text writer emits a string's bytes verbatim, so another charset is
+    written by encoding to binary first."""
+    n = num_files or max(default_parallelism(df.sparkSession), int(_estimated_bytes(df) // PARTITION_BYTES), 1)
     line = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\r\n]+", " ")
     if encoding.upper().replace("_", "-") not in ("UTF-8", "UTF8"):
         line = F.encode(line, encoding).cast("string")
@@ -118,9 +135,10 @@ def write_sparse_matrix(xy: DataFrame, rows: DataFrame, n_labels: int, path: str
 
 
 def read_sparse_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, label_id, value) long table and the one-row (n_rows, n_labels) header."""
+    """(doc_id, label_id, value) long table and the one-row (n_rows, n_labels) header, which is
+    read from the first file alone."""
     lines = read_lines(spark, path, encoding="UTF-8", strip=True, line_col="line", text_col="text")
-    header = lines.where(F.col("line") == 0).select(
+    header = first_line(spark, path).select(
         F.split("text", " ")[0].cast("long").alias("n_rows"), F.split("text", " ")[1].cast("long").alias("n_labels"))
     body = lines.where(F.col("line") > 0).select((F.col("line") - 1).alias("doc_id"),
                                                  F.explode(F.split("text", " ")).alias("cell"))

@@ -2,9 +2,10 @@
 
 * ST1 latest value per key: ``max_by`` over (step, id) is order-free, so late files are
   safe without a watermark.
-* ST2 EMA per key: ``applyInPandasWithState`` keeps (ema, n, last step, last id) per key;
-  rows not newer than the last applied one are counted as late and skipped (EMA is
-  order-dependent).
+* ST2 EMA per key (order-dependent): ``applyInPandasWithState`` keeps the mean up to the key's
+  watermark (its newest time minus ``delay``) and, in order, the rows after it; rows are applied
+  in (step, id) order once the watermark passes them, so files may come in any order within the
+  delay.  Rows older than the last applied one are counted as late, apart.
 * ST3 running label frequency: streaming count per label; propensity is computed at read.
 
 Sinks are update-mode logs written by ``foreachBatch`` into one partition per batch id
@@ -15,6 +16,7 @@ newest row per key.  Nothing is collected on the driver.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -43,18 +45,23 @@ REPLAY_ROWS_PER_FILE = 1_000_000
 
 def stage_replay(obs: DataFrame, path: str, order_col: str = "step", min_files: int = 4,
                  rows_per_file: int = REPLAY_ROWS_PER_FILE) -> None:
-    """Write observations as time-ordered files, one write after another so file
-    modification times follow the data (a replay fixture for the file source, which hands
-    files to micro-batches oldest first).  Each file holds one time slice of at most about
-    ``rows_per_file`` rows, so the number of slices grows with the data."""
-    stats = obs.select(F.min(_micros(order_col)).alias("lo"), F.max(_micros(order_col)).alias("hi"),
-                       F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n = int(stats["lo"]), int(stats["hi"]) + 1, int(stats["n"])
-    n_files = max(min_files, math.ceil(n / rows_per_file))
-    width = max(1, math.ceil((hi - lo) / n_files))
-    for i in range(n_files):
-        part = obs.where((_micros(order_col) >= lo + i * width) & (_micros(order_col) < lo + (i + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(path)
+    """Write observations as time-ordered files (a replay fixture for the file source, which hands
+    files to micro-batches oldest first).
+
+    One range-partitioned write by (time, id), so files hold about equally many rows however times
+    are spread, and rows without a time come first.  Then file modification times are set in file
+    order; only file names pass through the driver."""
+    spark = obs.sparkSession
+    n_files = max(min_files, math.ceil(obs.count() / rows_per_file))
+    order = [F.col(order_col).asc_nulls_first(), F.col("id").asc_nulls_first()]
+    obs.repartitionByRange(n_files, *order).sortWithinPartitions(*order).write.mode("append").parquet(path)
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    now = int(time.time() * 1000)
+    for i, f in enumerate(files):
+        fs.setTimes(f, now - 1000 * (len(files) - i), -1)
 
 
 def _log_sink(out_path: str):
@@ -106,60 +113,86 @@ def read_replay(spark: SparkSession, src: str, schema: T.StructType = OBS_SCHEMA
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
 
 
-def stream_latest(spark: SparkSession, src: str, out_path: str, ckpt: str) -> DataFrame:
-    """ST1: latest (value, id) per key."""
-    s = read_replay(spark, src)
+def stream_latest(spark: SparkSession, src: str, out_path: str, ckpt: str, value_cols: Sequence[str] = ("value",),
+                  schema: T.StructType = OBS_SCHEMA, snapshot: str | None = None) -> DataFrame:
+    """ST1: latest (``value_cols``, id) per key, of any type, vectors included.
+
+    ``snapshot`` names a folder of ``compact_log``: its rows count as the state before this log, so a
+    read costs the keys and what changed since, not the whole history."""
+    s = read_replay(spark, src, schema)
     o = F.struct("step", "id")
-    agg = s.groupBy("key").agg(F.max_by("value", o).alias("value"), F.max(o)["id"].alias("id"))
+    agg = s.groupBy("key").agg(*[F.max_by(c, o).alias(c) for c in value_cols], F.max(o)["step"].alias("step"), F.max(o)["id"].alias("id"))
     _run(agg, out_path, ckpt)
-    return latest_state(spark, out_path, ["key"]).drop("batch_id")
+    return read_state(spark, out_path, snapshot, ["key"])
+
+
+def read_state(spark: SparkSession, out_path: str, snapshot: str | None, key_cols: Sequence[str],
+               order: Sequence[str] = ("step", "id")) -> DataFrame:
+    """The newest row per key, by ``order``, of a snapshot and the log written after it."""
+    log = spark.read.parquet(out_path).drop("batch_id")
+    if snapshot is not None:
+        log = spark.read.parquet(snapshot).select(*log.columns).unionByName(log)
+    o = F.struct(*order)
+    vals = [c for c in log.columns if c not in (*key_cols, *order)]
+    return log.groupBy(*key_cols).agg(*[F.max_by(c, o).alias(c) for c in vals], *[F.max(o)[c].alias(c) for c in order])
 
 
-EMA_STATE = T.StructType([T.StructField("ema", T.DoubleType()), T.StructField("n", T.LongType()),
-                          T.StructField("last_step", T.LongType()), T.StructField("last_id", T.LongType())])
-EMA_OUT = T.StructType([T.StructField("key", T.LongType()), T.StructField("ema", T.DoubleType()),
-                        T.StructField("n_obs", T.LongType()), T.StructField("late", T.LongType())])
+EMA_STATE = T.StructType([
+    T.StructField("ema", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("last_step", T.LongType()),
+    T.StructField("last_id", T.LongType()), T.StructField("late", T.LongType()), T.StructField("steps", T.ArrayType(T.LongType())),
+    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+EMA_OUT = T.StructType([T.StructField("key", T.LongType()), T.StructField("ema", T.DoubleType()), T.StructField("n_obs", T.LongType()),
+                        T.StructField("late", T.LongType()), T.StructField("pending", T.LongType())])
+NO_TIME = -(1 << 62)  # rows without a time come before all others, as in the batch order
 
 
-def _ema_update(w: float):
+def _fold(ema: float, x: np.ndarray, w: float) -> float:
+    """The running mean after the values ``x``."""
+    return w ** len(x) * ema + float(((1.0 - w) * w ** np.arange(len(x) - 1, -1, -1, dtype=np.float64) * x).sum())
+
+
+def _ema_update(w: float, delay_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         import warnings  # PySpark's own Arrow serializer triggers a pandas deprecation notice
         warnings.filterwarnings("ignore", category=FutureWarning, module="pyspark.*")
-        if state.exists:
-            ema, n, last_step, last_id = state.get
-        else:
-            ema, n, last_step, last_id = 0.0, 0, None, None
-        frames = [p for p in pdfs if len(p)]
-        rows = (pd.concat(frames, ignore_index=True) if frames else
-                pd.DataFrame({"step_us": [], "id": [], "value": []})).sort_values(["step_us", "id"])
-        if last_step is not None:
-            newer = (rows["step_us"] > last_step) | ((rows["step_us"] == last_step) & (rows["id"] > last_id))
-        else:
-            newer = pd.Series(True, index=rows.index)
-        late = int((~newer).sum())
-        fresh = rows[newer.to_numpy()]
-        m = len(fresh)
-        if m:
-            x = fresh["value"].to_numpy(np.float64)
-            powers = w ** np.arange(m - 1, -1, -1, dtype=np.float64)
-            ema = (w ** m) * ema + float(((1.0 - w) * powers * x).sum())
-            n += m
-            last_step, last_id = int(fresh["step_us"].iloc[-1]), int(fresh["id"].iloc[-1])
-        state.update((ema, n, last_step, last_id))
-        yield pd.DataFrame({"key": [int(key[0])], "ema": [ema], "n_obs": [n], "late": [late]})
+        ema, n, last_step, last_id, late, steps, ids, values = (
+            state.get if state.exists else (0.0, 0, None, None, 0, [], [], []))
+        steps, ids, values = np.array(steps, np.int64), np.array(ids, np.int64), np.array(values, np.float64)
+        for p in pdfs:  # one Arrow batch of the key at a time
+            new = [p["step_us"].to_numpy(np.int64), p["id"].to_numpy(np.int64), p["value"].to_numpy(np.float64)]
+            if last_step is not None:
+                fresh = (new[0] > last_step) | ((new[0] == last_step) & (new[1] > last_id))
+                late += int((~fresh).sum())
+                new = [c[fresh] for c in new]
+            steps, ids, values = np.concatenate([steps, new[0]]), np.concatenate([ids, new[1]]), np.concatenate([values, new[2]])
+        order = np.lexsort((ids, steps))
+        steps, ids, values = steps[order], ids[order], values[order]
+        due = int(np.searchsorted(steps, steps[-1] - delay_us, side="left")) if len(steps) else 0
+        if due:
+            ema, n = _fold(ema, values[:due], w), n + due
+            last_step, last_id = int(steps[due - 1]), int(ids[due - 1])
+            steps, ids, values = steps[due:], ids[due:], values[due:]
+        state.update((ema, n, last_step, last_id, late, steps.tolist(), ids.tolist(), values.tolist()))
+        # what is shown counts the waiting rows, too
+        yield pd.DataFrame({"key": pd.array([key[0]], "Int64"), "ema": [_fold(ema, values, w)], "n_obs": [n + len(steps)],
+                            "late": [late], "pending": [len(steps)]})
     return fn
 
 
-def stream_ema(spark: SparkSession, src: str, out_path: str, ckpt: str, w: float = 0.95) -> DataFrame:
-    """ST2: EMA per key with per-key state; late rows are counted, not applied."""
-    s = read_replay(spark, src).select("key", _micros("step").alias("step_us"), "id", "value")
-    out = s.groupBy("key").applyInPandasWithState(_ema_update(w), EMA_OUT, EMA_STATE, "update",
+def stream_ema(spark: SparkSession, src: str, out_path: str, ckpt: str, w: float = 0.95, delay_s: float = 0.0) -> DataFrame:
+    """ST2: (key, ema, n_obs, late, pending) with per-key state.
+
+    A row is applied once the key has seen a row more than ``delay_s`` seconds newer, so files whose
+    rows are out of order by less give the batch mean; state per key holds the rows of the last
+    ``delay_s`` seconds.  Rows behind the last applied one are counted in ``late`` and change nothing.
+    Rows without a time come first; null keys are a key; null values count as 0."""
+    s = read_replay(spark, src).select(
+        "key", F.coalesce(_micros("step"), F.lit(NO_TIME)).alias("step_us"), F.coalesce("id", F.lit(0).cast("long")).alias("id"),
+        F.coalesce("value", F.lit(0.0)).alias("value"))
+    out = s.groupBy("key").applyInPandasWithState(_ema_update(w, int(delay_s * 1e6)), EMA_OUT, EMA_STATE, "update",
                                                   GroupStateTimeout.NoTimeout)
     _run(out, out_path, ckpt)
-    res = latest_state(spark, out_path, ["key"]).drop("batch_id")
-    # ``late`` is per batch in the log; the total is the sum over the key's batches
-    late = spark.read.parquet(out_path).groupBy("key").agg(F.sum("late").cast("long").alias("late"))
-    return res.drop("late").join(late, "key")
+    return latest_state(spark, out_path, ["key"]).drop("batch_id")
 
 
 def stream_label_frequency(spark: SparkSession, src: str, out_path: str, ckpt: str,
