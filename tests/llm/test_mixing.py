@@ -59,3 +59,31 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None, None, 7, 1), (2, "a b", "s", 8, 2)], "doc_id long, text string, source string, copies int, target int")
     out = mixing.mix(df, (5, 2, 1))
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} <= {1, 2}
+
+
+def test_words_miss_their_share_by_at_most_half_a_document(spark):
+    import random
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.choice([1, 3, 20, 300]), "abc"[i % 3]) for i in range(150)]  # 50 documents a source
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2, 3):
+        taken, sizes, largest = Counter(), Counter(), Counter()
+        for _, t, s in rows:
+            sizes[s] += len(words(t))
+            largest[s] = max(largest[s], len(words(t)))
+        for r in mixing.mix(df, (5, 2, 1), seed=seed).collect():
+            taken[r.source] += len(words(r.text))
+        target = filled(sizes, (5, 2, 1))
+        assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
+
+
+def test_draws_are_fair(spark):
+    """Each document is copied with about the probability of the fraction."""
+    df = spark.createDataFrame([(i, "w w", "a" if i < 60 else "b") for i in range(120)], "doc_id long, text string, source string")
+    more = Counter()
+    for seed in range(12):
+        more.update(Counter(r.doc_id for r in mixing.mix(df, (5, 3), seed=seed).collect()))
+    # targets 150 and 90 of 120 words: rates 1.25 and 0.75
+    a, b = [more[i] / 12 for i in range(60)], [more[i] / 12 for i in range(60, 120)]
+    assert sum(a) / 60 == pytest.approx(1.25, abs=0.01) and sum(b) / 60 == pytest.approx(0.75, abs=0.01)
+    assert max(a) <= 1.8 and min(b) >= 0.2

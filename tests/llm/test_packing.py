@@ -89,3 +89,46 @@ def test_general_examples_with_nulls_and_clashing_names(spark):
     for r in out:
         by.setdefault(r.sequence_id, []).append(r)
     assert all(sum(r.tokens for r in g) <= 16 and sum(r.loss or 0 for r in g) <= 6 for g in by.values())
+
+
+def test_each_limit_decides_some_placement():
+    """Instruction data: prompts bear no loss, so loss, segments and length bind in different places."""
+    demand = [(100, 1, 10)] * 6 + [(10, 1, 1)] * 9 + [(30, 1, 30)] * 6
+    limits = {0: 200, 1: 5, 2: 60}
+    full = fill_sequences(demand, list(limits.values()))[0]
+    for d in limits:  # without this limit some sequence exceeds it
+        free = fill_sequences(demand, [10 ** 9 if k == d else v for k, v in limits.items()])[0]
+        assert max(sum(demand[i][d] for i in range(len(demand)) if free[i] == s) for s in range(free.max() + 1)) > limits[d]
+    for s in range(full.max() + 1):
+        rows = [demand[i] for i in range(len(demand)) if full[i] == s]
+        assert all(sum(r[d] for r in rows) <= limits[d] for d in limits)
+
+
+def test_the_segment_limit_binds_on_short_texts(spark):
+    import public_tokenizers
+    from collections import Counter
+    df = spark.createDataFrame([(i, "some words") for i in range(100)], "doc_id long, text string")
+    for n in (16, 5):
+        out = pack_texts(df, public_tokenizers.path("byte_bpe_50k.json"), max_segments=n).collect()
+        assert max(Counter(r.sequence_id for r in out).values()) == n
+
+
+def test_units_encoded_together_equal_units_alone():
+    import random
+    import public_tokenizers
+    from array import array
+    from tokenizers import Tokenizer
+    from xmcforge.llm.packing import token_bytes, unit_ids
+    tok, rnd = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(1)
+    bits = ["a", "The", "é", "日", "😀", "'s", "12", "!", "\n", "\x85", "　", "<|endoftext|>", "\x00", "़"]
+    units = [rnd.choice([" ", "", "  "]) + "".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 6))) for _ in range(5000)]
+    units = [u for u in dict.fromkeys(units) if u]
+    want = [array("I", tok.encode(u, add_special_tokens=False).ids).tobytes() for u in units]
+    assert unit_ids(tok, token_bytes(tok), units) == want
+
+
+def test_a_column_called_like_the_group_passes(spark):
+    from xmcforge.llm.common import written
+    df = written(spark.createDataFrame([(i, 5, i * 2) for i in range(20)], "doc_id long, n long, _group long"), "named")
+    out = pack(df, {"n": 10}, "n").collect()
+    assert all(r._group == 2 * r.doc_id for r in out) and len(out) == 20

@@ -48,3 +48,13 @@ def test_empty_documents(spark):
     for name, stage in P.STAGES:
         docs = P.written(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_columns_called_like_the_inner_ones_pass_every_stage(spark):
+    names = ["_toxicity", "_cut", "_id", "_group", "_text_key", "_gone", "score", "copies"]
+    docs = spark.createDataFrame([(*r, *names) for r in edge_rows()], DOCS + "".join(f", {n} string" for n in names))
+    for name, stage in P.STAGES[:-1]:
+        docs = P.written(stage(spark, docs, SF), name)
+        assert docs.columns[-len(names):] == names
+    assert {tuple(r[n] for n in names) for r in docs.collect()} == {tuple(names)}
+    assert P.STAGES[-1][1](spark, docs, SF).count() > 0

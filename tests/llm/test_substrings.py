@@ -92,3 +92,12 @@ def test_every_window_holds_a_pick():
     words = [f"w{i * i % 71}" for i in range(500)]
     at = [0, *picked(words), len(words)]
     assert max(b - a for a, b in zip(at, at[1:])) <= WINDOW + 1
+
+
+def test_columns_called_like_the_inner_ones_pass(spark):
+    text = "One passage of some words that is repeated here and there in full."
+    rows = [(1, text, 77, 78, "g"), (2, "Intro. " + text, 79, 80, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _text_key long, _gone string")
+    out = {r.doc_id: r for r in drop_repeats(df).collect()}
+    assert [(out[i]._id, out[i]._text_key, out[i]._gone) for i in (1, 2)] == [(77, 78, "g"), (79, 80, "h")]
+    assert out[2].removed and not out[1].removed

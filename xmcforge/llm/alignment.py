@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from xmcforge.llm.common import slices, table, worker_memory, written
-from xmcforge.llm.packing import SPACE
+from xmcforge.llm.packing import SPACE, unit_ids
 from xmcforge.llm.registry import query
 
 SLICE = 2 << 20           # text bytes aligned at once
@@ -67,7 +67,7 @@ class Encoders:
     def encode(self, units: list[str]):
         """(ids A, ids B, bytes equal) of each unit, ids as int32 bytes; a unit starts with a space."""
         import numpy as np
-        ids = [[array("I", e.ids).tobytes() for e in self.a.encode_batch_fast(units, add_special_tokens=False)],
+        ids = [unit_ids(self.a, self.len_a, units),
                [array("I", x).tobytes() for x in self.b.encode([u[1:] for u in units], num_threads=1)]]
         space = array("I", [self.space]).tobytes()
         ids[1] = [x or space for x in ids[1]]  # B sees an empty text in a lone space, but a space within a longer one

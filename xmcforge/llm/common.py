@@ -61,6 +61,14 @@ def with_fields(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> tuple[Da
     return kept, T.StructType(list(kept.schema.fields) + [T.StructField(n, t) for n, t in fields])
 
 
+def free_name(columns, base: str) -> str:
+    """``base``, with underscores added until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def slices(batch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator:
     """Cut an Arrow record batch into row ranges of at most ``max_bytes`` of ``column`` (a longer
     single value stays alone in its range)."""

@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xmcforge.llm.common import SLICE_BYTES, slices, table, worker_memory, written
+from xmcforge.llm.common import SLICE_BYTES, free_name, slices, table, worker_memory, written
 from xmcforge.llm.registry import query
 
 GROUP_ROWS = 4000
 # White space of the tokenizer's pre-tokens.  A text is cut before white space that follows another
 # character: its pre-tokens end there, and no special string holds white space.
 SPACE = "\t-\r \x85\xa0  -     　"
+BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+JOINED_UNITS = 512     # units encoded as one text
 CACHE_UNITS = 800_000  # encoded units remembered per Python worker
 CALL_CHARS = 1 << 20
 
@@ -68,6 +70,40 @@ def text_units(text):
     return units, code, offsets
 
 
+def token_bytes(tok):
+    """How many bytes of text each id of a byte-level vocabulary stands for: a character of an entry
+    is one byte."""
+    import numpy as np
+    return np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size(with_added_tokens=True))], np.int64)
+
+
+def unit_ids(tok, lens, units: list[str]) -> list[bytes]:
+    """The ids (uint32 bytes) of each unit, without added special tokens.
+
+    Units of a space and a visible run are encoded many at a time in one text, whose pre-tokens end
+    where a unit does, and cut where their bytes end; the others are encoded alone."""
+    import numpy as np
+    out: list = [None] * len(units)
+    alone, joined = [], []
+    for i, u in enumerate(units):
+        (joined if len(u) > 1 and u[0] == " " and u[1] not in BLANKS and u[-1] not in BLANKS else alone).append(i)
+    groups = [joined[i:i + JOINED_UNITS] for i in range(0, len(joined), JOINED_UNITS)]
+    for group, e in zip(groups, tok.encode_batch_fast(["".join([units[i] for i in g]) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, np.uint32)
+        ends = np.cumsum(lens[ids])
+        want = np.cumsum([len(units[i]) if units[i].isascii() else len(units[i].encode()) for i in group])
+        at = np.searchsorted(ends, want)
+        if ends[-1] != want[-1] or (ends[at] != want).any():
+            alone += group
+            continue
+        blob, cuts = ids.tobytes(), [0, *(4 * at + 4).tolist()]
+        for i, a, b in zip(group, cuts, cuts[1:]):
+            out[i] = blob[a:b]
+    for i, e in zip(alone, tok.encode_batch_fast([units[i] for i in alone], add_special_tokens=False)):
+        out[i] = array("I", e.ids).tobytes()
+    return out
+
+
 def token_pieces(df: DataFrame, model_path: str, length: int, text_col: str = "text", id_col: str = "doc_id",
                  end_id: int = 1, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): each text's ids, then ``end_id``, cut every
@@ -89,12 +125,13 @@ def token_pieces(df: DataFrame, model_path: str, length: int, text_col: str = "t
         tok = Tokenizer.from_file(model_path)
         known = worker_memory(f"ids {model_path}")
 
+        lens = token_bytes(tok)
+
         def learn(missing: list[str]) -> None:
             while missing:
                 chars = np.cumsum([len(u) for u in missing[:1 << 16]])
                 n = max(1, int(np.searchsorted(chars, CALL_CHARS)))
-                for u, e in zip(missing[:n], tok.encode_batch_fast(missing[:n], add_special_tokens=False)):
-                    known[u] = array("I", e.ids).tobytes()
+                known.update(zip(missing[:n], unit_ids(tok, lens, missing[:n])))
                 missing = missing[n:]
 
         end = array("I", [end_id]).tobytes()
@@ -192,7 +229,8 @@ def pack(examples: DataFrame, limits: Mapping[str, int], length_col: str, group_
     tops = [int(limits[d]) for d in dims]
     schema = T.StructType(list(kept.schema.fields) + [T.StructField("sequence_id", T.LongType()),
                                                       T.StructField("offset", T.LongType())])
-    dealt = kept.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, groups))))
+    group = free_name(names, "_group")
+    dealt = kept.withColumn(group, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, groups))))
 
     def run(key, rows):
         import numpy as np
@@ -211,18 +249,18 @@ def pack(examples: DataFrame, limits: Mapping[str, int], length_col: str, group_
         return pa.Table.from_arrays([*(rows.column(c) for c in names), pa.array(sequence), pa.array(offset)],
                                     names=[*names, "sequence_id", "offset"])
 
-    return dealt.groupBy("_group").applyInArrow(run, schema)
+    return dealt.groupBy(group).applyInArrow(run, schema)
 
 
-def pack_texts(df: DataFrame, model_path: str, length: int = 2048, max_segments: int = 128,
+def pack_texts(df: DataFrame, model_path: str, length: int = 2048, max_segments: int = 16, max_loss: int | None = None,
                text_col: str = "text", id_col: str = "doc_id", end_id: int = 1) -> DataFrame:
-    """Texts as pieces of at most ``length`` ids, packed into sequences under three limits.
-
-    Loss falls on every id but a text's first, which nothing predicts."""
+    """Texts as pieces of at most ``length`` ids, packed into sequences under three limits: ids,
+    pieces, and ids that bear loss (every id but a text's first, which nothing predicts; at most
+    ``max_loss``, by default ``length``).  A piece above a limit has a sequence of its own."""
     pieces = token_pieces(df, model_path, length, text_col, id_col, end_id)
     pieces = written(pieces.withColumn("segments", F.lit(1).cast("long"))
                      .withColumn("loss_tokens", F.col("length") - (F.col("start") == 0).cast("long")), "pieces")
-    return pack(pieces, {"length": length, "segments": max_segments, "loss_tokens": length}, "length")
+    return pack(pieces, {"length": length, "segments": max_segments, "loss_tokens": max_loss or length}, "length")
 
 
 @query("op2_pack")

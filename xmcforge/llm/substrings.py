@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xmcforge.llm.common import discard, slices, table, worker_memory, written
+from xmcforge.llm.common import discard, free_name, slices, table, worker_memory, written
 from xmcforge.llm.registry import query
 
 MIN_WORDS = 8
@@ -123,8 +123,8 @@ def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Documents rank by id, nulls last.  Rows that share an id rank equal: a span first seen under
     that id stays in each of them.  A text's own repeats go, too.  ``ranges_col`` lists merged
     [start, end) ranges in code points; it is empty for untouched texts.  Null and empty texts stay
-    as they are; a text with nothing left becomes empty.  Other columns pass through; one called
-    like ``ranges_col`` is replaced."""
+    as they are; a text with nothing left becomes empty.  Other columns pass through, whatever their
+    names; one called like ``ranges_col`` is replaced."""
     last = F.lit((1 << 63) - 1)
     rank = F.coalesce(df[f"`{id_col}`"].cast("long"), last)
     kept = df.drop(ranges_col)
@@ -141,10 +141,12 @@ def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             .groupBy("_id", "_text_key").agg(F.collect_list(F.when(again, F.bitwise_not("at")).otherwise(F.col("at"))).alias("_gone")))
     gone = written(gone, "repeats")  # the spans' shuffle files go before the texts are shuffled
     discard(first)
-    joined = (kept.withColumn("_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), last))
-              .withColumn("_text_key", F.xxhash64(F.col(f"`{text_col}`")))
-              .join(gone, ["_id", "_text_key"], "left").select(*[F.col(f"`{c}`") for c in kept.columns], "_gone"))
     names = kept.columns
+    i, key, gone_col = (free_name(names, c) for c in ("_id", "_text_key", "_gone"))
+    gone = gone.select(F.col("_id").alias(i), F.col("_text_key").alias(key), F.col("_gone").alias(gone_col))
+    joined = (kept.withColumn(i, F.coalesce(F.col(f"`{id_col}`").cast("long"), last))
+              .withColumn(key, F.xxhash64(F.col(f"`{text_col}`")))
+              .join(gone, [i, key], "left").select(*[F.col(f"`{c}`") for c in names], gone_col))
     at = names.index(next(c for c in names if c.lower() == text_col.lower()))
     schema = T.StructType(list(kept.schema.fields) + [T.StructField(ranges_col, T.ArrayType(SPAN))])
 
@@ -154,7 +156,7 @@ def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             for part in slices(batch, names[at]):
                 texts = part.column(at).to_pylist()
                 removed = []
-                for i, gone in enumerate(part.column("_gone").to_pylist()):
+                for i, gone in enumerate(part.column(gone_col).to_pylist()):
                     ranges: list[list[int]] = []
                     for a, b in sorted((g >> 32, g & 0xFFFFFFFF) for g in gone or ()):
                         if ranges and a <= ranges[-1][1]:
