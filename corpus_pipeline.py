@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xmcforge.llm import jaccard, mixing, packing, substrings, toxicity
-from xmcforge.llm.common import table, written
+from xmcforge.llm.common import free_name, table, written
 
 # The stages of this module follow no single expression that DuckDB could run.
 ORACLE_SQL = None
@@ -31,28 +31,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject (score below 0.5)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
     model = toxicity.fit(toxicity.fit_sample(docs.select("doc_id", "text"), labels))
-    return toxicity.score(docs, model, out="_toxicity").where("_toxicity < 0.5").drop("_toxicity").select(*docs.columns)
+    score = free_name(docs.columns, "_toxicity")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates (5-word shingles, 0.8)."""
     classes = jaccard.near_duplicates(docs, 5, 80)
     gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one holds; a text with nothing left goes."""
-    cut = substrings.drop_repeats(docs, ranges_col="_cut")
-    cut = cut.where((F.size("_cut") == 0) | (F.length(F.trim("text")) > 0)).drop("_cut")
+    ranges = free_name(docs.columns, "_cut")
+    cut = substrings.drop_repeats(docs, ranges_col=ranges)
+    cut = cut.where((F.size(ranges) == 0) | (F.length(F.trim("text")) > 0)).drop(ranges)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return cut.select(*docs.columns)
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return mixing.mix(docs, WEIGHTS).select(*docs.columns)
+    return mixing.mix(docs, WEIGHTS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
