@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xmcforge.llm.common import SLICE_BYTES, free_name, slices, table, worker_memory, written
+from xmcforge.llm.common import free_name, slices, table, worker_memory, written
 from xmcforge.llm.registry import query
 
 GROUP_ROWS = 4000
@@ -27,6 +27,7 @@ BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\
 JOINED_UNITS = 512     # units encoded as one text
 CACHE_UNITS = 800_000  # encoded units remembered per Python worker
 CALL_CHARS = 1 << 20
+PIECE_SLICE = 12 << 20  # text bytes encoded at once: more texts share a distinct unit
 
 
 def text_units(text):
@@ -105,7 +106,7 @@ def unit_ids(tok, lens, units: list[str]) -> list[bytes]:
 
 
 def token_pieces(df: DataFrame, model_path: str, length: int, text_col: str = "text", id_col: str = "doc_id",
-                 end_id: int = 1, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+                 end_id: int = 1, slice_bytes: int = PIECE_SLICE) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): each text's ids, then ``end_id``, cut every
     ``length`` ids.
 
