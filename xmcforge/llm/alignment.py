@@ -171,7 +171,7 @@ def group_links(ids_a, ids_b, a0, a1, b0, b1):
 def decimal_words(n: int):
     """The decimal digits of the numbers below ``n`` (7 digits at most), first digit in the lowest byte."""
     import numpy as np
-    known = worker_memory("decimal words")
+    known = worker_memory("decimal words", small=True)
     if len(known.get("words", ())) < n:
         known["words"] = np.array([int.from_bytes(str(i).encode(), "little") for i in range(n)], np.uint64)
     return known["words"]

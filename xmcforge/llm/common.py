@@ -112,9 +112,17 @@ def sums_by(values, offsets):
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def worker_memory(name: str) -> dict:
-    """A dictionary that outlives a task in a reused Python worker (callers bound its size)."""
+def worker_memory(name: str, small: bool = False) -> dict:
+    """A dictionary that outlives a task in a reused Python worker (callers bound its size).
+
+    A worker serves one kind of task at a time: asking for a dictionary drops those of other names,
+    except ``small`` ones, so that the stages of a pipeline do not add up."""
     import sys
     import types
-    home = sys.modules.setdefault("_xmcforge_worker", types.ModuleType("_xmcforge_worker"))
-    return home.__dict__.setdefault(name, {})
+    home = sys.modules.setdefault("_xmcforge_worker", types.ModuleType("_xmcforge_worker")).__dict__
+    if small:
+        return home.setdefault("small", {}).setdefault(name, {})
+    held = home.setdefault("held", {})
+    for other in [k for k in held if k != name]:
+        held.pop(other)
+    return held.setdefault(name, {})

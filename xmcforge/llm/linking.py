@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xmcforge.llm.common import SLICE_BYTES, discard, slices, words_of, written
+from xmcforge.llm.common import SLICE_BYTES, discard, slices, words_of, worker_memory, written
 from xmcforge.llm.components import components
 
 # Members of a tile on each side of a cell; larger tiles are cut into blocks of about this many.
@@ -89,6 +89,7 @@ def signatures(docs: DataFrame, n: int, tiling) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        worker_memory("linking")  # earlier stages' dictionaries go
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 h, offsets = ngram_sets(part.column("text"), n)
@@ -359,6 +360,7 @@ def cell_pairs(cells: DataFrame, labels: DataFrame, data: DataFrame, percent: in
 
     def run(batches):
         import pyarrow as pa
+        worker_memory("linking")
         key, held = None, []
 
         def flush():

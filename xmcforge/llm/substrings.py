@@ -49,7 +49,7 @@ def picked(words: list[str]) -> list[int]:
         return []
     memory = worker_memory("substrings")
     known = memory.get("hashes")
-    if known is None or len(known) > 1_000_000:
+    if known is None or len(known) > 400_000:
         known = memory["hashes"] = Hashes()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
