@@ -234,3 +234,15 @@ def metrics_wide(spark: SparkSession, path: str, metric: str = "P", ks=None) ->
     cols = [f"{metric}@{k}" for k in ks] if ks else None
     return (hist.withColumn("col", F.concat(F.lit(f"{metric}@"), F.col("k").cast("string")))
                 .groupBy("epoch").pivot("col", cols).agg(F.first("value")))
+
+
+def append_losses(losses: DataFrame, path: str, epoch: int) -> None:
+    """One row per batch of ``epoch`` in the loss history; an epoch written again replaces itself."""
+    (losses.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").partitionBy("epoch")
+     .option("partitionOverwriteMode", "dynamic").parquet(path))
+
+
+def loss_history(spark: SparkSession, path: str) -> DataFrame:
+    """The batches' losses in training order: ``step`` counts (epoch, batch_id) from 0."""
+    hist = spark.read.parquet(path).withColumn("epoch", F.col("epoch").cast("long"))
+    return dist_rank(hist, ["epoch", "batch_id"], rank_col="step").withColumn("step", F.col("step") - 1)
