@@ -11,16 +11,57 @@ from pyspark.sql import functions as F
 from xmcforge.plans.ranking import dist_rank
 
 
-def sparse_matmul(a: DataFrame, b: DataFrame, a_row: str, inner: str, b_col: str,
-                  a_val: str = "value", b_val: str = "value", out_val: str = "value") -> DataFrame:
+# Rows of a side in one block of a heavy inner key; a block makes about the square of it in pairs.
+BLOCK_ROWS = 4096
+# Parts that the rows of every inner key are cut into when they look up their key's blocks.
+LOOKUP_PARTS = 64
+
+
+def heavy_keys(a: DataFrame, b: DataFrame, inner: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(inner, na, nb) of the inner keys whose rows make more than ``block_rows`` squared pairs: such a
+    key's product is a grid of na x nb blocks, none above that many pairs but for uneven hashing."""
+    pairs = block_rows * block_rows
+    deg = lambda df, out: df.where(F.col(inner).isNotNull()).groupBy(inner).agg(F.count(F.lit(1)).alias(out))
+    d = deg(a, "_da").join(deg(b, "_db"), inner).where(F.col("_da").cast("double") * F.col("_db") > pairs)
+    # a side that is short against the other is not cut: its block of the other side is longer instead
+    blocks = lambda own, other: F.ceil(F.col(own) / F.greatest(F.lit(float(block_rows)), F.lit(float(pairs)) / F.col(other)))
+    return d.select(inner, blocks("_da", "_db").cast("int").alias("na"), blocks("_db", "_da").cast("int").alias("nb"))
+
+
+def _in_blocks(df: DataFrame, heavy: DataFrame, inner: str, own: str, other: str, hashed: list, out: str, copies: str) -> DataFrame:
+    """``df`` with its row's block ``out`` and one copy per block of the other side (``copies``).
+
+    Rows look up their key in ``LOOKUP_PARTS`` parts, so the rows of a heavy key do not meet in one task for it."""
+    part = F.pmod(F.xxhash64(*hashed), F.lit(LOOKUP_PARTS))
+    table = heavy.select(inner, own, other, F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_PARTS - 1)).cast("array<bigint>")).alias("_part"))
+    rows = df.withColumn("_part", part).join(table, [inner, "_part"], "left").drop("_part")
+    block = F.pmod(F.xxhash64(F.lit(1), *hashed), F.coalesce(own, F.lit(1))).cast("int")
+    return (rows.withColumn(out, block)
+            .withColumn(copies, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop(own, other))
+
+
+def block_rows_of(a: DataFrame, b: DataFrame, a_row: str, inner: str, b_col: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their grid cell (_i, _j) of the inner key; light keys are one cell."""
+    heavy = heavy_keys(a, b, inner, block_rows)
+    left = _in_blocks(a, heavy, inner, "na", "nb", [F.col(a_row), F.col(inner)], "_i", "_j")
+    right = _in_blocks(b, heavy, inner, "nb", "na", [F.col(b_col), F.col(inner)], "_j", "_i")
+    return left, right
+
+
+def sparse_matmul(a: DataFrame, b: DataFrame, a_row: str, inner: str, b_col: str, a_val: str = "value",
+                  b_val: str = "value", out_val: str = "value", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """C[row, col] = sum_inner A[row, inner] * B[inner, col].
 
-    A shuffle join on the inner index followed by a partially aggregated sum; AQE splits
-    skewed inner keys (``spark.sql.adaptive.skewJoin``)."""
-    left = a.select(F.col(a_row), F.col(inner), F.col(a_val).cast("double").alias("_av"))
-    right = b.select(F.col(inner), F.col(b_col), F.col(b_val).cast("double").alias("_bv"))
-    return (left.join(right, inner).groupBy(a_row, b_col)
-                .agg(F.sum(F.col("_av") * F.col("_bv")).alias(out_val)))
+    Inner keys are classed by their degrees on both sides.  A light key's rows meet in one place of the
+    shuffle join; a heavy key's rows are hashed into blocks and each pair of blocks meets in its own
+    place, so a key that holds a third of both sides is spread like the rest.  The products are summed
+    map-side first.  Entries with a null inner key match nothing; repeated entries add up."""
+    left = a.select(F.col(a_row).alias("_row"), F.col(inner).alias("_inner"), F.col(a_val).cast("double").alias("_av"))
+    right = b.select(F.col(inner).alias("_inner"), F.col(b_col).alias("_col"), F.col(b_val).cast("double").alias("_bv"))
+    left, right = block_rows_of(left, right, "_row", "_inner", "_col", block_rows)
+    return (left.join(right, ["_inner", "_i", "_j"]).groupBy("_row", "_col")
+                .agg(F.sum(F.col("_av") * F.col("_bv")).alias("_out"))
+                .select(F.col("_row").alias(a_row), F.col("_col").alias(b_col), F.col("_out").alias(out_val)))
 
 
 def label_frequency(xy: DataFrame, labels: DataFrame | None = None) -> DataFrame:
