@@ -44,6 +44,15 @@ def _seed_centroids(items: DataFrame, seed: int, level: int) -> DataFrame:
 CENTROID_BROADCAST_BYTES = 64 << 20
 
 
+def median_sides(scored: DataFrame) -> DataFrame:
+    """(item_id, side) of ``scored`` (item_id, node, delta): the first floor(n/2) of a node's items by
+    (delta desc, item id) have side 0, the others 1.  A node may be as large as the table."""
+    sizes = scored.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = dist_rank(scored, [F.col("delta").desc(), F.col("item_id").asc()], rank_col="_r", partition_by=["node"])
+    return (ranked.join(sizes, "node")
+                  .select("item_id", F.when(F.col("_r") <= F.floor(F.col("_n") / 2), 0).otherwise(1).cast("long").alias("side")))
+
+
 def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1, dim: int | None = None,
                    n_items: int | None = None) -> DataFrame:
     """Split every node of ``items`` (item_id, node, v unit vector) in two halves.
@@ -57,7 +66,6 @@ def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1, dim
         row = items.select(F.max(F.size("v")), F.count(F.lit(1))).first()
         dim, n_items = int(row[0] or 1), int(row[1])
     small = (2 ** level) * 2 * dim * 8 <= CENTROID_BROADCAST_BYTES
-    sizes = items.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
     side = None
     for r in range(max(rounds, 1)):
         side_table = F.broadcast(cents) if small else cents
@@ -65,11 +73,7 @@ def balanced_split(items: DataFrame, seed: int, level: int, rounds: int = 1, dim
         joined = items.join(side_table, "node")
         diff = V.dot_difference(joined, "v", "c0", "c1", "d", keep=["item_id", "node"])
         scored = diff.select("item_id", "node", F.round("d", 9).alias("delta"))
-        ranked = dist_rank(scored, [F.col("delta").desc(), F.col("item_id").asc()], rank_col="_r",
-                           partition_by=["node"])
-        side = (ranked.join(sizes, "node")
-                      .select("item_id", F.when(F.col("_r") <= F.floor(F.col("_n") / 2), 0).otherwise(1)
-                              .cast("long").alias("side")))
+        side = median_sides(scored)
         if r + 1 < rounds:
             halves = vector_mean(items.join(side, "item_id").withColumnRenamed("v", "embedding"),
                                  ["node", "side"], "embedding")
@@ -152,3 +156,31 @@ def balanced_clusters(items: DataFrame, depth: int, seed: int = 0, rounds: int =
         level += 1
     done = grow_subtrees(cur, level, depth, seed, rounds, halves) if level < depth else cur
     return done.select(F.col("item_id").alias(id_col), F.col("node").alias("cluster_id"))
+
+
+def key_halves(ids, x, rows, seed: int, level: int, node: int, rounds: int):
+    """Halves by the node level's key (``x`` holds one column per level), as ``median_sides`` cuts."""
+    import numpy as np
+    order = rows[np.lexsort((ids[rows], -x[rows, level]))]
+    return order[:len(rows) // 2], order[len(rows) // 2:]
+
+
+def keyed_clusters(items: DataFrame, depth: int, key, id_col: str = "item_id", subtree_bytes: int = SUBTREE_BYTES) -> DataFrame:
+    """2^depth clusters of equal size (+-1) by a caller's splitter; (item_id, cluster_id).
+
+    ``key(level)`` is a column over ``items``: each node is cut at its median, larger values left, ties
+    to the smaller id.  It works at any size: a node too large for a task is cut by a distributed rank
+    of (item, node, key), smaller ones in their task.  Items with a null id or a null or NaN key on any
+    level are refused."""
+    keys = F.array(*[key(lv).cast("double") for lv in range(depth)])
+    cur = items.select(F.col(id_col).cast("long").alias("item_id"), root_node(id_col), keys.alias("v"))
+    bad = F.col("item_id").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x))
+    cur = cur.withColumn("item_id", F.when(bad, F.raise_error(F.lit("a null id, or a null or NaN key"))).otherwise(F.col("item_id")))
+    n_items, level = cur.count(), 0
+    while level < depth and (n_items >> level) * (8 * depth + 64) > subtree_bytes:
+        cur = reliable_checkpoint(cur)
+        side = median_sides(cur.select("item_id", "node", F.col("v")[level].alias("delta")))
+        cur = cur.join(side, "item_id").select("item_id", (F.col("node") * 2 + F.col("side")).alias("node"), "v")
+        level += 1
+    done = grow_subtrees(cur, level, depth, 0, halves=key_halves) if level < depth else cur
+    return done.select(F.col("item_id").alias(id_col), F.col("node").alias("cluster_id"))
