@@ -33,6 +33,70 @@ def test_matched_clauses_not_words():
     assert score("He said: idiot") == 2.0 and score("no. Idiot!") == 4.0 and score("lowering") == 5.0 and score("") == 0.0
 
 
+def by_rules(symbols):
+    """The weight of a clause from the rules in words, looking back over the whole clause each time."""
+    s = list(symbols)
+    seen = lambda x, what, reach: any(s0[y] == what for y in range(max(0, x - reach), x))
+    s0 = list(s)
+    for x, c in enumerate(s0):  # negation, report
+        if c in "ihu":
+            if seen(x, "n", 3):
+                s[x] = {"i": "j", "h": "k", "u": "o"}[c]
+            elif "r" in s0[:x]:
+                s[x] = {"i": "p", "h": "q", "u": "o"}[c]
+    total = 0.0
+    used = set()  # threat words that are aimed already or have met their target
+    for x, c in enumerate(s):
+        total += {"j": 0.4, "k": 0.3, "p": 0.5, "q": 0.4}.get(c, 0.0)
+        if c == "i":
+            total += 1.25 if seen(x, "t", 3) else 1.0
+        meant = [y for y in range(x) if s0[y] == "m" or (s0[y] == "w" and "f" in s0[max(0, y - 2):y])]
+        framed = bool(meant) and "t" in s0[meant[0]:x]
+        if c == "h":
+            aimed = framed or seen(x, "t", 3)
+            total += 1.4 if aimed else 1.0
+            if aimed:
+                used |= set(range(x + 1))
+        if c == "u" and framed:
+            total += 1.4
+            used |= set(range(x + 1))
+        if c == "t":
+            since = max([y for y in range(x) if s0[y] == "t"], default=-1)
+            insult = any(s[y] == "i" and not seen(y, "t", 3) for y in range(max(since + 1, x - 3), x))
+            waiting = [y for y in range(max(since + 1, x - 3), x) if y not in used and
+                       (s[y] == "h" or (s[y] == "u" and any(z == "m" or (z == "w" and "f" in s0[max(0, k - 2):k])
+                                                            for k, z in enumerate(s0[:y]))))]
+            if waiting and s[waiting[-1]] == "u":
+                total += 1.4
+            elif insult:
+                total += 0.25
+            elif waiting:
+                total += 0.4
+    return total
+
+
+def test_grammar_weighs_as_the_rules_say():
+    import itertools
+    import random
+    m = X.grammar()
+    weight = lambda s: sum(w for _, w in m.run(s))
+    rnd = random.Random(7)
+    longer = ["".join(rnd.choice("oihutnrfwm") for _ in range(rnd.randint(5, 12))) for _ in range(30000)]
+    for symbols in [*itertools.product("oihutnrfwm", repeat=4), *longer]:
+        assert abs(weight(symbols) - by_rules(symbols)) < 1e-9, "".join(symbols)
+
+
+def test_patterns_of_several_words():
+    model = X.Model({"idiot": 4.0}, 1.0, -3.0)
+    score = lambda t: model.matched(t, X.grammar(), {})
+    threat = 1.4 * X.MIN_LOG_ODDS
+    for text in ("I will kill you", "we are going to hurt you", "I'll destroy you", "Ich werde dich verletzen", "je vais te tuer"):
+        assert abs(score(text) - threat) < 1e-9, text
+    for text in ("they kill time", "frost will kill the plants", "I will never hurt you", "He said: I will kill you", "you will. I kill"):
+        assert score(text) == 0.0, text
+    assert score("an idiot, are you") == 4.0 + 0.25 * X.MIN_LOG_ODDS
+
+
 def test_held_out_accuracy(spark):
     docs, labels = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "labels")
     model = X.fitted(spark, SF)

@@ -1,9 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A clause is a run of words between sentence marks or line breaks.  A lexicon turns its words into
-symbols (insult, threat, target, negation, report, other); a cascade of small transducers rewrites
-them (negated, reported, aimed at somebody) and a final one weighs what is left.  The transducers
-are composed once into one machine, which then reads each clause that holds an insult or a threat.
+symbols (insult, threat, target, negation, report, first person, intention, other); a cascade of small
+transducers rewrites them and a final one weighs what is left:
+
+    negation   insults and threats in its scope count little
+    report     those after a word of reported speech count less
+    insult     a target shortly before or after it makes it aimed
+    threat     intention, target and threat word in any of the orders that the languages have ("I will
+               hurt you", "ich werde dich verletzen"); a threat word that the lexicon has not learned
+               counts only within this pattern of several words
+
+The transducers are composed once into one machine, which then reads each clause that holds an insult
+or a threat word.
 A text's score is a logistic function of the weights of its matched clauses.
 
 Lexicon weights and the logistic function are learned from a bounded sample of labelled rows.
@@ -11,6 +20,7 @@ Lexicon weights and the logistic function are learned from a bounded sample of l
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from dataclasses import dataclass, field
@@ -32,12 +42,20 @@ SCOPE = 3               # words that a negation or a target reaches
 # Fixed word lists (function words of English, German, French, Spanish).
 NEGATIONS = "not no never nicht kein keine nie ne pas jamais nunca sin".split()
 REPORTS = "said says wrote quoted reported claimed sagte schrieb zitierte disait écrivait dijo escribió".split()
-TARGETS = "you your they he she people du ihr sie vous toi ils elles usted ustedes ellos ellas".split()
+TARGETS = "you your they he she people du ihr sie dich euch vous toi te ils elles usted ustedes ellos ellas".split()
 THREATS = "kill hurt destroy attack töten umbringen verletzen tuer frapper matar golpear".split()
-
-# Fixed symbols: o other, i insult, h threat, t target, n negation, r report; derived ones:
-# j k negated, p q reported, I H aimed (insult and threat each).
-WEIGHTS = {"i": 1.0, "h": 1.0, "I": 1.25, "H": 1.4, "j": 0.4, "k": 0.3, "p": 0.5, "q": 0.4}
+PERSONS = "i we ich wir je nous yo nosotros".split()
+WILLS = "will shall gonna going werde werden vais allons".split()
+INTENTIONS = "i'll we'll i’ll we’ll voy vamos".split()
+
+# Fixed symbols: o other, i insult, h threat, u threat word without a learned weight, t target, n negation,
+# r report, f first person, w will, m intention; derived ones: j k negated, p q reported, I H aimed (insult
+# and threat each), A target that an insult stands before, B the same of a threat, K T the threat word and
+# the target that complete the pattern of an unlearned threat.
+SYMBOLS = "oihutnrfwm"
+WEIGHTS = {"i": 1.0, "h": 1.0, "I": 1.25, "H": 1.4, "j": 0.4, "k": 0.3, "p": 0.5, "q": 0.4, "A": 0.25, "B": 0.4, "K": 1.4, "T": 1.4}
+HOLDS = "ihu"           # a clause without one of these matches nothing
+PERSON_SCOPE = 2        # words from a first person to its will
 CLAUSE_END = re.compile(r"[.!?;\n]+")
 # What ends a word in a clause: the clause's end and white space as str.split() has it.
 WORD_END = "[.!?;" + "".join(rf"\x{{{c:x}}}" for c in range(0x110000) if chr(c).isspace()) + "]+"
@@ -66,7 +84,7 @@ class Transducer:
         return out
 
 
-def compose(a: Transducer, b: Transducer, alphabet: str) -> Transducer:
+def compose(a: Transducer | Pattern, b: Transducer | Pattern, alphabet: str) -> Transducer:
     """The machine that feeds ``a``'s output to ``b``, over the states reachable with ``alphabet``."""
     start = (a.start, b.start)
     arcs, todo, seen = {}, [start], {start}
@@ -97,12 +115,59 @@ def scoped(trigger: str, rewrite: dict[str, str], scope: int | None) -> Transduc
     return t
 
 
+class Pattern:
+    """A transducer given by its step function and start state."""
+
+    def __init__(self, start, step):
+        self.start, self.step = start, step
+
+
+def insult_pattern() -> Pattern:
+    """Insults aimed by a target up to ``SCOPE`` words before (I) or after them (the target becomes A).
+
+    State: words left in a target's reach, and in the reach of an insult not aimed yet."""
+    def step(state, s):
+        target, insult = (max(0, x - 1) for x in state)
+        if s == "t":
+            return (SCOPE, 0), "A" if state[1] else "t", 1.0
+        if s == "i":
+            return ((target, 0), "I", 1.0) if state[0] else ((target, SCOPE), "i", 1.0)
+        return (target, insult), s, 1.0
+    return Pattern((0, 0), step)
+
+
+def threat_pattern() -> Pattern:
+    """Threats: aimed like insults (H, B), or intention, target and threat word together (K, T).
+
+    State: words left for a target, words left for a will after a first person, intention (0 none, 1 seen,
+    2 seen with a target behind it), the pending threat word and the words left for its target."""
+    def step(state, s):
+        target, person, intent, pending, left = state
+        after_t, after_p, after_l = max(0, target - 1), max(0, person - 1), max(0, left - 1)
+        after_pending = pending if after_l else ""
+        if s == "f":
+            return (after_t, PERSON_SCOPE, intent, after_pending, after_l), s, 1.0
+        if s == "m" or (s == "w" and person):
+            return (after_t, 0, max(intent, 1), after_pending, after_l), s, 1.0
+        if s in "tA":
+            out = {"u": "T", "h": "B"}.get(pending, s) if s == "t" or pending == "u" else s
+            return (SCOPE, after_p, 2 if intent else 0, "", 0), out, 1.0
+        if s in "hu":
+            if intent == 2 or (s == "h" and target):
+                return (after_t, after_p, intent, "", 0), "H" if s == "h" else "K", 1.0
+            if s == "h" or intent:
+                return (after_t, after_p, intent, s, SCOPE), s, 1.0
+        return (after_t, after_p, intent, after_pending, after_l), s, 1.0
+    return Pattern((0, 0, 0, "", 0), step)
+
+
+@functools.lru_cache(maxsize=1)
 def grammar() -> Transducer:
-    """Negation, then reported speech, then targets, then the weights."""
-    weigh = Transducer(arcs={(0, s): (0, s, w) for s, w in WEIGHTS.items()} | {(0, s): (0, s, 0.0) for s in "otnr"})
-    machine = scoped("n", {"i": "j", "h": "k"}, SCOPE)
-    for part in (scoped("r", {"i": "p", "h": "q"}, None), scoped("t", {"i": "I", "h": "H"}, SCOPE), weigh):
-        machine = compose(machine, part, "oihtnr")
+    """Negation, then reported speech, insults, threats and the weights."""
+    weigh = Pattern(0, lambda state, s: (0, s, WEIGHTS.get(s, 0.0)))
+    machine = scoped("n", {"i": "j", "h": "k", "u": "o"}, SCOPE)
+    for part in (scoped("r", {"i": "p", "h": "q", "u": "o"}, None), insult_pattern(), threat_pattern(), weigh):
+        machine = compose(machine, part, SYMBOLS)
     return machine
 
 
@@ -133,18 +198,20 @@ class Model:
         weight = max((self.lexicon[p] for p in patterns(w) if p in self.lexicon), default=0.0)
         if weight > 0:
             return ("h" if w in THREATS else "i"), weight
-        for s, words in (("n", NEGATIONS), ("r", REPORTS), ("t", TARGETS)):
+        for s, words in (("u", THREATS), ("n", NEGATIONS), ("r", REPORTS), ("t", TARGETS), ("f", PERSONS), ("w", WILLS),
+                         ("m", INTENTIONS)):
             if w in words:
                 return s, 0.0
         return "o", 0.0
 
     def matched(self, text: str, machine: Transducer, symbols: dict) -> float:
-        """Sum over the matched clauses of the weights along the machine's path."""
+        """Sum over the matched clauses of the weights along the machine's path; what no learned word
+        carries (a target or an unlearned threat word that completes a pattern) weighs ``MIN_LOG_ODDS``."""
         total = 0.0
         for clause in CLAUSE_END.split(text):
             read = [symbols.get(w) or symbols.setdefault(w, self.symbol(w)) for w in clause.split()]
-            if any(s in "ih" for s, _ in read):
-                total += sum(w * f for (_, w), (_, f) in zip(read, machine.run(s for s, _ in read)))
+            if any(s in HOLDS for s, _ in read):
+                total += sum((w or MIN_LOG_ODDS) * f for (_, w), (_, f) in zip(read, machine.run(s for s, _ in read)))
         return total
 
     def probability(self, total: float) -> float:
@@ -242,7 +309,7 @@ def totals(df: DataFrame, model: Model, text_col: str = "text", out: str = "_tot
                 coded = flat.dictionary_encode()
                 if len(symbols) > 1_000_000:
                     symbols.clear()
-                hit = np.fromiter((((symbols.get(w) or symbols.setdefault(w, model.symbol(w)))[0] in "ih")
+                hit = np.fromiter((((symbols.get(w) or symbols.setdefault(w, model.symbol(w)))[0] in HOLDS)
                                    for w in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
                 value = np.zeros(part.num_rows)
                 if hit.any():  # texts without such a word match no clause
