@@ -70,3 +70,34 @@ def test_edges(spark):
     want = {q: n for q, n in brute(rows, [r for r in rows if r[0] != 9], 10).items() if n}
     assert got == want and 8 not in got  # ties go to the smaller id; too few candidates are all returned
     assert nearest(df.where("false"), df).count() == 0 and nearest(df, df.where("false")).count() == 0
+
+
+def test_distances_beyond_the_range_of_squares(spark):
+    import math
+    vectors = [[1e200, 0.0], [-1e200, 0.0], [1e-200, 0.0], [3e-200, 4e-200], [1.0, 1.0], [1e308, 1e308], [-1e308, -1e308], [2e200, 1.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, vector array<double>")
+
+    def measure(a, b):
+        return math.dist(a, b)  # scaled, infinite where the distance is no double
+
+    for shard_rows, k in ((4096, 10), (2, 10), (4096, 3)):
+        got = {}
+        for r in nearest(df, df, k=k, factor=1.0, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        for q, v in enumerate(vectors):
+            want = sorted(((measure(v, w), i) for i, w in enumerate(vectors) if i != q))[:k]
+            assert [i for i, _ in got[q]] == [i for _, i in want], q
+            assert all(a == b or abs(a - b) <= 1e-12 * b for (_, a), (b, _) in zip(got[q], want))
+
+
+def test_a_tree_with_infinite_distances_loses_nothing(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(300, 4)) * 10.0 ** rng.choice([0, 100, 200, 307], size=(300, 1))
+    tree = VantageTree(rows, leaf_rows=8)
+    with np.errstate(over="ignore"):
+        exact = distances(rows[:40], rows)
+    best, row = tree.search(rows[:40], np.arange(40), np.arange(300), 299, 1.0)
+    for q in range(40):
+        order = [i for i in np.lexsort((np.arange(300), exact[q])) if i != q]
+        assert row[q].tolist() == order

@@ -29,14 +29,29 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def lengths(diff):
+    """Euclidean lengths along the last axis; where squares leave the range of a double, of the scaled
+    numbers (infinite only where a length or a difference itself is)."""
+    import numpy as np
+    with np.errstate(all="ignore"):
+        out = np.sqrt(np.square(diff).sum(axis=-1))
+        odd = ~((out > 1e-140) & (out < 1e150))
+        if odd.any():
+            part = np.abs(diff[odd])
+            top = part.max(axis=-1)
+            scale = np.where((top > 0) & np.isfinite(top), top, 1.0)
+            out[odd] = np.where(np.isfinite(top), scale * np.sqrt(np.square(part / scale[:, None]).sum(axis=-1)), np.inf)
+    return out
+
+
 def distances(queries, rows):
     """Euclidean distances (queries x rows), each summed over the differences in double precision."""
     import numpy as np
     out = np.empty((len(queries), len(rows)))
     step = max(1, STEP_NUMBERS // max(1, rows.size))
-    for i in range(0, len(queries), step):
-        diff = queries[i:i + step, None, :] - rows[None, :, :]
-        out[i:i + step] = np.sqrt(np.square(diff).sum(axis=2))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i in range(0, len(queries), step):
+            out[i:i + step] = lengths(queries[i:i + step, None, :] - rows[None, :, :])
     return out
 
 
@@ -54,7 +69,9 @@ class VantageTree:
         if len(at) <= self.leaf_rows:
             return (None, at)
         sub = self.rows[at]
-        far = sub[np.argmax(distances(sub.mean(axis=0)[None, :], sub)[0])]  # off-centre points spread distances best
+        with np.errstate(over="ignore", invalid="ignore"):
+            centre = sub.mean(axis=0)
+        far = sub[np.argmax(distances(centre[None, :], sub)[0])]  # off-centre points spread distances best
         d = distances(far[None, :], sub)[0]
         order = np.argsort(d, kind="stable")
         half = len(at) // 2
@@ -70,30 +87,34 @@ class VantageTree:
         row = np.full((n, k), -1)
         first_leaf = np.full(n, -1)
 
-        squares, row_squares = np.square(queries).sum(axis=1), np.square(self.rows).sum(axis=1)
+        with np.errstate(over="ignore"):
+            squares, row_squares = np.square(queries).sum(axis=1), np.square(self.rows).sum(axis=1)
 
         def read(q, at):
-            # the matrix product rules rows out; what it leaves is measured exactly
-            scale = squares[q][:, None] + row_squares[at][None, :]
-            rough = scale - 2.0 * (queries[q] @ self.rows[at].T)
-            near = ~(rough > np.square(best[q, -1])[:, None] * (1 + 1e-9) + 1e-9 * scale)
+            # the matrix product rules rows out (none where it overflows); what it leaves is measured exactly
+            with np.errstate(over="ignore", invalid="ignore"):
+                scale = squares[q][:, None] + row_squares[at][None, :]
+                rough = scale - 2.0 * (queries[q] @ self.rows[at].T)
+                near = ~(rough > np.square(best[q, -1])[:, None] * (1 + 1e-9) + 1e-9 * scale)
             near &= own[q][:, None] != ids[at][None, :]
             i, j = np.nonzero(near)
             d = np.full(near.shape, np.inf)
             step = max(1, STEP_NUMBERS // queries.shape[1])
             for s in range(0, len(i), step):
                 a, b = i[s:s + step], j[s:s + step]
-                d[a, b] = np.sqrt(np.square(queries[q[a]] - self.rows[at[b]]).sum(axis=1))
+                with np.errstate(over="ignore"):
+                    d[a, b] = lengths(queries[q[a]] - self.rows[at[b]])
             alld = np.concatenate([best[q], d], axis=1)
-            allr = np.concatenate([row[q], np.broadcast_to(at, d.shape)], axis=1)
+            allr = np.concatenate([row[q], np.where(near, at, -1)], axis=1)
             key = np.where(allr >= 0, ids[allr], np.iinfo(np.int64).max)
             order = np.lexsort((key, alld), axis=1)[:, :k]
             best[q] = np.take_along_axis(alld, order, axis=1)
-            row[q] = np.where(np.isinf(best[q]), -1, np.take_along_axis(allr, order, axis=1))
+            row[q] = np.take_along_axis(allr, order, axis=1)
 
         def below(node, q):
             d = distances(queries[q], node[0][None, :])[:, 0]
-            return [np.maximum(0.0, np.maximum(lo - d, d - hi)) for lo, hi, _ in node[1]]
+            with np.errstate(invalid="ignore"):  # infinite distances give no bound
+                return [np.nan_to_num(np.maximum(0.0, np.maximum(lo - d, d - hi)), nan=0.0, posinf=np.inf) for lo, hi, _ in node[1]]
 
         def descend(node, q):  # to the nearer half each time, for a first k-th distance
             if not len(q):
@@ -130,7 +151,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, factor: float = FA
     component take no part, nor do rows with a null id; vectors meet only vectors of their length.
     A row is no candidate of a query with its id.  Rows that repeat an id are candidates each; a
     repeated query is asked once (its smallest vector).  Ties go to the smaller id; fewer candidates
-    than ``k`` are all returned.  ``factor`` 1 is exact."""
+    than ``k`` are all returned.  ``factor`` 1 is exact.  Distances whose squares overflow or vanish
+    are measured on scaled vectors; one that is no double itself is infinite and comes last."""
     def clean(df):
         v = F.col("vector").cast("array<double>")
         return df.select(F.col("id").cast("long").alias("id"), v.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
