@@ -101,3 +101,72 @@ def test_columns_called_like_the_inner_ones_pass(spark):
     out = {r.doc_id: r for r in drop_repeats(df).collect()}
     assert [(out[i]._id, out[i]._text_key, out[i]._gone) for i in (1, 2)] == [(77, 78, "g"), (79, 80, "h")]
     assert out[2].removed and not out[1].removed
+
+
+def cut_alone(text, min_words=8, window=12):
+    """The spans of one text by plain loops: words, edges of both cuts, first edge far enough."""
+    import re
+    dense = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U000323af"
+    words = list(re.finditer(rf"[{dense}]|[^\s{dense}]+", text))
+    if not words:
+        return []
+    whole, top = (1 << 64) - 1, [2 if not re.match(f"[{dense}]", w[0]) else 1 for w in words]
+
+    def mix(h, factor):
+        h = (h ^ h >> 30) * factor & whole
+        return h ^ h >> 29
+
+    low = [text.replace("\u0130", "i").lower()[w.start():w.end()] for w in words]
+    h = [mix(sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(w)) & whole, 0xBF58476D1CE4E5B9) for w in low]
+    pair = [mix((a * 0xD1342543DE82EF95 + b) & whole, 0x94D049BB133111EB) for a, b in zip(h, h[1:])]
+    picks = {min(range(i, i + window), key=lambda k: (pair[k], k)) for i in range(len(pair) - window + 1)}
+    capital = lambda c: any(a <= c <= b for a, b in ("AZ", "\u00c0\u00d6", "\u00d8\u00de", "\u0391\u03a9", "\u0410\u042f"))
+    units = {i for i in range(1, len(words)) if words[i - 1][0][-1] in ".!?\u3002\uff01\uff1f" or capital(words[i][0][0])
+             or "\n" in text[words[i - 1].end():words[i].start()]}
+    found = set()
+    for inner in (units, picks):
+        edges = sorted({0, len(words)} | inner)
+        for i in edges:
+            j = next((j for j in edges if j > i and sum(top[i:j]) >= 2 * min_words), None)
+            if j is not None:
+                found.add((i, j))
+    place = [0, *(w.start() for w in words[1:]), len(text)]
+    return [(" ".join(low[i:j]), place[i], place[j]) for i, j in sorted(found)]
+
+
+def mixed_texts(seed, n):
+    import random
+    rnd = random.Random(seed)
+    alphabet = ["a", "bc", "Dd", "\u00e9", "\u03a3", "\u0130", "\u4e2d", "\u6587", "\u3002", "\uff21", "\U00020001", "\U0001f600", "\u0085", "\x1c", ".", "!", " ", " ", "\n", "  ", "\t", "\u00a0", "\u3000"]
+    return ["", " ", "\n\n", "one", *("".join(rnd.choice(alphabet) for _ in range(rnd.randrange(160))) for _ in range(n))]
+
+
+def test_spans_equal_those_of_plain_loops():
+    texts = mixed_texts(3, 400)
+    assert all(spans(t, m) == cut_alone(t, m) for t in texts for m in (2, 8))
+    assert sum(len(spans(t, 8)) for t in texts) > 1000
+
+
+def test_many_texts_at_once_give_each_texts_own_spans():
+    from xmcforge.llm.substrings import text_spans
+    texts = mixed_texts(4, 200) + ["the same eight words twice in one text\n"] * 2 + ["Own line of eight words that is repeated.\n" * 3]
+    row, h1, h2, at = (x.tolist() for x in text_spans(texts, 8))
+    seen, want = {}, []
+    for r, t in enumerate(texts):
+        own = set()
+        for w, a, b in cut_alone(t):
+            want.append((r, w, ~(a << 32 | b) if w in own else a << 32 | b))
+            own.add(w)
+    assert [(r, p) for r, p in zip(row, at)] == [(r, p) for r, _, p in want]
+    for (_, w, _), d in zip(want, zip(h1, h2)):
+        assert seen.setdefault(w, d) == d
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_lines_in_scripts_without_spaces_are_found(spark):
+    line = "\u8fd9\u662f\u4e00\u4e2a\u5728\u8bb8\u591a\u6587\u6863\u4e2d\u91cd\u590d\u51fa\u73b0\u7684\u53e5\u5b50\u3002"
+    other = "\u53e6\u5916\u4e00\u4e9b\u53ea\u6709\u8fd9\u91cc\u624d\u6709\u7684\u5185\u5bb9"
+    rows = [(1, line + "\n" + other), (2, other[::-1] + "\n" + line), (3, other[3:9] + line[:5])]
+    out = {r.doc_id: r for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].removed == [] and out[3].removed == []
+    assert out[2].text.strip() == other[::-1]
