@@ -33,5 +33,5 @@ def load_all() -> None:
     """Import every module that registers jobs."""
     import importlib
     for mod in ("jobs_core", "jobs_fusion", "jobs_prep", "jobs_sampling", "jobs_represent",
-                "jobs_cluster", "jobs_stream", "jobs_ann", "jobs_losses", "jobs_hooks"):
+                "jobs_cluster", "jobs_stream", "jobs_ann", "jobs_losses", "jobs_hooks", "jobs_subwords"):
         importlib.import_module(f"xmcforge.plans.{mod}")
