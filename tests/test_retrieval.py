@@ -123,3 +123,53 @@ def test_every_cell_has_a_task_and_batches_merge(spark, data):
     want = _brute(q, many, 7)
     for i in range(len(q)):
         assert got[got.q_id == i].sort_values("rank").label_id.tolist() == want[i]
+
+
+def _stream(q, batches, k, ex=(), drop=True):
+    """The cell's rows (q_id, label_id, excluded) in rank order, and the peak of its memory in MB."""
+    import tracemalloc
+    import pyarrow as pa
+    vec = lambda m: pa.array(list(m), pa.list_(pa.float32()))
+    tracemalloc.start()
+    cell = R._Cell(k, True, drop, 6, None)
+    cell.add(0, pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), vec(q)], names=["id", "vec"]))
+    if len(ex):
+        cell.add(1, pa.RecordBatch.from_arrays([pa.array(x) for x in np.array(sorted(ex)).T], names=["id", "other"]))
+    at = 0
+    for m in batches:
+        cell.add(2, pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(m))), vec(m)], names=["id", "vec"]))
+        at += len(m)
+    out = [r for b in cell.batches() for r in zip(b["q_id"].to_pylist(), b["label_id"].to_pylist(), b["excluded"].to_pylist())]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_a_task_holds_little_beside_its_lists():
+    rng = np.random.default_rng(3)
+    q, lab = rng.normal(size=(1500, 16)).astype(np.float32), rng.normal(size=(50_000, 16)).astype(np.float32)
+    out, peak = _stream(q, np.split(lab, 5), 50)
+    assert len(out) == 1500 * 50 and peak < 120
+    q = q[:20]
+    want = _brute(q, lab, 50)
+    assert [(i, j) for i in range(20) for j in want[i]] == [(i, j) for i, j, _ in out if i < 20]
+
+
+def test_lists_grow_with_k_and_cut_the_blocks():
+    wide = R.plan_blocks(12, 600_000, 1_200_000, 64, R.CELL_BYTES, k=500, held=R.held_bytes(500, 64))
+    assert wide[0] * R.CELL_BYTES >= 600_000 * (8 * 64 + 28 * 500)
+
+
+@pytest.mark.parametrize("drop", [True, False])
+def test_screened_labels_keep_ties_exclusions_and_odd_values(drop):
+    rng = np.random.default_rng(4)
+    q = np.round(rng.normal(size=(300, 3))).astype(np.float32)      # few directions: many ties, zero vectors
+    lab = np.round(rng.normal(size=(9_000, 3))).astype(np.float32)
+    lab[5_000] = [np.nan, 1, 1]
+    ex = {(i, j) for i in range(0, 300, 7) for j in rng.integers(0, 9_000, 40).tolist()}
+    out, _ = _stream(q, np.split(lab, 3), 5, ex, drop)
+    unit = lambda m: R._normalize_rows(m.astype(np.float64))
+    s = np.round(unit(q) @ unit(lab).T, 6)
+    for i in range(300):
+        want = sorted((-s[i, j], j) for j in range(9_000) if not (drop and (i, j) in ex))[:5]
+        assert [(j, not drop and (i, j) in ex) for _, j in want] == [(j, f) for a, j, f in out if a == i]

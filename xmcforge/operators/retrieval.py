@@ -4,8 +4,9 @@ Every query is scored against every label, but pairs never exist as rows.  Queri
 blocks whose vectors and excluded pairs fit in ``block_bytes``; labels may be hashed into blocks,
 too, to give more tasks.  Queries, excluded pairs and labels of each (query block, label block)
 cell are dealt to the cell's own task number and sorted, so a task holds one query block and
-streams label batches past it, keeping each query's best candidates.  A native ``row_number``
-window (planned as ``WindowGroupLimit``) merges the lists of the cells.
+streams label batches past it, keeping each query's best candidates: a label is ranked only where
+it reaches the query's k-th score so far.  A native ``row_number`` window (planned as
+``WindowGroupLimit``) merges the lists of the cells.
 
 Scores are cosine/dot in double, rounded to 6 decimals *before* ranking; ties break on
 the smaller label id.
@@ -28,7 +29,11 @@ CAND_SCHEMA = T.StructType([
 ])
 
 DEFAULT_BLOCK_BYTES = 128 << 20  # one dense block of vectors (as double) per side
-TILE_BYTES = 32 << 20            # one query tile x label block score matrix
+TILE_BYTES = 8 << 20             # one query tile x label block score matrix, ranked in double
+TILE_ROWS = 256                  # queries of a tile ...
+LABEL_ROWS = 4096                # ... and labels that it meets at once
+CELL_BYTES = 192 << 20           # what a task holds of one query block: vectors, excluded pairs, lists
+_NARROW_NORM = 1e15              # vectors below this length may be screened in single precision
 MIN_BLOCK_ROWS = 256             # do not split blocks finer than this to gain parallelism
 MAX_TASKS = 20_000               # more cells than this share tasks, one after the other
 _EXCLUDED_KEY = np.iinfo(np.int64).max
@@ -112,60 +117,188 @@ def _matrix(col) -> np.ndarray:
     return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1)
 
 
+class _Labels:
+    """A batch of labels: ids, unit or given vectors, and the excluded pairs (query row, label) that it holds."""
+
+    def __init__(self, ids: np.ndarray, vec: np.ndarray):
+        self.ids, self.vec = ids, vec
+        self.norm = float(np.sqrt((vec * vec).sum(axis=1).max())) if vec.size else 0.0
+        self.narrow = vec.astype(np.float32) if self.norm < _NARROW_NORM else None  # NaN compares as false, too
+
+    def excluded(self, rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Sorted codes (query row * labels + place) of the pairs whose label is here, as ``block_topk`` places them."""
+        if not len(rows):
+            return rows
+        order = np.argsort(self.ids, kind="stable")
+        place = order[np.minimum(np.searchsorted(self.ids, labels, sorter=order), len(self.ids) - 1)]
+        here = self.ids[place] == labels
+        return np.sort(rows[here] * len(self.ids) + place[here])
+
+
+def _among(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``codes`` stand in the sorted ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(codes), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes
+
+
+class _Best:
+    """The best ``k`` labels of each of ``n`` query rows, by (score desc, label id).
+
+    What is found waits in ``fresh`` and is merged tile by tile, so the memory beside the lists is
+    bounded.  ``least`` is the k-th score of a row, -inf while its list is short."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        none = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float64)
+        self.lists = [none] * -(-n // TILE_ROWS)
+        self.least = np.full(n, -np.inf)
+        self.fresh, self.held = [], 0
+
+    def add(self, rows: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> None:
+        if len(rows):
+            self.fresh.append((rows.astype(np.int32), labels, scores))
+            self.held += len(rows)
+            if self.held > max(100_000, self.n * self.k // 4):
+                self.merge()
+
+    def merge(self) -> None:
+        if not self.held:
+            return
+        new = [np.concatenate([f[i] for f in self.fresh]) for i in range(3)]
+        self.fresh, self.held = [], 0
+        tile = new[0] // TILE_ROWS
+        order = np.argsort(tile, kind="stable")
+        new = [x[order] for x in new]
+        ends = np.searchsorted(tile[order], np.arange(len(self.lists) + 1))
+        for t in np.flatnonzero(np.diff(ends)):
+            rows, labels, scores = (np.concatenate([old, x[ends[t]:ends[t + 1]]]) for old, x in zip(self.lists[t], new))
+            order = np.lexsort((labels, -scores, rows))
+            rows = rows[order]
+            start = np.r_[True, rows[1:] != rows[:-1]]
+            at = np.arange(len(rows))
+            place = at - np.maximum.accumulate(np.where(start, at, 0))
+            order, rows, last = order[place < self.k], rows[place < self.k], place[place < self.k] == self.k - 1
+            self.lists[t] = rows, labels[order], scores[order]
+            kth = scores[order][last]
+            self.least[rows[last]] = np.where(np.isnan(kth), -np.inf, kth)
+
+
 class _Cell:
     """One query block and the best candidates that the labels streamed so far give it."""
 
     def __init__(self, k: int, normalize: bool, drop_excluded: bool, digits: int, score):
         self.k, self.normalize, self.drop, self.digits, self.score = k, normalize, drop_excluded, digits, score
         self.parts = {0: ([], []), 1: ([], [])}   # side -> ids, and vectors or excluded labels
-        self.queries, self.found, self.held = None, [], 0
+        self.ids = None
 
     def add(self, side: int, batch) -> None:
         if side < 2:
             ids, other = self.parts[side]
             ids.append(np.asarray(batch.column("id")))
             other.append(_matrix(batch.column("vec")) if side == 0 else np.asarray(batch.column("other")))
-            return
-        if not self.parts[0][0]:
-            return
-        if self.queries is None:
-            ids, first = np.unique(np.concatenate(self.parts[0][0]), return_index=True)
-            mat = np.concatenate(self.parts[0][1])[first]  # a repeated query is asked once
+        elif self.ready():
+            self.meet_all(np.asarray(batch.column("id")), self.unit(_matrix(batch.column("vec"))))
+
+    def unit(self, mat: np.ndarray) -> np.ndarray:
+        return _normalize_rows(mat) if self.normalize else mat
+
+    def ready(self) -> bool:
+        """Whether there are queries; the first call closes their block."""
+        if self.ids is None and self.parts[0][0]:
+            self.ids, first = np.unique(np.concatenate(self.parts[0][0]), return_index=True)
+            self.vec = self.unit(np.concatenate(self.parts[0][1])[first])  # a repeated query is asked once
+            norms = np.sqrt((self.vec * self.vec).sum(axis=1)) if self.vec.size else np.zeros(len(self.ids))
+            self.norms = norms
+            self.narrow = self.vec.astype(np.float32) if (norms < _NARROW_NORM).all() else None
             none = np.zeros(0, np.int64)
-            excluded = [np.concatenate(x) if x else none for x in self.parts[1]]
-            self.queries = ids, _normalize_rows(mat) if self.normalize else mat, *excluded
-        q, qm, ex_q, ex_l = self.queries
-        lm = _matrix(batch.column("vec"))
-        out = block_topk(q, qm, np.asarray(batch.column("id")), _normalize_rows(lm) if self.normalize else lm, self.k,
-                         ex_q, ex_l, self.drop, self.digits, self.score)
-        self.found.append(out)
-        self.held += len(out[0])
-        if self.held > 4 * self.k * len(q) + 100_000:
-            self.cut()
-
-    def cut(self) -> None:
-        """Keep each query's best ``k`` of what was found."""
-        q, lab, score, flag = (np.concatenate([f[i] for f in self.found]) for i in range(4))
-        order = np.lexsort((lab, -score, q))
-        q = q[order]
-        start = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
-        place = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0)) if len(q) else q
-        order = order[place < self.k]
-        self.found = [(q[place < self.k], lab[order], score[order], flag[order])]
-        self.held = len(order)
+            ex_q, ex_l = (np.concatenate(x) if x else none for x in self.parts[1])
+            row = np.minimum(np.searchsorted(self.ids, ex_q), len(self.ids) - 1)
+            asked = self.ids[row] == ex_q
+            self.ex_row, self.ex_label = row[asked], ex_l[asked]
+            self.parts = {0: ([], []), 1: ([], [])}
+            self.best = _Best(len(self.ids), self.k)
+        return self.ids is not None
+
+    def meet_all(self, ids: np.ndarray, vec: np.ndarray) -> None:
+        """Every query meets a batch of labels."""
+        for at in range(0, len(ids), LABEL_ROWS):
+            labels = _Labels(ids[at:at + LABEL_ROWS], vec[at:at + LABEL_ROWS])
+            gone = labels.excluded(self.ex_row, self.ex_label) if self.drop else self.ex_row[:0]
+            for s in range(0, len(self.ids), TILE_ROWS):
+                rows = slice(s, min(s + TILE_ROWS, len(self.ids)))
+                if not self.screen(rows, labels, gone):
+                    self.rank(np.arange(rows.start, rows.stop), labels)
+
+    def screen(self, rows, labels: _Labels, gone: np.ndarray, skip=None) -> bool:
+        """Adds the labels that reach their query's k-th score; False (nothing added) where the
+        lists are short, values are not finite or too many labels reach it.
+
+        Dot products are screened in single precision with its error bound as slack, and those
+        that pass are computed in double.  ``skip(rows, places)`` tells pairs to leave out."""
+        least = self.best.least[rows]
+        if not len(least) or not len(labels.ids) or least.min() == -np.inf or self.k <= 0:
+            return False
+        half = 0.51 * 10.0 ** -self.digits
+        if self.score is None:
+            if self.narrow is None or labels.narrow is None:
+                return False
+            raw = self.narrow[rows] @ labels.narrow.T
+            slack = (self.vec.shape[1] + 16) * 6e-8 * float(self.norms[rows].max()) * labels.norm
+        else:
+            raw = np.asarray(self.score(self.vec[rows], labels.vec), np.float64)
+            if not np.isfinite(raw).all():
+                return False
+            slack = 0.0
+        limit = least - half - slack - 1e-6 * np.abs(least)
+        r, c = np.nonzero(raw >= limit.astype(raw.dtype)[:, None])
+        if len(r) > 8 * len(least) * self.k + 4096:
+            return False
+        row = np.arange(rows.start, rows.stop)[r] if isinstance(rows, slice) else rows[r]
+        if len(gone):
+            keep = ~_among(row * len(labels.ids) + c, gone)
+            r, c, row = r[keep], c[keep], row[keep]
+        if skip is not None and len(row):
+            keep = ~skip(row, c)
+            r, c, row = r[keep], c[keep], row[keep]
+        for at in range(0, len(row), 32_768):
+            i, j = row[at:at + 32_768], c[at:at + 32_768]
+            exact = raw[r[at:at + 32_768], j] if self.score is not None else np.einsum("ij,ij->i", self.vec[i], labels.vec[j])
+            exact = np.rint(exact * 10.0 ** self.digits) / 10.0 ** self.digits
+            ok = exact >= self.best.least[i]
+            self.best.add(i[ok], labels.ids[j[ok]], exact[ok])
+        return True
+
+    def rank(self, rows: np.ndarray, labels: _Labels) -> None:
+        """Adds each query's best ``k`` of a batch, in double and for any values."""
+        sel = np.isin(self.ex_row, rows) if self.drop else np.zeros(len(self.ex_row), bool)
+        out = block_topk(rows, self.vec[rows], labels.ids, labels.vec, self.k, self.ex_row[sel], self.ex_label[sel],
+                         True, self.digits, self.score)
+        self.best.add(*out[:3])
 
     def batches(self, step: int = 100_000):
         import pyarrow as pa
-        if self.held:
-            self.cut()
-            for at in range(0, self.held, step):
-                q, lab, score, flag = (x[at:at + step] for x in self.found[0])
+        if self.ids is None:
+            return
+        self.best.merge()
+        flagged = not self.drop and len(self.ex_row)
+        order = np.argsort(self.ex_row, kind="stable") if flagged else None
+        for t, (rows, labels, scores) in enumerate(self.best.lists):
+            flag = np.zeros(len(rows), bool)
+            if flagged:
+                a, b = np.searchsorted(self.ex_row, [t * TILE_ROWS, (t + 1) * TILE_ROWS], sorter=order)
+                names, code = np.unique(np.r_[self.ex_label[order[a:b]], labels], return_inverse=True)
+                gone = self.ex_row[order[a:b]] * len(names) + code[:b - a]
+                pair, first = np.unique(rows.astype(np.int64) * len(names) + code[b - a:], return_index=True)
+                flag[first] = np.isin(pair, gone)
+            for at in range(0, len(rows), step):
+                r, lab, score, fl = (x[at:at + step] for x in (rows, labels, scores, flag))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(lab, pa.int64()), pa.array(score, pa.float64()), pa.array(flag, pa.bool_())],
+                    [pa.array(self.ids[r], pa.int64()), pa.array(lab, pa.int64()), pa.array(score, pa.float64()), pa.array(fl, pa.bool_())],
                     names=["q_id", "label_id", "score", "excluded"])
 
 
-def _streamer(*settings):
+def _streamer(*settings, make=_Cell):
     """Arrow function over rows sorted by (cell, side): query rows, excluded pairs, then labels."""
     def run(batches):
         number, cell = None, None
@@ -178,7 +311,7 @@ def _streamer(*settings):
                 if cells[at] != number:
                     if cell is not None:
                         yield from cell.batches()
-                    number, cell = cells[at], _Cell(*settings)
+                    number, cell = cells[at], make(*settings)
                 cell.add(int(sides[at]), batch.slice(int(at), int(end - at)))
         if cell is not None:
             yield from cell.batches()
@@ -192,15 +325,16 @@ def _vector_type(*fields: T.StructField) -> str:
 
 
 def plan_blocks(par: int, n_q: int, n_l: int, dim: int, block_bytes: int = DEFAULT_BLOCK_BYTES,
-                min_rows: int = MIN_BLOCK_ROWS, k: int = 10, excluded_per_query: float = 0.0) -> tuple[int, int]:
+                min_rows: int = MIN_BLOCK_ROWS, k: int = 10, excluded_per_query: float = 0.0,
+                held: float = 0.0) -> tuple[int, int]:
     """(query blocks, label blocks).
 
-    A query block's vectors and excluded pairs stay under ``block_bytes``; labels are streamed and
+    A query block's vectors, excluded pairs and ``held`` bytes a query stay under ``block_bytes``; labels are streamed and
     need no bound.  When that gives fewer cells than ``par`` cores, the grid grows along the cheaper
     side: one more label block copies every query vector once more and adds k candidate rows per
     query to the merge; one more query block copies every label vector once more.  Blocks are never
     cut below ``min_rows`` for that."""
-    rows = max(1, int(block_bytes // (8 * max(dim, 1) + 16 * excluded_per_query)))
+    rows = max(1, int(block_bytes // (8 * max(dim, 1) + 16 * excluded_per_query + held)))
     n_qb, n_lb = max(1, math.ceil(n_q / rows)), 1
     if n_qb < par:
         if n_q * (4 * dim + 24 * k) <= n_l * 4 * dim:
@@ -210,10 +344,16 @@ def plan_blocks(par: int, n_q: int, n_l: int, dim: int, block_bytes: int = DEFAU
     return n_qb, n_lb
 
 
+def held_bytes(k: int, dim: int) -> float:
+    """Bytes that a task holds of a query beside its vector: the vector in single precision, its
+    list and a quarter of a list not merged yet."""
+    return 4.0 * dim + 28.0 * k
+
+
 def candidates(queries: DataFrame, labels: DataFrame, *, q_col: str = "q_id", l_col: str = "label_id",
                vec_col: str = "embedding", k: int = 10, exclude: DataFrame | None = None,
                drop_excluded: bool = True, normalize: bool = True, digits: int = 6,
-               block_bytes: int = DEFAULT_BLOCK_BYTES, blocks: tuple[int, int] | None = None, score=None) -> DataFrame:
+               block_bytes: int = CELL_BYTES, blocks: tuple[int, int] | None = None, score=None) -> DataFrame:
     """Per (query block, label block) cell: each query's best ``k`` labels (unranked).
 
     Excluded pairs travel to the one cell that holds both ids (no replication, no anti-join
@@ -242,7 +382,7 @@ def candidates(queries: DataFrame, labels: DataFrame, *, q_col: str = "q_id", l_
                                                           F.max("d")).first())
     par = int(spark.sparkContext.defaultParallelism)
     n_qb, n_lb = plan_blocks(par if blocks is None else 1, n_q, n_l, dim, block_bytes, k=k,
-                             excluded_per_query=n_x / max(n_q, 1))
+                             excluded_per_query=n_x / max(n_q, 1), held=held_bytes(min(k, n_l), dim))
     if blocks is not None:
         n_qb, n_lb = max(n_qb, blocks[0]), blocks[1]
     qb, lb = (lambda c: F.pmod(F.xxhash64(c), F.lit(n_qb))), (lambda c: F.pmod(F.xxhash64(c), F.lit(n_lb)))
@@ -290,7 +430,7 @@ def rank_within_query(cand: DataFrame, k: int, rank_col: str = "rank") -> DataFr
 def ova_topk(queries: DataFrame, labels: DataFrame, k: int = 10, *, q_col: str = "q_id",
              l_col: str = "label_id", vec_col: str = "embedding", normalize: bool = True,
              exclude: DataFrame | None = None, exclude_mode: str = "before", digits: int = 6,
-             block_bytes: int = DEFAULT_BLOCK_BYTES, blocks: tuple[int, int] | None = None, score=None) -> DataFrame:
+             block_bytes: int = CELL_BYTES, blocks: tuple[int, int] | None = None, score=None) -> DataFrame:
     """Top-``k`` labels per query: (q_id, label_id, score, rank).
 
     ``score(query_matrix, label_matrix)`` replaces the dot product (F02); it runs in the workers
