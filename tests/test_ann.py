@@ -87,3 +87,31 @@ def test_depth_sixteen_and_a_rule_of_the_caller(spark):
     got = {r.item_id: r.cluster_id for r in CL.balanced_clusters(items, 2, halves=by_id).collect()}
     assert Counter(got.values()) == {0: 200, 1: 200, 2: 200, 3: 200}
     assert [got[i] for i in sorted(got)] == sorted(got.values())
+
+
+def test_open_bounds_write_no_pairs_of_queries_and_cells(spark):
+    """Vectors without clusters: every query must meet every cell, which once was a row with its vector each."""
+    import os
+    rng = np.random.default_rng(5)
+    make = lambda name, n: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, 12)))],
+                                                 f"{name} long, embedding array<float>")
+    queries, labels = make("q_id", 300), make("label_id", 700)
+    index = AN.build_cells(labels, cell_size=10)
+    kept = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(kept) for f in fs)
+    before = size()
+    found = AN.ann_topk(queries, index, 5, probes=2)
+    got = rows(found)
+    assert size() == before and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got == rows(ova_topk(queries, labels, 5))
+    few = AN.ann_topk(queries, index, 5, probes=2, widen=False)
+    centers = {r.cell: np.array(r.embedding) for r in index[1].collect()}
+    of = {r.label_id: (r.cell, np.array(r.embedding)) for r in index[0].collect()}
+    best = {}
+    for r in few.collect():
+        best.setdefault(r.q_id, []).append((-r.score, r.label_id))
+    for r in queries.collect()[:40]:
+        v = np.array(r.embedding) / np.linalg.norm(r.embedding)
+        cells = sorted(centers, key=lambda c: (-round(float(AN.reach(v[None], centers[c][None])[0, 0]), 6), c))[:2]
+        want = sorted((-round(float(v @ x), 6), i) for i, (c, x) in of.items() if c in cells)[:5]
+        assert [i for _, i in want] == [i for _, i in sorted(best[r.q_id])]
