@@ -89,3 +89,19 @@ def test_part_files_are_read_by_number(spark, tmp_path):
     (tmp_path / "part-100000-a.txt").write_text("third\n")
     got = sorted((r.row_id, r.text) for r in read_lines(spark, str(tmp_path)).collect())
     assert got == [(0, "first"), (1, "second"), (2, "third")]
+
+
+def test_header_of_a_file_read_in_several_splits(spark, tmp_path):
+    from xmcforge.sources import files as IO
+    path = tmp_path / "m.txt"
+    path.write_text("3000 7\n" + "\n" * 3 + "1:1.0 2:1.0\n" * 3000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        line = IO.first_line(spark, str(path))
+        # one row of the split at the file's start, whichever task ends first
+        assert "input_file_block_start" in line._jdf.queryExecution().executedPlan().toString()
+        assert [r.text for r in line.collect()] == ["3000 7"]
+        assert [tuple(r) for r in IO.read_sparse_matrix(spark, str(path))[1].repartition(3).collect()] == [(3000, 7)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
