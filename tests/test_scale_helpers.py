@@ -58,3 +58,18 @@ def test_urls_long_form_order_and_lists(spark):
     assert lf.url.tolist() == ["http://a", "http://b", "https://c"] and lf.pos.tolist() == [0, 1, 0]
     lists = {r.owner_id: list(r.urls) for r in AS.as_lists(AS.urls_per_owner(urls)).collect()}
     assert lists == {1: ["http://a", "http://b"], 2: ["https://c"]}
+
+
+def test_encoder_tokenizes_a_batch_in_slices():
+    import tracemalloc
+    import pandas as pd
+    from xmcforge.operators import represent as RP
+    texts = pd.Series([" ".join(f"w{(i * j) % 997}" for j in range(400)) for i in range(4000)] + [None, ""])
+    enc = RP.hashed_bag_encoder(16)
+    tracemalloc.start()
+    out = enc(texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 60 and out.shape == (4002, 16)
+    for i in (0, 1, 1999, 3999, 4000, 4001):
+        assert np.array_equal(out[i:i + 1], enc(texts[i:i + 1]))

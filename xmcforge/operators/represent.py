@@ -337,17 +337,27 @@ def pca_fit(df: DataFrame, k: int, vec_col: str = "embedding", center: bool = Tr
 
 # --------------------------------------------------------------------- encoder hook
 EncoderFn = Callable[[pd.Series], np.ndarray]
+ENCODE_CHARS = 1 << 20  # characters that the default encoder tokenizes at once
 
 
 def hashed_bag_encoder(dim: int = 64) -> EncoderFn:
-    """Default offline encoder: md5-hashed bag of lower-cased tokens, L2 normalised."""
+    """Default offline encoder: md5-hashed bag of lower-cased tokens, L2 normalised.
+
+    A batch is encoded in slices of about ``ENCODE_CHARS`` characters: tokens are Python strings and take
+    many times their text's size."""
     import hashlib
     import re
     tok = re.compile(r"[^\W_]+", re.UNICODE)
 
     def enc(texts: pd.Series) -> np.ndarray:
-        # one flat token list per batch; each distinct token is hashed once
-        lists = [tok.findall(str(t).lower()) for t in texts.fillna("").to_numpy()]
+        plain = texts.fillna("").to_numpy()
+        part = np.cumsum([len(str(t)) for t in plain], dtype=np.int64) // ENCODE_CHARS if len(plain) else np.zeros(0, np.int64)
+        cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(plain)]
+        return np.concatenate([np.zeros((0, dim)), *(some(plain[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)])
+
+    def some(texts: np.ndarray) -> np.ndarray:
+        # one flat token list per slice; each distinct token is hashed once
+        lists = [tok.findall(str(t).lower()) for t in texts]
         rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         codes, words = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
         bucket = np.array([int(hashlib.md5(w.encode("utf-8")).hexdigest()[:13], 16) % dim for w in words], dtype=np.int64)
