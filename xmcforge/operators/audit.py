@@ -46,20 +46,22 @@ def hard_negatives(anchors: DataFrame, cands: DataFrame, positives: DataFrame, k
 def triplet_entries(anchors: DataFrame, cands: DataFrame, positives: DataFrame, k: int = 10,
                     margin_min: float = 0.1, margin_max: float = 0.3, apply_softmax: bool = False,
                     tau: float = 0.1, seed: int = 0, fixed_pos: DataFrame | None = None,
-                    extra_exclude: DataFrame | None = None) -> DataFrame:
+                    extra_exclude: DataFrame | None = None, negs: DataFrame | None = None) -> DataFrame:
     """C08 per (anchor, negative): loss = max(0, s_n - s_p + m), m = clamp(|s_p - s_n|, min, max)
     (or the constant when min == max); with ``apply_softmax`` the loss is weighted by the
     softmax over the anchor's negatives at temperature ``tau``, zero-loss negatives at -50.
 
     ``fixed_pos`` (q_id, pos_id) gives each anchor's positive, as a training plan sampled it;
-    without it one is drawn.  Anchors without any positive are skipped."""
+    without it one is drawn.  Anchors without any positive are skipped.  ``negs`` are the
+    ``hard_negatives`` of the same arguments where they were mined before."""
     if fixed_pos is not None:
         pos = fixed_pos.select("q_id", "pos_id")
     else:
         pos = sample_positive(positives.select(F.col("q_id").alias("doc_id"), "label_id"), seed).select(
             F.col("doc_id").alias("q_id"), F.col("label_id").alias("pos_id"))
     pos = pair_similarity(pos, anchors, cands, "q_id", "pos_id", "sim_p")
-    negs = hard_negatives(anchors, cands, positives, k, extra_exclude)
+    if negs is None:
+        negs = hard_negatives(anchors, cands, positives, k, extra_exclude)
     return _triplet_loss(negs, pos, margin_min, margin_max, apply_softmax, tau)
 
 
@@ -133,16 +135,19 @@ def reductions(entries: DataFrame) -> DataFrame:
 
 def margin_regularity(anchors: DataFrame, cands_i: DataFrame, cands_f: DataFrame, positives: DataFrame,
                       k: int = 10, margin: float = 0.1, seed: int = 0,
-                      extra_exclude: DataFrame | None = None) -> DataFrame:
+                      extra_exclude: DataFrame | None = None, negs: DataFrame | None = None) -> DataFrame:
     """Raw view i vs fused view f.  Positive term max(0, s_i - s_f + m) on one sampled
     positive; negative term max(0, s_f - s_i + m) on the k hardest negatives by f; each
-    averaged over its entries > 0 (0 if none); the result is their mean.  One row."""
+    averaged over its entries > 0 (0 if none); the result is their mean.  One row.  ``negs`` are the
+    ``hard_negatives`` of the fused view where they were mined before."""
     pos = sample_positive(positives.select(F.col("q_id").alias("doc_id"), "label_id"), seed).select(
         F.col("doc_id").alias("q_id"), F.col("label_id").alias("pos_id"))
     pos = pair_similarity(pos, anchors, cands_i, "q_id", "pos_id", "s_i")
     pos = pair_similarity(pos, anchors, cands_f, "q_id", "pos_id", "s_f")
     lp = pos.select(F.greatest(F.lit(0.0), F.col("s_i") - F.col("s_f") + F.lit(margin)).alias("l"))
-    negs = hard_negatives(anchors, cands_f, positives, k, extra_exclude).select(
+    if negs is None:
+        negs = hard_negatives(anchors, cands_f, positives, k, extra_exclude)
+    negs = negs.select(
         "q_id", "neg_id", F.col("sim_n").alias("s_f"))
     negs = pair_similarity(negs, anchors, cands_i, "q_id", "neg_id", "s_i")
     ln = negs.select(F.greatest(F.lit(0.0), F.col("s_f") - F.col("s_i") + F.lit(margin)).alias("l"))

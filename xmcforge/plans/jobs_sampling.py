@@ -13,6 +13,7 @@ from xmcforge.operators import sampling as SA
 from xmcforge.plans import fixtures as fx
 from xmcforge.plans import oracle_text as O
 from xmcforge.plans.registry import job
+from xmcforge.session import reliable_checkpoint
 
 # Reference defaults (fixed values): seed 0, batch 2048 (run script), 10 negatives,
 # margins 0.1..0.3, softmax temperature 0.1, custom reduction, regulariser weight 0.1.
@@ -186,10 +187,10 @@ def _round_cols(df, cols, digits=9):
     return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def _triplet(t, anchors, cands, positives, softmax=True, exclude=None):
+def _triplet(t, anchors, cands, positives, softmax=True, exclude=None, negs=None):
     e = AU.triplet_entries(anchors, cands, positives, k=NEG_K, margin_min=MARGIN_MIN, margin_max=MARGIN_MAX,
                            apply_softmax=softmax, tau=TAU, seed=SEED,
-                           extra_exclude=fx.filter_pairs(t) if exclude is None else exclude)
+                           extra_exclude=fx.filter_pairs(t) if exclude is None else exclude, negs=negs)
     return e
 
 
@@ -341,7 +342,7 @@ b as (select coalesce(sum(l) / sum(case when l > 0 then 1.0 end), 0.0) as loss_n
 select round(loss_p, 9) as loss_p, round(loss_n, 9) as loss_n, round((loss_p + loss_n) / 2, 9) as loss from a, b""")
 def margin_regularity_audit(t):
     """Raw vs prototype-fused similarities: positive and hard-negative margin terms."""
-    fl = fused_labels(t)
+    fl = reliable_checkpoint(fused_labels(t))  # sized, searched and joined
     r = AU.margin_regularity(fx.queries(t), fx.labels(t), fl, fx.truth(t), k=NEG_K, margin=REG_MARGIN, seed=SEED,
                              extra_exclude=fx.filter_pairs(t))
     return _round_cols(r, ["loss_p", "loss_n", "loss"])
@@ -372,14 +373,16 @@ def combined_loss_audit(t):
     """U + uv + i + 0.1 r with custom reductions (doc->label raw, doc->label fused,
     label->doc, and the margin regulariser)."""
     q, lab, truth = fx.queries(t), fx.labels(t), fx.truth(t)
-    fl = fused_labels(t)
+    fl = reliable_checkpoint(fused_labels(t))  # sized, searched and joined
+    # uv and r mine the same negatives: one search
+    negs = reliable_checkpoint(AU.hard_negatives(q, fl, truth, NEG_K, fx.filter_pairs(t)))
     u = AU.reductions(_triplet(t, q, lab, truth)).select(F.col("custom").alias("u"))
-    uv = AU.reductions(_triplet(t, q, fl, truth)).select(F.col("custom").alias("uv"))
+    uv = AU.reductions(_triplet(t, q, fl, truth, negs=negs)).select(F.col("custom").alias("uv"))
     i = AU.reductions(_triplet(t, lab.withColumnRenamed("label_id", "q_id"), q.withColumnRenamed("q_id", "label_id"),
                                _swapped(truth), exclude=_swapped(fx.filter_pairs(t))))
     i = i.select(F.col("custom").alias("i"))
     r = AU.margin_regularity(q, lab, fl, truth, k=NEG_K, margin=REG_MARGIN, seed=SEED,
-                             extra_exclude=fx.filter_pairs(t)).select(F.col("loss").alias("r"))
+                             extra_exclude=fx.filter_pairs(t), negs=negs).select(F.col("loss").alias("r"))
     # four one-row aggregates stacked, then read back as one row by name
     parts = [u.select(F.lit("u").alias("name"), F.col("u").alias("v")),
              uv.select(F.lit("uv").alias("name"), F.col("uv").alias("v")),
