@@ -65,3 +65,13 @@ def test_empty_corpus(spark):
     corpus = spark.createDataFrame([], "row_id long, text string")
     vocab = SW.piece_vocab(corpus)
     assert vocab.count() == 0 and SW.subword_sequence(corpus, vocab).count() == 0
+
+
+def test_few_decomposed_words_leave_the_rows_of_the_texts_where_they_are(spark, monkeypatch):
+    corpus = spark.createDataFrame([(i, f"ab ab{i % 7} x{i}") for i in range(50)], "row_id long, text string")
+    vocab = SW.piece_vocab(corpus, min_count=3)
+    few = SW.subword_sequence(corpus, vocab)
+    joins = [x for x in few._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) >= 2 and all("broadcast" in x for x in joins)
+    monkeypatch.setattr(SW, "PIECES_BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, SW.subword_sequence(corpus, vocab).collect()))

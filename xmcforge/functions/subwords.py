@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from xmcforge.functions.text import BOS_ID, EOS_ID, FIRST_TOKEN_ID, UNK_ID, _vocab_side, tokens
 from xmcforge.plans.partitioning import spread_if_small
 from xmcforge.plans.ranking import dist_rank
+from xmcforge.session import reliable_checkpoint
 
 # Longest piece of a vocabulary in characters; it bounds the lookups at a place of a word.
 MAX_PIECE = 32
+# Up to this many decomposed words (a key and a few ids each) go to every task.
+PIECES_BROADCAST_ROWS = 100_000
 
 
 def characters(word: str) -> Column:
@@ -69,7 +72,9 @@ def subword_sequence(corpus: DataFrame, vocab: DataFrame, id_col: str = "row_id"
     piece; the others meet their decomposition by key, and rows that need none are spread by row."""
     unknown = (_word_rows(corpus, text_col, id_col).distinct()
                .join(_vocab_side(vocab).withColumnRenamed("token", "word"), "word", "left_anti"))
-    pieces = decompose(unknown, vocab, max_piece)
+    pieces = reliable_checkpoint(decompose(unknown, vocab, max_piece))
+    if pieces.count() <= PIECES_BROADCAST_ROWS:  # the text's rows need no shuffle
+        pieces = F.broadcast(pieces)
     words = F.coalesce(tokens(text_col), F.array().cast("array<string>"))
     none = F.array(F.lit(None).cast("string"))
     rows = (spread_if_small(corpus.select(id_col, text_col), key=id_col)
