@@ -173,3 +173,32 @@ def test_screened_labels_keep_ties_exclusions_and_odd_values(drop):
     for i in range(300):
         want = sorted((-s[i, j], j) for j in range(9_000) if not (drop and (i, j) in ex))[:5]
         assert [(j, not drop and (i, j) in ex) for _, j in want] == [(j, f) for a, j, f in out if a == i]
+
+
+def test_scores_that_reach_their_limit_are_found_in_order():
+    rng = np.random.default_rng(5)
+    raw = rng.normal(size=(40, 70)).astype(np.float32)
+    for limit in (np.full(40, 9.0), np.full(40, 2.5), np.full(40, -9.0), np.where(np.arange(40) == 7, 0.0, 9.0), raw.max(axis=1).astype(float)):
+        r, c = R._reaching(raw, limit)
+        want = np.nonzero(raw >= limit.astype(np.float32)[:, None])
+        assert r.tolist() == want[0].tolist() and c.tolist() == want[1].tolist()
+
+
+@pytest.mark.parametrize("score", [None, lambda a, b: np.abs(a @ b.T)])
+def test_few_labels_are_ranked_before_the_others_are_screened(monkeypatch, score):
+    rng = np.random.default_rng(6)
+    q, lab = rng.normal(size=(600, 16)), rng.normal(size=(20_000, 16))
+    ranked, rank = [], R.block_topk
+    monkeypatch.setattr(R, "block_topk", lambda rows, qm, ids, *a: ranked.append(len(rows) * len(ids)) or rank(rows, qm, ids, *a))
+    cell = R._Cell(10, False, True, 6, score)
+    cell.parts = {0: ([np.arange(600)], [q]), 1: ([], [])}
+    assert cell.ready()
+    for at, end in ((0, 300), (300, 9_000), (9_000, 20_000)):  # batches of any size
+        cell.meet_all(np.arange(at, end), lab[at:end])
+    got = {}
+    for b in cell.batches():
+        for i, j in zip(b["q_id"].to_pylist(), b["label_id"].to_pylist()):
+            got.setdefault(i, []).append(j)
+    s = np.round(np.abs(q @ lab.T) if score else q @ lab.T, 6)
+    assert all(got[i] == np.lexsort((np.arange(20_000), -s[i]))[:10].tolist() for i in range(600))
+    assert sum(ranked) <= 600 * 1_024

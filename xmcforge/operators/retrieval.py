@@ -32,6 +32,7 @@ DEFAULT_BLOCK_BYTES = 128 << 20  # one dense block of vectors (as double) per si
 TILE_BYTES = 8 << 20             # one query tile x label block score matrix, ranked in double
 TILE_ROWS = 256                  # queries of a tile ...
 LABEL_ROWS = 4096                # ... and labels that it meets at once
+FIRST_ROWS = 512                 # labels ranked before any k-th score is known
 CELL_BYTES = 192 << 20           # what a task holds of one query block: vectors, excluded pairs, lists
 _NARROW_NORM = 1e15              # vectors below this length may be screened in single precision
 MIN_BLOCK_ROWS = 256             # do not split blocks finer than this to gain parallelism
@@ -142,6 +143,20 @@ def _among(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes
 
 
+def _reaching(raw: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the scores that reach their row's limit, in order.
+
+    Most rows hold none once the lists are good, so each row's maximum is looked at first."""
+    limit = limit.astype(raw.dtype)
+    hit = np.flatnonzero(raw.max(axis=1) >= limit)
+    if 2 * len(hit) >= len(limit):
+        hit = np.arange(len(limit))
+    else:
+        raw, limit = raw[hit], limit[hit]
+    r, c = np.divmod(np.flatnonzero(raw >= limit[:, None]), raw.shape[1])  # several times faster than nonzero of a matrix
+    return hit[r], c
+
+
 class _Best:
     """The best ``k`` labels of each of ``n`` query rows, by (score desc, label id).
 
@@ -190,7 +205,7 @@ class _Cell:
     def __init__(self, k: int, normalize: bool, drop_excluded: bool, digits: int, score):
         self.k, self.normalize, self.drop, self.digits, self.score = k, normalize, drop_excluded, digits, score
         self.parts = {0: ([], []), 1: ([], [])}   # side -> ids, and vectors or excluded labels
-        self.ids = None
+        self.ids, self.met, self.due, self.room = None, 0, FIRST_ROWS, np.zeros(0, np.float32)
 
     def add(self, side: int, batch) -> None:
         if side < 2:
@@ -221,14 +236,21 @@ class _Cell:
         return self.ids is not None
 
     def meet_all(self, ids: np.ndarray, vec: np.ndarray) -> None:
-        """Every query meets a batch of labels."""
-        for at in range(0, len(ids), LABEL_ROWS):
-            labels = _Labels(ids[at:at + LABEL_ROWS], vec[at:at + LABEL_ROWS])
+        """Every query meets a batch of labels.  Only few are ranked to begin with: the pieces double
+        until they are whole, and lists are merged each time that twice as many labels were met."""
+        end = 0
+        while end < len(ids):
+            at, end = end, end + min(LABEL_ROWS, max(FIRST_ROWS, self.met))
+            labels = _Labels(ids[at:end], vec[at:end])
+            self.met += len(labels.ids)
             gone = labels.excluded(self.ex_row, self.ex_label) if self.drop else self.ex_row[:0]
             for s in range(0, len(self.ids), TILE_ROWS):
                 rows = slice(s, min(s + TILE_ROWS, len(self.ids)))
                 if not self.screen(rows, labels, gone):
                     self.rank(np.arange(rows.start, rows.stop), labels)
+            if self.met >= self.due:
+                self.best.merge()
+                self.due = 2 * self.met
 
     def screen(self, rows, labels: _Labels, gone: np.ndarray, skip=None) -> bool:
         """Adds the labels that reach their query's k-th score; False (nothing added) where the
@@ -243,7 +265,7 @@ class _Cell:
         if self.score is None:
             if self.narrow is None or labels.narrow is None:
                 return False
-            raw = self.narrow[rows] @ labels.narrow.T
+            raw = self.products(self.narrow[rows], labels.narrow)
             slack = (self.vec.shape[1] + 16) * 6e-8 * float(self.norms[rows].max()) * labels.norm
         else:
             raw = np.asarray(self.score(self.vec[rows], labels.vec), np.float64)
@@ -251,7 +273,7 @@ class _Cell:
                 return False
             slack = 0.0
         limit = least - half - slack - 1e-6 * np.abs(least)
-        r, c = np.nonzero(raw >= limit.astype(raw.dtype)[:, None])
+        r, c = _reaching(raw, limit)
         if len(r) > 8 * len(least) * self.k + 4096:
             return False
         row = np.arange(rows.start, rows.stop)[r] if isinstance(rows, slice) else rows[r]
@@ -269,6 +291,13 @@ class _Cell:
             self.best.add(i[ok], labels.ids[j[ok]], exact[ok])
         return True
 
+    def products(self, queries: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Dot products in single precision, in memory that the next call takes again."""
+        n = len(queries) * len(labels)
+        if len(self.room) < n:
+            self.room = np.empty(n, np.float32)
+        return np.matmul(queries, labels.T, out=self.room[:n].reshape(len(queries), len(labels)))
+
     def rank(self, rows: np.ndarray, labels: _Labels) -> None:
         """Adds each query's best ``k`` of a batch, in double and for any values."""
         sel = np.isin(self.ex_row, rows) if self.drop else np.zeros(len(self.ex_row), bool)
