@@ -6,6 +6,7 @@ from xmcforge.functions import subwords as SW
 from xmcforge.functions import text as TX
 from xmcforge.plans import fixtures as fx
 from xmcforge.plans.registry import job
+from xmcforge.session import reliable_checkpoint
 
 MIN_COUNT = 3
 
@@ -52,4 +53,5 @@ def build_subword_vocab(t):
 def tokenize_subwords(t):
     """Every document's words as the longest pieces of the vocabulary, with BOS and EOS."""
     corpus = fx.doc_text(t)
-    return SW.subword_sequence(corpus, SW.piece_vocab(corpus, min_count=MIN_COUNT))
+    words = reliable_checkpoint(SW.word_counts(corpus, key="row_id"))
+    return SW.subword_sequence(corpus, SW.piece_vocab(corpus, min_count=MIN_COUNT, words=words), words=words)
